@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reference pipeline has no streams, watermarks, windows over event time or
+state, so nothing is built here on purpose (see README, "Not built").
+"""
