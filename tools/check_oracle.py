@@ -29,7 +29,7 @@ def normalise(df):
     import pandas as pd
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = df[c].map(lambda v: None if v is None or (isinstance(v, float) and v != v) else
+        df[c] = df[c].map(lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else
                           (format(v, ".10g") if isinstance(v, float) else str(v)))
     rows = sorted(tuple("\x00" if v is None else v for v in r) for r in df.itertuples(index=False))
     return rows

@@ -1,0 +1,36 @@
+"""Small symmetric 3x3 solves as SQL text (cofactor inverse), for Spark and DuckDB alike."""
+
+from __future__ import annotations
+
+from typing import Callable
+
+IDX = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+
+
+def _s(name: str, a: int, b: int) -> str:
+    a, b = min(a, b), max(a, b)
+    return f"{name}{a}{b}"
+
+
+def sym3_inverse(G: str = "G", out: str = "Gi") -> list[dict[str, str]]:
+    """Stages computing ``out``ab (a <= b) = inverse of the symmetric matrix G.
+
+    Input columns G00, G01, G02, G11, G12, G22.  Output columns Gi00..Gi22 and det.
+    """
+    def g(a, b):
+        return _s(G, a, b)
+
+    def cof(a, b):
+        r = [i for i in range(3) if i != a]
+        c = [j for j in range(3) if j != b]
+        minor = f"({g(r[0], c[0])} * {g(r[1], c[1])} - {g(r[0], c[1])} * {g(r[1], c[0])})"
+        return minor if (a + b) % 2 == 0 else f"(-{minor})"
+
+    s1 = {f"{out}_det": f"({g(0, 0)} * {cof(0, 0)} + {g(0, 1)} * {cof(0, 1)} + {g(0, 2)} * {cof(0, 2)})"}
+    s2 = {f"{out}{a}{b}": f"({cof(a, b)} / {out}_det)" for a, b in IDX}
+    return [s1, s2]
+
+
+def sym3_apply(Mi: str, v: Callable[[int], str], out: str) -> dict[str, str]:
+    """out_a = sum_c Mi[a][c] v_c for a symmetric matrix Mi."""
+    return {f"{out}{a}": "(" + " + ".join(f"{_s(Mi, a, c)} * {v(c)}" for c in range(3)) + ")" for a in range(3)}
