@@ -45,10 +45,10 @@ def combine_key(*cols: Column | str, sep: str = ".") -> Column:
 #   "mmse-lcga2 - unconditional quadratic model - sq@0 -2 classes-residuals unconstrained.out"
 #   "cesd-lgca1 - unconditional linear    model-residuals   constrained.out"
 MODEL_ID_PATTERN = (
-    r"^(?<outcome>[A-Za-z]+)-(?<family>[a-z_]+?)(?<degree>\d)?"
-    r"\s*-\s*(?<title>unconditional\s+\w+\s+model)"
-    r"(?:\s*-\s*(?<restriction>.{3,4}?)\s*-(?<classes>\d+)\s+classes)?"
-    r"\s*-\s*residuals\s+(?<residuals>\w+)"
+    r"^([A-Za-z]+)-([a-z_]+?)(\d)?"                          # 1 outcome, 2 family, 3 degree
+    r"\s*-\s*(unconditional\s+\w+\s+model)"                 # 4 title
+    r"(?:\s*-\s*(.{3,4}?)\s*-(\d+)\s+classes)?"              # 5 restriction, 6 classes
+    r"\s*-\s*residuals\s+(\w+)"                              # 7 residuals
 )
 
 _GROUPS = ["outcome", "family", "degree", "title", "restriction", "classes", "residuals"]
