@@ -124,3 +124,411 @@ def with_scaling(fits: DataFrame, panel: DataFrame, keys: Sequence[str], time: s
     return out.withColumn(
         "scaling", ((F.col("parameters") - 1) + (F.col("m4") / (F.col("sigma2") * F.col("sigma2")) - 1) / 2.0)
         / F.col("parameters")).drop("m4")
+
+
+# ================================================================= EM machinery
+#
+# Parameters of one model (a "group": a model or one start of it) are kept on
+# the driver as numpy arrays: a (K, 3) class means on z_t = (1, t, t^2),
+# th (W,) residual variances (equal over classes), psi (K, 3, 3) random-effect
+# covariances, pi (K,) class shares.  They are a few hundred numbers whatever the
+# data size.
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+
+# Random-effect structure by restriction (which factors vary, and whether the
+# covariance is per class).  None = one-class growth curve with all factors free.
+RESTRICTION_SPEC = {
+    "iq@0": ((), False),          # no random effect
+    "sq@0": ((0,), False),        # random intercept, shared over classes
+    " q@0": ((0, 1), False),      # random intercept and slope, shared
+    "c. i": ((0, 1), "i"),        # intercept variance per class, slope variance and covariance shared
+    "c.is": ((0, 1), True),       # intercept and slope (co)variances per class
+}
+
+
+def design(times: Sequence[float]) -> np.ndarray:
+    t = np.asarray(times, dtype=float)
+    return np.stack([np.ones_like(t), t, t * t], axis=1)
+
+
+def estep_batch(Y: np.ndarray, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.ndarray,
+                lnpi: np.ndarray):
+    """Closed-form E step for a batch of subjects and one group.
+
+    Y (n, W) with NaN for missing; a (K, 3); th (K, W); psi (K, 3, 3); lnpi (K,).
+    Returns ll (n,), post (n, K), b (n, K, 3), D (n, K, 3, 3).
+    """
+    O = ~np.isnan(Y)
+    Yz = np.where(O, Y, 0.0)
+    n, W = Y.shape
+    K = a.shape[0]
+    logf = np.empty((n, K))
+    b = np.empty((n, K, 3))
+    D = np.empty((n, K, 3, 3))
+    nobs = O.sum(1)
+    for k in range(K):
+        m = Z @ a[k]
+        w = O / th[k]
+        e = (Yz - m) * O
+        G = np.einsum("nt,ta,tb->nab", w, Z, Z)
+        g = (e * w) @ Z
+        C = (e * e * w).sum(1)
+        L = O @ np.log(th[k])
+        M = np.eye(3)[None] + np.einsum("ab,nbc->nac", psi[k], G)
+        det = np.linalg.det(M)
+        Dk = np.linalg.solve(M, np.broadcast_to(psi[k], (n, 3, 3)))
+        bk = np.einsum("nab,nb->na", Dk, g)
+        logf[:, k] = -0.5 * (nobs * LN2PI + L + np.log(det) + C - (g * bk).sum(1))
+        b[:, k] = bk
+        D[:, k] = Dk
+    lp = logf + lnpi[None]
+    mx = lp.max(1)
+    ll = mx + np.log(np.exp(lp - mx[:, None]).sum(1))
+    post = np.exp(lp - ll[:, None])
+    return ll, post, b, D
+
+
+def msums_batch(Y: np.ndarray, Z: np.ndarray, post: np.ndarray, b: np.ndarray, D: np.ndarray) -> dict:
+    """M-step sums of a batch for one group: per class k and wave t
+    sw = sum p [obs], sy = sum p (y - z'b) [obs], syy = sum p ((y - z'b)^2 + z'Dz) [obs];
+    per class sp = sum p, sbb = sum p (b b' + D)."""
+    O = ~np.isnan(Y)
+    Yz = np.where(O, Y, 0.0)
+    K = post.shape[1]
+    W = Y.shape[1]
+    sw = np.empty((K, W)); sy = np.empty((K, W)); syy = np.empty((K, W))
+    sbb = np.empty((K, 3, 3)); sp = post.sum(0)
+    for k in range(K):
+        p = post[:, k][:, None]
+        r = (Yz - b[:, k] @ Z.T) * O
+        zdz = np.einsum("ta,nab,tb->nt", Z, D[:, k], Z)
+        sw[k] = (p * O).sum(0)
+        sy[k] = (p * r).sum(0)
+        syy[k] = (p * (r * r + zdz * O)).sum(0)
+        sbb[k] = np.einsum("n,nab->ab", post[:, k], np.einsum("na,nb->nab", b[:, k], b[:, k]) + D[:, k])
+    return {"sw": sw, "sy": sy, "syy": syy, "sbb": sbb, "sp": sp}
+
+
+def _pack(params: list[dict]) -> dict:
+    return {"a": np.stack([p["a"] for p in params]), "th": np.stack([p["th"] for p in params]),
+            "psi": np.stack([p["psi"] for p in params]), "pi": np.stack([p["pi"] for p in params])}
+
+
+EM_SCHEMA = ("group int, class int, sp double, ll double, sw array<double>, sy array<double>, "
+             "syy array<double>, sbb array<double>")
+
+
+def em_pass(wide: DataFrame, ycols: Sequence[str], times: Sequence[float], params: list[dict]) -> dict:
+    """One EM pass over the panel for all groups: returns summed M-step statistics.
+
+    ``mapInPandas`` runs the closed-form E step vectorised over each Arrow batch
+    for every group and class, and emits one row of partial sums per (group,
+    class) and partition; the driver receives partitions x groups x classes rows.
+    """
+    from trajectra.session import ship_package
+    ship_package(wide.sparkSession)
+    Z = design(times)
+    P = _pack(params)
+    G, K = P["a"].shape[0], P["a"].shape[1]
+    cols = list(ycols)
+
+    def run(batches):
+        acc = None
+        ll_acc = np.zeros(G)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            Y = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
+            for gi in range(G):
+                th = np.broadcast_to(P["th"][gi], (K, len(cols)))
+                ll, post, b, D = estep_batch(Y, Z, P["a"][gi], th, P["psi"][gi], np.log(P["pi"][gi]))
+                s = msums_batch(Y, Z, post, b, D)
+                ll_acc[gi] += ll.sum()
+                if acc is None:
+                    acc = [None] * G
+                if acc[gi] is None:
+                    acc[gi] = s
+                else:
+                    for key in s:
+                        acc[gi][key] = acc[gi][key] + s[key]
+        if acc is None:
+            return
+        rows = []
+        for gi in range(G):
+            if acc[gi] is None:
+                continue
+            for k in range(K):
+                rows.append({"group": gi, "class": k, "sp": float(acc[gi]["sp"][k]),
+                             "ll": float(ll_acc[gi]) if k == 0 else 0.0,
+                             "sw": acc[gi]["sw"][k].tolist(), "sy": acc[gi]["sy"][k].tolist(),
+                             "syy": acc[gi]["syy"][k].tolist(), "sbb": acc[gi]["sbb"][k].ravel().tolist()})
+        yield pd.DataFrame(rows)
+
+    parts = wide.select(*cols).mapInPandas(run, EM_SCHEMA).collect()
+    W = len(cols)
+    out = {"sw": np.zeros((G, K, W)), "sy": np.zeros((G, K, W)), "syy": np.zeros((G, K, W)),
+           "sbb": np.zeros((G, K, 3, 3)), "sp": np.zeros((G, K)), "ll": np.zeros(G)}
+    for r in parts:
+        g, k = r["group"], r["class"]
+        out["sw"][g, k] += r["sw"]; out["sy"][g, k] += r["sy"]; out["syy"][g, k] += r["syy"]
+        out["sbb"][g, k] += np.asarray(r["sbb"]).reshape(3, 3); out["sp"][g, k] += r["sp"]
+        out["ll"][g] += r["ll"]
+    return out
+
+
+def mstep(s: dict, g: int, old: dict, Z: np.ndarray, factors: Sequence[int], free_re: Sequence[int],
+          per_class, shared_residual: bool, floor: float = 1e-6) -> dict:
+    """Driver-side M step for one group from the summed statistics."""
+    K, W = s["sw"].shape[1], s["sw"].shape[2]
+    sw, sy, syy, sbb, sp = s["sw"][g], s["sy"][g], s["syy"][g], s["sbb"][g], s["sp"][g]
+    th = old["th"]
+    fi = list(factors)
+    a = np.zeros((K, 3))
+    for k in range(K):
+        A = np.einsum("t,ta,tb->ab", sw[k] / th, Z, Z)[np.ix_(fi, fi)]
+        rhs = (Z.T @ (sy[k] / th))[fi]
+        try:
+            a[k, fi] = np.linalg.solve(A, rhs)
+        except np.linalg.LinAlgError:
+            a[k] = old["a"][k]
+    m = a @ Z.T                                    # (K, W)
+    num = (syy - 2 * m * sy + m * m * sw).sum(0)   # (W,)
+    nt = sw.sum(0)
+    th_new = np.full(W, num.sum() / max(nt.sum(), 1e-300)) if shared_residual else num / np.maximum(nt, 1e-300)
+    th_new = np.maximum(th_new, floor)
+    N = sp.sum()
+    psi = np.zeros((K, 3, 3))
+    fr = list(free_re)
+    if fr:
+        pooled = sbb.sum(0) / N
+        for k in range(K):
+            own = sbb[k] / max(sp[k], 1e-300)
+            if per_class is True:
+                blk = own
+            elif per_class == "i":
+                blk = pooled.copy()
+                blk[0, 0] = own[0, 0]
+            else:
+                blk = pooled
+            psi[k][np.ix_(fr, fr)] = blk[np.ix_(fr, fr)]
+    pi = np.maximum(sp / N, 1e-12)
+    return {"a": a, "th": th_new, "psi": psi, "pi": pi / pi.sum()}
+
+
+def start_values(wide: DataFrame, ycols: Sequence[str], K: int, n_starts: int, seed: int,
+                 factors: Sequence[int], free_re: Sequence[int]) -> list[dict]:
+    """Starting values from one aggregate of the panel (per-wave mean and variance).
+
+    Start 0 spreads the class intercepts evenly over +-1 sd; other starts add
+    seeded random perturbations.
+    """
+    aggs = []
+    for c in ycols:
+        aggs += [F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}")]
+    r = wide.agg(*aggs).first()
+    mu = np.array([r[f"m_{c}"] if r[f"m_{c}"] is not None else 0.0 for c in ycols])
+    var = np.array([r[f"v_{c}"] if r[f"v_{c}"] is not None else 1.0 for c in ycols])
+    base, sd = float(np.nanmean(mu)), float(np.sqrt(np.nanmean(var)))
+    rng = np.random.default_rng(seed)
+    out = []
+    for s in range(n_starts):
+        a = np.zeros((K, 3))
+        spread = np.linspace(-1.0, 1.0, K) if K > 1 else np.zeros(1)
+        a[:, 0] = base + spread * sd
+        if s > 0:
+            a[:, 0] += rng.normal(0.0, 0.5 * sd, K)
+            for f in factors:
+                if f > 0:
+                    a[:, f] += rng.normal(0.0, 0.1 * sd / (len(ycols) ** f), K)
+        a[:, [f for f in range(3) if f not in factors]] = 0.0
+        psi = np.zeros((K, 3, 3))
+        for f in free_re:
+            psi[:, f, f] = (0.25 * sd * sd) / (1.0 + 10.0 * f * f)
+        th = np.maximum(0.5 * var, 1e-3)
+        out.append({"a": a, "th": th, "psi": psi, "pi": np.full(K, 1.0 / K)})
+    return out
+
+
+def prepare_panel(wide: DataFrame, ycols: Sequence[str], subject: str = "subject") -> DataFrame:
+    """The EM input: subject + outcome columns, written to the checkpoint folder
+    (lineage cut; lost executors re-read it rather than recompute the shuffle)
+    and cached for the many passes."""
+    return wide.select(subject, *ycols).checkpoint(eager=True).persist()
+
+
+def fit_em(wide: DataFrame, ycols: Sequence[str], K: int, restriction: str | None,
+           factors: Sequence[int] = (0, 1, 2), shared_residual: bool = False,
+           times: Sequence[float] | None = None, n_starts: int = 1, keep: int = 1,
+           stage1_iter: int = 10, max_iter: int = 500, tol: float = 1e-6, seed: int = 0,
+           start_params: list[dict] | None = None, prepared: bool = False) -> dict:
+    """M6/M7/M8: EM for class growth / growth mixtures with multiple starts.
+
+    Stage 1 runs ``n_starts`` starts for ``stage1_iter`` steps in the same passes;
+    the best ``keep`` continue to convergence (|delta LL| < tol) or ``max_iter``.
+    Returns the best fit, the final LL of every kept start and the LL history.
+    """
+    times = list(times) if times is not None else list(range(len(ycols)))
+    Z = design(times)
+    if restriction is None:
+        free_re, per_class = tuple(factors), False
+    else:
+        free_re, per_class = RESTRICTION_SPEC[restriction]
+    panel = wide if prepared else prepare_panel(wide, ycols)
+    params = start_params or start_values(panel, ycols, K, n_starts, seed, factors, free_re)
+
+    def step(ps):
+        s = em_pass(panel, ycols, times, ps)
+        new = [mstep(s, g, ps[g], Z, factors, free_re, per_class, shared_residual) for g in range(len(ps))]
+        return new, s["ll"]
+
+    history = []
+    ll = None
+    for _ in range(stage1_iter if len(params) > keep else 0):
+        params, ll = step(params)
+        history.append(ll.copy())
+    if ll is not None and len(params) > keep:
+        order = np.argsort(-ll)[:keep]
+        params = [params[i] for i in order]
+    prev = None
+    it = 0
+    for it in range(max_iter):
+        params, ll = step(params)
+        history.append(ll.copy())
+        if prev is not None and np.all(np.abs(ll - prev) < tol):
+            break
+        prev = ll
+    # ll was evaluated at the parameters before the last M step: one more E pass for the final LL
+    final = em_pass(panel, ycols, times, params)["ll"]
+    best = int(np.argmax(final))
+    if not prepared:
+        panel.unpersist()
+    return {"params": params[best], "ll": float(final[best]), "start_lls": final.tolist(), "iterations": it + 1,
+            "all_params": params, "history": history}
+
+
+def count_parameters(K: int, factors: Sequence[int], restriction: str | None, shared_residual: bool, W: int) -> int:
+    """Free parameters (A15 rule) of a fitted spec."""
+    f = len(factors)
+    if restriction is None:
+        psi = f * (f + 1) // 2
+    else:
+        psi = {"iq@0": 0, "sq@0": 1, " q@0": 3, "c. i": K + 2, "c.is": 3 * K}[restriction]
+    return K * f + psi + (1 if shared_residual else W) + K - 1
+
+
+# ----------------------------------------------------------------- M3/M4 on pattern statistics
+
+def _pattern_arrays(rows, W):
+    pats = []
+    for r in rows:
+        mask = int(r["mask"])
+        obs = [t for t in range(W) if mask >> t & 1]
+        if not obs:
+            continue
+        n = float(r["n"])
+        s1 = np.array([r[f"s_{t}"] for t in obs])
+        s2 = np.array([[r[f"ss_{max(t, u)}_{min(t, u)}"] for u in obs] for t in obs])
+        pats.append((obs, n, s1, s2))
+    return pats
+
+
+def _lgca_em(pats, W, Z, factors, shared_residual, max_iter, tol):
+    fi = list(factors)
+    N = sum(n for _, n, _, _ in pats)
+    # start: means from the pooled wave means, unit-ish variances
+    tot1 = np.zeros(W); cnt = np.zeros(W); tot2 = np.zeros(W)
+    for obs, n, s1, s2 in pats:
+        tot1[obs] += s1; cnt[obs] += n; tot2[obs] += np.diag(s2)
+    mu = tot1 / np.maximum(cnt, 1)
+    var = np.maximum(tot2 / np.maximum(cnt, 1) - mu * mu, 1e-3)
+    a = np.zeros(3)
+    a[0] = float(np.average(mu, weights=cnt))
+    th = 0.5 * var if not shared_residual else np.full(W, 0.5 * var.mean())
+    psi = np.zeros((3, 3))
+    for f in fi:
+        psi[f, f] = 0.5 * var.mean() / (1.0 + 10.0 * f * f)
+    prev = None
+    ll = None
+    for it in range(max_iter):
+        ll = 0.0
+        A = np.zeros((3, 3)); rhs = np.zeros(3)
+        sw = np.zeros(W); sy = np.zeros(W); syy = np.zeros(W); sbb = np.zeros((3, 3))
+        for obs, n, s1, s2 in pats:
+            Zo = Z[obs]; tho = th[obs]
+            V = Zo @ psi @ Zo.T + np.diag(tho)
+            Vi = np.linalg.inv(V)
+            mu_o = Zo @ a
+            Cp = s2 - np.outer(s1, mu_o) - np.outer(mu_o, s1) + n * np.outer(mu_o, mu_o)
+            sign, logdet = np.linalg.slogdet(V)
+            ll += -0.5 * (n * (len(obs) * LN2PI + logdet) + np.trace(Vi @ Cp))
+            Kg = psi @ Zo.T @ Vi                     # gain: b = Kg (y - mu)
+            Dp = psi - Kg @ Zo @ psi                 # posterior covariance
+            sbbp = Kg @ Cp @ Kg.T                    # sum of b b'
+            sbb += sbbp + n * Dp
+            # residuals r = y - Z b = A y + c are linear in y: sums from the pattern's s1, s2
+            Am = np.eye(len(obs)) - Zo @ Kg
+            c = Zo @ (Kg @ mu_o)
+            As1 = Am @ s1
+            r1 = As1 + n * c
+            rr = np.diag(Am @ s2 @ Am.T) + 2 * As1 * c + n * c * c
+            zdz = np.einsum("ta,ab,tb->t", Zo, Dp, Zo)
+            sw[obs] += n; sy[obs] += r1; syy[obs] += rr + n * zdz
+            A += np.einsum("t,ta,tb->ab", n / tho, Zo, Zo)
+            rhs += Zo.T @ (r1 / tho)
+        a_new = np.zeros(3)
+        a_new[fi] = np.linalg.solve(A[np.ix_(fi, fi)], rhs[fi])
+        m = Z @ a_new
+        num = syy - 2 * m * sy + m * m * sw
+        th = np.full(W, num.sum() / sw.sum()) if shared_residual else num / np.maximum(sw, 1e-300)
+        th = np.maximum(th, 1e-6)
+        psi_new = np.zeros((3, 3))
+        psi_new[np.ix_(fi, fi)] = (sbb / N)[np.ix_(fi, fi)]
+        psi = psi_new
+        a = a_new
+        if prev is not None and abs(ll - prev) < tol:
+            break
+        prev = ll
+    return {"a": a, "th": th, "psi": psi, "ll": ll, "iterations": it + 1}
+
+
+def growth_curve(wide: DataFrame, ycols: Sequence[str], factors: Sequence[int] = (0, 1),
+                 shared_residual: bool = False, times: Sequence[float] | None = None,
+                 max_iter: int = 5000, tol: float = 1e-7) -> dict:
+    """M3/M4: one-class latent growth curve (random i | i s | i s q, residuals
+    equal or free per wave) by maximum likelihood.
+
+    The data is read once: A14 gives n, sums and cross products per missing
+    pattern (at most 2^W rows, bounded by the number of waves); EM then runs on
+    the driver over those pattern matrices only.
+    """
+    from trajectra.operators.describe import pattern_stats
+    W = len(ycols)
+    times = list(times) if times is not None else list(range(W))
+    if W > 16:
+        raise ValueError("pattern statistics need at most 16 waves (2^W patterns)")
+    rows = pattern_stats(wide, ycols).collect()
+    pats = _pattern_arrays(rows, W)
+    Z = design(times)
+    fit = _lgca_em(pats, W, Z, factors, shared_residual, max_iter, tol)
+    n = int(sum(n for _, n, _, _ in pats))
+    fit["n"] = n
+    fit["parameters"] = count_parameters(1, factors, None, shared_residual, W)
+    return fit
+
+
+def params_frame(spark, fit: dict, K: int, W: int, group: str = "fit"):
+    """Fitted parameters as a long parameter table (group, class, a0.., th_t.., p.., lnpi)."""
+    from trajectra.functions.mixed import IDX
+    rows = []
+    p = fit["params"] if "params" in fit else {"a": fit["a"][None], "th": fit["th"], "psi": fit["psi"][None],
+                                               "pi": np.ones(1)}
+    for k in range(K):
+        r = {"group": group, "class": k + 1, "a0": float(p["a"][k][0]), "a1": float(p["a"][k][1]),
+             "a2": float(p["a"][k][2])}
+        r.update({f"th_{t}": float(p["th"][t]) for t in range(W)})
+        r.update({f"p{a}{b}": float(p["psi"][k][a, b]) for a, b in IDX})
+        r["lnpi"] = float(np.log(p["pi"][k]))
+        rows.append(r)
+    return spark.createDataFrame(pd.DataFrame(rows))
