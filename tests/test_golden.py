@@ -1,0 +1,92 @@
+"""Golden values printed by the reference's reports, recomputed from its panel file."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from trajectra.operators import describe as D
+from trajectra.operators import fit as FT
+from trajectra.operators import score as S
+
+MMSE = [f"MMSE_{t}" for t in range(9)]
+CESD = [f"CESD_{t}" for t in range(9)]
+
+
+def test_wave_moments_mmse0(ref_wide):
+    long = D.__dict__  # noqa: F841
+    from trajectra.operators.panel import to_long
+    lp = (to_long(ref_wide.select("subject", *MMSE), ["subject"], MMSE, "var", "y")
+          .withColumn("wave", F.regexp_extract("var", r"_(\d)$", 1).cast("int")))
+    m = {r["wave"]: r for r in D.wave_moments(lp).collect()}[0]
+    assert m["n"] == 496
+    assert m["mean"] == pytest.approx(26.972, abs=5e-4)
+    assert m["variance"] == pytest.approx(6.737, abs=5e-4)
+    assert m["skewness"] == pytest.approx(-1.162, abs=5e-4)
+    assert m["kurtosis"] == pytest.approx(1.090, abs=5e-4)
+    assert (m["min"], m["max"]) == (17.0, 30.0)
+
+
+def test_coverage_and_patterns(ref_wide):
+    cov = {(r["i"], r["j"]): r["coverage"] for r in D.coverage(ref_wide, MMSE).collect()}
+    assert cov[(0, 0)] == pytest.approx(0.992, abs=5e-4)
+    assert cov[(1, 0)] == pytest.approx(0.830, abs=5e-4)
+    assert cov[(2, 1)] == pytest.approx(0.678, abs=5e-4)
+    assert D.missing_patterns(ref_wide, MMSE).count() == 18
+    # property: the diagonal is n_t / N
+    n0 = ref_wide.where(F.col("MMSE_0").isNotNull()).count() / ref_wide.count()
+    assert cov[(0, 0)] == pytest.approx(n0)
+
+
+@pytest.mark.parametrize("factors,shared,ll", [
+    ((0,), True, -7119.400), ((0,), False, -7109.316), ((0, 1), True, -7073.719),
+    ((0, 1), False, -7062.385), ((0, 1, 2), True, -7062.494), ((0, 1, 2), False, -7047.727)])
+def test_growth_curves_cesd(ref_wide, factors, shared, ll):
+    f = FT.growth_curve(ref_wide, CESD, factors, shared)
+    assert f["ll"] == pytest.approx(ll, abs=0.02)
+
+
+def test_growth_curve_mmse_offset(ref_wide):
+    # the MMSE growth-curve reports sit 3466.57 below the case-wise likelihood
+    f = FT.growth_curve(ref_wide, MMSE, (0, 1), True)
+    assert f["ll"] == pytest.approx(-9217.874 + 3466.57, abs=0.02)
+    assert f["parameters"] == 6
+
+
+def _lcga_params(spark):
+    th = [3.137, 4.333, 4.556, 4.091, 5.058, 10.108, 26.227, 16.030, 34.570]
+    lp1 = 1.998 - math.log(1 + math.exp(1.998))
+    lp2 = -math.log(1 + math.exp(1.998))
+    from trajectra.functions.mixed import param_columns
+    rows = [("m", k, *a, *th, 4.802, 0.0, 0.0, 0.0, 0.0, 0.0, lp)
+            for k, a, lp in [(1, (27.322, -0.070, -0.064), lp1), (2, (24.444, -3.746, -0.295), lp2)]]
+    return spark.createDataFrame(rows, ["group", "class"] + param_columns(9))
+
+
+def test_scoring_at_printed_parameters(spark, ref_wide):
+    post = S.class_posteriors(ref_wide.select("subject", *MMSE), _lcga_params(spark), MMSE, K=2).cache()
+    assert post.agg(F.sum("ll")).first()[0] == pytest.approx(-5556.451, abs=0.02)
+    sc = S.to_scores(post, 2)
+    counts = {r["class"]: r["count"] for r in S.class_counts(sc).collect()}
+    assert counts == {1: 449, 2: 51}
+    mass = {r["class"]: r["count"] for r in S.class_mass(sc).collect()}
+    assert mass[1] == pytest.approx(440.31, abs=0.02)
+    assert S.entropy(sc, 2).first()["entropy"] == pytest.approx(0.872, abs=5e-4)
+    tab = {r["class"]: (r["ml_1"], r["ml_2"]) for r in S.classification_table(sc, 2).collect()}
+    assert tab[1] == pytest.approx((0.990, 0.010), abs=5e-4)
+    assert tab[2] == pytest.approx((0.218, 0.782), abs=5e-4)
+    fs = S.factor_scores(post, 2).agg(*[F.avg(c).alias(c) for c in ["i", "s", "q"]]).first()
+    assert (fs["i"], fs["s"], fs["q"]) == pytest.approx((26.978, -0.509, -0.091), abs=2e-3)
+    # properties: posteriors sum to one, counts sum to N
+    assert post.select(F.max(F.abs(F.col("post_1") + F.col("post_2") - 1))).first()[0] < 1e-9
+    assert sum(counts.values()) == 500
+
+
+def test_class_growth_from_scratch(ref_wide):
+    f = FT.fit_em(ref_wide.select("subject", *MMSE), MMSE, 2, "sq@0", n_starts=4, keep=2, seed=1,
+                  max_iter=400, tol=1e-6)
+    assert f["ll"] == pytest.approx(-5556.451, abs=0.02)
+    assert sorted(f["params"]["pi"]) == pytest.approx([0.119, 0.881], abs=2e-3)
+    # EM never decreases the log-likelihood
+    hist = [h.max() for h in f["history"][10:]]
+    assert all(b >= a - 1e-6 for a, b in zip(hist, hist[1:]))
