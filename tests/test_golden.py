@@ -84,7 +84,7 @@ def test_scoring_at_printed_parameters(spark, ref_wide):
 
 def test_class_growth_from_scratch(ref_wide):
     f = FT.fit_em(ref_wide.select("subject", *MMSE), MMSE, 2, "sq@0", n_starts=4, keep=2, seed=1,
-                  max_iter=400, tol=1e-6)
+                  max_iter=400, tol=1e-10)
     assert f["ll"] == pytest.approx(-5556.451, abs=0.02)
     assert sorted(f["params"]["pi"]) == pytest.approx([0.119, 0.881], abs=2e-3)
     # EM never decreases the log-likelihood

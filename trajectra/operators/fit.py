@@ -168,18 +168,19 @@ def estep_batch(Y: np.ndarray, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi
     b = np.empty((n, K, 3))
     D = np.empty((n, K, 3, 3))
     nobs = O.sum(1)
+    ZZ = (Z[:, :, None] * Z[:, None, :]).reshape(W, 9)     # z_t z_t' flattened
     for k in range(K):
         m = Z @ a[k]
         w = O / th[k]
         e = (Yz - m) * O
-        G = np.einsum("nt,ta,tb->nab", w, Z, Z)
+        G = (w @ ZZ).reshape(n, 3, 3)
         g = (e * w) @ Z
         C = (e * e * w).sum(1)
         L = O @ np.log(th[k])
-        M = np.eye(3)[None] + np.einsum("ab,nbc->nac", psi[k], G)
+        M = np.eye(3)[None] + np.matmul(psi[k][None], G)
         det = np.linalg.det(M)
         Dk = np.linalg.solve(M, np.broadcast_to(psi[k], (n, 3, 3)))
-        bk = np.einsum("nab,nb->na", Dk, g)
+        bk = np.matmul(Dk, g[:, :, None])[:, :, 0]
         logf[:, k] = -0.5 * (nobs * LN2PI + L + np.log(det) + C - (g * bk).sum(1))
         b[:, k] = bk
         D[:, k] = Dk
@@ -200,14 +201,18 @@ def msums_batch(Y: np.ndarray, Z: np.ndarray, post: np.ndarray, b: np.ndarray, D
     W = Y.shape[1]
     sw = np.empty((K, W)); sy = np.empty((K, W)); syy = np.empty((K, W))
     sbb = np.empty((K, 3, 3)); sp = post.sum(0)
+    n = Y.shape[0]
+    ZZ = (Z[:, :, None] * Z[:, None, :]).reshape(W, 9)
     for k in range(K):
         p = post[:, k][:, None]
         r = (Yz - b[:, k] @ Z.T) * O
-        zdz = np.einsum("ta,nab,tb->nt", Z, D[:, k], Z)
+        Dk = D[:, k].reshape(n, 9)
+        zdz = Dk @ ZZ.T
         sw[k] = (p * O).sum(0)
         sy[k] = (p * r).sum(0)
         syy[k] = (p * (r * r + zdz * O)).sum(0)
-        sbb[k] = np.einsum("n,nab->ab", post[:, k], np.einsum("na,nb->nab", b[:, k], b[:, k]) + D[:, k])
+        bb = (b[:, k][:, :, None] * b[:, k][:, None, :]).reshape(n, 9) + Dk
+        sbb[k] = (post[:, k] @ bb).reshape(3, 3)
     return {"sw": sw, "sy": sy, "syy": syy, "sbb": sbb, "sp": sp}
 
 
@@ -351,22 +356,90 @@ def start_values(wide: DataFrame, ycols: Sequence[str], K: int, n_starts: int, s
     return out
 
 
+def _psd_block(m: np.ndarray, free: Sequence[int]) -> np.ndarray:
+    """Symmetrise, keep the free block, clip negative eigenvalues (valid covariance)."""
+    out = np.zeros((3, 3))
+    fr = list(free)
+    if fr:
+        b = 0.5 * (m + m.T)[np.ix_(fr, fr)]
+        w, v = np.linalg.eigh(b)
+        out[np.ix_(fr, fr)] = (v * np.maximum(w, 0.0)) @ v.T
+    return out
+
+
+def to_vec(p: dict) -> np.ndarray:
+    """Parameters -> unconstrained vector (log variances, log shares)."""
+    return np.concatenate([p["a"].ravel(), np.log(p["th"]), p["psi"].ravel(), np.log(p["pi"])])
+
+
+def from_vec(v: np.ndarray, K: int, W: int, factors: Sequence[int], free_re: Sequence[int]) -> dict:
+    i = 0
+    a = v[i:i + 3 * K].reshape(K, 3).copy(); i += 3 * K
+    a[:, [f for f in range(3) if f not in factors]] = 0.0
+    th = np.exp(np.clip(v[i:i + W], -30, 30)); i += W
+    psi = np.stack([_psd_block(m, free_re) for m in v[i:i + 9 * K].reshape(K, 3, 3)]); i += 9 * K
+    lp = v[i:i + K]
+    pi = np.exp(lp - lp.max())
+    return {"a": a, "th": th, "psi": psi, "pi": pi / pi.sum()}
+
+
+def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter: int, tol: float,
+            history: list) -> tuple[list[dict], int]:
+    """SQUAREM-accelerated EM (Varadhan and Roland, 2008) over several groups at once.
+
+    ``step(ps) -> (F(ps), ll(ps))`` is one EM map for all groups (one pass over
+    the data).  A cycle costs three passes: two EM steps, an extrapolation
+    along them and a stabilising EM step from the extrapolated point; when that
+    point's likelihood falls below the plain step's, the plain two-step result is
+    kept, so the likelihood never decreases.
+    """
+    evals = 0
+    prev = None
+    while evals < max_iter:
+        p1, ll0 = step(params)
+        p2, ll1 = step(p1)
+        evals += 2
+        history.extend([ll0.copy(), ll1.copy()])
+        ext = []
+        for g in range(len(params)):
+            v0, v1, v2 = to_vec(params[g]), to_vec(p1[g]), to_vec(p2[g])
+            r = v1 - v0
+            d = v2 - 2 * v1 + v0
+            nr, nd = np.sqrt(r @ r), np.sqrt(d @ d)
+            alpha = -nr / nd if nd > 0 else -1.0
+            alpha = min(alpha, -1.0)
+            ext.append(from_vec(v0 - 2 * alpha * r + alpha * alpha * d, K, W, factors, free_re))
+        p3, ll_ext = step(ext)
+        evals += 1
+        params = [p3[g] if (np.isfinite(ll_ext[g]) and ll_ext[g] >= ll1[g]) else p2[g]
+                  for g in range(len(params))]
+        cur = np.maximum(np.where(np.isfinite(ll_ext), ll_ext, -np.inf), ll1)
+        if prev is not None and np.all(np.abs(cur - prev) <= tol * np.maximum(1.0, np.abs(cur))):
+            break
+        prev = cur
+    return params, evals
+
+
 def prepare_panel(wide: DataFrame, ycols: Sequence[str], subject: str = "subject") -> DataFrame:
     """The EM input: subject + outcome columns, written to the checkpoint folder
     (lineage cut; lost executors re-read it rather than recompute the shuffle)
-    and cached for the many passes."""
-    return wide.select(subject, *ycols).checkpoint(eager=True).persist()
+    and cached for the many passes.  It is spread over at least as many
+    partitions as the cluster runs tasks at once, so every pass uses every core."""
+    sc = wide.sparkSession.sparkContext
+    n = max(sc.defaultParallelism, wide.rdd.getNumPartitions())
+    return wide.select(subject, *ycols).repartition(n).checkpoint(eager=True).persist()
 
 
 def fit_em(wide: DataFrame, ycols: Sequence[str], K: int, restriction: str | None,
            factors: Sequence[int] = (0, 1, 2), shared_residual: bool = False,
            times: Sequence[float] | None = None, n_starts: int = 1, keep: int = 1,
-           stage1_iter: int = 10, max_iter: int = 500, tol: float = 1e-6, seed: int = 0,
+           stage1_iter: int = 10, max_iter: int = 500, tol: float = 1e-9, seed: int = 0,
            start_params: list[dict] | None = None, prepared: bool = False) -> dict:
     """M6/M7/M8: EM for class growth / growth mixtures with multiple starts.
 
     Stage 1 runs ``n_starts`` starts for ``stage1_iter`` steps in the same passes;
-    the best ``keep`` continue to convergence (|delta LL| < tol) or ``max_iter``.
+    the best ``keep`` continue to convergence (|delta LL| <= tol * |LL|) or
+    ``max_iter`` passes.
     Returns the best fit, the final LL of every kept start and the LL history.
     """
     times = list(times) if times is not None else list(range(len(ycols)))
@@ -391,20 +464,13 @@ def fit_em(wide: DataFrame, ycols: Sequence[str], K: int, restriction: str | Non
     if ll is not None and len(params) > keep:
         order = np.argsort(-ll)[:keep]
         params = [params[i] for i in order]
-    prev = None
-    it = 0
-    for it in range(max_iter):
-        params, ll = step(params)
-        history.append(ll.copy())
-        if prev is not None and np.all(np.abs(ll - prev) < tol):
-            break
-        prev = ll
+    params, it = squarem(step, params, K, len(ycols), factors, free_re, max_iter, tol, history)
     # ll was evaluated at the parameters before the last M step: one more E pass for the final LL
     final = em_pass(panel, ycols, times, params)["ll"]
     best = int(np.argmax(final))
     if not prepared:
         panel.unpersist()
-    return {"params": params[best], "ll": float(final[best]), "start_lls": final.tolist(), "iterations": it + 1,
+    return {"params": params[best], "ll": float(final[best]), "start_lls": final.tolist(), "iterations": it,
             "all_params": params, "history": history}
 
 
@@ -434,10 +500,47 @@ def _pattern_arrays(rows, W):
     return pats
 
 
+def _lgca_step(pats, W, Z, fi, shared_residual, p):
+    """One EM step of the one-class model on pattern statistics; returns (new, ll at p)."""
+    a, th, psi = p["a"][0], p["th"], p["psi"][0]
+    N = sum(n for _, n, _, _ in pats)
+    ll = 0.0
+    A = np.zeros((3, 3)); rhs = np.zeros(3)
+    sw = np.zeros(W); sy = np.zeros(W); syy = np.zeros(W); sbb = np.zeros((3, 3))
+    for obs, n, s1, s2 in pats:
+        Zo = Z[obs]; tho = th[obs]
+        V = Zo @ psi @ Zo.T + np.diag(tho)
+        Vi = np.linalg.inv(V)
+        mu_o = Zo @ a
+        Cp = s2 - np.outer(s1, mu_o) - np.outer(mu_o, s1) + n * np.outer(mu_o, mu_o)
+        _, logdet = np.linalg.slogdet(V)
+        ll += -0.5 * (n * (len(obs) * LN2PI + logdet) + np.trace(Vi @ Cp))
+        Kg = psi @ Zo.T @ Vi                     # gain: b = Kg (y - mu)
+        Dp = psi - Kg @ Zo @ psi                 # posterior covariance
+        sbb += Kg @ Cp @ Kg.T + n * Dp           # sum of b b' + D
+        # residuals r = y - Z b = A y + c are linear in y: sums from the pattern's s1, s2
+        Am = np.eye(len(obs)) - Zo @ Kg
+        c = Zo @ (Kg @ mu_o)
+        As1 = Am @ s1
+        r1 = As1 + n * c
+        rr = np.diag(Am @ s2 @ Am.T) + 2 * As1 * c + n * c * c
+        zdz = np.einsum("ta,ab,tb->t", Zo, Dp, Zo)
+        sw[obs] += n; sy[obs] += r1; syy[obs] += rr + n * zdz
+        A += np.einsum("t,ta,tb->ab", n / tho, Zo, Zo)
+        rhs += Zo.T @ (r1 / tho)
+    a_new = np.zeros(3)
+    a_new[fi] = np.linalg.solve(A[np.ix_(fi, fi)], rhs[fi])
+    m = Z @ a_new
+    num = syy - 2 * m * sy + m * m * sw
+    th_new = np.full(W, num.sum() / sw.sum()) if shared_residual else num / np.maximum(sw, 1e-300)
+    psi_new = np.zeros((3, 3))
+    psi_new[np.ix_(fi, fi)] = (sbb / N)[np.ix_(fi, fi)]
+    return {"a": a_new[None], "th": np.maximum(th_new, 1e-6), "psi": psi_new[None], "pi": np.ones(1)}, ll
+
+
 def _lgca_em(pats, W, Z, factors, shared_residual, max_iter, tol):
     fi = list(factors)
-    N = sum(n for _, n, _, _ in pats)
-    # start: means from the pooled wave means, unit-ish variances
+    # start: means from the pooled wave means, variances from the wave variances
     tot1 = np.zeros(W); cnt = np.zeros(W); tot2 = np.zeros(W)
     for obs, n, s1, s2 in pats:
         tot1[obs] += s1; cnt[obs] += n; tot2[obs] += np.diag(s2)
@@ -449,53 +552,21 @@ def _lgca_em(pats, W, Z, factors, shared_residual, max_iter, tol):
     psi = np.zeros((3, 3))
     for f in fi:
         psi[f, f] = 0.5 * var.mean() / (1.0 + 10.0 * f * f)
-    prev = None
-    ll = None
-    for it in range(max_iter):
-        ll = 0.0
-        A = np.zeros((3, 3)); rhs = np.zeros(3)
-        sw = np.zeros(W); sy = np.zeros(W); syy = np.zeros(W); sbb = np.zeros((3, 3))
-        for obs, n, s1, s2 in pats:
-            Zo = Z[obs]; tho = th[obs]
-            V = Zo @ psi @ Zo.T + np.diag(tho)
-            Vi = np.linalg.inv(V)
-            mu_o = Zo @ a
-            Cp = s2 - np.outer(s1, mu_o) - np.outer(mu_o, s1) + n * np.outer(mu_o, mu_o)
-            sign, logdet = np.linalg.slogdet(V)
-            ll += -0.5 * (n * (len(obs) * LN2PI + logdet) + np.trace(Vi @ Cp))
-            Kg = psi @ Zo.T @ Vi                     # gain: b = Kg (y - mu)
-            Dp = psi - Kg @ Zo @ psi                 # posterior covariance
-            sbbp = Kg @ Cp @ Kg.T                    # sum of b b'
-            sbb += sbbp + n * Dp
-            # residuals r = y - Z b = A y + c are linear in y: sums from the pattern's s1, s2
-            Am = np.eye(len(obs)) - Zo @ Kg
-            c = Zo @ (Kg @ mu_o)
-            As1 = Am @ s1
-            r1 = As1 + n * c
-            rr = np.diag(Am @ s2 @ Am.T) + 2 * As1 * c + n * c * c
-            zdz = np.einsum("ta,ab,tb->t", Zo, Dp, Zo)
-            sw[obs] += n; sy[obs] += r1; syy[obs] += rr + n * zdz
-            A += np.einsum("t,ta,tb->ab", n / tho, Zo, Zo)
-            rhs += Zo.T @ (r1 / tho)
-        a_new = np.zeros(3)
-        a_new[fi] = np.linalg.solve(A[np.ix_(fi, fi)], rhs[fi])
-        m = Z @ a_new
-        num = syy - 2 * m * sy + m * m * sw
-        th = np.full(W, num.sum() / sw.sum()) if shared_residual else num / np.maximum(sw, 1e-300)
-        th = np.maximum(th, 1e-6)
-        psi_new = np.zeros((3, 3))
-        psi_new[np.ix_(fi, fi)] = (sbb / N)[np.ix_(fi, fi)]
-        psi = psi_new
-        a = a_new
-        if prev is not None and abs(ll - prev) < tol:
-            break
-        prev = ll
-    return {"a": a, "th": th, "psi": psi, "ll": ll, "iterations": it + 1}
+    p = [{"a": a[None], "th": th, "psi": psi[None], "pi": np.ones(1)}]
+
+    def step(ps):
+        new, ll = _lgca_step(pats, W, Z, fi, shared_residual, ps[0])
+        return [new], np.array([ll])
+
+    history: list = []
+    p, it = squarem(step, p, 1, W, fi, fi, max_iter, tol, history)
+    _, ll = _lgca_step(pats, W, Z, fi, shared_residual, p[0])
+    return {"a": p[0]["a"][0], "th": p[0]["th"], "psi": p[0]["psi"][0], "ll": ll, "iterations": it}
 
 
 def growth_curve(wide: DataFrame, ycols: Sequence[str], factors: Sequence[int] = (0, 1),
                  shared_residual: bool = False, times: Sequence[float] | None = None,
-                 max_iter: int = 5000, tol: float = 1e-7) -> dict:
+                 max_iter: int = 5000, tol: float = 1e-11) -> dict:
     """M3/M4: one-class latent growth curve (random i | i s | i s q, residuals
     equal or free per wave) by maximum likelihood.
 

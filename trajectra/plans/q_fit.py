@@ -18,7 +18,7 @@ from trajectra.operators import score as S
 from trajectra.plans.panels import W, WAVES, Y_COLS, wide_p
 from trajectra.plans.registry import query
 
-EM = dict(max_iter=300, tol=1e-5)
+EM = dict(max_iter=300, tol=1e-9)
 
 
 def _curve_rows(params: dict, K: int, ll: float, parameters: int, n: int | None = None) -> list[dict]:
