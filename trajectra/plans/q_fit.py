@@ -2,7 +2,7 @@
 
 These are iterative maximum-likelihood fits, so they have no SQL twin (the
 driver records a rows-only check); their maths is tested against the reference's
-printed log-likelihoods in ``tests/test_fit.py``.  Each result is a small table
+printed log-likelihoods in ``tests/test_golden.py``.  Each result is a small table
 built from the fit, whose statistics Spark computed from the whole panel.
 """
 

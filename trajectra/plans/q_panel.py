@@ -411,3 +411,18 @@ def a14_pattern_stats(spark, sf):
     """Per missing pattern: n, sums and cross-products (sufficient statistics)."""
     s = D.pattern_stats(wide_p(spark, sf), Y_COLS)
     return s.select("mask", "n", *[_r(F.col(c)).alias(c) for c in s.columns if c not in ("mask", "n")])
+
+
+# ------------------------------------------------------------------ S1, S2
+
+@query("s1_s2_panel_file", sql="WITH" + WIDE_P_SQL + " SELECT * FROM wide_p")
+def s1_s2_panel_file(spark, sf):
+    """Wide panel P written as a headerless tab-separated panel file ('.' for missing) under the
+    checkpoint folder, then scanned back with its positional schema."""
+    import uuid
+
+    from trajectra.session import ensure_checkpoint_dir
+    from trajectra.sources.panel_files import read_panel, write_panel
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panel-files/{uuid.uuid4().hex}"
+    write_panel(wide_p(spark, sf), path, keep=["subject"] + Y_COLS)
+    return read_panel(spark, path, ["subject"] + Y_COLS, key="subject")
