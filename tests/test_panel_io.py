@@ -42,3 +42,15 @@ def test_dense_ids_are_consecutive(spark):
     m = {r["k"]: r["kid"] for r in ids.select("k", "kid").distinct().collect()}
     assert sorted(m.values()) == list(range(1, 38))
     assert all(m[k] == k + 1 for k in m)
+
+
+def test_numbering_with_a_hot_key(spark):
+    # one subject holds most rows: numbering must still be consecutive and exact
+    hot = spark.range(0, 3000).select(F.lit(1).cast("long").alias("s"), F.col("id").alias("t"))
+    cold = spark.range(0, 40).select((F.col("id") % 4 + 2).alias("s"), F.col("id").alias("t"))
+    v = P.number_visits(hot.unionByName(cold), "s", ["t"], "wave")
+    got = v.where(F.col("s") == 1).agg(F.min("wave"), F.max("wave"), F.countDistinct("wave")).first()
+    assert tuple(got) == (0, 2999, 3000)
+    assert v.where((F.col("s") == 1) & (F.col("wave") != F.col("t"))).count() == 0
+    blocks = P.position_in_block(hot, ["s"], ["t"], 4)
+    assert blocks.where(F.col("block") != F.floor(F.col("t") / 4) + 1).count() == 0

@@ -24,14 +24,17 @@ def number_visits(df: DataFrame, subject: str | Sequence[str], order: Sequence[s
     ``max_wave`` the filter sits directly on ``row_number`` so Catalyst plans a
     partial ``WindowGroupLimit`` before the shuffle: each map task forwards at most
     ``max_wave + 1`` rows per subject, which bounds the shuffle and the largest
-    window group even when one subject holds a third of all rows.
+    window group even when one subject holds a third of all rows.  Without a
+    cap the numbering is ``number_within`` (global sort, no single-task group).
     """
     keys = [subject] if isinstance(subject, str) else list(subject)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    ordering = [F.col(c).asc_nulls_last() for c in order]
     rn = "__rn"
-    out = df.withColumn(rn, F.row_number().over(w))
-    if max_wave is not None:
-        out = out.where(F.col(rn) <= max_wave + 1)
+    if max_wave is None:
+        out = number_within(df, keys, ordering, rn)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*ordering)
+        out = df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= max_wave + 1)
     return out.withColumn(name, (F.col(rn) - 1).cast("int")).drop(rn)
 
 
@@ -227,6 +230,26 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "id")
             .drop("__pid", "__off", "__mid"))
 
 
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+                  name: str = "rn") -> DataFrame:
+    """1-based row number within each key group, without putting a group in one task.
+
+    Rows are range-sorted on (keys, order) over all partitions and numbered
+    globally (``dense_index``); a hot key is therefore split across many
+    partitions.  Each group's first number is a partial (map-side combined)
+    aggregate, joined back null-safely on the keys -- a join AQE may broadcast
+    or split on skew -- and the row number is the difference.
+    """
+    keys = list(keys)
+    idx = dense_index(df, [F.col(k).asc_nulls_first() for k in keys] + list(order), "__gidx")
+    first = idx.groupBy(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)]).agg(
+        F.min("__gidx").alias("__first"))
+    cond = reduce(lambda a, b: a & b, [idx[k].eqNullSafe(first[f"__k_{i}"]) for i, k in enumerate(keys)])
+    out = idx.join(first, cond, "inner")
+    return (out.withColumn(name, (F.col("__gidx") - F.col("__first") + 1).cast("int"))
+            .drop("__gidx", "__first", *[f"__k_{i}" for i in range(len(keys))]))
+
+
 def surrogate_id(df: DataFrame, keys: Sequence[str], name: str = "id",
                  order: Sequence[Column | str] | None = None) -> DataFrame:
     """Dense 1-based id over distinct keys, joined back.
@@ -269,9 +292,10 @@ def append_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
 
 def number_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                     name: str = "n_in_group") -> DataFrame:
-    """Row number within a group of identical key vectors (NULL keys group together)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+    """Row number within a group of identical key vectors (NULL keys group together).
+
+    Skew-safe: see ``number_within`` (a hot vector is not one task)."""
+    return number_within(df, keys, order, name)
 
 
 def position_in_block(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -279,8 +303,7 @@ def position_in_block(df: DataFrame, keys: Sequence[str], order: Sequence[Column
                       within: str = "pos_in_block") -> DataFrame:
     """W3 + P10: position within a group, its block number and position in the block."""
     from trajectra.functions.columns import block_number
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(pos, F.row_number().over(w))
+    out = number_within(df, keys, order, pos)
     return (out.withColumn(block, block_number(F.col(pos), width))
                .withColumn(within, ((F.col(pos) - 1) % width).cast("int")))
 

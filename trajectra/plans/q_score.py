@@ -269,3 +269,44 @@ def m12_trajectory_table(spark, sf):
     traj = S.trajectory_table(flagship_params(spark), scores(spark, sf), WAVES, basis="posterior")
     return traj.select(F.col("class").cast("int").alias("class"), F.col("wave").cast("int").alias("wave"),
                        _r(F.col("mean")).alias("mean"), _r(F.col("share")).alias("share"))
+
+
+# ----------------------------------------------------------------- one EM step (M6-M8 machinery)
+
+def flagship_param_dict() -> dict:
+    import numpy as np
+    rows = flagship_rows()
+    return {"a": np.array([[r["a0"], r["a1"], r["a2"]] for r in rows]),
+            "th": np.array([FLAGSHIP_TH[t] for t in WAVES]),
+            "psi": np.stack([np.diag([r["p00"], r["p11"], r["p22"]]) for r in rows]),
+            "pi": np.array([math.exp(r["lnpi"]) for r in rows])}
+
+
+_T = "CAST(p.wave AS DOUBLE)"
+_ZB = f"(sc.b0 + sc.b1 * {_T} + sc.b2 * {_T} * {_T})"
+_ZDZ = (f"(sc.D00 + 2.0 * sc.D01 * {_T} + (2.0 * sc.D02 + sc.D11) * {_T} * {_T} "
+        f"+ 2.0 * sc.D12 * {_T} * {_T} * {_T} + sc.D22 * {_T} * {_T} * {_T} * {_T})")
+
+
+@query("m6_em_step", sql=SCORE_SQL + f""",
+tot AS (SELECT sum(ll) AS total_ll FROM (SELECT DISTINCT subject, ll FROM sc) u)
+SELECT CAST(sc.class AS INTEGER) AS class, CAST(p.wave AS INTEGER) AS wave,
+       round(sum(sc.posterior), 4) AS sw,
+       round(sum(sc.posterior * (p.y - {_ZB})), 4) AS sy,
+       round(sum(sc.posterior * ((p.y - {_ZB}) * (p.y - {_ZB}) + {_ZDZ})), 4) AS syy,
+       round(any_value(tot.total_ll), 4) AS total_ll
+FROM sc JOIN panel_p p ON p.subject = sc.subject CROSS JOIN tot
+GROUP BY sc.class, p.wave""")
+def m6_em_step(spark, sf):
+    """One EM pass of the class-growth fitter at fixed parameters: the M-step sums per class and
+    wave (posterior weight, residual sum, residual square sum) and the total log-likelihood,
+    computed by the vectorised per-partition E step over the checkpointed panel."""
+    from trajectra.operators import fit as FT
+    panel = FT.prepare_panel(wide_p(spark, sf), Y_COLS)
+    s = FT.em_pass(panel, Y_COLS, WAVES, [flagship_param_dict()])
+    panel.unpersist()
+    rows = [{"class": k + 1, "wave": t, "sw": round(float(s["sw"][0, k, t]), 4),
+             "sy": round(float(s["sy"][0, k, t]), 4), "syy": round(float(s["syy"][0, k, t]), 4),
+             "total_ll": round(float(s["ll"][0]), 4)} for k in range(K) for t in WAVES]
+    return spark.createDataFrame(pd.DataFrame(rows), "class int, wave int, sw double, sy double, syy double, "
+                                                     "total_ll double")
