@@ -63,3 +63,20 @@ def test_messages_and_starts(lines):
     s = RP.extract_starts(lines).orderBy("line_no").collect()
     assert [(r["ll"], r["seed"], r["start"]) for r in s] == [(-1200.5, 111111, 7), (-1200.5, 222222, 3),
                                                             (-1203.25, 333333, 9)]
+
+
+def test_report_fit_table(lines):
+    from trajectra.operators.compare import lr_test
+    t = RP.report_fit_table(lines).cache()
+    rows = {r["family"]: r for r in t.collect()}
+    two, one = rows["lcga"], rows["lgca"]
+    assert (two["Parameters"], two["LL"], two["Entropy"], two["n_classes"]) == (9, -1200.5, 0.75, 2)
+    assert (two["restriction"], two["outcome"]) == ("sq@0", "abc")
+    assert two["class_counts"] == "82,38" and two["class_shares"] == "0.683,0.317"
+    assert "HAS BEEN REPLICATED" in two["warning"]
+    assert (one["Parameters"], one["LL"], one["n_classes"], one["residuals"]) == (6, -300.25, 1, "constrained")
+    assert one["Entropy"] is None and one["class_counts"] is None
+    # tests between consecutive models of a group work directly on the table
+    lr = lr_test(t.withColumnRenamed("LL", "ll").withColumnRenamed("Parameters", "parameters"),
+                 ["outcome"], ["n_classes"]).where(F.col("n_classes") == 2).first()
+    assert lr["chisq"] == pytest.approx(2 * (-1200.5 - (-300.25))) and lr["dif_df"] == 3

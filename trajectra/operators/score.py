@@ -146,6 +146,23 @@ def class_mass(scores: DataFrame, group: str = "group") -> DataFrame:
     return c.withColumn("proportion", F.col("count") / F.sum("count").over(Window.partitionBy(group)))
 
 
+def class_summary(post: DataFrame, K: int, group: str = "group") -> DataFrame:
+    """A8 + A9 in one pass: per (group, class) the most-likely count, the posterior
+    mass and both proportions, from the one-row-per-subject posterior frame
+    (a single partial aggregate; no stacking of subjects)."""
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for k in range(1, K + 1):
+        aggs += [F.sum(F.when(F.col("most_likely") == k, 1).otherwise(0)).alias(f"__c_{k}"),
+                 F.sum(F.col(f"post_{k}")).alias(f"__m_{k}")]
+    t = post.groupBy(group).agg(*aggs)
+    st = ", ".join(f"{k}, __c_{k}, __m_{k}" for k in range(1, K + 1))
+    out = t.selectExpr(group, "__n", f"stack({K}, {st}) AS (class, n_most_likely, posterior_mass)")
+    return out.select(group, F.col("class").cast("int").alias("class"),
+                      F.col("n_most_likely").cast("long").alias("n_most_likely"), "posterior_mass",
+                      (F.col("n_most_likely") / F.col("__n")).alias("ml_proportion"),
+                      (F.col("posterior_mass") / F.col("__n")).alias("share"))
+
+
 def entropy(scores: DataFrame, K: int, group: str = "group") -> DataFrame:
     """A10: relative entropy 1 + sum p ln p / (N ln K) per group (NULL when K = 1)."""
     plnp = F.when(F.col("posterior") > 0, F.col("posterior") * F.log(F.col("posterior"))).otherwise(0.0)

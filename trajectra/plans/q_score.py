@@ -254,13 +254,12 @@ LEFT JOIN mass m ON m.class = c.class LEFT JOIN cnt n ON n.class = c.class"""
 def flagship_score_classes(spark, sf):
     """Flagship: score panel P with a fixed two-class model; per class and wave the class
     curve, its posterior share and its most-likely count (M5 -> A8/A9 -> M11/M12)."""
-    sc = scores(spark, sf)
-    traj = S.trajectory_table(flagship_params(spark), sc, WAVES, basis="posterior")
-    counts = S.class_counts(sc).select("group", "class", "count")
-    out = traj.join(counts, ["group", "class"], "left")
+    summ = S.class_summary(posteriors(spark, sf), K)
+    curves = S.estimated_means(flagship_params(spark), WAVES)
+    out = curves.join(summ, ["group", "class"], "left")
     return out.select(F.col("class").cast("int").alias("class"), F.col("wave").cast("int").alias("wave"),
                       _r(F.col("mean")).alias("mean"), _r(F.col("share")).alias("share"),
-                      F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+                      F.coalesce(F.col("n_most_likely"), F.lit(0)).cast("long").alias("count"))
 
 
 @query("m12_trajectory_table", sql=FLAGSHIP_SQL.replace(", coalesce(n.n_ml, 0) AS count", ""))

@@ -206,3 +206,37 @@ def flag_distinct(lines: DataFrame, col: str, flag: Column, name: str = "flag")
     """
     d = lines.select(col).distinct().withColumn(name, flag)
     return lines.join(d, col, "left")
+
+
+# ----------------------------------------------------------------- M14 from reports
+
+FIT_TARGETS = ["Parameters", "LL", "LLCorrectionFactor", "AIC", "BIC", "aBIC", "Entropy", "Observations",
+               "T11_VLMR_PValue", "T11_LMR_PValue", "BLRT_PValue"]
+_INT_TARGETS = {"Parameters", "Observations"}
+
+
+def report_fit_table(lines: DataFrame, targets: Sequence[str] = FIT_TARGETS) -> DataFrame:
+    """M14 over a folder of reports: one row per report with its fit facts (V2 pivot
+    with a fixed target list, text cast to numbers), the parts of its model id (P11),
+    most-likely class counts and shares as text (S7 + A1, in class order) and its
+    relevant messages collapsed in line order (S8 + A1; NULL when there are none).
+
+    Every input is a per-report aggregate, so each join is one row per report.
+    """
+    from trajectra.functions.columns import parse_model_id
+    from trajectra.operators.compare import collapse_text
+    from trajectra.operators.panel import cast_numeric, facts_to_rows
+
+    facts = facts_to_rows(extract_facts(lines), "path", "name", "value", list(targets))
+    facts = cast_numeric(facts, [t for t in targets if t not in _INT_TARGETS])
+    facts = cast_numeric(facts, [t for t in targets if t in _INT_TARGETS], "int")
+    parts = parse_model_id(F.col("path"))
+    facts = facts.select("*", *[v.alias(k) for k, v in parts.items() if k != "title"])
+    cc = extract_class_counts(lines).where(F.col("basis") == "most_likely")
+    counts = collapse_text(cc.withColumn("t", F.format_string("%.0f", F.col("count"))), ["path"], "t", "class",
+                           ",", "class_counts")
+    shares = collapse_text(cc.withColumn("t", F.format_string("%.3f", F.col("proportion"))), ["path"], "t",
+                           "class", ",", "class_shares")
+    msgs = extract_messages(lines).where(F.col("relevant"))
+    warn = collapse_text(msgs, ["path"], "text", "line_no", ",", "warning")
+    return (facts.join(counts, "path", "left").join(shares, "path", "left").join(warn, "path", "left"))
