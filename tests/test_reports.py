@@ -80,3 +80,12 @@ def test_report_fit_table(lines):
     lr = lr_test(t.withColumnRenamed("LL", "ll").withColumnRenamed("Parameters", "parameters"),
                  ["outcome"], ["n_classes"]).where(F.col("n_classes") == 2).first()
     assert lr["chisq"] == pytest.approx(2 * (-1200.5 - (-300.25))) and lr["dif_df"] == 3
+
+
+def test_step_gap(lines):
+    from trajectra.operators.compare import step_gap
+    t = RP.report_fit_table(lines)
+    g = step_gap(t, ["outcome"]).where(F.col("n_classes") == 2).first()
+    # the two-class fixture prints -1250.000 for its one-class model; the one-class report has -300.250
+    assert g["T11_KM1LL"] == -1250.0 and g["ll_prev_own"] == -300.25
+    assert g["gap"] == pytest.approx(-949.75)

@@ -131,3 +131,16 @@ def fit_table(fits: DataFrame, keys: Sequence[str], class_text: DataFrame | None
     if messages is not None:
         out = out.join(messages, list(keys), "left")
     return out
+
+
+def step_gap(fits: DataFrame, keys: Sequence[str], step: str = "n_classes", ll: str = "LL",
+             printed_prev: str = "T11_KM1LL") -> DataFrame:
+    """The k-1 class log-likelihood a report prints for its class-count test
+    against the k-1 model's own best log-likelihood (one-to-one self equi-join).
+
+    ``gap`` = printed - own; a negative gap means the test used a worse (local)
+    k-1 solution than the k-1 model found.
+    """
+    prev = fits.select(*[F.col(k) for k in keys], (F.col(step) + 1).alias(step), F.col(ll).alias("ll_prev_own"))
+    out = fits.join(prev, list(keys) + [step], "left")
+    return out.withColumn("gap", F.col(printed_prev) - F.col("ll_prev_own"))

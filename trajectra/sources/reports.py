@@ -211,7 +211,7 @@ def flag_distinct(lines: DataFrame, col: str, flag: Column, name: str = "flag")
 # ----------------------------------------------------------------- M14 from reports
 
 FIT_TARGETS = ["Parameters", "LL", "LLCorrectionFactor", "AIC", "BIC", "aBIC", "Entropy", "Observations",
-               "T11_VLMR_PValue", "T11_LMR_PValue", "BLRT_PValue"]
+               "T11_KM1LL", "T11_VLMR_PValue", "T11_LMR_PValue", "BLRT_PValue"]
 _INT_TARGETS = {"Parameters", "Observations"}
 
 
