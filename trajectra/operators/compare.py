@@ -56,12 +56,11 @@ def scaled_lr_test(fits: DataFrame, keys: Sequence[str], order: Sequence[str], l
     w = Window.partitionBy(*keys).orderBy(*order)
     p0, c0, l0 = F.lag(p).over(w), F.lag(c).over(w), F.lag(ll).over(w)
     out = fits.withColumn("cd", (p0 * c0 - F.col(p) * F.col(c)) / (p0 - F.col(p)))
-    out = out.withColumn("__t", F.lit(-2.0) * (F.lag(ll).over(w) - F.col(ll)) / F.col("cd"))
+    out = out.withColumn("__t", F.lit(-2.0) * (l0 - F.col(ll)) / F.col("cd"))
     out = out.withColumns({"cd_negative": F.col("cd") < 0,
                            "trd": F.abs(F.col("__t")),
                            "dif_df_trd": F.col(p) - p0})
     out = out.withColumn("p_trd", F.round(ST.chi2_upper("trd", "dif_df_trd"), digits))
-    del l0
     return out.drop("__t")
 
 
