@@ -221,16 +221,22 @@ def _pack(params: list[dict]) -> dict:
             "psi": np.stack([p["psi"] for p in params]), "pi": np.stack([p["pi"] for p in params])}
 
 
-EM_SCHEMA = ("group int, class int, sp double, ll double, sw array<double>, sy array<double>, "
-             "syy array<double>, sbb array<double>")
+EM_SCHEMA = "group int, class int, slot int, value double"
+
+
+def _slots(W: int) -> dict[str, slice]:
+    """Layout of one (group, class) statistics vector: sw, sy, syy (W each), sbb (9), sp, ll."""
+    return {"sw": slice(0, W), "sy": slice(W, 2 * W), "syy": slice(2 * W, 3 * W),
+            "sbb": slice(3 * W, 3 * W + 9), "sp": slice(3 * W + 9, 3 * W + 10), "ll": slice(3 * W + 10, 3 * W + 11)}
 
 
 def em_pass(wide: DataFrame, ycols: Sequence[str], times: Sequence[float], params: list[dict]) -> dict:
     """One EM pass over the panel for all groups: returns summed M-step statistics.
 
     ``mapInPandas`` runs the closed-form E step vectorised over each Arrow batch
-    for every group and class, and emits one row of partial sums per (group,
-    class) and partition; the driver receives partitions x groups x classes rows.
+    for every group and class and emits its partial sums as (group, class, slot,
+    value) rows; a grouped sum reduces them in Spark, so the driver receives a
+    fixed groups x classes x (3W + 11) numbers.
     """
     from trajectra.session import ship_package
     ship_package(wide.sparkSession)
@@ -260,27 +266,37 @@ def em_pass(wide: DataFrame, ycols: Sequence[str], times: Sequence[float], param
                         acc[gi][key] = acc[gi][key] + s[key]
         if acc is None:
             return
-        rows = []
+        W_ = len(cols)
+        sl = _slots(W_)
+        out_g, out_k, out_s, out_v = [], [], [], []
         for gi in range(G):
             if acc[gi] is None:
                 continue
             for k in range(K):
-                rows.append({"group": gi, "class": k, "sp": float(acc[gi]["sp"][k]),
-                             "ll": float(ll_acc[gi]) if k == 0 else 0.0,
-                             "sw": acc[gi]["sw"][k].tolist(), "sy": acc[gi]["sy"][k].tolist(),
-                             "syy": acc[gi]["syy"][k].tolist(), "sbb": acc[gi]["sbb"][k].ravel().tolist()})
-        yield pd.DataFrame(rows)
-
-    parts = wide.select(*cols).mapInPandas(run, EM_SCHEMA).collect()
+                vec = np.zeros(3 * W_ + 11)
+                vec[sl["sw"]] = acc[gi]["sw"][k]
+                vec[sl["sy"]] = acc[gi]["sy"][k]
+                vec[sl["syy"]] = acc[gi]["syy"][k]
+                vec[sl["sbb"]] = acc[gi]["sbb"][k].ravel()
+                vec[sl["sp"]] = acc[gi]["sp"][k]
+                vec[sl["ll"]] = ll_acc[gi] if k == 0 else 0.0
+                out_g += [gi] * len(vec); out_k += [k] * len(vec)
+                out_s += list(range(len(vec))); out_v += vec.tolist()
+        yield pd.DataFrame({"group": np.array(out_g, dtype="int32"), "class": np.array(out_k, dtype="int32"),
+                            "slot": np.array(out_s, dtype="int32"), "value": np.array(out_v, dtype=float)})
+
+    # partial sums are reduced by Spark (map-side combined), so the driver receives
+    # groups x classes x (3W + 11) numbers whatever the number of partitions
+    parts = (wide.select(*cols).mapInPandas(run, EM_SCHEMA)
+             .groupBy("group", "class", "slot").agg(F.sum("value").alias("value")).collect())
     W = len(cols)
-    out = {"sw": np.zeros((G, K, W)), "sy": np.zeros((G, K, W)), "syy": np.zeros((G, K, W)),
-           "sbb": np.zeros((G, K, 3, 3)), "sp": np.zeros((G, K)), "ll": np.zeros(G)}
+    sl = _slots(W)
+    vecs = np.zeros((G, K, 3 * W + 11))
     for r in parts:
-        g, k = r["group"], r["class"]
-        out["sw"][g, k] += r["sw"]; out["sy"][g, k] += r["sy"]; out["syy"][g, k] += r["syy"]
-        out["sbb"][g, k] += np.asarray(r["sbb"]).reshape(3, 3); out["sp"][g, k] += r["sp"]
-        out["ll"][g] += r["ll"]
-    return out
+        vecs[r["group"], r["class"], r["slot"]] = r["value"]
+    return {"sw": vecs[:, :, sl["sw"]], "sy": vecs[:, :, sl["sy"]], "syy": vecs[:, :, sl["syy"]],
+            "sbb": vecs[:, :, sl["sbb"]].reshape(G, K, 3, 3), "sp": vecs[:, :, sl["sp"]][:, :, 0],
+            "ll": vecs[:, 0, sl["ll"]][:, 0]}
 
 
 def mstep(s: dict, g: int, old: dict, Z: np.ndarray, factors: Sequence[int], free_re: Sequence[int],
