@@ -18,7 +18,10 @@ from trajectra.operators import score as S
 from trajectra.plans.panels import W, WAVES, Y_COLS, wide_p
 from trajectra.plans.registry import query
 
-EM = dict(max_iter=300, tol=1e-9)
+# The reference estimator's EM stopping rule: at most 500 iterations, relative
+# log-likelihood change 1e-7 (its reports' "Optimization Specifications for the EM
+# Algorithm"); 10 initial-stage iterations per random start.
+EM = dict(max_iter=500, tol=1e-7, stage1_iter=10)
 
 
 def _curve_rows(params: dict, K: int, ll: float, parameters: int, n: int | None = None) -> list[dict]:
