@@ -106,3 +106,14 @@ def test_class_specific_growth_mixture(ref_wide):
                   max_iter=1500, tol=1e-10)
     assert f["ll"] == pytest.approx(-5190.860, abs=0.02)
     assert FT.count_parameters(2, (0, 1, 2), "c.is", False, 9) == 22
+
+
+def test_relabelling_classes_changes_nothing(spark, ref_wide):
+    p = _lcga_params(spark)
+    swapped = p.withColumn("class", 3 - F.col("class"))
+    a = S.class_posteriors(ref_wide.select("subject", *MMSE), p, MMSE, K=2)
+    b = S.class_posteriors(ref_wide.select("subject", *MMSE), swapped, MMSE, K=2)
+    ll_a, ll_b = (x.agg(F.sum("ll")).first()[0] for x in (a, b))
+    assert ll_a == pytest.approx(ll_b, abs=1e-8)
+    ea, eb = (S.entropy(S.to_scores(x, 2), 2).first()["entropy"] for x in (a, b))
+    assert ea == pytest.approx(eb, abs=1e-12) and 0.0 <= ea <= 1.0

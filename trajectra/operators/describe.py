@@ -79,7 +79,8 @@ def wave_percentiles(panel: DataFrame, ps: Sequence[float] = (0.2, 0.4, 0.5, 0.6
     Exact order statistics without putting a wave in one task: the values are
     range-sorted over all partitions and numbered (``dense_index``); a wave's
     first number and size come from a W-row aggregate; the wanted ranks are a
-    W x len(ps) table that is broadcast (bounded by the arguments).
+    W x len(ps) table joined on (wave, number) -- AQE broadcasts it from its
+    measured size.
     """
     vals = panel.where(F.col(y).isNotNull()).select(wave, y)
     idx = dense_index(vals, [F.col(wave).asc(), F.col(y).asc()], "__idx")
@@ -88,7 +89,7 @@ def wave_percentiles(panel: DataFrame, ps: Sequence[float] = (0.2, 0.4, 0.5, 0.6
     targets = (first.select(wave, "__first", "n", F.explode(plist).alias("p"))
                .withColumn("__rank", F.greatest(F.lit(1), F.floor(F.col("p") * F.col("n") + 0.5)))
                .withColumn("__idx", F.col("__first") + F.col("__rank") - 1))
-    return (idx.join(F.broadcast(targets.select(wave, "p", "n", "__idx")), [wave, "__idx"])
+    return (idx.join(targets.select(wave, "p", "n", "__idx"), [wave, "__idx"])
             .select(wave, "p", "n", F.col(y).alias("value")))
 
 

@@ -226,7 +226,7 @@ FROM facts GROUP BY model_id""")
 def v2_facts_to_rows(spark, sf):
     """Long (model, name, text value) facts back to one typed row per model (pivot with a target list)."""
     f = fits(spark, sf).select(F.concat_ws("-", "outcome", F.col("degree").cast("string")).alias("model_id"),
-                               F.format_number(F.round("ll", 3), 3).alias("LL0"), "ll", "parameters", "n")
+                               "ll", "parameters", "n")
     facts = f.selectExpr("model_id", "stack(4, 'LL', CAST(round(ll, 3) AS STRING), "
                          "'Parameters', CAST(parameters AS STRING), 'Observations', CAST(n AS STRING), "
                          "'Title', 'polynomial growth') AS (name, value)")
