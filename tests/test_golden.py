@@ -117,3 +117,11 @@ def test_relabelling_classes_changes_nothing(spark, ref_wide):
     assert ll_a == pytest.approx(ll_b, abs=1e-8)
     ea, eb = (S.entropy(S.to_scores(x, 2), 2).first()["entropy"] for x in (a, b))
     assert ea == pytest.approx(eb, abs=1e-12) and 0.0 <= ea <= 1.0
+
+
+def test_class_specific_intercept_variance(ref_wide):
+    # "c. i": per-class intercept variance, shared slope variance and covariance
+    # (generalised EM with a small Newton M step on the driver)
+    f = FT.fit_em(ref_wide.select("subject", *MMSE), MMSE, 2, "c. i", n_starts=8, keep=2, seed=3,
+                  max_iter=500, tol=1e-10)
+    assert f["ll"] == pytest.approx(-5418.000, abs=0.02)

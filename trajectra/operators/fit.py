@@ -299,6 +299,72 @@ def em_pass(wide: DataFrame, ycols: Sequence[str], times: Sequence[float], param
             "ll": vecs[:, 0, sl["ll"]][:, 0]}
 
 
+def _ci_objective(theta: np.ndarray, S: np.ndarray, n: np.ndarray) -> float:
+    K = len(n)
+    f = 0.0
+    for k in range(K):
+        P = np.array([[theta[k], theta[K]], [theta[K], theta[K + 1]]])
+        det = P[0, 0] * P[1, 1] - P[0, 1] ** 2
+        if P[0, 0] <= 0 or det <= 0:
+            return np.inf
+        f += n[k] * np.log(det) + np.trace(np.linalg.solve(P, S[k]))
+    return f
+
+
+def _ci_gradient(theta: np.ndarray, S: np.ndarray, n: np.ndarray) -> np.ndarray:
+    K = len(n)
+    g = np.zeros(K + 2)
+    for k in range(K):
+        P = np.array([[theta[k], theta[K]], [theta[K], theta[K + 1]]])
+        Pi = np.linalg.inv(P)
+        G = n[k] * Pi - Pi @ S[k] @ Pi
+        g[k] = G[0, 0]
+        g[K] += 2.0 * G[0, 1]
+        g[K + 1] += G[1, 1]
+    return g
+
+
+def ci_psi_step(S: np.ndarray, n: np.ndarray, old: np.ndarray, steps: int = 8) -> np.ndarray:
+    """M step for class-specific intercept variance with shared slope variance and
+    intercept-slope covariance (``c. i``): no closed form, so a few damped Newton
+    steps (analytic gradient, numerical Hessian, backtracking) on
+    sum_k n_k ln|Psi_k| + tr(Psi_k^-1 S_k) from the current value.  The objective
+    never increases, so the EM stays a generalised EM (the likelihood cannot fall).
+    S: (K, 2, 2) sums of p (b b' + D); n: (K,) class weights; old: (K, 2, 2).
+    """
+    K = len(n)
+    theta = np.array([old[k, 0, 0] for k in range(K)] + [old[0, 0, 1], old[0, 1, 1]], dtype=float)
+    if not np.isfinite(_ci_objective(theta, S, n)):
+        pooled = S.sum(0) / n.sum()
+        theta = np.array([max(S[k, 0, 0] / max(n[k], 1e-12), 1e-6) for k in range(K)]
+                         + [pooled[0, 1] * 0.5, max(pooled[1, 1], 1e-6)])
+    f0 = _ci_objective(theta, S, n)
+    for _ in range(steps):
+        g = _ci_gradient(theta, S, n)
+        h = 1e-6 * np.maximum(np.abs(theta), 1e-3)
+        H = np.stack([(_ci_gradient(theta + h[j] * np.eye(K + 2)[j], S, n)
+                       - _ci_gradient(theta - h[j] * np.eye(K + 2)[j], S, n)) / (2 * h[j])
+                      for j in range(K + 2)], axis=1)
+        H = 0.5 * (H + H.T)
+        try:
+            d = -np.linalg.solve(H, g) if np.all(np.linalg.eigvalsh(H) > 0) else -g / max(np.abs(g).max(), 1.0)
+        except np.linalg.LinAlgError:
+            d = -g / max(np.abs(g).max(), 1.0)
+        t, improved = 1.0, False
+        while t > 1e-8:
+            f1 = _ci_objective(theta + t * d, S, n)
+            if f1 < f0:
+                theta, f0, improved = theta + t * d, f1, True
+                break
+            t *= 0.5
+        if not improved:
+            break
+    out = np.zeros((K, 2, 2))
+    for k in range(K):
+        out[k] = [[theta[k], theta[K]], [theta[K], theta[K + 1]]]
+    return out
+
+
 def mstep(s: dict, g: int, old: dict, Z: np.ndarray, factors: Sequence[int], free_re: Sequence[int],
           per_class, shared_residual: bool, floor: float = 1e-6) -> dict:
     """Driver-side M step for one group from the summed statistics."""
@@ -322,17 +388,12 @@ def mstep(s: dict, g: int, old: dict, Z: np.ndarray, factors: Sequence[int], fre
     N = sp.sum()
     psi = np.zeros((K, 3, 3))
     fr = list(free_re)
-    if fr:
+    if fr and per_class == "i":
+        psi[:, :2, :2] = ci_psi_step(sbb[:, :2, :2], sp, old["psi"][:, :2, :2])
+    elif fr:
         pooled = sbb.sum(0) / N
         for k in range(K):
-            own = sbb[k] / max(sp[k], 1e-300)
-            if per_class is True:
-                blk = own
-            elif per_class == "i":
-                blk = pooled.copy()
-                blk[0, 0] = own[0, 0]
-            else:
-                blk = pooled
+            blk = sbb[k] / max(sp[k], 1e-300) if per_class is True else pooled
             psi[k][np.ix_(fr, fr)] = blk[np.ix_(fr, fr)]
     pi = np.maximum(sp / N, 1e-12)
     return {"a": a, "th": th_new, "psi": psi, "pi": pi / pi.sum()}
