@@ -45,14 +45,14 @@ def test_parameter_counts(restr, K, p):
 
 
 def test_parse_model_id(spark):
-    names = ["cesd-gmm_3 - unconditional quadratic model -  q@0 -2 classes-residuals unconstrained.out",
-             "mmse-lgca1 - unconditional linear    model-residuals   constrained.out",
-             "x/y/cesd-lcga2 - unconditional quadratic model - c. i -4 classes-residuals unconstrained.out"]
+    names = ["abc-gmm_3 - unconditional quadratic model -  q@0 -2 classes-residuals unconstrained.out",
+             "xyz-lgca1 - unconditional linear    model-residuals   constrained.out",
+             "x/y/abc-lcga2 - unconditional quadratic model - c. i -4 classes-residuals unconstrained.out"]
     df = spark.createDataFrame([(n,) for n in names], "p string")
     parts = parse_model_id(F.col("p"))
     rows = df.select(*[v.alias(k) for k, v in parts.items()]).collect()
     assert (rows[0]["outcome"], rows[0]["family"], rows[0]["restriction"], rows[0]["n_classes"]) == \
-        ("cesd", "gmm_", "q@0", 2)
+        ("abc", "gmm_", "q@0", 2)
     assert (rows[1]["family"], rows[1]["degree"], rows[1]["n_classes"], rows[1]["residuals"]) == \
         ("lgca", "1", 1, "constrained")
     assert (rows[2]["restriction"], rows[2]["n_classes"]) == ("c. i", 4)

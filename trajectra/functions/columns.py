@@ -42,8 +42,8 @@ def combine_key(*cols: Column | str, sep: str = ".") -> Column:
 
 
 # Fixed file-name grammar of a model report, e.g.
-#   "mmse-lcga2 - unconditional quadratic model - sq@0 -2 classes-residuals unconstrained.out"
-#   "cesd-lgca1 - unconditional linear    model-residuals   constrained.out"
+#   "abc-lcga2 - unconditional quadratic model - sq@0 -2 classes-residuals unconstrained.out"
+#   "xyz-lgca1 - unconditional linear    model-residuals   constrained.out"
 MODEL_ID_PATTERN = (
     r"^([A-Za-z]+)-([a-z_]+?)(\d)?"                          # 1 outcome, 2 family, 3 degree
     r"\s*-\s*(unconditional\s+\w+\s+model)"                 # 4 title

@@ -100,7 +100,8 @@ def polynomial_fits(panel: DataFrame, keys: Sequence[str], degrees: Sequence[int
         sel[f"g{a}"] = f"CASE WHEN degree >= {a} THEN Sy{a} ELSE 0.0 END"
     s = s.selectExpr(*keys, "degree", "n", "Syy", *[f"{v} AS {k}" for k, v in sel.items()])
     s = _solve_fit(s, "degree + 1", keys)
-    return s.selectExpr(*keys, "degree", "n", "beta_0", "beta_1", "beta_2", "sigma2", "se_0", "se_1", "se_2",
+    return s.selectExpr(*keys, "degree", "n", "beta_0", "beta_1", "beta_2", "sigma2",
+                        *[f"CASE WHEN degree >= {a} THEN se_{a} END AS se_{a}" for a in range(3)],
                         f"-0.5 * n * ({LN2PI!r} + ln(sigma2) + 1.0) AS ll", "CAST(degree + 2 AS INT) AS parameters")
 
 
