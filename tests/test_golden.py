@@ -125,3 +125,11 @@ def test_class_specific_intercept_variance(ref_wide):
     f = FT.fit_em(ref_wide.select("subject", *MMSE), MMSE, 2, "c. i", n_starts=8, keep=2, seed=3,
                   max_iter=500, tol=1e-10)
     assert f["ll"] == pytest.approx(-5418.000, abs=0.02)
+
+
+@pytest.mark.parametrize("outcome,restriction,K,ll", [("CESD", "sq@0", 3, -6965.661), ("MMSE", "iq@0", 4, -5448.551)])
+def test_class_growth_more_classes(ref_wide, outcome, restriction, K, ll):
+    y = [f"{outcome}_{t}" for t in range(9)]
+    f = FT.fit_em(ref_wide.select("subject", *y), y, K, restriction, n_starts=50, keep=8, seed=11,
+                  max_iter=500, tol=1e-9)
+    assert f["ll"] == pytest.approx(ll, abs=0.02)

@@ -404,8 +404,9 @@ def start_values(wide: DataFrame, ycols: Sequence[str], K: int, n_starts: int, s
                  factors: Sequence[int], free_re: Sequence[int]) -> list[dict]:
     """Starting values from one aggregate of the panel (per-wave mean and variance).
 
-    Start 0 spreads the class intercepts evenly over +-1 sd; other starts add
-    seeded random perturbations.
+    Start 0 spreads the class intercepts evenly over +-1 sd; the other (seeded)
+    random starts draw intercepts over +-1.5 sd, slopes and curvature on the data's
+    scale, random variance scales and class shares.
     """
     aggs = []
     for c in ycols:
@@ -415,22 +416,27 @@ def start_values(wide: DataFrame, ycols: Sequence[str], K: int, n_starts: int, s
     var = np.array([r[f"v_{c}"] if r[f"v_{c}"] is not None else 1.0 for c in ycols])
     base, sd = float(np.nanmean(mu)), float(np.sqrt(np.nanmean(var)))
     rng = np.random.default_rng(seed)
+    W = len(ycols)
     out = []
     for s in range(n_starts):
         a = np.zeros((K, 3))
-        spread = np.linspace(-1.0, 1.0, K) if K > 1 else np.zeros(1)
-        a[:, 0] = base + spread * sd
-        if s > 0:
-            a[:, 0] += rng.normal(0.0, 0.5 * sd, K)
-            for f in factors:
-                if f > 0:
-                    a[:, f] += rng.normal(0.0, 0.1 * sd / (len(ycols) ** f), K)
+        if s == 0:
+            a[:, 0] = base + (np.linspace(-1.0, 1.0, K) if K > 1 else np.zeros(1)) * sd
+        else:
+            # random starts: class intercepts spread over +-1.5 sd, slopes and curvature
+            # on the scale of the data over the observed waves
+            a[:, 0] = np.sort(rng.uniform(base - 1.5 * sd, base + 1.5 * sd, K))
+            if 1 in factors:
+                a[:, 1] = rng.normal(0.0, sd / W, K)
+            if 2 in factors:
+                a[:, 2] = rng.normal(0.0, sd / (W * W), K)
         a[:, [f for f in range(3) if f not in factors]] = 0.0
         psi = np.zeros((K, 3, 3))
         for f in free_re:
-            psi[:, f, f] = (0.25 * sd * sd) / (1.0 + 10.0 * f * f)
+            psi[:, f, f] = (0.25 * sd * sd) / (1.0 + 10.0 * f * f) * (1.0 if s == 0 else rng.uniform(0.2, 1.5))
         th = np.maximum(0.5 * var, 1e-3)
-        out.append({"a": a, "th": th, "psi": psi, "pi": np.full(K, 1.0 / K)})
+        pi = np.full(K, 1.0 / K) if s == 0 else rng.dirichlet(np.full(K, 4.0))
+        out.append({"a": a, "th": th, "psi": psi, "pi": pi})
     return out
 
 
