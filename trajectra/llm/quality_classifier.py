@@ -21,6 +21,7 @@ from trajectra.llm.common import prepare
 
 SAMPLE_ROWS = 4_000          # labelled rows of each class that a fit reads at most
 PIECE = 2_000                # bytes of one dictionary training sample; every text is cut into such pieces
+FOLDS = 4
 DICT_BYTES = 112_640
 LEVEL = 3
 THRESHOLD = 0.3
@@ -44,7 +45,7 @@ def features(s: np.ndarray) -> np.ndarray:
                             (s[:, 1] - s[:, 0]) / (s[:, 0] + s[:, 1] + 1.0)])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple:
     """Newton steps for a ridge logistic curve over standardised columns."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
@@ -96,25 +97,28 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICT_BYTES:]
 
 
-def fit_sample(good: list[str], bad: list[str]) -> Model:
-    """Dictionaries from the first half of each class, the curve from the second.
+def _dictionaries(good: list[str], bad: list[str]) -> list[bytes]:
+    return [_dictionary([b[i:i + PIECE] for b in (t.encode("utf-8", "surrogatepass") for t in texts)
+                         for i in range(0, len(b), PIECE)]) for texts in (good, bad)]
 
-    A class without texts makes all scores the share of good rows (0.5 if there
+
+def fit_sample(good: list[str], bad: list[str], folds: int = FOLDS) -> Model:
+    """Dictionaries from all texts; the curve from sizes under dictionaries that have not seen the text.
+
+    Too few texts of a class make all scores the share of good rows (0.5 if there
     are none at all).
     """
-    n = len(good) + len(bad)
-    prior = (len(good) + 0.5) / (n + 1)
-    if len(good) < 2 or len(bad) < 2:
+    prior = (len(good) + 0.5) / (len(good) + len(bad) + 1)
+    if min(len(good), len(bad)) < folds:
         return Model([b"", b""], None, prior)
-    half = [len(good) // 2, len(bad) // 2]
-    dicts = [_dictionary([b[i:i + PIECE] for b in (t.encode("utf-8", "surrogatepass") for t in ts[:h])
-                          for i in range(0, len(b), PIECE)]) for ts, h in zip((good, bad), half)]
-    model = Model(dicts, None, prior)
-    rest = good[half[0]:], bad[half[1]:]
-    x = features(sizes(rest[0] + rest[1], model.compressors()))
-    y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
-    model.curve = logistic(_expand(x), y)
-    return model
+    x, y = [], []
+    for f in range(folds):
+        rest = [[t for i, t in enumerate(ts) if i % folds != f] for ts in (good, bad)]
+        fold = Model(_dictionaries(*rest), None, prior).compressors()
+        for ts, label in ((good, 1.0), (bad, 0.0)):
+            x.append(features(sizes(ts[f::folds], fold)))
+            y.append(np.full(len(x[-1]), label))
+    return Model(_dictionaries(good, bad), logistic(_expand(np.concatenate(x)), np.concatenate(y)), prior)
 
 
 def held_out(doc_id):
