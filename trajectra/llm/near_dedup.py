@@ -266,8 +266,9 @@ def _classes(docs: DataFrame, similarity: float, options: dict) -> tuple[DataFra
                                             F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "texts")
     pairs = staged(candidate_links(texts, similarity), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # one row of each text: the first of its equal copies
-    sets = staged(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    # one row of each text, combined before the shuffle: equal copies are one row per task
+    sets = rows.groupBy("node").agg(F.first("shingles").alias("shingles")).join(wanted, "node", "left_semi")
+    sets = staged(sets, "sets")
     links = staged(verified(pairs, sets, similarity), "verified")
     degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
     member = texts.select("node", "low", "copies").join(components(links).withColumnRenamed("node", "_c"),
