@@ -62,4 +62,53 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
 """
 
-ORACLE: dict[str, str] = {"op5_decontamination": OP5, "op9_mixing": OP9}
+OP4 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html),
+bits AS (
+  SELECT DISTINCT hex, array_to_string(list_transform(range(1, 41), i -> ['0000', '0001', '0010', '0011', '0100', '0101', '0110',
+         '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS b
+  FROM p),
+names AS (
+  SELECT hex, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+          + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT + 1)::INT, 1)), '') AS name
+  FROM bits)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, name AS payload_digest,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p JOIN g USING (html) JOIN names USING (hex)
+"""
+
+OP7 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT rid, i, list_slice(w, i, i + 2) AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+often AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS pos FROM often) GROUP BY rid),
+lines AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN lines USING (rid) LEFT JOIN repeats USING (rid)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS x FROM j GROUP BY source),
+s AS (SELECT sum(n) AS n, sum(x) AS x, sum(n * n) AS nn, sum(x * x / n) AS xx, count(*) AS k, sum(x) / sum(n) AS p FROM h),
+c AS (
+  SELECT p, CASE WHEN p * (1 - p) * (n - nn / n - (k - 1)) > 0
+                 THEN (xx - n * p * p - (k - 1) * p * (1 - p)) / (p * (1 - p) * (n - nn / n - (k - 1))) ELSE 0.0 END AS like_each FROM s),
+prior AS (SELECT p, 1 / least(greatest(like_each, 1e-6), 1.0) - 1 AS strength FROM c),
+v AS (SELECT source, (x + p * strength) / (n + strength) > 0.5 AS host_failed FROM h, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
+       NOT base_failed AND NOT host_failed AS kept
+FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
+"""
+
+ORACLE: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9}

@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajectra.llm import decontaminate, mixing, near_dedup, quality_classifier, sharding
+from trajectra.llm import (decontaminate, html_extract, mixing, near_dedup, quality_classifier, quality_rules,
+                           sharding, span_dedup, toxicity, warc)
 from trajectra.llm.common import table
 from trajectra.llm.oracle import ORACLE
 
 
+# The labels have one toxicity category; low quality stands before it in the chain.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by a classifier chain."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), CATEGORIES)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of nearly equal bytes; equal texts stay together."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside benchmark windows, and the verdict."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -26,6 +46,16 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of each document and its host."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has."""
+    return span_dedup.deduplicate_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of the sources, in training order."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -37,7 +67,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op5_decontamination, op6_near_dedup, op9_mixing, op10_quality)}
+    f.__name__: f for f in (op1_html_text, op2_toxicity, op3_sharding, op4_warc, op5_decontamination, op6_near_dedup,
+                            op7_quality_rules, op8_span_dedup, op9_mixing, op10_quality)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
