@@ -10,7 +10,7 @@ def brute(rows):
     for i, t in rows:
         starts = sentence_starts(t) if t else [0]
         words = [t[a:b].split() for a, b in zip(starts, starts[1:])] if t else []
-        ok = lambda a, b: sum(map(len, words[a:b])) >= 50 or (b - a >= 3 and sum(map(len, words[a:b])) >= 25)  # noqa: E731,B023
+        ok = lambda a, b: sum(map(len, words[a:b])) >= 50 or (b - a >= 2 and sum(map(len, words[a:b])) >= 25)  # noqa: E731,B023
         spans = set()
         for a in range(len(words)):
             ends = [b for b in range(a + 1, len(words) + 1) if ok(a, b)]

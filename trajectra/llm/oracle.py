@@ -67,11 +67,11 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 g AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html),
 bits AS (
-  SELECT DISTINCT hex, array_to_string(list_transform(range(1, 41), i -> ['0000', '0001', '0010', '0011', '0100', '0101', '0110',
+  SELECT DISTINCT hex, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110',
          '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS b
   FROM p),
 names AS (
-  SELECT hex, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  SELECT hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          (16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
           + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT + 1)::INT, 1)), '') AS name
   FROM bits)

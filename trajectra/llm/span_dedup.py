@@ -21,20 +21,28 @@ from pyspark.sql import functions as F
 
 from trajectra.llm.common import prepare, staged
 
-MIN_SENTENCES = 3
+MIN_SENTENCES = 2
 MIN_WORDS = 25
 LONG_WORDS = 50
+LONG_SENTENCE = 20
 RUNS = "hi array<long>, lo array<long>, first array<int>, size array<int>, own array<int>"
 
 _breaks = re.compile(r"(?<=[.!?。！？])[ \t\x0b\x0c\r\n]+|[ \t\x0b\x0c\r]*\n[ \t\x0b\x0c\r\n]*").finditer
+_clauses = re.compile(r"(?<=[,;:])[ \t]+").finditer
 
 
 def sentence_starts(text: str) -> list[int]:
-    """Where the sentences start, and the text's length at the end; a sentence owns the space behind it."""
+    """Where the sentences start, and the text's length at the end; a sentence owns the space behind it.
+
+    A sentence of more than ``LONG_SENTENCE`` words is cut into its clauses, so that
+    a passage that shares only part of it is found.
+    """
     starts = [0] + [m.end() for m in _breaks(text)]
     if starts[-1] != len(text) or len(starts) == 1:
         starts.append(len(text))
-    return starts
+    cuts = [m.end() for a, b in zip(starts, starts[1:]) if b - a > 2 * LONG_SENTENCE and len(text[a:b].split()) > LONG_SENTENCE
+            for m in _clauses(text, a, b) if m.end() < b]
+    return sorted(starts + cuts) if cuts else starts
 
 
 def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: int) -> list[tuple[bytes, int, int]]:

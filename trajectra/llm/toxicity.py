@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ SAMPLE_ROWS = 6_000          # labelled rows that a fit reads at most, half of t
 BITS = 18                    # hashed features
 STARTS = (4, 5)              # characters of the word starts
 FOLDS = 3
-EPOCHS = 3
-THRESHOLD = 0.5
+EPOCHS = 8
+THRESHOLD = 0.3
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -42,13 +43,13 @@ class Features(dict):
     def of(self, text: str | None) -> np.ndarray:
         """Distinct features of a whole text."""
         words = set(_words(text.lower())) if text else ()
-        return np.unique(np.fromiter((f for w in words for f in self[w]), dtype=np.int64))
+        return np.fromiter(set(chain.from_iterable(map(self.__getitem__, words))), dtype=np.int64)
 
 
 class Linear:
     """Logistic model with sparse weights, fitted by follow-the-regularised-leader steps."""
 
-    def __init__(self, extra: int, alpha: float = 0.1, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, extra: int, alpha: float = 0.3, l1: float = 1.0, l2: float = 1.0):
         self.size = (1 << BITS) + extra + 1
         self.alpha, self.l1, self.l2 = alpha, l1, l2
         self.z, self.n = np.zeros(self.size), np.zeros(self.size)
@@ -149,26 +150,25 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample_r
 def _predict_udf(shared):
     @F.pandas_udf("array<double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        make, chain = Features(), shared.value
+        make, model = Features(), shared.value
         for texts in batches:
-            yield pd.Series([chain.predict(make.of(t)) for t in texts], dtype="object")
+            yield pd.Series([model.predict(make.of(t)) for t in texts], dtype="object")
     return predict
 
 
-def predict(docs: DataFrame, chain: Chain, text: str = "text", into: str = "toxicity") -> DataFrame:
+def predict(docs: DataFrame, model: Chain, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with an array ``into``: the probability of each category, from whole texts.
 
     Null texts score as empty ones, repeated rows alike.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn(into, _predict_udf(shared)(F.col(text)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], threshold: float = THRESHOLD,
              **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, a probability p_<category> of each, and toxic (the last one's verdict, 0 or 1)."""
-    chain = fit(docs, labels, categories, **options)
-    out = predict(docs.select("doc_id", "text"), chain)
+    out = predict(docs.select("doc_id", "text"), fit(docs, labels, categories, **options))
     scores = [F.get("toxicity", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(categories)]
     return out.select("doc_id", *scores, (F.get("toxicity", F.lit(len(categories) - 1)) >= threshold).cast("int").alias("toxic"))
