@@ -57,3 +57,29 @@ def test_parse_model_id(spark):
         ("lgca", "1", 1, "constrained")
     assert (rows[2]["restriction"], rows[2]["n_classes"]) == ("c. i", 4)
     assert MODEL_ID_PATTERN.startswith("^")
+
+
+def test_chi2_tail_of_many_degrees(spark):
+    from math import erfc, exp, factorial, sqrt
+    df = spark.createDataFrame([(70.0, 61), (300.0, 200), (0.5, 1), (5.0, 100), (900.0, 200), (1e-6, 3)], "x double, df int")
+    got = {(r["x"], r["df"]): r["p"] for r in df.select("x", "df", ST.chi2_upper("x", "df").alias("p")).collect()}
+    poisson = lambda x, n: sum(exp(-x / 2) * (x / 2) ** i / factorial(i) for i in range(n // 2))  # noqa: E731  even df
+    assert got[(300.0, 200)] == pytest.approx(poisson(300.0, 200), rel=1e-9)
+    assert got[(900.0, 200)] == pytest.approx(poisson(900.0, 200), rel=1e-8)
+    assert got[(5.0, 100)] == pytest.approx(1.0)
+    assert got[(0.5, 1)] == pytest.approx(erfc(sqrt(0.25)), rel=1e-12)
+    odd = erfc(sqrt(35.0)) + sum(exp(-35.0 + (i + 0.5) * math.log(35.0) - math.lgamma(i + 1.5)) for i in range(30))
+    assert got[(70.0, 61)] == pytest.approx(odd, rel=1e-10) and got[(1e-6, 3)] == pytest.approx(1.0)
+
+
+def test_name_outside_the_grammar_has_no_class_count(spark):
+    r = spark.createDataFrame([("lcga.y.out",)], "p string").select(*[v.alias(k) for k, v in parse_model_id(F.col("p")).items()]).first()
+    assert r["n_classes"] is None and r["family"] is None
+
+
+def test_nested_fits_need_their_keys(spark):
+    from trajectra.operators.compare import compare_nested
+    f = spark.createDataFrame([("a", -10.0, 2), ("b", -20.0, 2)], "m string, ll double, parameters int")
+    with pytest.raises(ValueError):
+        compare_nested(f, f)
+    assert compare_nested(f, f, ["m"]).count() == 2

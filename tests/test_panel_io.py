@@ -28,7 +28,7 @@ def test_round_trip(spark):
 def test_visit_numbers_and_pivot_round_trip(spark):
     rows = [(1, 3, 5.0), (1, 1, 4.0), (1, 2, None), (2, 9, 1.0), (2, 9, 2.0)]
     df = spark.createDataFrame(rows, "s long, t long, y double").withColumn("k", F.monotonically_increasing_id())
-    v = P.number_visits(df, "s", ["t", "k"], "wave", max_wave=5)
+    v = P.number_visits(df, "s", ["t", "k"], "wave")
     got = sorted((r["s"], r["t"], r["wave"]) for r in v.collect())
     assert got[:3] == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
     wide = P.to_wide(v, "s", "wave", ["y"], range(3))
@@ -45,12 +45,21 @@ def test_dense_ids_are_consecutive(spark):
 
 
 def test_numbering_with_a_hot_key(spark):
-    # one subject holds most rows: numbering must still be consecutive and exact
+    # groups above the bound are range-sorted over all partitions: the numbers must be the same
     hot = spark.range(0, 3000).select(F.lit(1).cast("long").alias("s"), F.col("id").alias("t"))
+    none = spark.range(0, 200).select(F.lit(None).cast("long").alias("s"), F.col("id").alias("t"))
     cold = spark.range(0, 40).select((F.col("id") % 4 + 2).alias("s"), F.col("id").alias("t"))
-    v = P.number_visits(hot.unionByName(cold), "s", ["t"], "wave")
-    got = v.where(F.col("s") == 1).agg(F.min("wave"), F.max("wave"), F.countDistinct("wave")).first()
-    assert tuple(got) == (0, 2999, 3000)
-    assert v.where((F.col("s") == 1) & (F.col("wave") != F.col("t"))).count() == 0
+    df = hot.unionByName(cold).unionByName(none)
+    want = sorted(map(tuple, P.number_within(df, ["s"], ["t"]).collect()), key=repr)
+    got = P.number_within(df, ["s"], ["t"], hot_rows=100)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert got.where((F.col("s") == 1) & (F.col("rn") != F.col("t") + 1)).count() == 0
     blocks = P.position_in_block(hot, ["s"], ["t"], 4)
     assert blocks.where(F.col("block") != F.floor(F.col("t") / 4) + 1).count() == 0
+
+
+def test_ids_of_null_keys(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), (None,)], "k string")
+    assert sorted(map(tuple, P.surrogate_id(df, ["k"], "i").collect()), key=repr) == [("a", 1), ("b", 2), (None, 3), (None, 3)]
+    got = {r["k"]: r["order_id"] for r in P.ordered_id(df, "k", ["b"]).collect()}
+    assert got == {"b": 1, "a": 2, None: 3}

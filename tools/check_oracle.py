@@ -62,7 +62,7 @@ def main():
     prefixes = sys.argv[2:]
     from trajectra.plans import load_all
     from trajectra.session import build_session
-    spark = build_session("local[8]", 8)
+    spark = build_session(f"local[{os.environ.get('CHECK_CPUS', '8')}]", 8)
     con = duck(sf_dir)
     bad = 0
     for name, q in load_all().items():

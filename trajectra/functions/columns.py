@@ -59,13 +59,14 @@ def parse_model_id(col: Column) -> dict[str, Column]:
 
     Returns columns outcome, family, degree, title, restriction, n_classes,
     residuals.  Parts that are absent are NULL; one-class growth curves (no
-    ``classes`` part) get n_classes = 1.
+    ``classes`` part) get n_classes = 1.  All parts of a name outside the grammar
+    are NULL, its number of classes too.
     """
     base = F.regexp_replace(col, r"^.*/", "")
     out = {}
     for i, g in enumerate(_GROUPS, start=1):
         v = F.regexp_extract(base, MODEL_ID_PATTERN, i)
         out[g] = F.when(v == "", F.lit(None).cast("string")).otherwise(F.trim(v))
-    out["n_classes"] = F.coalesce(out.pop("classes").cast("int"), F.lit(1))
+    out["n_classes"] = F.when(base.rlike(MODEL_ID_PATTERN), F.coalesce(out.pop("classes").cast("int"), F.lit(1)))
     out["outcome"] = F.lower(out["outcome"])
     return out

@@ -10,9 +10,9 @@ means a = (a0, a1, a2) on z_t = (1, t, t^2), random effects u ~ N(0, Psi):
   e' V^-1 e   = C - g' D g,          D = M^-1 Psi = Cov(u | y)
   E(u | y)    = b = D g
 
-Everything is generated as text over column names so the same formula runs in
-Spark (``F.expr``: Catalyst expressions, whole-stage code generation) and in the
-DuckDB twin.  ``nm`` maps a base name to a column name (class suffixes).
+Everything is generated as text over column names and runs as Catalyst expressions
+(whole-stage code generation).  ``nm`` maps a base name to a column name (class
+suffixes).
 """
 
 from __future__ import annotations
@@ -33,42 +33,25 @@ def psi(a: int, b: int, nm: Callable[[str], str] = _id) -> str:
     return nm(f"p{a}{b}")
 
 
-def wide_stats(ycols: Sequence[str], times: Sequence[float],
-               nm: Callable[[str], str] = _id) -> list[dict[str, str]]:
-    """Stage 1 on a wide row: G, g, C, L (= sum ln th), n from y_t columns.
+def visit_stats(y: str, t: str, th: str, nm: Callable[[str], str] = _id) -> dict[str, str]:
+    """G, g, C, L (= sum ln th) and n of one class as aggregates over a subject's visits.
 
-    Two projections: first the per-wave weight ow_t = [y_t observed] / th_t and
-    weighted residual ew_t = (y_t - z_t'a) / th_t (0 when missing), then the
-    sums as short linear combinations with constant time powers.  Parameters per
-    class: a0, a1, a2, th_<t> (named through ``nm``).
+    ``y``, ``t`` and ``th`` name the value, the time score and the class's residual
+    variance of the visit; rows with a NULL y add nothing.  Parameters per class:
+    a0, a1, a2 (named through ``nm``).  Nothing depends on the number of waves.
     """
-    T = range(len(ycols))
-    first = {}
-    for i in T:
-        t = float(times[i])
-        mean = f"({nm('a0')} + {nm('a1')} * {t!r} + {nm('a2')} * {t * t!r})"
-        first[nm(f"ow_{i}")] = f"(CASE WHEN {ycols[i]} IS NULL THEN 0.0 ELSE 1.0 / {nm(f'th_{i}')} END)"
-        first[nm(f"ew_{i}")] = (f"(CASE WHEN {ycols[i]} IS NULL THEN 0.0 ELSE ({ycols[i]} - {mean}) "
-                                f"/ {nm(f'th_{i}')} END)")
-        first[nm(f"lt_{i}")] = f"(CASE WHEN {ycols[i]} IS NULL THEN 0.0 ELSE ln({nm(f'th_{i}')}) END)"
-    second = {}
-
-    def lin(coef_pow: int, col: str) -> str:
-        return " + ".join(f"{float(times[i]) ** coef_pow!r} * {nm(f'{col}_{i}')}" for i in T)
+    e = f"({y} - ({nm('a0')} + {nm('a1')} * {t} + {nm('a2')} * {t} * {t}))"
+    power = {0: "1.0D", 1: t, 2: f"{t} * {t}", 3: f"{t} * {t} * {t}", 4: f"{t} * {t} * {t} * {t}"}
 
-    for (a, b) in IDX:
-        second[nm(f"G{a}{b}")] = f"({lin(a + b, 'ow')})"
-    for a in range(3):
-        second[nm(f"g{a}")] = f"({lin(a, 'ew')})"
-    # C = sum e^2 / th = sum ew^2 * th
-    second[nm("C")] = "(" + " + ".join(f"{nm(f'ew_{i}')} * {nm(f'ew_{i}')} * {nm(f'th_{i}')}" for i in T) + ")"
-    second[nm("L")] = "(" + " + ".join(nm(f"lt_{i}") for i in T) + ")"
-    second[nm("n")] = "(" + " + ".join(f"CASE WHEN {ycols[i]} IS NULL THEN 0.0 ELSE 1.0 END" for i in T) + ")"
-    return [first, second]
+    def total(x: str) -> str:
+        return f"coalesce(sum(CASE WHEN {y} IS NOT NULL THEN {x} END), 0.0D)"
 
-
-def stage_helpers(W: int, nm: Callable[[str], str] = _id) -> list[str]:
-    return [nm(f"{c}_{i}") for i in range(W) for c in ("ow", "ew", "lt")]
+    out = {nm(f"G{a}{b}"): total(f"{power[a + b]} / {th}") for a, b in IDX}
+    out.update({nm(f"g{a}"): total(f"{power[a]} * {e} / {th}") for a in range(3)})
+    out[nm("C")] = total(f"{e} * {e} / {th}")
+    out[nm("L")] = total(f"ln({th})")
+    out[nm("n")] = f"CAST(count({y}) AS DOUBLE)"
+    return out
 
 
 def _g(a: int, b: int, nm) -> str:

@@ -1,9 +1,7 @@
 """Scalar statistics for model comparison.
 
-Each formula is written once as SQL text over column names, in the subset of SQL
-that both Spark and DuckDB accept; ``F.expr`` turns it into a Catalyst
-expression, so it runs inside whole-stage code generation, and the oracle twin
-uses the very same text.
+Each formula is Spark SQL text over column names, which ``F.expr`` turns into a
+Catalyst expression.  The oracle twins are written in another way.
 """
 
 from __future__ import annotations
@@ -13,48 +11,34 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Coefficients of the published complementary error function
-# approximation erfc(z) ~ t*exp(-z^2 + P(t)), t = 1/(1 + z/2), z >= 0
-# (fractional error below 1.2e-7; Press et al., Numerical Recipes, section 6.2).
-ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-               0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
+def _log_gamma_half(df: str) -> str:
+    """ln Gamma(df / 2) for an integer df >= 1, as a sum of logarithms."""
+    even = f"aggregate(sequence(1, greatest(1, {df} div 2 - 1)), 0.0D, (s, i) -> s + ln(i))"
+    odd = (f"aggregate(sequence(0, greatest(0, ({df} - 1) div 2 - 1)), {0.5 * math.log(math.pi)!r}D, "
+           "(s, i) -> s + ln(i + 0.5D))")
+    return (f"(CASE WHEN {df} IN (1, 2) THEN {{one_two}} WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+            .replace("{one_two}", f"CASE WHEN {df} = 1 THEN {0.5 * math.log(math.pi)!r}D ELSE 0.0D END"))
 
-def _horner(t: str, coeffs: list[float]) -> str:
-    out = repr(coeffs[-1])
-    for c in reversed(coeffs[:-1]):
-        out = f"({c!r} + {t} * {out})"
-    return out
 
+def chi2_upper_sql(x: str, df: str) -> str:
+    """Upper tail P(X > x) of a chi-square with any integer df >= 1 (C6), as Spark SQL text.
 
-def erfc_sql(z: str) -> str:
-    """erfc(z) for z >= 0 as SQL text."""
-    t = f"(1.0 / (1.0 + 0.5 * ({z})))"
-    return f"({t} * exp(-({z}) * ({z}) + {_horner(t, ERFC_COEFFS)}))"
-
-
-def chi2_upper_sql(x: str, df: str, max_df: int = 60) -> str:
-    """Upper tail P(X > x) of a chi-square with integer df (C6), as SQL text.
-
-    Even df = 2m:    exp(-h) * sum_{i<m} h^i / i!,               h = x/2
-    Odd df = 2m+1:   erfc(sqrt h) + sum_{i<m} exp(-h) h^(i+1/2) / Gamma(i+3/2)
-    Terms are summed in log space, so large x neither overflows nor loses digits
-    (the tail is summed directly, never 1 - P).  df above ``max_df`` gives NULL.
+    The regularised incomplete gamma function Q(a, h), a = df/2, h = x/2: its power
+    series below h = a + 1 and its continued fraction above (evaluated from the far
+    end), so small tails keep their digits.  Both converge within a multiple of
+    sqrt(a) terms.
     """
-    h = f"(({x}) / 2.0)"
-    d = f"CAST({df} AS INTEGER)"
-    m = f"floor({d} / 2.0)"
-    even_terms, odd_terms = [], []
-    for i in range(max_df // 2 + 1):
-        lf_even = math.lgamma(i + 1)
-        lf_odd = math.lgamma(i + 1.5)
-        even_terms.append(f"CASE WHEN {i} < {m} THEN exp(-{h} + {i} * ln({h}) - {lf_even!r}) ELSE 0.0 END")
-        odd_terms.append(f"CASE WHEN {i} < {m} THEN exp(-{h} + {i + 0.5} * ln({h}) - {lf_odd!r}) ELSE 0.0 END")
-    even = " + ".join(even_terms)
-    odd = erfc_sql(f"sqrt({h})") + " + " + " + ".join(odd_terms)
-    return (f"(CASE WHEN ({x}) IS NULL OR ({df}) IS NULL OR {d} < 1 OR {d} > {max_df} THEN NULL "
-            f"WHEN ({x}) <= 0 THEN 1.0 "
-            f"WHEN {d} % 2 = 0 THEN ({even}) ELSE ({odd}) END)")
+    d, h = f"CAST({df} AS INT)", f"(CAST({x} AS DOUBLE) / 2.0D)"
+    a = f"({d} / 2.0D)"
+    terms = f"CAST(100 + 20 * sqrt({a}) AS INT)"
+    front = f"exp(-{h} + {a} * ln({h}) - {_log_gamma_half(d)})"
+    series = (f"aggregate(sequence(1, {terms}), named_struct('t', 1.0D / {a}, 's', 1.0D / {a}), "
+              f"(z, i) -> named_struct('t', z.t * {h} / ({a} + i), 's', z.s + z.t * {h} / ({a} + i)), z -> z.s)")
+    fraction = (f"aggregate(sequence({terms}, 1, -1), {h} + 2.0D * {terms} + 1.0D - {a}, "
+                f"(f, i) -> {h} + 2.0D * i - 1.0D - {a} - i * (i - {a}) / f)")
+    return (f"(CASE WHEN ({x}) IS NULL OR ({df}) IS NULL OR {d} < 1 THEN CAST(NULL AS DOUBLE) WHEN ({x}) <= 0 THEN 1.0D "
+            f"WHEN {h} < {a} + 1.0D THEN greatest(0.0D, 1.0D - {front} * {series}) ELSE {front} / {fraction} END)")
 
 
 def chi2_upper(x: str, df: str) -> Column:
@@ -95,9 +79,9 @@ def wald_z_sql(est: str, se: str) -> str:
 
 
 def wald_p_sql(est: str, se: str) -> str:
-    """Two-sided p of z, i.e. the df-1 chi-square tail of z^2 = erfc(|z| / sqrt 2)."""
-    z = f"abs(({est}) / ({se}))"
-    return f"(CASE WHEN ({se}) = 0 THEN 999.0 ELSE {erfc_sql(f'({z} / sqrt(2.0))')} END)"
+    """Two-sided p of z, i.e. the df-1 chi-square tail of z^2."""
+    z = f"(({est}) / nullif({se}, 0))"
+    return f"(CASE WHEN ({se}) = 0 THEN 999.0 ELSE {chi2_upper_sql(f'({z} * {z})', '1')} END)"
 
 
 def adjusted_lrt_sql(x: str, dp: str, n: str) -> str:

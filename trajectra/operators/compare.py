@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions import stats as ST
+from trajectra.operators.panel import dense_index
+
+PER_PART = 100_000          # distinct values whose counts one task adds up
 
 
 def with_information_criteria(fits: DataFrame, ll: str = "ll", p: str = "parameters",
@@ -38,10 +41,8 @@ def lr_test(fits: DataFrame, keys: Sequence[str], order: Sequence[str], ll: str
 
     chisq = deviance(prev) - deviance, dif_df = p - p(prev), p_value = upper tail.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = fits.withColumn("deviance", ST.deviance(ll))
-    out = out.withColumns({"chisq": F.lag("deviance").over(w) - F.col("deviance"),
-                           "dif_df": F.col(p) - F.lag(p).over(w)})
+    out = lag_difference(fits.withColumn("deviance", ST.deviance(ll)), keys, order, ["deviance", p], "__d_")
+    out = out.withColumns({"chisq": -F.col("__d_deviance"), "dif_df": F.col(f"__d_{p}")}).drop("__d_deviance", f"__d_{p}")
     return out.withColumn("p_value", F.round(ST.chi2_upper("chisq", "dif_df"), digits))
 
 
@@ -80,25 +81,50 @@ def step_compare(fits: DataFrame, keys: Sequence[str], step: str = "n_classes",
     return out.withColumn("lrt_adjusted", ST.adjusted_lrt("lrt", "dp", n))
 
 
-def compare_nested(a: DataFrame, b: DataFrame, ll: str = "ll", p: str = "parameters") -> DataFrame:
-    """LR test between two one-row fits (a nested in b)."""
-    x = a.select(F.col(ll).alias("ll_a"), F.col(p).alias("p_a")).crossJoin(
-        b.select(F.col(ll).alias("ll_b"), F.col(p).alias("p_b")))
+def compare_nested(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), ll: str = "ll",
+                   p: str = "parameters") -> DataFrame:
+    """LR test between fits a and b (a nested in b), per key; without keys both have one row."""
+    x = a.select(*keys, F.col(ll).alias("ll_a"), F.col(p).alias("p_a"))
+    y = b.select(*keys, F.col(ll).alias("ll_b"), F.col(p).alias("p_b"))
+    if keys:
+        x = x.join(y, list(keys))
+    else:
+        more = [name for name, t in (("a", a), ("b", b)) if len(t.select(ll).take(2)) > 1]
+        if more:
+            raise ValueError(f"several fits in {more}: give their keys")
+        x = x.crossJoin(F.broadcast(y))
     x = x.withColumns({"chisq": F.lit(2.0) * (F.col("ll_b") - F.col("ll_a")), "dif_df": F.col("p_b") - F.col("p_a")})
     return x.withColumn("p_value", ST.chi2_upper("chisq", "dif_df"))
 
 
-def rank_starts(starts: DataFrame, keys: Sequence[str], ll: str = "ll", digits: int = 3,
-                tie: Sequence[str] = ()) -> DataFrame:
+def rank_starts(starts: DataFrame, keys: Sequence[str], ll: str = "ll", digits: int = 3) -> DataFrame:
     """Rank starts from best to worst final log-likelihood; the best value is
-    replicated when it appears at least twice at ``digits`` decimals."""
-    rounded = F.round(F.col(ll), digits)
-    w = Window.partitionBy(*keys).orderBy(rounded.desc(), *tie)
-    out = starts.withColumn("ll_rounded", rounded).withColumn("rank", F.rank().over(w))
-    best = Window.partitionBy(*keys)
-    out = out.withColumn("__best", F.max("ll_rounded").over(best))
-    out = out.withColumn("n_best", F.sum(F.when(F.col("ll_rounded") == F.col("__best"), 1).otherwise(0)).over(best))
-    return out.withColumn("best_replicated", F.col("n_best") >= 2).drop("__best")
+    replicated when it appears at least twice at ``digits`` decimals.
+
+    The rank is 1 + the starts of the key with a larger value.  Starts are counted
+    by (key, value) first, and only those counts are range-sorted; the best value and
+    its count are plain aggregates.  No key's starts meet in one task.
+    """
+    from trajectra.operators.joins import checked_broadcast, left_null_safe
+    rows = starts.withColumn("ll_rounded", F.round(F.col(ll), digits))
+    counts = rows.groupBy(*keys, "ll_rounded").agg(F.count(F.lit(1)).alias("__c"))
+    idx = dense_index(counts, [F.col(k).asc_nulls_first() for k in keys] + [F.col("ll_rounded").desc_nulls_last()], "__i")
+    # counts of all larger values, over partitions of the sorted table: a partition's sum, then inside it
+    part = F.floor(F.col("__i") / F.lit(PER_PART))
+    inside = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    idx = idx.withColumn("__p", part).withColumn("__before", F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+    whole = idx.groupBy("__p").agg(F.sum("__c").alias("__s"))
+    offsets = whole.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(
+        Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    idx = idx.join(offsets, F.col("__p") == F.col("__q")).withColumn("__at", F.col("__before") + F.col("__off"))
+    first = idx.groupBy(*keys).agg(F.min("__at").alias("__first"), F.max("ll_rounded").alias("__best"),
+                                   F.max_by("__c", "ll_rounded").alias("n_best"))
+    first = checked_broadcast(first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first", "__best", "n_best"))
+    ranked = left_null_safe(idx, first, [(k, f"__k_{k}") for k in keys])
+    ranked = ranked.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("ll_rounded").alias("__ll"),
+                           (F.col("__at") - F.col("__first") + 1).cast("int").alias("rank"), "n_best")
+    out = left_null_safe(rows, ranked, [(k, f"__r_{k}") for k in keys] + [("ll_rounded", "__ll")])
+    return out.withColumn("best_replicated", F.col("n_best") >= 2)
 
 
 def class_share(logits: DataFrame, keys: Sequence[str], logit: str = "logit") -> DataFrame:
@@ -113,6 +139,7 @@ def collapse_text(df: DataFrame, keys: Sequence[str], col: str, order: str, sep:
 
     collect_list runs as a partial aggregate; the pieces of one group are the lines
     of one model report or one document, so a group's list is bounded by its text.
+    Use it for such keys only: the text of a group is one value of one row.
     """
     name = name or col
     agg = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).alias("v")))),

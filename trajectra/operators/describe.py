@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajectra.operators.panel import dense_index
+from trajectra.operators.joins import checked_broadcast
 
 
 def with_grand_total(df: DataFrame, total: DataFrame) -> DataFrame:
@@ -27,9 +27,14 @@ def with_grand_total(df: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def frequency(df: DataFrame, col: str) -> DataFrame:
-    """A2: n, percent of all rows, percent of non-missing rows (NULL is its own row)."""
+    """A2: n, percent of all rows, percent of non-missing rows (NULL is its own row).
+
+    The totals are sums of the counts, so the input is read once (the plan reuses
+    the exchange of the counts).
+    """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("__all"), F.count(F.col(col)).alias("__valid"))
+    total = counts.agg(F.sum("n").alias("__all"),
+                       F.sum(F.when(F.col(col).isNotNull(), F.col("n"))).alias("__valid"))
     return (with_grand_total(counts, total)
             .select(col, "n",
                     (F.col("n") * 100.0 / F.col("__all")).alias("pct"),
@@ -41,34 +46,26 @@ def wave_moments(panel: DataFrame, wave: str = "wave", y: str = "y") -> DataFram
     """A3: per wave n, mean, population variance, skewness, excess kurtosis,
     min, max and the percent of values at the min and at the max.
 
-    One scan: rows are first combined per (wave, value) -- a partial aggregate
-    keyed by the value, so a hot wave is spread over many reducers -- and the
-    moments come from weighted power sums of that table.
+    One map-side combined aggregate per wave with Spark's own moments, which merge
+    centred sums and so keep their digits on large means; a second counts the
+    values at the extremes against the one row per wave.
     """
-    vals = (panel.where(F.col(y).isNotNull())
-            .groupBy(wave, y).agg(F.count(F.lit(1)).alias("c")))
-    c, v = F.col("c"), F.col(y)
-    s = vals.groupBy(wave).agg(
-        F.sum(c).alias("n"),
-        F.sum(c * v).alias("s1"), F.sum(c * v * v).alias("s2"),
-        F.sum(c * v * v * v).alias("s3"), F.sum(c * v * v * v * v).alias("s4"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.min_by(c, v).alias("n_min"), F.max_by(c, v).alias("n_max"))
-    return s.selectExpr(wave, "n", *moment_exprs())
-
-
-def moment_exprs() -> list[str]:
-    """Central moments from power sums n, s1..s4 (shared with the SQL twin)."""
-    mean = "(s1 / n)"
-    m2 = f"(s2 / n - {mean} * {mean})"
-    m3 = f"(s3 / n - 3.0 * {mean} * s2 / n + 2.0 * power({mean}, 3))"
-    m4 = f"(s4 / n - 4.0 * {mean} * s3 / n + 6.0 * {mean} * {mean} * s2 / n - 3.0 * power({mean}, 4))"
-    return [f"{mean} AS mean",
-            f"{m2} AS variance",
-            f"CASE WHEN {m2} > 0 THEN {m3} / power({m2}, 1.5) END AS skewness",
-            f"CASE WHEN {m2} > 0 THEN {m4} / ({m2} * {m2}) - 3.0 END AS kurtosis",
-            "min", "max",
-            "100.0 * CAST(n_min AS DOUBLE) / n AS pct_min", "100.0 * CAST(n_max AS DOUBLE) / n AS pct_max"]
+    data = panel.where(F.col(y).isNotNull()).select(wave, y)
+    spread = F.var_pop(y)
+    m = data.groupBy(wave).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), spread.alias("variance"),
+        F.when(spread > 0, F.skewness(y)).alias("skewness"), F.when(spread > 0, F.kurtosis(y)).alias("kurtosis"),
+        F.min(y).alias("min"), F.max(y).alias("max"))
+    m = checked_broadcast(m)
+    ends = data.join(m.select(wave, "min", "max"), wave).groupBy(wave).agg(
+        F.count(F.when(F.col(y) == F.col("min"), 1)).alias("__lo"),
+        F.count(F.when(F.col(y) == F.col("max"), 1)).alias("__hi"))
+    return m.join(ends, wave).select(
+        wave, "n", "mean", "variance", "skewness", "kurtosis", "min", "max",
+        (F.col("__lo") * 100.0 / F.col("n")).alias("pct_min"), (F.col("__hi") * 100.0 / F.col("n")).alias("pct_max"))
+
+
+BRACKET = 10_000        # accuracy of the sketch that brackets a percentile: 1 / BRACKET of the rows
 
 
 def wave_percentiles(panel: DataFrame, ps: Sequence[float] = (0.2, 0.4, 0.5, 0.6, 0.8),
@@ -76,21 +73,39 @@ def wave_percentiles(panel: DataFrame, ps: Sequence[float] = (0.2, 0.4, 0.5, 0.6
     """A4: exact percentiles by the report's rule: the value at ascending rank
     max(1, floor(p * n + 0.5)) within each wave.
 
-    Exact order statistics without putting a wave in one task: the values are
-    range-sorted over all partitions and numbered (``dense_index``); a wave's
-    first number and size come from a W-row aggregate; the wanted ranks are a
-    W x len(ps) table joined on (wave, number) -- AQE broadcasts it from its
-    measured size.
+    Neither sorted nor exchanged as a whole: a mergeable sketch per wave brackets
+    every wanted rank within a few ten-thousandths of the rows; a second pass counts
+    the values below each bracket and forwards those inside, combined by value, and
+    only these are put in order.
     """
-    vals = panel.where(F.col(y).isNotNull()).select(wave, y)
-    idx = dense_index(vals, [F.col(wave).asc(), F.col(y).asc()], "__idx")
-    first = idx.groupBy(wave).agg(F.min("__idx").alias("__first"), F.count(F.lit(1)).alias("n"))
-    plist = F.array(*[F.lit(float(p)) for p in ps])
-    targets = (first.select(wave, "__first", "n", F.explode(plist).alias("p"))
-               .withColumn("__rank", F.greatest(F.lit(1), F.floor(F.col("p") * F.col("n") + 0.5)))
-               .withColumn("__idx", F.col("__first") + F.col("__rank") - 1))
-    return (idx.join(targets.select(wave, "p", "n", "__idx"), [wave, "__idx"])
-            .select(wave, "p", "n", F.col(y).alias("value")))
+    data = panel.where(F.col(y).isNotNull()).select(wave, y)
+    d = 2.0 / BRACKET
+    edges = [e for p in ps for e in (max(0.0, p - d), min(1.0, p + d))]
+    sketch = data.groupBy(wave).agg(F.count(F.lit(1)).alias("n"),
+                                    F.percentile_approx(y, [float(e) for e in edges], BRACKET).alias("__e"),
+                                    F.min(y).alias("__min"), F.max(y).alias("__max"))
+    # below 2 / d rows (10,000) a bracket is narrower than the rounding of ranks: the whole wave is put in order
+    few = F.col("n") * d < 2
+    lo = [F.when(few | F.lit(p - d <= 0), F.col("__min")).otherwise(F.get("__e", F.lit(2 * i))) for i, p in enumerate(ps)]
+    hi = [F.when(few | F.lit(p + d >= 1), F.col("__max")).otherwise(F.get("__e", F.lit(2 * i + 1))) for i, p in enumerate(ps)]
+    brackets = checked_broadcast(sketch.select(wave, "n", F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), a.alias("lo"), b.alias("hi")) for p, a, b in zip(ps, lo, hi)]).alias("__b")))
+    met = data.join(brackets, wave)
+    below = met.groupBy(wave, "n").agg(*[F.count(F.when(F.col(y) < F.col("__b")[i]["lo"], 1)).alias(f"__below_{i}")
+                                         for i in range(len(ps))])
+    below = below.select(wave, "n", F.posexplode(F.array(*[F.col(f"__below_{i}") for i in range(len(ps))])).alias("__i", "__below"))
+    below = below.withColumn("__rank", F.greatest(F.lit(1), F.floor(F.element_at(
+        F.array(*[F.lit(float(p)) for p in ps]), F.col("__i") + 1) * F.col("n") + 0.5)) - F.col("__below"))
+    inside = F.filter(F.transform("__b", lambda b, i: F.when((F.col(y) >= b["lo"]) & (F.col(y) <= b["hi"]), i)),
+                      lambda i: i.isNotNull())
+    near = (met.select(wave, y, F.explode(inside).alias("__i"))
+            .groupBy(wave, "__i", y).agg(F.count(F.lit(1)).alias("__c")))
+    upto = Window.partitionBy(wave, "__i").orderBy(y).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("__to", F.sum("__c").over(upto))
+    found = near.join(below, [wave, "__i"]).where(
+        (F.col("__rank") <= F.col("__to")) & (F.col("__rank") > F.col("__to") - F.col("__c")))
+    return found.select(wave, F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("__i") + 1).alias("p"), "n",
+                        F.col(y).alias("value"))
 
 
 def coverage(wide: DataFrame, cols: Sequence[str], names: Sequence | None = None) -> DataFrame:
@@ -120,32 +135,31 @@ def low_coverage(cov: DataFrame, limit: float = 0.1) -> DataFrame:
     return cov.where(F.col("coverage") < limit)
 
 
-def presence_mask(cols: Sequence[str]):
-    """Bit t set when wave t is present."""
-    from functools import reduce
-    return reduce(lambda a, b: a + b,
-                  [F.when(F.col(c).isNotNull(), F.lit(1 << t)).otherwise(F.lit(0)) for t, c in enumerate(cols)])
-
-
 def presence_text(cols: Sequence[str]):
-    """Pattern as text, 'x' present and '.' missing, in wave order."""
+    """Pattern as text, 'x' present and '.' missing, in wave order (any number of waves)."""
     return F.concat(*[F.when(F.col(c).isNotNull(), F.lit("x")).otherwise(F.lit(".")) for c in cols])
 
 
 def missing_patterns(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct presence masks with their subject counts."""
-    return (wide.select(presence_mask(cols).alias("mask"), presence_text(cols).alias("pattern"))
-            .groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    """Distinct presence patterns with their subject counts."""
+    return wide.groupBy(presence_text(cols).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pattern_stats(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per missing pattern n, sum y_t and sum y_t * y_s (s <= t).
 
     These are the sufficient statistics of every one-class normal model on the
-    panel; at most 2^W rows whatever the number of subjects.
+    panel; one row per pattern that occurs, whatever the number of subjects.
     """
     y = [F.coalesce(F.col(c), F.lit(0.0)) for c in cols]
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(y[t]).alias(f"s_{t}") for t in range(len(cols))]
     aggs += [F.sum(y[t] * y[s]).alias(f"ss_{t}_{s}") for t in range(len(cols)) for s in range(t + 1)]
-    return wide.groupBy(presence_mask(cols).alias("mask")).agg(*aggs)
+    return wide.groupBy(presence_text(cols).alias("pattern")).agg(*aggs)
+
+
+def pattern_stats_long(stats: DataFrame, waves: int) -> DataFrame:
+    """A14 as rows: (pattern, n, t, s, value), s NULL for the plain sums."""
+    cells = [f"{t}, CAST(NULL AS INT), s_{t}" for t in range(waves)]
+    cells += [f"{t}, {s}, ss_{t}_{s}" for t in range(waves) for s in range(t + 1)]
+    return stats.selectExpr("pattern", "n", f"stack({len(cells)}, {', '.join(cells)}) AS (t, s, value)")

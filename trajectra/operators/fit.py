@@ -3,8 +3,8 @@
 * M1 ``subject_slopes``: per-subject least squares with Spark's regression aggregates.
 * M2 ``ols`` / ``polynomial_fits``: normal equations from one aggregate of cross
   products; the 3x3 solve is a column expression.
-* M3/M4 ``growth_curve``: one pass of per-pattern sufficient statistics (A14),
-  then EM on the driver over at most 2^W pattern rows (bounded by W, not by data).
+* M3/M4 ``growth_curve``: per-pattern sufficient statistics (A14), then EM on the
+  driver over a bounded number of patterns; beyond it the distributed passes.
 * M6-M8 ``class_growth`` / ``growth_mixture`` / ``multi_start``: EM where every
   step is one narrow pass over the cached wide panel (closed-form E step for all
   classes and starts in the same row) and one partial aggregate whose size is
@@ -14,12 +14,13 @@
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import NamedTuple, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectra.functions import linalg as LA
+from trajectra.operators.joins import checked_broadcast
+from trajectra.session import stage
 
 LN2PI = math.log(2.0 * math.pi)
 
@@ -37,72 +38,99 @@ def subject_slopes(panel: DataFrame, subject: str = "subject", time: str = "wave
 
 # ----------------------------------------------------------------- M2
 
+def _centred_sums(names: Sequence[str], y: str) -> list:
+    """n, and a struct of means (m_i) and centred cross products (s_i_j), with Spark's merging moments."""
+    cols = [*names, y]
+    cells = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
+    cells += [(F.covar_pop(a, b) * F.count(F.lit(1))).alias(f"s_{i}_{j}")
+              for i, a in enumerate(cols) for j, b in enumerate(cols[:i + 1])]
+    return [F.count(F.lit(1)).alias("n"), F.struct(*cells).alias("__s0")]
+
+
+def _cell(i: int, j: int) -> str:
+    return f"s_{max(i, j)}_{min(i, j)}"
+
+
+def _sweep(df: DataFrame, k: int, size: int) -> DataFrame:
+    """One step of the sweep operator on the symmetric matrix in struct ``__s<k>``, pivot k, into ``__s<k+1>``.
+
+    After sweeping the regressors, the last row holds their coefficients and the
+    residual sum of squares, and the block of the regressors minus its inverse.
+    """
+    v = lambda i, j: f"__s{k}.{_cell(i, j)}"
+    d = f"nullif({v(k, k)}, 0.0D)"
+    new = [f"'m_{i}', __s{k}.m_{i}" for i in range(size)]
+    for i in range(size):
+        for j in range(i + 1):
+            if i == k and j == k:
+                e = f"-1.0D / {d}"
+            elif k in (i, j):
+                e = f"{v(i, j)} / {d}"
+            else:
+                e = f"{v(i, j)} - {v(i, k)} * {v(k, j)} / {d}"
+            new.append(f"'{_cell(i, j)}', {e}")
+    return df.selectExpr("*", f"named_struct({', '.join(new)}) AS __s{k + 1}")
+
+
+def _fit_columns(p: int, y: int) -> dict[str, str]:
+    """beta, se and rss from sums swept over the first ``p`` regressors (row ``y`` is the outcome)."""
+    v = lambda i, j: f"__s{p}.{_cell(i, j)}"
+    m = lambda i: f"__s{p}.m_{i}"
+    rss = f"greatest({v(y, y)}, 0.0D)"
+    s2 = f"({rss} / nullif(n - {p + 1}, 0))"
+    out = {"rss": rss, "beta_0": " - ".join([m(y), *[f"{v(y, j)} * {m(j)}" for j in range(p)]])}
+    out.update({f"beta_{j + 1}": v(y, j) for j in range(p)})
+    spread = " + ".join(["1.0D / n", *[f"(-{v(i, j)}) * {m(i)} * {m(j)}" for i in range(p) for j in range(p)]])
+    out["se_0"] = f"sqrt({s2} * ({spread}))"
+    out.update({f"se_{j + 1}": f"sqrt({s2} * (-{v(j, j)}))" for j in range(p)})
+    return out
+
+
 def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """M2: least squares of y on an intercept and up to two regressors, per group.
+    """M2: least squares of y on an intercept and any number of regressors, per group.
 
-    One aggregate of the cross products (partial, map-side), then a 3x3 solve as
-    a column expression.  Returns beta_0.., se_.., t_.., sigma2 (ML), n.
+    One aggregate of centred cross products (partial, map-side; digits are kept on
+    large means), then one projection per regressor.  Returns n, beta_0.., se_..,
+    t_.., rss, sigma2 (ML); coefficients of collinear regressors are NULL.  Rows with
+    a NULL in y or a regressor are left out.
     """
-    xs = list(xs)
-    if len(xs) > 2:
-        raise ValueError("ols supports up to two regressors (3x3 solve)")
-    z = [F.lit(1.0)] + [F.col(c).cast("double") for c in xs]
-    d = len(z)
-    zz = z + [F.lit(0.0)] * (3 - d)
-    data = df.where(F.col(y).isNotNull())
-    for c in xs:
-        data = data.where(F.col(c).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(y) * F.col(y)).alias("Syy")]
-    for a, b in LA.IDX:
-        aggs.append(F.sum(zz[a] * zz[b]).alias(f"G{a}{b}"))
-    for a in range(3):
-        aggs.append(F.sum(zz[a] * F.col(y)).alias(f"g{a}"))
-    s = data.groupBy(*keys).agg(*aggs)
-    # pad unused dimensions with the identity so the 3x3 solve gives beta = 0 there
-    for a in range(d, 3):
-        s = s.withColumn(f"G{a}{a}", F.lit(1.0))
-    return _solve_fit(s, d, keys)
-
-
-def _solve_fit(s: DataFrame, d: int | str, keys: Sequence[str]) -> DataFrame:
-    for stage in LA.sym3_inverse("G", "Gi"):
-        s = s.selectExpr("*", *[f"{v} AS {k}" for k, v in stage.items()])
-    s = s.selectExpr("*", *[f"{v} AS {k}" for k, v in LA.sym3_apply("Gi", lambda c: f"g{c}", "beta_").items()])
-    dim = f"CAST({d} AS DOUBLE)" if isinstance(d, int) else f"CAST({d} AS DOUBLE)"
-    s = s.selectExpr("*", "(Syy - (beta_0 * g0 + beta_1 * g1 + beta_2 * g2)) AS rss")
-    s = s.selectExpr("*", "rss / n AS sigma2", f"rss / (n - {dim}) AS s2_unbiased")
-    s = s.selectExpr("*", *[f"sqrt(s2_unbiased * Gi{a}{a}) AS se_{a}" for a in range(3)])
-    s = s.selectExpr("*", *[f"beta_{a} / se_{a} AS t_{a}" for a in range(3)])
-    return s
+    p = len(xs)
+    names = [f"__x_{i}" for i in range(p)]
+    data = df.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip(xs, names)],
+                     F.col(y).cast("double").alias("__y")).na.drop(subset=[*names, "__y"])
+    s = data.groupBy(*keys).agg(*_centred_sums(names, "__y"))
+    for k in range(p):
+        s = _sweep(s, k, p + 1)
+    s = s.selectExpr(*keys, "n", *[f"{e} AS {c}" for c, e in _fit_columns(p, p).items()])
+    return s.selectExpr("*", "rss / nullif(n, 0) AS sigma2", *[f"beta_{j} / nullif(se_{j}, 0.0D) AS t_{j}" for j in range(p + 1)])
 
 
 def polynomial_fits(panel: DataFrame, keys: Sequence[str], degrees: Sequence[int] = (0, 1, 2),
                     time: str = "wave", y: str = "y") -> DataFrame:
     """Maximum-likelihood polynomial growth curves of y on time per group and degree.
 
-    One aggregate of time powers and cross products per group; each degree is a
-    padded 3x3 solve.  ll = -n/2 (ln 2 pi + ln sigma2 + 1), parameters = degree + 2
-    (coefficients and the residual variance).
+    One aggregate of centred products of the powers of time per group; sweeping
+    one more power gives the next degree.  ll = -n/2 (ln 2 pi + ln sigma2 + 1),
+    parameters = degree + 2 (coefficients and the residual variance).
     """
+    top = max(degrees)
     t = F.col(time).cast("double")
-    data = panel.where(F.col(y).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(y) * F.col(y)).alias("Syy")]
-    aggs += [F.sum(F.pow(t, k)).alias(f"St{k}") for k in range(5)]
-    aggs += [F.sum(F.pow(t, k) * F.col(y)).alias(f"Sy{k}") for k in range(3)]
-    s = data.groupBy(*keys).agg(*aggs)
-    s = s.withColumn("degree", F.explode(F.array(*[F.lit(int(d)) for d in degrees])))
-    sel = {}
-    for a, b in LA.IDX:
-        used = f"(degree >= {a} AND degree >= {b})"
-        diag = "1.0" if a == b else "0.0"
-        sel[f"G{a}{b}"] = f"CASE WHEN {used} THEN St{a + b} ELSE {diag} END"
-    for a in range(3):
-        sel[f"g{a}"] = f"CASE WHEN degree >= {a} THEN Sy{a} ELSE 0.0 END"
-    s = s.selectExpr(*keys, "degree", "n", "Syy", *[f"{v} AS {k}" for k, v in sel.items()])
-    s = _solve_fit(s, "degree + 1", keys)
-    return s.selectExpr(*keys, "degree", "n", "beta_0", "beta_1", "beta_2", "sigma2",
-                        *[f"CASE WHEN degree >= {a} THEN se_{a} END AS se_{a}" for a in range(3)],
-                        f"-0.5 * n * ({LN2PI!r} + ln(sigma2) + 1.0) AS ll", "CAST(degree + 2 AS INT) AS parameters")
+    names = [f"__x_{k}" for k in range(top)]
+    data = panel.where(F.col(y).isNotNull()).select(
+        *keys, *[F.pow(t, F.lit(k + 1)).alias(n) for k, n in enumerate(names)], F.col(y).cast("double").alias("__y"))
+    s = data.groupBy(*keys).agg(*_centred_sums(names, "__y"))
+    for k in range(top):
+        s = _sweep(s, k, top + 1)
+    terms = range(max(top, 2) + 1)
+    fits = []
+    for degree in degrees:
+        cols = _fit_columns(degree, top)
+        fits.append("named_struct(" + ", ".join(
+            [f"'degree', {degree}", *[f"'beta_{a}', {cols.get(f'beta_{a}', '0.0D')}" for a in terms],
+             f"'sigma2', {cols['rss']} / n", *[f"'se_{a}', {cols.get(f'se_{a}', 'CAST(NULL AS DOUBLE)')}" for a in terms]]) + ")")
+    s = s.selectExpr(*keys, "n", f"explode(array({', '.join(fits)})) AS f").select(*keys, "n", "f.*")
+    return s.selectExpr(*keys, "degree", "n", *[f"beta_{a}" for a in terms], "sigma2", *[f"se_{a}" for a in terms],
+                        f"-0.5D * n * ({LN2PI!r}D + ln(sigma2) + 1.0D) AS ll", "CAST(degree + 2 AS INT) AS parameters")
 
 
 def with_scaling(fits: DataFrame, panel: DataFrame, keys: Sequence[str], time: str = "wave",
@@ -111,20 +139,32 @@ def with_scaling(fits: DataFrame, panel: DataFrame, keys: Sequence[str], time: s
 
     For a normal polynomial fit the mean coefficients keep a factor of 1 and the
     residual variance gets (m4 / sigma^4 - 1) / 2 (m4 = mean fourth power of the
-    residuals); the model factor is their average over the parameters.  The fits
-    are joined back to the rows on the group keys (one row per group and degree;
-    AQE broadcasts it from its measured size) for the one extra pass.
+    residuals); the model factor is their average over the parameters.  The fits of
+    a group meet its rows as one array (broadcast after a count), so no row is
+    multiplied or exchanged by group for the one extra pass.
     """
+    fits = stage(fits, "fits")
+    betas = [c for c in fits.columns if c.startswith("beta_")]
+    sets = fits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("degree", *betas))).alias("__f"))   # a row per degree
     t = F.col(time).cast("double")
-    r = (panel.where(F.col(y).isNotNull())
-         .join(fits.select(*keys, "degree", "beta_0", "beta_1", "beta_2"), list(keys))
-         .select(*keys, "degree",
-                 (F.col(y) - (F.col("beta_0") + F.col("beta_1") * t + F.col("beta_2") * t * t)).alias("r")))
-    m4 = r.groupBy(*keys, "degree").agg(F.avg(F.pow(F.col("r"), 4)).alias("m4"))
-    out = fits.join(m4, list(keys) + ["degree"], "left")
+    rows = panel.where(F.col(y).isNotNull()).select(*keys, t.alias("__t"), F.col(y).alias("__y"))
+    rows = rows.join(checked_broadcast(sets.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__f")),
+                     [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+
+    def curve(i: int):
+        out = F.lit(0.0)
+        for a in range(len(betas) - 1, -1, -1):
+            out = out * F.col("__t") + F.col("__f")[i][f"beta_{a}"]
+        return out
+    degrees = sorted(r["degree"] for r in fits.select("degree").distinct().collect())       # a few numbers
+    m = rows.groupBy(*keys).agg(*[F.avg(F.pow(F.col("__y") - curve(i), 4)).alias(f"__m4_{i}") for i in range(len(degrees))])
+    m = m.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.explode(F.array(*[
+        F.struct(F.lit(d).alias("__d"), F.col(f"__m4_{i}").alias("m4")) for i, d in enumerate(degrees)])).alias("__m"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("degree") == F.col("__m.__d")]
+    out = fits.join(m, on, "left")
     return out.withColumn(
-        "scaling", ((F.col("parameters") - 1) + (F.col("m4") / (F.col("sigma2") * F.col("sigma2")) - 1) / 2.0)
-        / F.col("parameters")).drop("m4")
+        "scaling", ((F.col("parameters") - 1) + (F.col("__m.m4") / (F.col("sigma2") * F.col("sigma2")) - 1) / 2.0)
+        / F.col("parameters")).drop("__m", *[f"__k_{k}" for k in keys])
 
 
 # ================================================================= EM machinery
@@ -154,37 +194,44 @@ def design(times: Sequence[float]) -> np.ndarray:
     return np.stack([np.ones_like(t), t, t * t], axis=1)
 
 
+def patterns_of(Y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct missing patterns of a batch (P, W, bool) and each row's pattern."""
+    packed = np.packbits(~np.isnan(Y), axis=1)
+    distinct, inv = np.unique(packed, axis=0, return_inverse=True)
+    return np.unpackbits(distinct, axis=1, count=Y.shape[1]).astype(bool), inv.ravel()
+
+
 def estep_batch(Y: np.ndarray, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.ndarray,
-                lnpi: np.ndarray):
+                lnpi: np.ndarray, patterns: tuple | None = None):
     """Closed-form E step for a batch of subjects and one group.
 
     Y (n, W) with NaN for missing; a (K, 3); th (K, W); psi (K, 3, 3); lnpi (K,).
-    Returns ll (n,), post (n, K), b (n, K, 3), D (n, K, 3, 3).
+    Returns ll (n,), post (n, K), b (n, K, 3), D (P, K, 3, 3).  Determinants and
+    random-effect covariances depend only on (class, missing pattern): they are solved
+    once per pattern, not per subject.
     """
-    O = ~np.isnan(Y)
+    Op, inv = patterns if patterns is not None else patterns_of(Y)
+    O = Op[inv]
     Yz = np.where(O, Y, 0.0)
     n, W = Y.shape
     K = a.shape[0]
+    P = len(Op)
     logf = np.empty((n, K))
     b = np.empty((n, K, 3))
-    D = np.empty((n, K, 3, 3))
-    nobs = O.sum(1)
+    D = np.empty((P, K, 3, 3))
+    nobs = Op.sum(1)
     ZZ = (Z[:, :, None] * Z[:, None, :]).reshape(W, 9)     # z_t z_t' flattened
     for k in range(K):
-        m = Z @ a[k]
-        w = O / th[k]
-        e = (Yz - m) * O
-        G = (w @ ZZ).reshape(n, 3, 3)
-        g = (e * w) @ Z
-        C = (e * e * w).sum(1)
-        L = O @ np.log(th[k])
+        G = ((Op / th[k]) @ ZZ).reshape(P, 3, 3)
         M = np.eye(3)[None] + np.matmul(psi[k][None], G)
-        det = np.linalg.det(M)
-        Dk = np.linalg.solve(M, np.broadcast_to(psi[k], (n, 3, 3)))
-        bk = np.matmul(Dk, g[:, :, None])[:, :, 0]
-        logf[:, k] = -0.5 * (nobs * LN2PI + L + np.log(det) + C - (g * bk).sum(1))
+        D[:, k] = np.linalg.solve(M, np.broadcast_to(psi[k], (P, 3, 3)))
+        fixed = nobs * LN2PI + Op @ np.log(th[k]) + np.log(np.linalg.det(M))
+        e = (Yz - Z @ a[k]) * O
+        ew = e / th[k]
+        g = ew @ Z
+        bk = np.matmul(D[:, k][inv], g[:, :, None])[:, :, 0]
+        logf[:, k] = -0.5 * (fixed[inv] + (e * ew).sum(1) - (g * bk).sum(1))
         b[:, k] = bk
-        D[:, k] = Dk
     lp = logf + lnpi[None]
     mx = lp.max(1)
     ll = mx + np.log(np.exp(lp - mx[:, None]).sum(1))
@@ -192,28 +239,28 @@ def estep_batch(Y: np.ndarray, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi
     return ll, post, b, D
 
 
-def msums_batch(Y: np.ndarray, Z: np.ndarray, post: np.ndarray, b: np.ndarray, D: np.ndarray) -> dict:
+def msums_batch(Y: np.ndarray, Z: np.ndarray, post: np.ndarray, b: np.ndarray, D: np.ndarray,
+                patterns: tuple | None = None) -> dict:
     """M-step sums of a batch for one group: per class k and wave t
     sw = sum p [obs], sy = sum p (y - z'b) [obs], syy = sum p ((y - z'b)^2 + z'Dz) [obs];
     per class sp = sum p, sbb = sum p (b b' + D)."""
-    O = ~np.isnan(Y)
+    Op, inv = patterns if patterns is not None else patterns_of(Y)
+    O = Op[inv]
     Yz = np.where(O, Y, 0.0)
     K = post.shape[1]
     W = Y.shape[1]
     sw = np.empty((K, W)); sy = np.empty((K, W)); syy = np.empty((K, W))
     sbb = np.empty((K, 3, 3)); sp = post.sum(0)
-    n = Y.shape[0]
     ZZ = (Z[:, :, None] * Z[:, None, :]).reshape(W, 9)
     for k in range(K):
-        p = post[:, k][:, None]
+        p = post[:, k]
+        mass = np.bincount(inv, weights=p, minlength=len(Op))         # posterior mass by pattern
         r = (Yz - b[:, k] @ Z.T) * O
-        Dk = D[:, k].reshape(n, 9)
-        zdz = Dk @ ZZ.T
-        sw[k] = (p * O).sum(0)
-        sy[k] = (p * r).sum(0)
-        syy[k] = (p * (r * r + zdz * O)).sum(0)
-        bb = (b[:, k][:, :, None] * b[:, k][:, None, :]).reshape(n, 9) + Dk
-        sbb[k] = (post[:, k] @ bb).reshape(3, 3)
+        Dk = D[:, k].reshape(len(Op), 9)
+        sw[k] = mass @ Op
+        sy[k] = p @ r
+        syy[k] = p @ (r * r) + mass @ ((Dk @ ZZ.T) * Op)
+        sbb[k] = (b[:, k] * p[:, None]).T @ b[:, k] + (mass @ Dk).reshape(3, 3)
     return {"sw": sw, "sy": sy, "syy": syy, "sbb": sbb, "sp": sp}
 
 
@@ -222,79 +269,69 @@ def _pack(params: list[dict]) -> dict:
             "psi": np.stack([p["psi"] for p in params]), "pi": np.stack([p["pi"] for p in params])}
 
 
-EM_SCHEMA = "group int, class int, slot int, value double"
-
-
 def _slots(W: int) -> dict[str, slice]:
     """Layout of one (group, class) statistics vector: sw, sy, syy (W each), sbb (9), sp, ll."""
     return {"sw": slice(0, W), "sy": slice(W, 2 * W), "syy": slice(2 * W, 3 * W),
             "sbb": slice(3 * W, 3 * W + 9), "sp": slice(3 * W + 9, 3 * W + 10), "ll": slice(3 * W + 10, 3 * W + 11)}
 
 
-def em_pass(wide: DataFrame, ycols: Sequence[str], times: Sequence[float], params: list[dict]) -> dict:
+FEW_PARTS = 16              # partial sums of up to this many partitions are added on the driver
+
+
+class Prepared(NamedTuple):
+    """The EM input: a cached table and its number of partitions."""
+    table: DataFrame
+    parts: int
+
+
+def em_pass(panel: Prepared, ycols: Sequence[str], times: Sequence[float], params: list[dict]) -> dict:
     """One EM pass over the panel for all groups: returns summed M-step statistics.
 
     ``mapInPandas`` runs the closed-form E step vectorised over each Arrow batch
-    for every group and class and emits its partial sums as (group, class, slot,
-    value) rows; a grouped sum reduces them in Spark, so the driver receives a
-    fixed groups x classes x (3W + 11) numbers.
+    for every group and class and emits the partition's sums.  A few partitions send
+    theirs to the driver; the sums of many are first added up in Spark by (group,
+    class, slot), so the driver receives a fixed groups x classes x (3W + 11) numbers.
     """
     from trajectra.session import ship_package
-    ship_package(wide.sparkSession)
+    ship_package(panel.table.sparkSession)
     Z = design(times)
     P = _pack(params)
     G, K = P["a"].shape[0], P["a"].shape[1]
     cols = list(ycols)
+    W = len(cols)
+    sl = _slots(W)
+    few = panel.parts <= FEW_PARTS
 
     def run(batches):
-        acc = None
-        ll_acc = np.zeros(G)
+        acc = np.zeros((G, K, 3 * W + 11))
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             Y = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
+            pats = patterns_of(Y)
             for gi in range(G):
-                th = np.broadcast_to(P["th"][gi], (K, len(cols)))
-                ll, post, b, D = estep_batch(Y, Z, P["a"][gi], th, P["psi"][gi], np.log(P["pi"][gi]))
-                s = msums_batch(Y, Z, post, b, D)
-                ll_acc[gi] += ll.sum()
-                if acc is None:
-                    acc = [None] * G
-                if acc[gi] is None:
-                    acc[gi] = s
-                else:
-                    for key in s:
-                        acc[gi][key] = acc[gi][key] + s[key]
-        if acc is None:
-            return
-        W_ = len(cols)
-        sl = _slots(W_)
-        out_g, out_k, out_s, out_v = [], [], [], []
-        for gi in range(G):
-            if acc[gi] is None:
-                continue
-            for k in range(K):
-                vec = np.zeros(3 * W_ + 11)
-                vec[sl["sw"]] = acc[gi]["sw"][k]
-                vec[sl["sy"]] = acc[gi]["sy"][k]
-                vec[sl["syy"]] = acc[gi]["syy"][k]
-                vec[sl["sbb"]] = acc[gi]["sbb"][k].ravel()
-                vec[sl["sp"]] = acc[gi]["sp"][k]
-                vec[sl["ll"]] = ll_acc[gi] if k == 0 else 0.0
-                out_g += [gi] * len(vec); out_k += [k] * len(vec)
-                out_s += list(range(len(vec))); out_v += vec.tolist()
-        yield pd.DataFrame({"group": np.array(out_g, dtype="int32"), "class": np.array(out_k, dtype="int32"),
-                            "slot": np.array(out_s, dtype="int32"), "value": np.array(out_v, dtype=float)})
-
-    # partial sums are reduced by Spark (map-side combined), so the driver receives
-    # groups x classes x (3W + 11) numbers whatever the number of partitions
-    parts = (wide.select(*cols).mapInPandas(run, EM_SCHEMA)
-             .groupBy("group", "class", "slot").agg(F.sum("value").alias("value")).collect())
-    W = len(cols)
-    sl = _slots(W)
-    vecs = np.zeros((G, K, 3 * W + 11))
-    for r in parts:
-        vecs[r["group"], r["class"], r["slot"]] = r["value"]
+                th = np.broadcast_to(P["th"][gi], (K, W))
+                ll, post, b, D = estep_batch(Y, Z, P["a"][gi], th, P["psi"][gi], np.log(P["pi"][gi]), pats)
+                s = msums_batch(Y, Z, post, b, D, pats)
+                for key in ("sw", "sy", "syy"):
+                    acc[gi, :, sl[key]] += s[key]
+                acc[gi, :, sl["sbb"]] += s["sbb"].reshape(K, 9)
+                acc[gi, :, sl["sp"]] += s["sp"][:, None]
+                acc[gi, 0, sl["ll"]] += ll.sum()
+        if few:
+            yield pd.DataFrame({"sums": [acc.tobytes()]})
+        else:
+            yield pd.DataFrame({"cell": np.arange(acc.size), "value": acc.ravel()})
+
+    rows = panel.table.select(*cols)
+    if few:
+        vecs = sum(np.frombuffer(r["sums"]) for r in rows.mapInPandas(run, "sums binary").collect())
+    else:
+        sums = rows.mapInPandas(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        vecs = np.zeros(G * K * (3 * W + 11))
+        for r in sums.collect():
+            vecs[r["cell"]] = r["value"]
+    vecs = np.asarray(vecs, dtype=float).reshape(G, K, 3 * W + 11)
     return {"sw": vecs[:, :, sl["sw"]], "sy": vecs[:, :, sl["sy"]], "syy": vecs[:, :, sl["syy"]],
             "sbb": vecs[:, :, sl["sbb"]].reshape(G, K, 3, 3), "sp": vecs[:, :, sl["sp"]][:, :, 0],
             "ll": vecs[:, 0, sl["ll"]][:, 0]}
@@ -468,72 +505,116 @@ def from_vec(v: np.ndarray, K: int, W: int, factors: Sequence[int], free_re: Seq
 
 
 def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter: int, tol: float,
-            history: list) -> tuple[list[dict], int]:
+            history: list) -> tuple[list[dict], int, np.ndarray]:
     """SQUAREM-accelerated EM (Varadhan and Roland, 2008) over several groups at once.
 
-    ``step(ps) -> (F(ps), ll(ps))`` is one EM map for all groups (one pass over
-    the data).  A cycle costs three passes: two EM steps, an extrapolation
+    ``step(ps) -> (F(ps), ll(ps))`` is one EM map for the groups it is given (one
+    pass over the data).  A cycle costs three passes: two EM steps, an extrapolation
     along them and a stabilising EM step from the extrapolated point; when that
     point's likelihood falls below the plain step's, the plain two-step result is
-    kept, so the likelihood never decreases.
+    kept, so the likelihood never decreases.  Each group stops by itself: once its
+    likelihood has settled, or is not finite, later passes leave it out.
+
+    Returns the parameters, the passes, and which groups have settled.
     """
     evals = 0
-    prev = None
-    while evals < max_iter:
-        p1, ll0 = step(params)
+    params = list(params)
+    prev = np.full(len(params), np.nan)
+    shown = np.full(len(params), -np.inf)
+    settled = np.zeros(len(params), dtype=bool)
+    going = np.ones(len(params), dtype=bool)
+    while evals < max_iter and going.any():
+        at = np.flatnonzero(going)
+        p0 = [params[g] for g in at]
+        p1, ll0 = step(p0)
         p2, ll1 = step(p1)
         evals += 2
-        history.extend([ll0.copy(), ll1.copy()])
         ext = []
-        for g in range(len(params)):
-            v0, v1, v2 = to_vec(params[g]), to_vec(p1[g]), to_vec(p2[g])
+        for i in range(len(at)):
+            v0, v1, v2 = to_vec(p0[i]), to_vec(p1[i]), to_vec(p2[i])
+            if not np.isfinite([v0, v1, v2]).all():
+                ext.append(p2[i])
+                continue
             r = v1 - v0
             d = v2 - 2 * v1 + v0
             nr, nd = np.sqrt(r @ r), np.sqrt(d @ d)
             alpha = -nr / nd if nd > 0 else -1.0
             alpha = min(alpha, -1.0)
-            ext.append(from_vec(v0 - 2 * alpha * r + alpha * alpha * d, K, W, factors, free_re))
+            e = from_vec(v0 - 2 * alpha * r + alpha * alpha * d, K, W, factors, free_re)
+            ext.append(e if all(np.isfinite(x).all() for x in e.values()) else p2[i])
         p3, ll_ext = step(ext)
         evals += 1
-        params = [p3[g] if (np.isfinite(ll_ext[g]) and ll_ext[g] >= ll1[g]) else p2[g]
-                  for g in range(len(params))]
-        cur = np.maximum(np.where(np.isfinite(ll_ext), ll_ext, -np.inf), ll1)
-        if prev is not None and np.all(np.abs(cur - prev) <= tol * np.maximum(1.0, np.abs(cur))):
-            break
-        prev = cur
-    return params, evals
+        for ll in (ll0, ll1):
+            shown[at] = np.where(np.isfinite(ll), ll, shown[at])
+            history.append(shown.copy())
+        for i, g in enumerate(at):
+            better = np.isfinite(ll_ext[i]) and ll_ext[i] >= ll1[i]
+            params[g] = p3[i] if better else p2[i]
+            cur = ll_ext[i] if better else ll1[i]
+            if not np.isfinite(cur):
+                going[g] = False
+            elif abs(cur - prev[g]) <= tol * max(1.0, abs(cur)):
+                settled[g], going[g] = True, False
+            prev[g] = cur
+    return params, evals, settled
+
+
+def prepare_panel(wide: DataFrame, ycols: Sequence[str], subject: str = "subject") -> Prepared:
+    """The EM input: subject + outcome columns, staged in the checkpoint folder
+    (lineage cut; lost executors re-read it rather than recompute the shuffle)
+    and cached for the many passes.  A small panel is spread over few partitions, as
+    a pass over it is mostly task overhead; a large one over all the cluster's cores
+    and more, so that a partition stays small."""
+    table = stage(wide.select(subject, *ycols), "panel")
+    rows = table.count()
+    parts = max(1, min(wide.sparkSession.sparkContext.defaultParallelism, rows // 2_000), rows // 500_000)
+    return Prepared(table.repartition(parts).persist(), parts)
 
 
-def prepare_panel(wide: DataFrame, ycols: Sequence[str], subject: str = "subject") -> DataFrame:
-    """The EM input: subject + outcome columns, written to the checkpoint folder
-    (lineage cut; lost executors re-read it rather than recompute the shuffle)
-    and cached for the many passes.  It is spread over at least as many
-    partitions as the cluster runs tasks at once, so every pass uses every core."""
-    sc = wide.sparkSession.sparkContext
-    n = max(sc.defaultParallelism, wide.rdd.getNumPartitions())
-    return wide.select(subject, *ycols).repartition(n).checkpoint(eager=True).persist()
+def _structure(restriction: str | None, factors: Sequence[int]):
+    return (tuple(factors), False) if restriction is None else RESTRICTION_SPEC[restriction]
+
+
+def em_steps(wide: DataFrame, ycols: Sequence[str], restriction: str | None, start_params: list[dict], steps: int,
+             factors: Sequence[int] = (0, 1, 2), shared_residual: bool = False,
+             times: Sequence[float] | None = None) -> tuple[list[dict], np.ndarray]:
+    """A fixed number of plain EM steps from given parameters, for all starts at once.
+
+    Returns the parameters after the last step and each start's log-likelihood
+    at the parameters before it.
+    """
+    times = list(times) if times is not None else list(range(len(ycols)))
+    free_re, per_class = _structure(restriction, factors)
+    panel, params, ll = prepare_panel(wide, ycols), list(start_params), None
+    for _ in range(steps):
+        s = em_pass(panel, ycols, times, params)
+        params = [mstep(s, g, params[g], design(times), factors, free_re, per_class, shared_residual)
+                  for g in range(len(params))]
+        ll = s["ll"]
+    panel.table.unpersist()
+    return params, ll
 
 
 def fit_em(wide: DataFrame, ycols: Sequence[str], K: int, restriction: str | None,
            factors: Sequence[int] = (0, 1, 2), shared_residual: bool = False,
-           times: Sequence[float] | None = None, n_starts: int = 1, keep: int = 1,
-           stage1_iter: int = 10, max_iter: int = 500, tol: float = 1e-9, seed: int = 0,
-           start_params: list[dict] | None = None, prepared: bool = False) -> dict:
+           times: Sequence[float] | None = None, n_starts: int = 100, keep: int = 20,
+           stage1_iter: int = 10, max_iter: int = 500, tol: float = 1e-7, seed: int = 0,
+           start_params: list[dict] | None = None) -> dict:
     """M6/M7/M8: EM for class growth / growth mixtures with multiple starts.
 
     Stage 1 runs ``n_starts`` starts for ``stage1_iter`` steps in the same passes;
-    the best ``keep`` continue to convergence (|delta LL| <= tol * |LL|) or
-    ``max_iter`` passes.
-    Returns the best fit, the final LL of every kept start and the LL history.
+    the best ``keep`` continue until each has settled (|delta LL| <= tol * |LL|) or
+    ``max_iter`` passes are done.  Starts whose likelihood is not finite are dropped.
+
+    Returns the best fit (params, ll, converged), the final LL of every kept start
+    and whether it settled (start_lls, start_converged), best_replicated (another
+    start ends at the same LL to three decimals), passes and the LL history.
     """
     times = list(times) if times is not None else list(range(len(ycols)))
     Z = design(times)
-    if restriction is None:
-        free_re, per_class = tuple(factors), False
-    else:
-        free_re, per_class = RESTRICTION_SPEC[restriction]
-    panel = wide if prepared else prepare_panel(wide, ycols)
-    params = start_params or start_values(panel, ycols, K, n_starts, seed, factors, free_re)
+    free_re, per_class = _structure(restriction, factors)
+    panel = prepare_panel(wide, ycols)
+    params = start_params or start_values(panel.table, ycols, K, n_starts, seed, factors, free_re)
 
     def step(ps):
         s = em_pass(panel, ycols, times, ps)
@@ -541,20 +622,25 @@ def fit_em(wide: DataFrame, ycols: Sequence[str], K: int, restriction: str | Non
         return new, s["ll"]
 
     history = []
-    ll = None
-    for _ in range(stage1_iter if len(params) > keep else 0):
-        params, ll = step(params)
-        history.append(ll.copy())
-    if ll is not None and len(params) > keep:
-        order = np.argsort(-ll)[:keep]
-        params = [params[i] for i in order]
-    params, it = squarem(step, params, K, len(ycols), factors, free_re, max_iter, tol, history)
+    if len(params) > keep:
+        ll = np.full(len(params), -np.inf)
+        for _ in range(stage1_iter):
+            params, ll = step(params)
+            history.append(ll.copy())
+        order = [i for i in np.argsort(-np.where(np.isfinite(ll), ll, -np.inf), kind="stable") if np.isfinite(ll[i])]
+        if not order:
+            raise ValueError("no start has a finite log-likelihood")
+        params = [params[i] for i in order[:keep]]
+    params, passes, settled = squarem(step, params, K, len(ycols), factors, free_re, max_iter, tol, history)
     # ll was evaluated at the parameters before the last M step: one more E pass for the final LL
     final = em_pass(panel, ycols, times, params)["ll"]
-    best = int(np.argmax(final))
-    if not prepared:
-        panel.unpersist()
-    return {"params": params[best], "ll": float(final[best]), "start_lls": final.tolist(), "iterations": it,
+    panel.table.unpersist()
+    if not np.isfinite(final).any():
+        raise ValueError("no start has a finite log-likelihood")
+    best = int(np.nanargmax(np.where(np.isfinite(final), final, np.nan)))
+    return {"params": params[best], "ll": float(final[best]), "converged": bool(settled[best]),
+            "best_replicated": bool((np.round(final, 3) == np.round(final[best], 3)).sum() >= 2),
+            "start_lls": final.tolist(), "start_converged": settled.tolist(), "iterations": passes,
             "all_params": params, "history": history}
 
 
@@ -573,8 +659,7 @@ def count_parameters(K: int, factors: Sequence[int], restriction: str | None, sh
 def _pattern_arrays(rows, W):
     pats = []
     for r in rows:
-        mask = int(r["mask"])
-        obs = [t for t in range(W) if mask >> t & 1]
+        obs = [t for t in range(W) if r["pattern"][t] == "x"]
         if not obs:
             continue
         n = float(r["n"])
@@ -643,9 +728,21 @@ def _lgca_em(pats, W, Z, factors, shared_residual, max_iter, tol):
         return [new], np.array([ll])
 
     history: list = []
-    p, it = squarem(step, p, 1, W, fi, fi, max_iter, tol, history)
+    p, it, settled = squarem(step, p, 1, W, fi, fi, max_iter, tol, history)
     _, ll = _lgca_step(pats, W, Z, fi, shared_residual, p[0])
-    return {"a": p[0]["a"][0], "th": p[0]["th"], "psi": p[0]["psi"][0], "ll": ll, "iterations": it}
+    return {"a": p[0]["a"][0], "th": p[0]["th"], "psi": p[0]["psi"][0], "ll": ll, "iterations": it,
+            "converged": bool(settled[0])}
+
+
+MAX_PATTERNS = 5_000        # missing patterns whose sums the driver takes in
+
+
+def _pattern_sums(wide: DataFrame, ycols: Sequence[str]):
+    """Sums per missing pattern on the driver, or None when more patterns occur than it takes in."""
+    from trajectra.operators.describe import missing_patterns, pattern_stats
+    if missing_patterns(wide, ycols).limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
+        return None
+    return _pattern_arrays(pattern_stats(wide, ycols).collect(), len(ycols))
 
 
 def growth_curve(wide: DataFrame, ycols: Sequence[str], factors: Sequence[int] = (0, 1),
@@ -654,25 +751,42 @@ def growth_curve(wide: DataFrame, ycols: Sequence[str], factors: Sequence[int] =
     """M3/M4: one-class latent growth curve (random i | i s | i s q, residuals
     equal or free per wave) by maximum likelihood.
 
-    The data is read once: A14 gives n, sums and cross products per missing
-    pattern (at most 2^W rows, bounded by the number of waves); EM then runs on
-    the driver over those pattern matrices only.
+    A14 gives n, sums and cross products per missing pattern, and EM runs on the
+    driver over those matrices only.  A panel with more than ``MAX_PATTERNS``
+    patterns is fitted by the distributed passes of ``fit_em`` instead.
     """
-    from trajectra.operators.describe import pattern_stats
     W = len(ycols)
     times = list(times) if times is not None else list(range(W))
-    if W > 16:
-        raise ValueError("pattern statistics need at most 16 waves (2^W patterns)")
-    rows = pattern_stats(wide, ycols).collect()
-    pats = _pattern_arrays(rows, W)
-    Z = design(times)
-    fit = _lgca_em(pats, W, Z, factors, shared_residual, max_iter, tol)
-    n = int(sum(n for _, n, _, _ in pats))
-    fit["n"] = n
+    pats = _pattern_sums(wide, ycols)
+    if pats is None:
+        f = fit_em(wide, ycols, 1, None, factors, shared_residual, times, n_starts=1, keep=1, max_iter=max_iter, tol=tol)
+        fit = {"a": f["params"]["a"][0], "th": f["params"]["th"], "psi": f["params"]["psi"][0], "ll": f["ll"],
+               "iterations": f["iterations"], "converged": f["converged"], "n": wide.count()}
+    else:
+        fit = _lgca_em(pats, W, design(times), factors, shared_residual, max_iter, tol)
+        fit["n"] = int(sum(n for _, n, _, _ in pats))
     fit["parameters"] = count_parameters(1, factors, None, shared_residual, W)
     return fit
 
 
+def growth_curve_steps(wide: DataFrame, ycols: Sequence[str], start: dict, steps: int, factors: Sequence[int] = (0, 1),
+                       shared_residual: bool = False, times: Sequence[float] | None = None) -> tuple[dict, float]:
+    """A fixed number of plain EM steps of ``growth_curve`` from given parameters (a, th, psi, pi).
+
+    Returns the parameters after the last step and the log-likelihood before it.
+    """
+    W = len(ycols)
+    Z = design(list(times) if times is not None else list(range(W)))
+    pats = _pattern_sums(wide, ycols)
+    if pats is None:
+        params, ll = em_steps(wide, ycols, None, [start], steps, factors, shared_residual, times)
+        return params[0], float(ll[0])
+    ll = None
+    for _ in range(steps):
+        start, ll = _lgca_step(pats, W, Z, list(factors), shared_residual, start)
+    return start, ll
+
+
 def params_frame(spark, fit: dict, K: int, W: int, group: str = "fit"):
     """Fitted parameters as a long parameter table (group, class, a0.., th_t.., p.., lnpi)."""
     from trajectra.functions.mixed import IDX

@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajectra.operators.joins import checked_broadcast
+
 # Model families of the reference's three grids.
 #   growth curve (one class): factors i | i s | i s q; residuals constrained or not
 #   class growth: restrictions iq@0 (no random effect) and sq@0 (random intercept)
@@ -26,9 +28,10 @@ RESTRICTIONS = ["iq@0", "sq@0", " q@0", "c. i", "c.is"]
 def cross_grid(*lists: DataFrame) -> DataFrame:
     """Cross product of iterator lists (each a small DataFrame of one column).
 
-    Every list is a bounded configuration list; the product is the model count.
+    Every list is a configuration list; the product is the model count.  A list is
+    broadcast after its rows are counted.
     """
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), lists)
+    return reduce(lambda a, b: a.crossJoin(checked_broadcast(b)), lists)
 
 
 def free_parameters(n_factors: Column, n_classes: Column, restriction: Column,

@@ -1,5 +1,6 @@
 """Joins (J1-J4).  Lookups are plain equi-joins: Catalyst (and AQE, from measured
-sizes) chooses broadcast-hash or sort-merge; nothing is broadcast on faith."""
+sizes) chooses broadcast-hash or sort-merge; nothing is broadcast on faith
+(``checked_broadcast`` counts first)."""
 
 from __future__ import annotations
 
@@ -9,6 +10,20 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajectra.session import stage
+
+
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` marked for broadcast if it has at most ``limit`` rows, and as it is beyond that.
+
+    The table is staged first, so the count and the join compute it once.
+    """
+    small = stage(small, "small")
+    return F.broadcast(small) if small.count() <= limit else small
+
 
 def left_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left equi-join on one or more keys (NULL keys never match, as SQL)."""

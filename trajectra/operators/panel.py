@@ -13,29 +13,27 @@ from typing import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajectra.session import stage
+
 # --------------------------------------------------------------------------- W1
 
 
 def number_visits(df: DataFrame, subject: str | Sequence[str], order: Sequence[str],
-                  name: str = "wave", max_wave: int | None = None) -> DataFrame:
-    """0-based visit number within subject.
-
-    ``order`` must make the order total (add a tie-break key).  With
-    ``max_wave`` the filter sits directly on ``row_number`` so Catalyst plans a
-    partial ``WindowGroupLimit`` before the shuffle: each map task forwards at most
-    ``max_wave + 1`` rows per subject, which bounds the shuffle and the largest
-    window group even when one subject holds a third of all rows.  Without a
-    cap the numbering is ``number_within`` (global sort, no single-task group).
+                  name: str = "wave") -> DataFrame:
+    """0-based visit number within subject, over all visits.
+
+    ``order`` must make the order total (add a tie-break key).  See
+    ``number_within`` for subjects with very many visits.
     """
     keys = [subject] if isinstance(subject, str) else list(subject)
-    ordering = [F.col(c).asc_nulls_last() for c in order]
-    rn = "__rn"
-    if max_wave is None:
-        out = number_within(df, keys, ordering, rn)
-    else:
-        w = Window.partitionBy(*keys).orderBy(*ordering)
-        out = df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= max_wave + 1)
-    return out.withColumn(name, (F.col(rn) - 1).cast("int")).drop(rn)
+    out = number_within(df, keys, [F.col(c).asc_nulls_last() for c in order], "__rn")
+    return out.withColumn(name, (F.col("__rn") - 1).cast("int")).drop("__rn")
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key group (0 for an empty table): one map-side combined count."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.agg(F.max("__n")).first()[0] or 0
 
 
 # --------------------------------------------------------------------------- V1-V4
@@ -212,12 +210,11 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "id")
 
     The rows are range-sorted across partitions, tagged with
     ``monotonically_increasing_id`` (partition id in the high bits, position in
-    the low bits) and written to the checkpoint folder so the tags are stable.
+    the low bits) and staged in the checkpoint folder so the tags are stable.
     A table of one count per partition (bounded by the partition count, not by
     the data) gives each partition its offset; it is the only thing broadcast.
     """
-    ranked = (df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    ranked = stage(df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id()), "ranked")
     pid = (F.col("__mid") / F.lit(1 << 33)).cast("long")
     counts = ranked.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
@@ -230,36 +227,49 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "id")
             .drop("__pid", "__off", "__mid"))
 
 
+HOT_ROWS = 1_000_000        # a key group above this many rows is not numbered in one task
+
+
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                  name: str = "rn") -> DataFrame:
-    """1-based row number within each key group, without putting a group in one task.
-
-    Rows are range-sorted on (keys, order) over all partitions and numbered
-    globally (``dense_index``); a hot key is therefore split across many
-    partitions.  Each group's first number is a partial (map-side combined)
-    aggregate, joined back null-safely on the keys -- a join AQE may broadcast
-    or split on skew -- and the row number is the difference.
+                  name: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """1-based row number within each key group (NULL keys group together).
+
+    Groups of up to ``hot_rows`` rows are numbered by one window: one exchange of
+    the data.  The rows of larger groups are split off and range-sorted on (keys,
+    order) over all partitions instead, numbered as a whole (``dense_index``), and
+    shifted by their group's first number.  There are at most rows / ``hot_rows``
+    such groups, which bounds what is broadcast.
     """
     keys = list(keys)
-    idx = dense_index(df, [F.col(k).asc_nulls_first() for k in keys] + list(order), "__gidx")
-    first = idx.groupBy(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)]).agg(
-        F.min("__gidx").alias("__first"))
-    cond = reduce(lambda a, b: a & b, [idx[k].eqNullSafe(first[f"__k_{i}"]) for i, k in enumerate(keys)])
-    out = idx.join(first, cond, "inner")
-    return (out.withColumn(name, (F.col("__gidx") - F.col("__first") + 1).cast("int"))
-            .drop("__gidx", "__first", *[f"__k_{i}" for i in range(len(keys))]))
+    if largest_group(df, keys) <= hot_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int"))
+    alias = [f"__k_{i}" for i in range(len(keys))]
+    hot = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, alias)]).agg(
+        F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n").withColumn("__hot", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, alias)])
+    marked = df.join(F.broadcast(hot), same, "left").drop(*alias)
+    cold = marked.where(F.col("__hot").isNull()).drop("__hot")
+    cold = cold.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int"))
+    idx = dense_index(marked.where(F.col("__hot")).drop("__hot"),
+                      [F.col(k).asc_nulls_first() for k in keys] + list(order), "__gidx")
+    first = idx.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, alias)]).agg(F.min("__gidx").alias("__first"))
+    out = idx.join(F.broadcast(first), same)
+    out = out.withColumn(name, (F.col("__gidx") - F.col("__first") + 1).cast("int")).drop("__gidx", "__first", *alias)
+    return cold.unionByName(out)
 
 
 def surrogate_id(df: DataFrame, keys: Sequence[str], name: str = "id",
                  order: Sequence[Column | str] | None = None) -> DataFrame:
-    """Dense 1-based id over distinct keys, joined back.
+    """Dense 1-based id over distinct keys, joined back (NULL keys get an id too).
 
-    Only the distinct keys are numbered (``dense_index``); the id table is joined
-    back on the key and AQE picks broadcast or sort-merge from its measured size.
+    Only the distinct keys are numbered (``dense_index``); the id table is
+    broadcast when it is small, so the data is not exchanged on a few keys.
     """
+    from trajectra.operators.joins import checked_broadcast, left_null_safe
     order = list(order) if order is not None else [F.col(k).asc_nulls_last() for k in keys]
     ids = dense_index(df.select(*keys).distinct(), order, name)
-    return df.join(ids, on=list(keys), how="left")
+    ids = ids.select(*[F.col(k).alias(f"__id_{k}") for k in keys], name)
+    return left_null_safe(df, checked_broadcast(ids), [(k, f"__id_{k}") for k in keys])
 
 
 # --------------------------------------------------------------------------- O*, U*
@@ -272,9 +282,9 @@ def sort_missing_last(df: DataFrame, keys: Sequence[str], descending: Sequence[b
                         for k, d in zip(keys, descending)])
 
 
-def head(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+def head(df: DataFrame, keys: Sequence[str], n: int, descending: Sequence[bool] | None = None) -> DataFrame:
     """O2: first n rows in key order (TakeOrderedAndProject: top-n per task, then merged)."""
-    return sort_missing_last(df, keys).limit(n)
+    return sort_missing_last(df, keys, descending).limit(n)
 
 
 def stack(*dfs: DataFrame) -> DataFrame:
@@ -292,9 +302,7 @@ def append_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
 
 def number_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                     name: str = "n_in_group") -> DataFrame:
-    """Row number within a group of identical key vectors (NULL keys group together).
-
-    Skew-safe: see ``number_within`` (a hot vector is not one task)."""
+    """Row number within a group of identical key vectors (NULL keys group together)."""
     return number_within(df, keys, order, name)
 
 
@@ -315,6 +323,4 @@ def ordered_id(df: DataFrame, col: str, custom_order: Sequence, name: str = "ord
     expression (no join); numbering runs over the distinct values only.
     """
     from trajectra.functions.columns import list_rank
-    ids = dense_index(df.select(col).distinct(),
-                      [list_rank(F.col(col), custom_order).asc(), F.col(col).asc_nulls_last()], name)
-    return df.join(ids, on=col, how="left")
+    return surrogate_id(df, [col], name, [list_rank(F.col(col), custom_order).asc(), F.col(col).asc_nulls_last()])

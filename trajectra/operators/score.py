@@ -1,12 +1,12 @@
 """Scoring subjects into latent trajectory classes.
 
-Layout: the wide panel (one row per subject, y_0..y_{W-1}) meets a parameter
-table with one row per *group* (a model, or a start of a model) carrying every
-class's parameters as suffixed columns (``a0_1, th_0_1, p00_1, lnpi_1, ...``).
-The join is against a broadcast table whose row count is checked (it is bounded
-by models x starts, never by the data).  All class log-likelihoods, posteriors
-and random-effect posteriors of a subject are then column expressions of its one
-row: no window, no sort and no shuffle in the E step.
+A long panel (subject, wave, y) meets a parameter table with one row per *group*
+(a model, or a start of a model) that carries every class's parameters: means and
+random-effect covariances as suffixed columns (``a0_1, p00_1, lnpi_1, ...``),
+residual variances as one array per class.  The visits of a subject are summed to
+a handful of numbers per class in one map-side combined aggregate, whatever the
+number of waves; likelihoods, posteriors and random-effect posteriors are then
+column expressions of the subject's one row.
 """
 
 from __future__ import annotations
@@ -14,102 +14,97 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions import mixed as X
+from trajectra.operators.joins import checked_broadcast
 
-MAX_PARAM_ROWS = 100_000     # broadcast bound for parameter tables (groups x classes)
-
-
-def check_small(df: DataFrame, limit: int = MAX_PARAM_ROWS, what: str = "parameter table") -> int:
-    """Count a configuration table and refuse to broadcast it above ``limit`` rows."""
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{what} has {n} rows, above the broadcast bound {limit}")
-    return n
+MAX_PARAM_ROWS = 100_000     # parameter tables are broadcast up to this many rows (groups)
 
 
 def sfx(k: int):
     return lambda s: f"{s}_{k}"
 
 
+SCALARS = ["a0", "a1", "a2"] + [f"p{a}{b}" for a, b in X.IDX] + ["lnpi"]
+
+
 def widen_params(params: DataFrame, K: int, W: int, group: str = "group") -> DataFrame:
-    """Long parameters (group, class, a0.., th_t.., p.., lnpi) -> one row per group."""
-    cols = X.param_columns(W)
+    """Long parameters (group, class, a0.., th_t.., p.., lnpi) -> one row per group, th_k an array over waves."""
+    th = params.select("*", F.array(*[F.col(f"th_{t}").cast("double") for t in range(W)]).alias("__th"))
     aggs = [F.max(F.when(F.col("class") == k, F.col(c).cast("double"))).alias(f"{c}_{k}")
-            for k in range(1, K + 1) for c in cols]
-    return params.groupBy(group).agg(*aggs)
+            for k in range(1, K + 1) for c in SCALARS]
+    aggs += [F.max(F.when(F.col("class") == k, F.col("__th"))).alias(f"th_{k}") for k in range(1, K + 1)]
+    return th.groupBy(group).agg(*aggs)
 
 
-def expand_classes(wide: DataFrame, params_wide: DataFrame, param_rows: int | None = None) -> DataFrame:
-    """Every subject meets every group's parameters (size-checked broadcast).
+def expand_classes(panel: DataFrame, params_wide: DataFrame) -> DataFrame:
+    """Every visit meets every group's parameters.
 
-    The parameter side is bounded by models x starts; it is counted (or its
-    driver-side size passed in) and refused above ``MAX_PARAM_ROWS``.
+    The parameter side is bounded by models x starts; it is broadcast up to
+    ``MAX_PARAM_ROWS`` groups, and crossed without a broadcast beyond.
     """
-    n = check_small(params_wide) if param_rows is None else param_rows
-    if n > MAX_PARAM_ROWS:
-        raise ValueError(f"parameter table has {n} rows, above {MAX_PARAM_ROWS}")
-    return wide.crossJoin(F.broadcast(params_wide))
+    return panel.crossJoin(checked_broadcast(params_wide, MAX_PARAM_ROWS))
 
 
-def class_posteriors(wide: DataFrame, params: DataFrame, ycols: Sequence[str],
-                     times: Sequence[float] | None = None, K: int | None = None,
-                     group: str = "group", params_are_wide: bool = False,
-                     param_rows: int | None = None) -> DataFrame:
-    """M5 core: one row per (subject, group) with, for each class k,
+def n_classes(params: DataFrame) -> int:
+    return int(params.agg(F.max("class")).first()[0])
+
+
+def panel_posteriors(panel: DataFrame, params: DataFrame, W: int, times: Sequence[float] | None = None,
+                     K: int | None = None, subject: str = "subject", wave: str = "wave", y: str = "y",
+                     group: str = "group") -> DataFrame:
+    """M5 core on a long panel: one row per (subject, group) with, for each class k,
     logf_k, b0_k..b2_k, D.._k, posterior post_k, and ll (the subject's mixture
     log-likelihood) and most_likely (W7: argmax, ties to the lowest class).
 
-    ``params`` is long (group, class, ...) unless ``params_are_wide``; pass
-    ``param_rows`` when the table was built on the driver and its size is known.
+    ``params`` is long: (group, class, a0.., th_0..th_{W-1}, p.., lnpi).
     """
-    W = len(ycols)
-    times = list(times) if times is not None else list(range(W))
-    if K is None:
-        K = int(params.agg(F.max("class")).first()[0])
-    pw = params if params_are_wide else widen_params(params, K, W, group)
-    if param_rows is None:
-        param_rows = check_small(pw)
-    x = expand_classes(wide, pw, param_rows if param_rows is not None else -1)
-    return posterior_columns(x, ycols, times, K)
-
-
-def posterior_columns(x: DataFrame, ycols: Sequence[str], times: Sequence[float], K: int) -> DataFrame:
-    """Add the closed-form E-step columns to rows that carry y_t and class parameters.
-
-    One projection per algebra stage for all classes at once, so the plan stays
-    shallow (a handful of Project nodes) whatever K is.
+    K = K or n_classes(params)
+    times = [float(t) for t in times] if times is not None else [float(t) for t in range(W)]
+    x = panel.select(subject, F.col(wave).alias("__w"), F.col(y).cast("double").alias("__y"),
+                     F.element_at(F.array(*[F.lit(t) for t in times]), F.col(wave) + 1).alias("__t"))
+    x = expand_classes(x, widen_params(params, K, W, group))
+    x = x.withColumns({f"__th_{k}": F.element_at(f"th_{k}", F.col("__w") + 1) for k in range(1, K + 1)})
+    sums = {}
+    for k in range(1, K + 1):
+        sums.update(X.visit_stats("__y", "__t", f"__th_{k}", sfx(k)))
+    x = x.groupBy(subject, group).agg(*[F.expr(v).alias(c) for c, v in sums.items()],
+                                      *[F.first(f"{c}_{k}").alias(f"{c}_{k}") for k in range(1, K + 1) for c in SCALARS])
+    return posterior_columns(x, K)
+
+
+def class_posteriors(wide: DataFrame, params: DataFrame, ycols: Sequence[str],
+                     times: Sequence[float] | None = None, K: int | None = None,
+                     subject: str = "subject", group: str = "group") -> DataFrame:
+    """``panel_posteriors`` on a wide panel; a subject without any value keeps a row."""
+    long = wide.select(subject, F.posexplode(F.array(*[F.col(c).cast("double") for c in ycols])).alias("wave", "y"))
+    return panel_posteriors(long, params, len(ycols), times, K, subject, "wave", "y", group)
+
+
+def posterior_columns(x: DataFrame, K: int) -> DataFrame:
+    """Add the closed-form E-step columns to rows with each class's sums and parameters.
+
+    Each algebra stage is one struct for all classes, unpacked by ``inline``: every
+    term is computed once, and as generated columns carry no equalities with the
+    expressions behind them, the optimizer has none of them to propagate.
     """
-    def add(df, exprs: dict[str, str]):
-        return df.selectExpr("*", *[f"{v} AS {k}" for k, v in exprs.items()])
-
-    x.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    stages = [X.wide_stats(ycols, times, sfx(k)) for k in range(1, K + 1)]
-    for i in range(len(stages[0])):
-        merged = {}
-        for k in range(K):
-            merged.update(stages[k][i])
-        x = add(x, merged)
-    x = x.drop(*[h for k in range(1, K + 1) for h in X.stage_helpers(len(ycols), sfx(k))])
-    per_class = [X.solve_stages(sfx(k)) for k in range(1, K + 1)]
-    for i in range(len(per_class[0])):
-        merged = {}
-        for k in range(K):
-            merged.update(per_class[k][i])
-        x = add(x, merged)
-    helpers = [h for k in range(1, K + 1) for h in X.helper_columns(sfx(k))]
-    x = x.drop(*helpers)
-    lp = {f"lp_{k}": f"(logf_{k} + lnpi_{k})" for k in range(1, K + 1)}
-    x = add(x, lp)
-    mx = "lp_1" if K == 1 else "greatest(" + ", ".join(f"lp_{k}" for k in range(1, K + 1)) + ")"
-    x = add(x, {"__m": mx})
-    x = add(x, {"ll": "(__m + ln(" + " + ".join(f"exp(lp_{k} - __m)" for k in range(1, K + 1)) + "))"})
-    ml = "CASE " + " ".join(f"WHEN lp_{k} = __m THEN {k}" for k in range(1, K + 1)) + " END"
-    x = add(x, {**{f"post_{k}": f"exp(lp_{k} - ll)" for k in range(1, K + 1)},
-                "most_likely": f"CAST({ml} AS INT)"})
-    return x.drop("__m")
+    stages: list[dict[str, str]] = []
+    for k in range(1, K + 1):
+        for i, stage in enumerate(X.solve_stages(sfx(k))):
+            if len(stages) <= i:
+                stages.append({})
+            stages[i].update(stage)
+    ks = range(1, K + 1)
+    stages.append({f"lp_{k}": f"(logf_{k} + lnpi_{k})" for k in ks})
+    stages.append({"__top": "lp_1" if K == 1 else "greatest(" + ", ".join(f"lp_{k}" for k in ks) + ")"})
+    stages.append({"ll": "(__top + ln(" + " + ".join(f"exp(lp_{k} - __top)" for k in ks) + "))"})
+    stages.append({**{f"post_{k}": f"exp(lp_{k} - ll)" for k in ks},
+                   "most_likely": "CAST(CASE " + " ".join(f"WHEN lp_{k} = __top THEN {k}" for k in ks) + " END AS INT)"})
+    for stage in stages:
+        x = x.selectExpr("*", "inline(array(named_struct(" + ", ".join(f"'{c}', {e}" for c, e in stage.items()) + ")))")
+    return x.drop("__top", *[h for k in ks for h in X.helper_columns(sfx(k))])
 
 
 def to_scores(post: DataFrame, K: int, subject: str = "subject", group: str = "group",
@@ -125,10 +120,8 @@ def to_scores(post: DataFrame, K: int, subject: str = "subject", group: str = "g
 def score(wide: DataFrame, params: DataFrame, ycols: Sequence[str], times=None, K: int | None = None,
           subject: str = "subject", group: str = "group") -> DataFrame:
     """M5: scores(subject, group, class, posterior, most_likely, ll, logf, b*, a*)."""
-    if K is None:
-        K = int(params.agg(F.max("class")).first()[0])
-    post = class_posteriors(wide, params, ycols, times, K, group)
-    return to_scores(post, K, subject, group)
+    K = K or n_classes(params)
+    return to_scores(class_posteriors(wide, params, ycols, times, K, subject, group), K, subject, group)
 
 
 # ----------------------------------------------------------------- A8-A12
@@ -252,8 +245,18 @@ def trajectory_table(params: DataFrame, scores: DataFrame, times: Sequence[float
                        [group, "class"], "left")
 
 
-def attach_class(df: DataFrame, scores: DataFrame, subject: str = "subject", group: str = "group") -> DataFrame:
-    """Most likely class back to any table keyed by subject (left join on the id)."""
-    ml = scores.where(F.col("class") == F.col("most_likely")).select(
-        F.col(subject), F.col(group), F.col("class").alias("most_likely"), F.col("posterior").alias("ml_posterior"))
-    return df.join(ml, subject, "left")
+def attach_class(df: DataFrame, scores: DataFrame, model=None, subject: str = "subject",
+                 group: str = "group") -> DataFrame:
+    """Most likely class back to any table keyed by subject (left join on the id).
+
+    ``model`` names the group to take.  Without it the scores must be of one model:
+    a subject with several is an error when the result is computed, as rows would
+    fan out.
+    """
+    ml = scores.where(F.col("class") == F.col("most_likely"))
+    if model is not None:
+        ml = ml.where(F.col(group) == model)
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several models score a subject: name one"))).otherwise(F.lit(True))
+    ml = ml.groupBy(subject).agg(F.first(group).alias(group), F.first("class").alias("most_likely"),
+                                 F.first("posterior").alias("ml_posterior"), one.alias("__one"))
+    return df.join(ml.where("__one").drop("__one"), subject, "left")

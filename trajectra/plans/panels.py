@@ -1,9 +1,11 @@
-"""Panels built from the driver's tables.
+"""Panels built from the driver's tables, over all visits.
 
 Panel P (orders): subject = o_custkey, wave = visit number by (o_orderdate,
-o_orderkey) from 0, kept for waves 0..8, y = o_totalprice / 10000.
+o_orderkey) from 0, y = o_totalprice / 10000.
 Panel E (events): subject = user_id, outcome = event_type, wave by (ts, event_id)
-within (user_id, event_type), kept for waves 0..8, y = value.
+within (user_id, event_type), y = value.
+
+The number of waves W is that of the subject with the most visits.
 """
 
 from __future__ import annotations
@@ -11,35 +13,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectra.operators.panel import number_visits, to_wide
-
-W = 9                       # waves 0..8
-WAVES = list(range(W))
-Y_COLS = [f"y_{t}" for t in WAVES]
+from trajectra.operators.panel import largest_group, number_visits, to_wide
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def panel_p(spark: SparkSession, sf_dir: str, waves: int = W) -> DataFrame:
+def waves_p(spark: SparkSession, sf_dir: str) -> int:
+    """W of panel P, from one count per subject."""
+    return largest_group(table(spark, sf_dir, "orders"), ["o_custkey"])
+
+
+def waves_e(spark: SparkSession, sf_dir: str) -> int:
+    """W of panel E."""
+    return largest_group(table(spark, sf_dir, "events"), ["user_id", "event_type"])
+
+
+def panel_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long panel P: (subject, wave, y, order_date)."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    p = number_visits(o, "o_custkey", ["o_orderdate", "o_orderkey"], "wave", max_wave=waves - 1)
+    p = number_visits(o, "o_custkey", ["o_orderdate", "o_orderkey"], "wave")
     return p.select(F.col("o_custkey").alias("subject"), "wave",
                     (F.col("o_totalprice") / 10000.0).alias("y"),
                     F.col("o_orderdate").alias("order_date"))
 
 
-def wide_p(spark: SparkSession, sf_dir: str, waves: int = W) -> DataFrame:
+def wide_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide panel P: subject, y_0..y_{W-1}."""
-    return to_wide(panel_p(spark, sf_dir, waves), "subject", "wave", ["y"], list(range(waves)))
+    return to_wide(panel_p(spark, sf_dir), "subject", "wave", ["y"], list(range(waves_p(spark, sf_dir))))
 
 
-def panel_e(spark: SparkSession, sf_dir: str, waves: int = W) -> DataFrame:
+def y_cols(wide: DataFrame) -> list[str]:
+    return [c for c in wide.columns if c.startswith("y_")]
+
+
+def panel_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long panel E: (subject, outcome, wave, y)."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    p = number_visits(e, ["user_id", "event_type"], ["ts", "event_id"], "wave", max_wave=waves - 1)
+    p = number_visits(e, ["user_id", "event_type"], ["ts", "event_id"], "wave")
     return p.select(F.col("user_id").alias("subject"), F.col("event_type").alias("outcome"),
                     "wave", F.col("value").alias("y"))
 
@@ -47,25 +59,18 @@ def panel_e(spark: SparkSession, sf_dir: str, waves: int = W) -> DataFrame:
 # SQL twins of the panels (DuckDB views named as the driver's tables).
 PANEL_P_SQL = """
 panel_p AS (
-  SELECT o_custkey AS subject, CAST(rn - 1 AS INTEGER) AS wave, o_totalprice / 10000.0 AS y,
-         o_orderdate AS order_date
-  FROM (SELECT o_custkey, o_totalprice, o_orderdate,
-               row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
-        FROM orders) t
-  WHERE rn <= 9
-)"""
-
-WIDE_P_SQL = PANEL_P_SQL + """,
-wide_p AS (
-  SELECT subject, """ + ", ".join(f"max(CASE WHEN wave = {t} THEN y END) AS y_{t}" for t in WAVES) + """
-  FROM panel_p GROUP BY subject
-)"""
+  SELECT o_custkey AS subject, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS wave,
+         o_totalprice / 10000.0 AS y, o_orderdate AS order_date
+  FROM orders)"""
+
+
+def wide_p_sql(value: str = "y", prefix: str = "y_") -> str:
+    """Wide panel P with an expression of y in each cell; its columns follow from the data."""
+    return f"(PIVOT (SELECT subject, '{prefix}' || wave AS c, {value} AS v FROM panel_p) ON c USING max(v) GROUP BY subject)"
+
 
 PANEL_E_SQL = """
 panel_e AS (
-  SELECT user_id AS subject, event_type AS outcome, CAST(rn - 1 AS INTEGER) AS wave, value AS y
-  FROM (SELECT user_id, event_type, value,
-               row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn
-        FROM events) t
-  WHERE rn <= 9
-)"""
+  SELECT user_id AS subject, event_type AS outcome,
+         CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS INTEGER) AS wave, value AS y
+  FROM events)"""

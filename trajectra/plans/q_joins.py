@@ -8,7 +8,7 @@ from trajectra.functions import columns as C
 from trajectra.operators import fit as FT
 from trajectra.operators import grid as G
 from trajectra.operators import joins as J
-from trajectra.plans.panels import PANEL_E_SQL, WAVES, WIDE_P_SQL, W, panel_e, table, wide_p
+from trajectra.plans.panels import PANEL_E_SQL, PANEL_P_SQL, panel_e, table, waves_e, wide_p, y_cols
 from trajectra.plans.registry import query
 
 
@@ -40,22 +40,33 @@ def j2_left_two_keys(spark, sf):
     return out.select("subject", "outcome", "wave", _r(F.col("slope")).alias("slope"))
 
 
-KCOLS = [f"k_{t}" for t in WAVES]
-
-
-@query("j3_left_null_safe", sql="WITH" + WIDE_P_SQL + """,
-v AS (SELECT subject, """ + ", ".join(f"floor(y_{t} / 10.0) AS k_{t}" for t in WAVES) + """ FROM wide_p),
-ids AS (SELECT """ + ", ".join(KCOLS) + """, min(subject) AS vector_id FROM v GROUP BY ALL)
-SELECT v.subject, ids.vector_id FROM v LEFT JOIN ids ON """ + " AND ".join(
-    f"v.k_{t} IS NOT DISTINCT FROM ids.k_{t}" for t in WAVES))
+@query("j3_left_null_safe", sql="WITH" + PANEL_P_SQL + """,
+v AS (SELECT subject, list(floor(y / 10.0) ORDER BY wave) AS k FROM panel_p GROUP BY subject)
+SELECT subject, min(subject) OVER (PARTITION BY k) AS vector_id FROM v""")
 def j3_left_null_safe(spark, sf):
-    """Subjects matched to their (coarsened, nullable) score vector on nine keys; missing matches missing."""
-    v = wide_p(spark, sf).select("subject", *[F.floor(F.col(f"y_{t}") / 10.0).alias(f"k_{t}") for t in WAVES])
-    ids = v.groupBy(*KCOLS).agg(F.min("subject").alias("vector_id"))
-    out = J.left_null_safe(v, ids, [(k, k) for k in KCOLS])
+    """Subjects matched to their (coarsened, nullable) score vector on one key per wave; missing matches missing."""
+    w = wide_p(spark, sf)
+    keys = [c.replace("y_", "k_") for c in y_cols(w)]
+    v = w.select("subject", *[F.floor(F.col(c) / 10.0).alias(k) for c, k in zip(y_cols(w), keys)])
+    ids = v.groupBy(*keys).agg(F.min("subject").alias("vector_id"))
+    out = J.left_null_safe(v, ids, [(k, k) for k in keys])
     return out.select("subject", "vector_id")
 
 
+@query("w2_j3_j4_score_vectors", sql="WITH" + PANEL_P_SQL + """,
+v AS (SELECT subject, max(floor(y / 10.0)) FILTER (wave = 0) AS k0, max(floor(y / 10.0)) FILTER (wave = 3) AS k3 FROM panel_p GROUP BY subject)
+SELECT subject, k0, k3, CAST(dense_rank() OVER (ORDER BY k0 NULLS LAST, k3 NULLS LAST) AS BIGINT) AS vector_id,
+       CAST(row_number() OVER (PARTITION BY k0, k3 ORDER BY subject) AS INTEGER) AS n_in_vector FROM v""")
+def w2_j3_j4_score_vectors(spark, sf):
+    """Score vectors as one pipeline: unique vectors numbered, joined back null-safely, and the number within the vector."""
+    from trajectra.operators import panel as P
+    w = wide_p(spark, sf)
+    v = w.select("subject", F.floor(F.col("y_0") / 10.0).cast("double").alias("k0"),
+                 F.floor(F.col("y_3") / 10.0).cast("double").alias("k3"))
+    ids = P.surrogate_id(v, ["k0", "k3"], "vector_id")
+    return P.number_in_group(ids, ["k0", "k3"], ["subject"], "n_in_vector")
+
+
 @query("j4_assert_unique", sql="""
 SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_distinct FROM orders GROUP BY o_custkey
 HAVING count(DISTINCT o_orderpriority) > 1""")
@@ -94,10 +105,12 @@ def model_grid(spark, sf):
                   ["outcome", "restriction", "n_classes"])
     grid = growth.unionByName(cls).unionByName(mix)
     return grid.withColumn("parameters", G.free_parameters(F.col("n_factors"), F.col("n_classes"),
-                                                           F.col("restriction"), F.col("shared_residual"), W))
+                                                           F.col("restriction"), F.col("shared_residual"),
+                                                           waves_e(spark, sf)))
 
 
 GRID_SQL = f"""WITH o AS (SELECT DISTINCT event_type AS outcome FROM events),
+w AS (SELECT max(n) AS waves FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type) c),
 growth AS (
   SELECT outcome, 'lgca' AS family, degree, CAST(NULL AS VARCHAR) AS restriction, 1 AS n_classes, shared_residual,
          degree + 1 AS n_factors,
@@ -119,7 +132,7 @@ g AS (SELECT *, CAST(n_classes * n_factors
          + CASE WHEN restriction IS NULL THEN n_factors * (n_factors + 1) / 2 WHEN restriction = 'iq@0' THEN 0
                 WHEN restriction = 'sq@0' THEN 1 WHEN restriction = ' q@0' THEN 3
                 WHEN restriction = 'c. i' THEN n_classes + 2 WHEN restriction = 'c.is' THEN 3 * n_classes END
-         + CASE WHEN shared_residual THEN 1 ELSE {W} END + n_classes - 1 AS INTEGER) AS parameters FROM grid)
+         + CASE WHEN shared_residual THEN 1 ELSE (SELECT waves FROM w) END + n_classes - 1 AS INTEGER) AS parameters FROM grid)
 """
 
 

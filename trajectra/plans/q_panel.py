@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 from trajectra.functions import columns as C
 from trajectra.operators import describe as D
 from trajectra.operators import panel as P
-from trajectra.plans.panels import (PANEL_E_SQL, PANEL_P_SQL, WAVES, WIDE_P_SQL, Y_COLS, panel_e,
-                                    panel_p, table, wide_p)
+from trajectra.plans.panels import PANEL_E_SQL, PANEL_P_SQL, panel_e, panel_p, table, wide_p, wide_p_sql, y_cols
 from trajectra.plans.registry import query
 
 R = 4  # decimals kept for computed doubles in both twins
 
 
 def _r(c, d=R):
-    return F.round(c, d)
+    return F.round(c, d) + F.lit(0.0)   # + 0.0 turns a rounded -0.0 into 0.0
 
 
 # ------------------------------------------------------------------ W1, P1, P2
 
 @query("w1_visit_number", sql="WITH" + PANEL_P_SQL + " SELECT subject, wave, y FROM panel_p")
 def w1_visit_number(spark, sf):
-    """Visit number within subject on panel P (partial group limit before the shuffle)."""
+    """Visit number within subject on panel P, all visits (one exchange)."""
     return panel_p(spark, sf).select("subject", "wave", "y")
 
 
@@ -52,51 +51,46 @@ def p1_p2_derived_time(spark, sf):
 
 # ------------------------------------------------------------------ V1, V3, V4, P4, P6, P7, F5
 
-@query("v1_to_wide", sql="WITH" + WIDE_P_SQL + " SELECT * FROM wide_p")
+@query("v1_to_wide", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql()}")
 def v1_to_wide(spark, sf):
-    """Long panel P to one row per subject with y_0..y_8."""
+    """Long panel P to one row per subject with one column per wave."""
     return wide_p(spark, sf)
 
 
-@query("v3_to_long_all", sql="WITH" + WIDE_P_SQL + """
-SELECT subject, variable, value FROM (
-  UNPIVOT wide_p ON """ + ", ".join(Y_COLS) + """ INTO NAME variable VALUE value)""")
+@query("v3_to_long_all", sql="WITH" + PANEL_P_SQL + """
+SELECT subject, 'y_' || wave AS variable, y AS value FROM panel_p WHERE y IS NOT NULL""")
 def v3_to_long_all(spark, sf):
     """Every wave column back to long (NULL cells dropped, as unpivot does)."""
     return P.to_long(wide_p(spark, sf), ["subject"]).where(F.col("value").isNotNull())
 
 
-@query("v4_to_long_some", sql="WITH" + WIDE_P_SQL + """
-SELECT subject, variable, value FROM (
-  UNPIVOT wide_p ON y_0, y_1, y_2 INTO NAME variable VALUE value)""")
+@query("v4_to_long_some", sql="WITH" + PANEL_P_SQL + """
+SELECT subject, 'y_' || wave AS variable, y AS value FROM panel_p WHERE y IS NOT NULL AND wave < 3""")
 def v4_to_long_some(spark, sf):
     """Three chosen wave columns to long."""
     return P.to_long(wide_p(spark, sf), ["subject"], ["y_0", "y_1", "y_2"]).where(F.col("value").isNotNull())
 
 
-@query("p4_p6_rename_generated", sql="WITH" + WIDE_P_SQL + " SELECT subject, " +
-       ", ".join(f"round(y_{t} * 10000.0, 2) AS price_{t}" for t in WAVES) + " FROM wide_p")
+@query("p4_p6_rename_generated", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql('round(y * 10000.0, 2)', 'price_')}")
 def p4_p6_rename_generated(spark, sf):
     """Select by prefix, then one expression over many columns with generated names."""
     w = P.pick_prefix(wide_p(spark, sf), "y_", keep=["subject"])
-    return P.map_columns(w, Y_COLS, lambda c: F.round(c * 10000.0, 2), [f"price_{t}" for t in WAVES])
+    return P.map_columns(w, y_cols(w), lambda c: F.round(c * 10000.0, 2), [c.replace("y_", "price_") for c in y_cols(w)])
 
 
-@query("p7_sentinel_to_null", sql="WITH" + WIDE_P_SQL + " SELECT subject, " +
-       ", ".join(f"CASE WHEN floor(y_{t}) = 20 THEN NULL ELSE floor(y_{t}) END AS y_{t}" for t in WAVES)
-       + " FROM wide_p")
+@query("p7_sentinel_to_null", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql('nullif(floor(y), 20)')}")
 def p7_sentinel_to_null(spark, sf):
     """A sentinel (here the whole value 20) becomes NULL in every wave column."""
     w = wide_p(spark, sf)
-    w = w.select("subject", *[F.floor(F.col(c)).cast("double").alias(c) for c in Y_COLS])
-    return P.sentinel_to_null(w, Y_COLS, 20)
+    w = w.select("subject", *[F.floor(F.col(c)).cast("double").alias(c) for c in y_cols(w)])
+    return P.sentinel_to_null(w, y_cols(w), 20)
 
 
-@query("f5_keep_present", sql="WITH" + WIDE_P_SQL + " SELECT * FROM wide_p WHERE " +
-       " AND ".join(f"y_{t} IS NOT NULL" for t in range(5)))
+@query("f5_keep_present", sql="WITH" + PANEL_P_SQL + f"""
+SELECT * FROM {wide_p_sql()} WHERE subject IN (SELECT subject FROM panel_p WHERE wave < 5 AND y IS NOT NULL GROUP BY subject HAVING count(*) = 5)""")
 def f5_keep_present(spark, sf):
     """Subjects present at waves 0..4."""
-    return P.keep_present(wide_p(spark, sf), Y_COLS[:5])
+    return P.keep_present(wide_p(spark, sf), [f"y_{t}" for t in range(5)])
 
 
 # ------------------------------------------------------------------ P3, P5, P8, P9, P12-P14, P16, P17, P11
@@ -156,13 +150,13 @@ def p11_p12_parse_ids(spark, sf):
                     C.digits(F.col("p_brand")).try_cast("int").alias("brand_no"))
 
 
-@query("p13_unite", sql="WITH" + WIDE_P_SQL + " SELECT subject, concat_ws(',', " +
-       ", ".join(f"CAST(floor(y_{t}) AS BIGINT)" for t in WAVES) + ") AS visits FROM wide_p")
+@query("p13_unite", sql="WITH" + PANEL_P_SQL + """
+SELECT subject, string_agg(CAST(CAST(floor(y) AS BIGINT) AS VARCHAR), ',' ORDER BY wave) AS visits FROM panel_p GROUP BY subject""")
 def p13_unite(spark, sf):
     """Join the wave values of a subject to text, skipping missing waves."""
     w = wide_p(spark, sf)
-    w = w.select("subject", *[F.floor(F.col(c)).cast("long").alias(c) for c in Y_COLS])
-    return P.unite(w, "visits", Y_COLS, sep=",", remove=True)
+    w = w.select("subject", *[F.floor(F.col(c)).cast("long").alias(c) for c in y_cols(w)])
+    return P.unite(w, "visits", y_cols(w), sep=",", remove=True)
 
 
 @query("p14_p16_constant_key", sql="""
@@ -261,7 +255,7 @@ SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderk
 def o2_head(spark, sf):
     """Top 10 orders by price: the limit is the feature."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return o.orderBy(F.col("o_totalprice").desc(), F.col("o_orderkey").asc()).limit(10)
+    return P.head(o, ["o_totalprice", "o_orderkey"], 10, [True, False])
 
 
 @query("u1_stack", sql="""
@@ -291,9 +285,9 @@ def u2_append_rows(spark, sf):
 
 # ------------------------------------------------------------------ W2, W3, W6
 
-@query("w2_number_in_group", sql="WITH" + WIDE_P_SQL + """
-SELECT subject, CAST(row_number() OVER (PARTITION BY floor(y_0), floor(y_1) ORDER BY subject) AS INTEGER) AS n_in_group
-FROM wide_p""")
+@query("w2_number_in_group", sql="WITH" + PANEL_P_SQL + """,
+v AS (SELECT subject, max(floor(y)) FILTER (wave = 0) AS k0, max(floor(y)) FILTER (wave = 1) AS k1 FROM panel_p GROUP BY subject)
+SELECT subject, CAST(row_number() OVER (PARTITION BY k0, k1 ORDER BY subject) AS INTEGER) AS n_in_group FROM v""")
 def w2_number_in_group(spark, sf):
     """Row number within groups of identical (floored) score vectors; NULLs group together."""
     w = wide_p(spark, sf).select("subject", F.floor("y_0").alias("k0"), F.floor("y_1").alias("k1"))
@@ -337,19 +331,15 @@ def a2_frequency(spark, sf):
     return f.select("quality", "n", _r(F.col("pct")).alias("pct"), _r(F.col("valid_pct")).alias("valid_pct"))
 
 
-def _moments_sql(src: str) -> str:
-    m = D.moment_exprs()
-    rounded = [f"round({e.rsplit(' AS ', 1)[0]}, 4) AS {e.rsplit(' AS ', 1)[-1]}" for e in m]
-    return f"""
-SELECT wave, n, {', '.join(rounded)} FROM (
-  SELECT wave, CAST(sum(c) AS BIGINT) AS n, sum(c * y) AS s1, sum(c * y * y) AS s2, sum(c * y * y * y) AS s3,
-         sum(c * y * y * y * y) AS s4, min(y) AS min, max(y) AS max,
-         arg_min(c, y) AS n_min, arg_max(c, y) AS n_max
-  FROM (SELECT wave, y, count(*) AS c FROM {src} WHERE y IS NOT NULL GROUP BY wave, y) v
-  GROUP BY wave) s"""
-
-
-@query("a3_wave_moments", sql="WITH" + PANEL_P_SQL + _moments_sql("panel_p"))
+@query("a3_wave_moments", sql="WITH" + PANEL_P_SQL + """,
+c AS (SELECT wave, y - avg(y) OVER (PARTITION BY wave) AS d, y, avg(y) OVER (PARTITION BY wave) AS mean,
+             min(y) OVER (PARTITION BY wave) AS lo, max(y) OVER (PARTITION BY wave) AS hi FROM panel_p WHERE y IS NOT NULL),
+m AS (SELECT wave, count(*) AS n, any_value(mean) AS mean, avg(d * d) AS v, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4,
+             any_value(lo) AS lo, any_value(hi) AS hi, count(*) FILTER (y = lo) AS n_lo, count(*) FILTER (y = hi) AS n_hi
+      FROM c GROUP BY wave)
+SELECT wave, n, round(mean, 4) AS mean, round(v, 4) AS variance, CASE WHEN v > 0 THEN round(m3 / power(v, 1.5), 4) + 0.0 END AS skewness,
+       CASE WHEN v > 0 THEN round(m4 / (v * v) - 3.0, 4) + 0.0 END AS kurtosis, round(lo, 4) AS min, round(hi, 4) AS max,
+       round(100.0 * n_lo / n, 4) AS pct_min, round(100.0 * n_hi / n, 4) AS pct_max FROM m""")
 def a3_wave_moments(spark, sf):
     """Per wave n, mean, variance, skewness, kurtosis, min, max, % at min and max."""
     m = D.wave_moments(panel_p(spark, sf))
@@ -369,53 +359,59 @@ def a4_wave_percentiles(spark, sf):
     return D.wave_percentiles(panel_p(spark, sf))
 
 
-@query("a5_coverage", sql="WITH" + WIDE_P_SQL + ", pairs AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS i, {j} AS j, sum(CASE WHEN y_{i} IS NOT NULL AND y_{j} IS NOT NULL THEN 1 ELSE 0 END) AS n_both, "
-    f"count(*) AS n_all FROM wide_p" for i in WAVES for j in range(i + 1)) + """)
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(n_both AS BIGINT) AS n_both,
-       round(n_both / n_all, 4) AS coverage FROM pairs""")
+_PAIRS_SQL = """,
+pairs AS (SELECT a.wave AS i, b.wave AS j, count(*) AS n_both FROM panel_p a JOIN panel_p b ON a.subject = b.subject AND b.wave <= a.wave
+          WHERE a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY a.wave, b.wave),
+cov AS (SELECT i, j, n_both, n_both / (SELECT count(DISTINCT subject) FROM panel_p) AS share FROM pairs)
+SELECT i, j, CAST(n_both AS BIGINT) AS n_both, round(share, 4) AS coverage FROM cov"""
+
+
+@query("a5_coverage", sql="WITH" + PANEL_P_SQL + _PAIRS_SQL)
 def a5_coverage(spark, sf):
     """Covariance coverage: share of subjects present at both waves, lower triangle."""
-    cov = D.coverage(wide_p(spark, sf), Y_COLS)
-    return cov.withColumn("coverage", _r(F.col("coverage")))
+    w = wide_p(spark, sf)
+    return D.coverage(w, y_cols(w)).withColumn("coverage", _r(F.col("coverage")))
 
 
-@query("a6_low_coverage", sql="WITH" + WIDE_P_SQL + ", pairs AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS i, {j} AS j, sum(CASE WHEN y_{i} IS NOT NULL AND y_{j} IS NOT NULL THEN 1 ELSE 0 END) AS n_both, "
-    f"count(*) AS n_all FROM wide_p" for i in WAVES for j in range(i + 1)) + """)
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(n_both AS BIGINT) AS n_both,
-       round(n_both / n_all, 4) AS coverage FROM pairs WHERE n_both / n_all < 0.95""")
+@query("a6_low_coverage", sql="WITH" + PANEL_P_SQL + _PAIRS_SQL + " WHERE share < 0.1")
 def a6_low_coverage(spark, sf):
-    """Pairs whose coverage falls below a limit (0.95 here; the report's default is 0.1)."""
-    cov = D.low_coverage(D.coverage(wide_p(spark, sf), Y_COLS), 0.95)
-    return cov.withColumn("coverage", _r(F.col("coverage")))
+    """Pairs whose coverage falls below the report's default limit."""
+    w = wide_p(spark, sf)
+    return D.low_coverage(D.coverage(w, y_cols(w)), 0.1).withColumn("coverage", _r(F.col("coverage")))
 
 
-@query("a7_missing_patterns", sql="WITH" + WIDE_P_SQL + """
-SELECT CAST(""" + " + ".join(f"CASE WHEN y_{t} IS NOT NULL THEN {1 << t} ELSE 0 END" for t in WAVES) + """ AS INTEGER) AS mask,
-       concat(""" + ", ".join(f"CASE WHEN y_{t} IS NOT NULL THEN 'x' ELSE '.' END" for t in WAVES) + """) AS pattern,
-       count(*) AS n
-FROM wide_p GROUP BY 1, 2""")
+_PATTERN_SQL = """,
+cells AS (SELECT s.subject, w.wave, p.y FROM (SELECT DISTINCT subject FROM panel_p) s CROSS JOIN (SELECT DISTINCT wave FROM panel_p) w
+          LEFT JOIN panel_p p ON p.subject = s.subject AND p.wave = w.wave),
+pat AS (SELECT subject, string_agg(CASE WHEN y IS NULL THEN '.' ELSE 'x' END, '' ORDER BY wave) AS pattern FROM cells GROUP BY subject)"""
+
+
+@query("a7_missing_patterns", sql="WITH" + PANEL_P_SQL + _PATTERN_SQL + """
+SELECT pattern, count(*) AS n FROM pat GROUP BY pattern""")
 def a7_missing_patterns(spark, sf):
     """Missing-data patterns with their subject counts."""
-    return D.missing_patterns(wide_p(spark, sf), Y_COLS)
+    w = wide_p(spark, sf)
+    return D.missing_patterns(w, y_cols(w))
 
 
-@query("a14_pattern_stats", sql="WITH" + WIDE_P_SQL + """
-SELECT CAST(""" + " + ".join(f"CASE WHEN y_{t} IS NOT NULL THEN {1 << t} ELSE 0 END" for t in WAVES) + """ AS INTEGER) AS mask,
-       count(*) AS n, """ + ", ".join(f"round(sum(coalesce(y_{t}, 0.0)), 4) AS s_{t}" for t in WAVES) + ", " +
-       ", ".join(f"round(sum(coalesce(y_{t}, 0.0) * coalesce(y_{s}, 0.0)), 4) AS ss_{t}_{s}"
-                 for t in WAVES for s in range(t + 1)) + """
-FROM wide_p GROUP BY 1""")
+@query("a14_pattern_stats", sql="WITH" + PANEL_P_SQL + _PATTERN_SQL + """,
+n AS (SELECT pattern, count(*) AS n FROM pat GROUP BY pattern),
+z AS (SELECT pat.pattern, cells.subject, cells.wave, coalesce(cells.y, 0.0) AS y FROM cells JOIN pat ON pat.subject = cells.subject),
+v AS (SELECT pattern, wave AS t, CAST(NULL AS INTEGER) AS s, sum(y) AS value FROM z GROUP BY pattern, wave
+      UNION ALL
+      SELECT a.pattern, a.wave, b.wave, sum(a.y * b.y) FROM z a JOIN z b ON a.subject = b.subject AND b.wave <= a.wave
+      GROUP BY a.pattern, a.wave, b.wave)
+SELECT v.pattern, n.n, t, s, round(value, 6) AS value FROM v JOIN n ON n.pattern = v.pattern""")
 def a14_pattern_stats(spark, sf):
-    """Per missing pattern: n, sums and cross-products (sufficient statistics)."""
-    s = D.pattern_stats(wide_p(spark, sf), Y_COLS)
-    return s.select("mask", "n", *[_r(F.col(c)).alias(c) for c in s.columns if c not in ("mask", "n")])
+    """Per missing pattern: n, sums and cross-products (sufficient statistics), as rows."""
+    w = wide_p(spark, sf)
+    s = D.pattern_stats_long(D.pattern_stats(w, y_cols(w)), len(y_cols(w)))
+    return s.select("pattern", "n", "t", "s", _r(F.col("value"), 6).alias("value"))
 
 
 # ------------------------------------------------------------------ S1, S2
 
-@query("s1_s2_panel_file", sql="WITH" + WIDE_P_SQL + " SELECT * FROM wide_p")
+@query("s1_s2_panel_file", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql()}")
 def s1_s2_panel_file(spark, sf):
     """Wide panel P written as a headerless tab-separated panel file ('.' for missing) under the
     checkpoint folder, then scanned back with its positional schema."""
@@ -424,5 +420,6 @@ def s1_s2_panel_file(spark, sf):
     from trajectra.session import ensure_checkpoint_dir
     from trajectra.sources.panel_files import read_panel, write_panel
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panel-files/{uuid.uuid4().hex}"
-    write_panel(wide_p(spark, sf), path, keep=["subject"] + Y_COLS)
-    return read_panel(spark, path, ["subject"] + Y_COLS, key="subject")
+    w = wide_p(spark, sf)
+    write_panel(w, path, keep=w.columns)
+    return read_panel(spark, path, w.columns, key="subject")

@@ -1,8 +1,8 @@
 """Registered queries: scoring panel P with a fixed two-class model.
 
-The Spark side scores each subject's wide row with all classes at once; the
-DuckDB twin is written independently in long form (one row per subject, class
-and wave, grouped per subject and class) and shares only the 3x3 solve text.
+The Spark side sums each subject's visits per class and solves the general 3x3
+random-effect forms; the DuckDB twin is written for the fixed model's random
+intercept alone, where the inverse covariance has a scalar closed form.
 """
 
 from __future__ import annotations
@@ -12,50 +12,44 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
-from trajectra.functions import mixed as X
 from trajectra.operators import score as S
-from trajectra.plans.panels import PANEL_P_SQL, W, WAVES, Y_COLS, panel_p, wide_p
+from trajectra.plans.panels import PANEL_P_SQL, panel_p, waves_p, wide_p, y_cols
 from trajectra.plans.registry import query
 
 K = 2
 GROUP = "fixed2"
 # Fixed two-class growth model for panel P (y = order price / 10000, about U(0, 50)):
-# class means (i, s, q), shared random-intercept variance, residual variance per wave,
-# class shares.
+# class means (i, s, q), shared random-intercept variance, class shares; the residual
+# variance of wave t is 150 + 5 (t mod 4), for any number of waves.
 FLAGSHIP_MEANS = {1: (15.0, 0.2, -0.01), 2: (35.0, -0.2, 0.01)}
 FLAGSHIP_PSI_I = 10.0
-FLAGSHIP_TH = [150.0, 160.0, 150.0, 155.0, 150.0, 165.0, 150.0, 160.0, 155.0]
 FLAGSHIP_PI = {1: 0.5, 2: 0.5}
 
 
-def flagship_rows() -> list[dict]:
+def flagship_theta(t: int) -> float:
+    return 150.0 + 5.0 * (t % 4)
+
+
+def flagship_rows(W: int) -> list[dict]:
     """Long parameter rows (group, class, a0.., th_t.., p.., lnpi)."""
     out = []
     for k in range(1, K + 1):
         a0, a1, a2 = FLAGSHIP_MEANS[k]
         r = {"group": GROUP, "class": k, "a0": a0, "a1": a1, "a2": a2}
-        r.update({f"th_{t}": FLAGSHIP_TH[t] for t in WAVES})
+        r.update({f"th_{t}": flagship_theta(t) for t in range(W)})
         r.update({"p00": FLAGSHIP_PSI_I, "p01": 0.0, "p02": 0.0, "p11": 0.0, "p12": 0.0, "p22": 0.0})
         r["lnpi"] = math.log(FLAGSHIP_PI[k])
         out.append(r)
     return out
 
 
-def flagship_params(spark):
-    return spark.createDataFrame(pd.DataFrame(flagship_rows()))
-
+def flagship_params(spark, W: int):
+    return spark.createDataFrame(pd.DataFrame(flagship_rows(W)))
 
-def flagship_params_wide(spark):
-    row = {"group": GROUP}
-    for r in flagship_rows():
-        for c in X.param_columns(W):
-            row[f"{c}_{r['class']}"] = float(r[c])
-    return spark.createDataFrame(pd.DataFrame([row]))
 
-
-def posteriors(spark, sf):
-    return S.class_posteriors(wide_p(spark, sf), flagship_params_wide(spark), Y_COLS, K=K,
-                              params_are_wide=True, param_rows=1)
+def posteriors(spark, sf, W: int | None = None):
+    W = W or waves_p(spark, sf)
+    return S.panel_posteriors(panel_p(spark, sf), flagship_params(spark, W), W, K=K)
 
 
 def scores(spark, sf):
@@ -66,42 +60,24 @@ def _r(c, d=4):
     return F.round(c, d) + F.lit(0.0)   # + 0.0 turns a rounded -0.0 into 0.0
 
 
-# ----------------------------------------------------------------- SQL twin (long form)
-
-def _values_params() -> str:
-    rows = ", ".join(
-        f"({r['class']}, {r['a0']!r}, {r['a1']!r}, {r['a2']!r}, {r['p00']!r}, {r['p01']!r}, {r['p02']!r}, "
-        f"{r['p11']!r}, {r['p12']!r}, {r['p22']!r}, {r['lnpi']!r})" for r in flagship_rows())
-    return (f"params AS (SELECT * FROM (VALUES {rows}) v(class, a0, a1, a2, p00, p01, p02, p11, p12, p22, lnpi)),\n"
-            "theta AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {FLAGSHIP_TH[t]!r})" for t in WAVES)
-            + ") v(wave, th))")
-
-
-def _score_sql() -> str:
-    e = "(p.y - (c.a0 + c.a1 * p.wave + c.a2 * p.wave * p.wave))"
-    t = "CAST(p.wave AS DOUBLE)"
-    st = (f"SELECT p.subject, c.class, any_value(c.lnpi) AS lnpi, "
-          + ", ".join(f"any_value(c.p{a}{b}) AS p{a}{b}" for a, b in X.IDX) + ", "
-          + ", ".join(f"sum(power({t}, {a + b}) / th.th) AS G{a}{b}" for a, b in X.IDX) + ", "
-          + ", ".join(f"sum(power({t}, {a}) * {e} / th.th) AS g{a}" for a in range(3)) + ", "
-          + f"sum({e} * {e} / th.th) AS C, sum(ln(th.th)) AS L, CAST(count(*) AS DOUBLE) AS n "
-          + "FROM panel_p p CROSS JOIN params c JOIN theta th ON th.wave = p.wave "
-          + "GROUP BY p.subject, c.class")
-    ctes = [f"s0 AS ({st})"]
-    for i, stage in enumerate(X.solve_stages()):
-        cols = ", ".join(f"{v} AS {k}" for k, v in stage.items())
-        ctes.append(f"s{i + 1} AS (SELECT *, {cols} FROM s{i})")
-    last = f"s{len(X.solve_stages())}"
-    ctes.append(f"lp AS (SELECT *, logf + lnpi AS lp FROM {last})")
-    ctes.append("mx AS (SELECT *, max(lp) OVER (PARTITION BY subject) AS m FROM lp)")
-    ctes.append("ll AS (SELECT *, m + ln(sum(exp(lp - m)) OVER (PARTITION BY subject)) AS ll FROM mx)")
-    ctes.append("sc AS (SELECT *, exp(lp - ll) AS posterior, "
-                "CAST(first_value(class) OVER (PARTITION BY subject ORDER BY lp DESC, class) AS INTEGER) AS most_likely "
-                "FROM ll)")
-    return "WITH" + PANEL_P_SQL + ",\n" + _values_params() + ",\n" + ",\n".join(ctes) + "\n"
-
-
-SCORE_SQL = _score_sql()
+# ----------------------------------------------------------------- SQL twin
+
+_PARAMS = ", ".join(f"({k}, {FLAGSHIP_MEANS[k][0]}, {FLAGSHIP_MEANS[k][1]}, {FLAGSHIP_MEANS[k][2]}, {math.log(FLAGSHIP_PI[k])!r})"
+                    for k in range(1, K + 1))
+SCORE_SQL = "WITH" + PANEL_P_SQL + f""",
+params AS (SELECT * FROM (VALUES {_PARAMS}) v(class, a0, a1, a2, lnpi)),
+r AS (SELECT p.subject, c.class, c.a0, c.a1, c.a2, c.lnpi, p.wave, 150.0 + 5.0 * (p.wave % 4) AS th,
+             p.y - (c.a0 + c.a1 * p.wave + c.a2 * p.wave * p.wave) AS e FROM panel_p p CROSS JOIN params c),
+s AS (SELECT subject, class, any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2, any_value(lnpi) AS lnpi,
+             count(*) AS n, sum(ln(th)) AS lt, sum(e * e / th) AS c, sum(e / th) AS g, 1.0 + {FLAGSHIP_PSI_I} * sum(1.0 / th) AS d
+      FROM r GROUP BY subject, class),
+f AS (SELECT *, {FLAGSHIP_PSI_I} * g / d AS b0, 0.0 AS b1, 0.0 AS b2, {FLAGSHIP_PSI_I} / d AS D00,
+             -0.5 * (n * ln(2.0 * pi()) + lt + ln(d) + c - {FLAGSHIP_PSI_I} * g * g / d) AS logf FROM s),
+m AS (SELECT *, logf + lnpi AS lp, max(logf + lnpi) OVER (PARTITION BY subject) AS top FROM f),
+l AS (SELECT *, top + ln(sum(exp(lp - top)) OVER (PARTITION BY subject)) AS ll FROM m),
+sc AS (SELECT *, exp(lp - ll) AS posterior, CAST(first_value(class) OVER (PARTITION BY subject ORDER BY lp DESC, class) AS INTEGER) AS most_likely
+       FROM l)
+"""
 
 
 # ----------------------------------------------------------------- queries
@@ -224,10 +200,11 @@ def a13_factor_moments(spark, sf):
 
 @query("m10_estimated_values", sql=FS_SQL + """
 SELECT subject, CAST(w.wave AS INTEGER) AS wave, round(i + s * w.wave + q * w.wave * w.wave, 4) AS estimate
-FROM fs CROSS JOIN (SELECT unnest(range(9)) AS wave) w""")
+FROM fs CROSS JOIN (SELECT DISTINCT wave FROM panel_p) w""")
 def m10_estimated_values(spark, sf):
     """Fitted value per subject and wave from the mixed factor scores."""
-    e = S.estimated_values(S.factor_scores(posteriors(spark, sf), K), WAVES)
+    W = waves_p(spark, sf)
+    e = S.estimated_values(S.factor_scores(posteriors(spark, sf, W), K), range(W))
     return e.select("subject", F.col("wave").cast("int").alias("wave"), _r(F.col("estimate")).alias("estimate"))
 
 
@@ -236,17 +213,17 @@ SELECT p.subject, p.wave, p.y, s.most_likely FROM panel_p p
 LEFT JOIN (SELECT subject, most_likely FROM sc WHERE class = most_likely) s ON p.subject = s.subject""")
 def m13_attach_class(spark, sf):
     """Most likely class joined back to the long panel by subject id."""
-    a = S.attach_class(panel_p(spark, sf).select("subject", "wave", "y"), scores(spark, sf))
+    a = S.attach_class(panel_p(spark, sf).select("subject", "wave", "y"), scores(spark, sf), GROUP)
     return a.select("subject", "wave", "y", "most_likely")
 
 
-FLAGSHIP_SQL = SCORE_SQL + f""",
+FLAGSHIP_SQL = SCORE_SQL + """,
 mass AS (SELECT class, sum(posterior) / sum(sum(posterior)) OVER () AS share FROM sc GROUP BY class),
 cnt AS (SELECT class, count(*) AS n_ml FROM sc WHERE class = most_likely GROUP BY class)
 SELECT CAST(c.class AS INTEGER) AS class, CAST(w.wave AS INTEGER) AS wave,
        round(c.a0 + c.a1 * w.wave + c.a2 * w.wave * w.wave, 4) AS mean,
        round(m.share, 4) AS share, coalesce(n.n_ml, 0) AS count
-FROM params c CROSS JOIN (SELECT unnest(range({W})) AS wave) w
+FROM params c CROSS JOIN (SELECT DISTINCT wave FROM panel_p) w
 LEFT JOIN mass m ON m.class = c.class LEFT JOIN cnt n ON n.class = c.class"""
 
 
@@ -254,8 +231,9 @@ LEFT JOIN mass m ON m.class = c.class LEFT JOIN cnt n ON n.class = c.class"""
 def flagship_score_classes(spark, sf):
     """Flagship: score panel P with a fixed two-class model; per class and wave the class
     curve, its posterior share and its most-likely count (M5 -> A8/A9 -> M11/M12)."""
-    summ = S.class_summary(posteriors(spark, sf), K)
-    curves = S.estimated_means(flagship_params(spark), WAVES)
+    W = waves_p(spark, sf)
+    summ = S.class_summary(posteriors(spark, sf, W), K)
+    curves = S.estimated_means(flagship_params(spark, W), range(W))
     out = curves.join(summ, ["group", "class"], "left")
     return out.select(F.col("class").cast("int").alias("class"), F.col("wave").cast("int").alias("wave"),
                       _r(F.col("mean")).alias("mean"), _r(F.col("share")).alias("share"),
@@ -265,47 +243,9 @@ def flagship_score_classes(spark, sf):
 @query("m12_trajectory_table", sql=FLAGSHIP_SQL.replace(", coalesce(n.n_ml, 0) AS count", ""))
 def m12_trajectory_table(spark, sf):
     """Class curve with posterior class share per (class, wave)."""
-    traj = S.trajectory_table(flagship_params(spark), scores(spark, sf), WAVES, basis="posterior")
+    W = waves_p(spark, sf)
+    traj = S.trajectory_table(flagship_params(spark, W), S.to_scores(posteriors(spark, sf, W), K), range(W), basis="posterior")
     return traj.select(F.col("class").cast("int").alias("class"), F.col("wave").cast("int").alias("wave"),
                        _r(F.col("mean")).alias("mean"), _r(F.col("share")).alias("share"))
 
 
-# ----------------------------------------------------------------- one EM step (M6-M8 machinery)
-
-def flagship_param_dict() -> dict:
-    import numpy as np
-    rows = flagship_rows()
-    return {"a": np.array([[r["a0"], r["a1"], r["a2"]] for r in rows]),
-            "th": np.array([FLAGSHIP_TH[t] for t in WAVES]),
-            "psi": np.stack([np.diag([r["p00"], r["p11"], r["p22"]]) for r in rows]),
-            "pi": np.array([math.exp(r["lnpi"]) for r in rows])}
-
-
-_T = "CAST(p.wave AS DOUBLE)"
-_ZB = f"(sc.b0 + sc.b1 * {_T} + sc.b2 * {_T} * {_T})"
-_ZDZ = (f"(sc.D00 + 2.0 * sc.D01 * {_T} + (2.0 * sc.D02 + sc.D11) * {_T} * {_T} "
-        f"+ 2.0 * sc.D12 * {_T} * {_T} * {_T} + sc.D22 * {_T} * {_T} * {_T} * {_T})")
-
-
-@query("m6_em_step", sql=SCORE_SQL + f""",
-tot AS (SELECT sum(ll) AS total_ll FROM (SELECT DISTINCT subject, ll FROM sc) u)
-SELECT CAST(sc.class AS INTEGER) AS class, CAST(p.wave AS INTEGER) AS wave,
-       round(sum(sc.posterior), 4) AS sw,
-       round(sum(sc.posterior * (p.y - {_ZB})), 4) AS sy,
-       round(sum(sc.posterior * ((p.y - {_ZB}) * (p.y - {_ZB}) + {_ZDZ})), 4) AS syy,
-       round(any_value(tot.total_ll), 4) AS total_ll
-FROM sc JOIN panel_p p ON p.subject = sc.subject CROSS JOIN tot
-GROUP BY sc.class, p.wave""")
-def m6_em_step(spark, sf):
-    """One EM pass of the class-growth fitter at fixed parameters: the M-step sums per class and
-    wave (posterior weight, residual sum, residual square sum) and the total log-likelihood,
-    computed by the vectorised per-partition E step over the checkpointed panel."""
-    from trajectra.operators import fit as FT
-    panel = FT.prepare_panel(wide_p(spark, sf), Y_COLS)
-    s = FT.em_pass(panel, Y_COLS, WAVES, [flagship_param_dict()])
-    panel.unpersist()
-    rows = [{"class": k + 1, "wave": t, "sw": round(float(s["sw"][0, k, t]), 4),
-             "sy": round(float(s["sy"][0, k, t]), 4), "syy": round(float(s["syy"][0, k, t]), 4),
-             "total_ll": round(float(s["ll"][0]), 4)} for k in range(K) for t in WAVES]
-    return spark.createDataFrame(pd.DataFrame(rows), "class int, wave int, sw double, sy double, syy double, "
-                                                     "total_ll double")

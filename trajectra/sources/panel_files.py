@@ -28,7 +28,7 @@ def read_panel(spark: SparkSession, path: str, names: Sequence[str], sep: str =
 
 
 def write_panel(df: DataFrame, path: str, keep: Sequence[str] | None = None, sep: str = "\t",
-                missing: str = ".", mode: str = "overwrite") -> None:
+                missing: str = ".", mode: str = "error") -> None:
     """Project to ``keep`` and write headerless text with ``missing`` for NULL.
 
     Whole numbers are written without a decimal part, as the reference's files are.

@@ -14,6 +14,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajectra.operators.joins import BROADCAST_ROWS
+from trajectra.session import stage
+
 # ----------------------------------------------------------------- fixed values
 # Relevant warning texts (kept exactly as the reference lists them, in its order).
 RELEVANT_WARNINGS = [
@@ -69,19 +72,39 @@ MESSAGE_LINE = r"\*\*\* (WARNING|ERROR)|WARNING:|ERROR:|^\s*THE (BEST LOGLIKELIH
 
 # ----------------------------------------------------------------- S3
 
-def scan_reports(spark: SparkSession, path: str, glob: str = "*.out", modified_after: str | None = None) -> DataFrame:
-    """S3: every report under ``path`` (recursively) as (path, line_no, line).
+def report_texts(spark: SparkSession, path: str, glob: str = "*.out", modified_after: str | None = None) -> DataFrame:
+    """Every report under ``path`` (recursively) as (path, value), one row per file.
 
-    Each file is read whole (reports are a few hundred lines) so line numbers are
-    exact; files are spread over tasks.  ``modified_after`` skips unchanged files,
-    as the reference's runner skips reports newer than their input.
+    ``modified_after`` skips unchanged files, as the reference's runner skips
+    reports newer than their input.
     """
     r = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
          .option("pathGlobFilter", glob))
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
-    df = r.text(path).select(F.url_decode(F.col("_metadata.file_path")).alias("path"), "value")
-    return lines_of(df, "path", "value")
+    return r.text(path).select(F.url_decode(F.col("_metadata.file_path")).alias("path"), "value")
+
+
+def scan_reports(spark: SparkSession, path: str, glob: str = "*.out", modified_after: str | None = None) -> DataFrame:
+    """S3: every report under ``path`` (recursively) as (path, line_no, line).
+
+    Each file is read whole (reports are a few hundred lines) so line numbers are
+    exact; files are spread over tasks.
+    """
+    return lines_of(report_texts(spark, path, glob, modified_after), "path", "value")
+
+
+SECTION_FILLS = {"section": (HEADING, 0, None),
+                 "class": (CLASS_LINE, 1, r"^[A-Z][A-Za-z ]+Variables\s*$"),
+                 "header": (PARAM_HEADER, 1, None)}
+
+
+def scan_sections(spark: SparkSession, path: str, glob: str = "*.out", modified_after: str | None = None) -> DataFrame:
+    """S3 + S6: report lines with their section, class and heading, carried inside each file's row.
+
+    Every extractor takes these lines and then needs no exchange of its own.
+    """
+    return lines_with_sections(report_texts(spark, path, glob, modified_after), "path", "value", SECTION_FILLS)
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -93,24 +116,56 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 # ----------------------------------------------------------------- S6
 
+def _marks(pattern: str, group: int, reset: str | None):
+    """Line column -> the value it sets, '' where it clears it, NULL where it leaves it."""
+    def mark(line: Column) -> Column:
+        v = F.regexp_extract(line, pattern, group) if group else F.trim(line)
+        m = F.when(line.rlike(pattern), v)
+        return m.when(line.rlike(reset), F.lit("")) if reset else m
+    return mark
+
+
 def fill_section(lines: DataFrame, pattern: str, name: str = "section", group: int = 0,
                  reset: str | None = None) -> DataFrame:
     """Carry the last line matching ``pattern`` (or its regex group) down the lines.
 
     ``reset``: a pattern whose lines clear the carried value (e.g. a new top section).
+    For lines that come from whole texts use ``lines_with_sections``, which needs
+    no exchange; here the lines of a path are put in order again.
     """
-    v = F.regexp_extract(F.col("line"), pattern, group) if group else F.trim(F.col("line"))
-    mark = F.when(F.col("line").rlike(pattern), v)
-    if reset:
-        mark = F.when(F.col("line").rlike(pattern), v).when(F.col("line").rlike(reset), F.lit(""))
     w = (Window.partitionBy("path").orderBy("line_no")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = F.last(mark, ignorenulls=True).over(w)
+    filled = F.last(_marks(pattern, group, reset)(F.col("line")), ignorenulls=True).over(w)
     return lines.withColumn(name, F.when(filled == "", F.lit(None).cast("string")).otherwise(filled))
 
 
+def lines_with_sections(df: DataFrame, key: str, text: str, fills: dict[str, tuple]) -> DataFrame:
+    """S3 + S6 on whole texts: (path, line_no, line) with carried values, without an exchange.
+
+    ``fills`` names each carried column and its (pattern, group, reset).  A text is
+    one row, so its values are carried inside the row: one pass over its lines in
+    order keeps the current values, and the lines are exploded last.
+    """
+    names = list(fills)
+    cells = ",".join(f"v{i}:string" for i in range(len(names)))
+    kind = f"struct<out:array<struct<{cells}>>,{cells}>"
+    start = F.struct(F.array().cast(f"array<struct<{cells}>>").alias("out"),
+                     *[F.lit("").alias(f"v{i}") for i in range(len(names))]).cast(kind)
+
+    def step(acc, line):
+        now = [F.coalesce(_marks(*fills[n])(line), acc[f"v{i}"]).alias(f"v{i}") for i, n in enumerate(names)]
+        return F.struct(F.concat(acc["out"], F.array(F.struct(*now))).alias("out"), *now).cast(kind)
+
+    rows = df.select(F.col(key).cast("string").alias("path"), F.split(F.col(text), r"\r?\n").alias("__l"))
+    rows = rows.withColumn("__v", F.aggregate("__l", start, step, lambda acc: acc["out"]))
+    out = rows.select("path", F.posexplode(F.arrays_zip(F.col("__l").alias("l"), F.col("__v").alias("v"))).alias("__at", "__c"))
+    return out.select("path", (F.col("__at") + 1).cast("int").alias("line_no"), F.col("__c.l").alias("line"),
+                      *[F.nullif(F.col(f"__c.v.v{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
+
+
 def with_sections(lines: DataFrame) -> DataFrame:
-    return fill_section(lines, HEADING, "section")
+    """Lines with their section: as they are if they carry it (``scan_sections``), filled by a window if not."""
+    return lines if "section" in lines.columns else fill_section(lines, *SECTION_FILLS["section"][:1], "section")
 
 
 # ----------------------------------------------------------------- S4
@@ -145,8 +200,10 @@ def _na999(c: Column) -> Column:
 def extract_params(lines: DataFrame) -> DataFrame:
     """Parameter rows with their class and heading; 999 (not applicable) -> NULL."""
     s = with_sections(lines)
-    s = fill_section(s, CLASS_LINE, "class", group=1, reset=r"^[A-Z][A-Za-z ]+Variables\s*$")
-    s = fill_section(s, PARAM_HEADER, "header", group=1)
+    for name in ("class", "header"):
+        if name not in s.columns:
+            pattern, group, reset = SECTION_FILLS[name]
+            s = fill_section(s, pattern, name, group, reset)
     rows = s.where((F.col("section") == "MODEL RESULTS") & F.col("line").rlike(PARAM_ROW))
     g = lambda i: F.regexp_extract("line", PARAM_ROW, i)
     return rows.select("path", "line_no", F.col("class").cast("int").alias("class"), "header",
@@ -201,11 +258,15 @@ def extract_starts(lines: DataFrame) -> DataFrame:
 def flag_distinct(lines: DataFrame, col: str, flag: Column, name: str = "flag") -> DataFrame:
     """Compute an expensive flag once per distinct value, then join it back.
 
-    The distinct table is joined on the value; AQE broadcasts it when its measured
-    size allows and keeps a shuffle join otherwise.
+    When the distinct values are few, their digests and flags are broadcast, a
+    fixed number of bytes each.  Beyond that the flag is computed on each row: a join
+    on the text would send all rows of a common value (the empty line) to one task,
+    and costs more than a column expression.
     """
-    d = lines.select(col).distinct().withColumn(name, flag)
-    return lines.join(d, col, "left")
+    d = stage(lines.select(col).distinct().select(F.md5(col).alias("__d"), flag.alias(name)), "distinct")
+    if d.count() > BROADCAST_ROWS:
+        return lines.withColumn(name, F.when(F.col(col).isNotNull(), flag))
+    return lines.join(F.broadcast(d), F.md5(col) == F.col("__d"), "left").drop("__d")
 
 
 # ----------------------------------------------------------------- M14 from reports
