@@ -25,7 +25,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 25
 LONG_WORDS = 50
 LONG_SENTENCE = 20
-RUNS = "hi array<long>, lo array<long>, first array<int>, size array<int>, own array<int>"
+RUNS = "hi array<long>, lo array<int>, first array<int>, size array<int>, own array<int>"
 
 _breaks = re.compile(r"(?<=[.!?。！？])[ \t\x0b\x0c\r\n]+|[ \t\x0b\x0c\r]*\n[ \t\x0b\x0c\r\n]*").finditer
 _clauses = re.compile(r"(?<=[,;:])[ \t]+").finditer
@@ -92,9 +92,9 @@ def _runs_udf(min_sentences: int, min_words: int, long_words: int):
                     own += (i, size)
                 else:
                     seen[h] = (i, size)
-            halves = np.frombuffer(b"".join(seen), dtype=np.int64)
+            keys = np.frombuffer(b"".join(seen), dtype=np.dtype([("hi", "<i8"), ("lo", "<i4"), ("rest", "<i4")]))
             places = np.array(list(seen.values()), dtype=np.int32).reshape(-1, 2)
-            out.append((halves[0::2], halves[1::2], places[:, 0], places[:, 1], own))
+            out.append((keys["hi"], keys["lo"], places[:, 0], places[:, 1], own))       # 96 bits of the hash
         return pd.DataFrame(out, columns=["hi", "lo", "first", "size", "own"])
     return F.pandas_udf(runs, RUNS)
 
@@ -121,16 +121,18 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
                    long_words: int = LONG_WORDS) -> DataFrame:
     """(_d, _t, spans): per document, the runs to remove as first sentence and size in turns.
 
-    ``_d`` is the doc_id (nulls last, as the largest long), ``_t`` the text's hash.
+    ``_d`` is the doc_id (nulls last, as the largest long), ``_t`` a hash that tells
+    apart the texts of one doc_id.  Rows that are shuffled hold no more than the join
+    needs: a count instead of a second id, and 96-bit hashes.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_d"), F.xxhash64("text").alias("_t"),
+    rows = docs.select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_d"), F.hash("text").alias("_t"),
                        _runs_udf(min_sentences, min_words, long_words)(F.col("text")).alias("r"))
     rows = staged(rows.select("_d", "_t", "r.*"), "runs")
     places = rows.select("_d", "_t", F.explode(F.arrays_zip("hi", "lo", "first", "size")).alias("p")).select(
         F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), "_d", "_t", F.col("p.first").alias("first"), F.col("p.size").alias("size"))
     # counts and smallest ids are combined before the shuffle, so a passage that all documents share is one row per task
-    again = places.groupBy("hi", "lo").agg(F.min("_d").alias("at"), F.max("_d").alias("last")).filter("last > at").select(
+    again = places.groupBy("hi", "lo").agg(F.min("_d").alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.col("hi").alias("_h"), F.col("lo").alias("_l"), "at")
     later = places.join(again, (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))).filter("_d > at")
     spans = later.select("_d", "_t", "first", "size").unionByName(
@@ -152,7 +154,7 @@ def deduplicate_spans(docs: DataFrame, **options) -> DataFrame:
     columns are not read.
     """
     spans = repeated_spans(docs, **options).select(F.col("_d").alias("_sd"), F.col("_t").alias("_st"), "spans")
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_d"), F.xxhash64("text").alias("_t"))
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_d"), F.hash("text").alias("_t"))
     out = rows.join(spans, (F.col("_d") == F.col("_sd")) & (F.col("_t") == F.col("_st")), "left")
     # texts that stay whole do not go through Python
     touched = F.when(F.col("spans").isNotNull(), F.col("text"))
