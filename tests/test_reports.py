@@ -19,6 +19,21 @@ def test_scan_finds_files_recursively(lines):
     paths = [r[0] for r in lines.select("path").distinct().collect()]
     assert len(paths) == 2
     assert any("sq@0 -2 classes" in p for p in paths)      # file names are URL-decoded
+    # lines are numbered from 1 as in the file
+    for p in paths:
+        with open(p.replace("file://", "").replace("file:", ""), encoding="utf-8") as fh:
+            want = fh.read().split("\n")
+        got = [r["line"] for r in lines.where(F.col("path") == p).orderBy("line_no").collect()]
+        assert got == want
+        assert lines.where(F.col("path") == p).agg(F.countDistinct("line_no")).first()[0] == len(want)
+
+
+def test_sections_inside_the_row_match_the_window(spark, lines):
+    one = RP.scan_sections(spark, os.path.join(HERE, "reports")).select("path", "line_no", "section", "class", "header")
+    two = lines
+    for name, (pattern, group, reset) in RP.SECTION_FILLS.items():
+        two = RP.fill_section(two, pattern, name, group, reset)
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.select(one.columns).collect()), key=repr)
 
 
 def test_facts(lines):

@@ -121,14 +121,14 @@ def m2_ols_three_regressors(spark, sf):
 
 @query("m1_subject_slopes", sql="""
 WITH""" + PANEL_E_SQL + """
-SELECT subject, outcome, CAST(regr_count(y, wave) AS BIGINT) AS n, round(regr_intercept(y, wave), 4) + 0.0 AS intercept,
-       round(regr_slope(y, wave), 4) + 0.0 AS slope
+SELECT subject, outcome, CAST(regr_count(y, wave) AS BIGINT) AS n, round(regr_intercept(y, wave), 8) + 0.0 AS intercept,
+       round(regr_slope(y, wave), 8) + 0.0 AS slope
 FROM panel_e GROUP BY subject, outcome""")
 def m1_subject_slopes(spark, sf):
     """Per-subject least-squares line of the event value on the visit number."""
     s = FT.subject_slopes(panel_e(spark, sf).withColumn("sk", F.struct("subject", "outcome")), "sk")
-    return s.select("sk.subject", "sk.outcome", "n", _r(F.col("intercept")).alias("intercept"),
-                    _r(F.col("slope")).alias("slope"))
+    return s.select("sk.subject", "sk.outcome", "n", _r(F.col("intercept"), 8).alias("intercept"),
+                    _r(F.col("slope"), 8).alias("slope"))
 
 
 @query("c1_c3_information_criteria", sql=FITS_SQL + """

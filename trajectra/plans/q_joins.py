@@ -29,7 +29,7 @@ def j1_left_lookup(spark, sf):
 
 @query("j2_left_two_keys", sql="WITH" + PANEL_E_SQL + """,
 s AS (SELECT subject, outcome, regr_slope(y, wave) AS slope FROM panel_e GROUP BY subject, outcome)
-SELECT p.subject, p.outcome, p.wave, round(s.slope, 4) + 0.0 AS slope
+SELECT p.subject, p.outcome, p.wave, round(s.slope, 8) + 0.0 AS slope
 FROM panel_e p LEFT JOIN s ON p.subject = s.subject AND p.outcome = s.outcome""")
 def j2_left_two_keys(spark, sf):
     """Per-subject, per-outcome slopes joined back to the long panel on two keys."""
@@ -37,7 +37,7 @@ def j2_left_two_keys(spark, sf):
     sk = pe.withColumn("sk", F.struct("subject", "outcome"))
     sl = FT.subject_slopes(sk, "sk").select("sk.subject", "sk.outcome", "slope")
     out = J.left_lookup(pe, sl, ["subject", "outcome"])
-    return out.select("subject", "outcome", "wave", _r(F.col("slope")).alias("slope"))
+    return out.select("subject", "outcome", "wave", _r(F.col("slope"), 8).alias("slope"))
 
 
 @query("j3_left_null_safe", sql="WITH" + PANEL_P_SQL + """,

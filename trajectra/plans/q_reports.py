@@ -43,7 +43,8 @@ SELECT path, line_no,
 FROM lines""")
 def s6_fill_section(spark, sf):
     """Carry the last heading-like line (at most four words) down each text."""
-    s = RP.fill_section(doc_lines(spark, sf), SHORT_HEADING, "section")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    s = RP.lines_with_sections(docs, "doc_id", "text", {"section": (SHORT_HEADING, 0, None)})
     return s.select("path", "line_no", "section")
 
 

@@ -78,11 +78,10 @@ def report_texts(spark: SparkSession, path: str, glob: str = "*.out", modified_a
     ``modified_after`` skips unchanged files, as the reference's runner skips
     reports newer than their input.
     """
-    r = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-         .option("pathGlobFilter", glob))
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
-    return r.text(path).select(F.url_decode(F.col("_metadata.file_path")).alias("path"), "value")
+    return r.text(path, wholetext=True).select(F.url_decode(F.col("_metadata.file_path")).alias("path"), "value")
 
 
 def scan_reports(spark: SparkSession, path: str, glob: str = "*.out", modified_after: str | None = None) -> DataFrame:
