@@ -120,3 +120,23 @@ def test_big_group_of_near_copies(docs):
         rows.append((i, " ".join(t)))
     got = near_duplicates(docs(rows)).collect()
     assert {r.class_id for r in got} == {0} and sum(r.is_kept for r in got) == 1
+
+
+def test_links_between_texts_that_are_no_bucket_s_first(docs, monkeypatch):
+    """Families whose members drift: many pairs at 0.8 and more next to pairs below, in shared buckets."""
+    import trajectra.llm.near_dedup as N
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = []
+    for f in range(12):
+        t = [rnd.choice(vocab) for _ in range(120)]
+        for _ in range(14):
+            t = list(t)
+            for _ in range(rnd.randrange(1, 5)):
+                t[rnd.randrange(len(t))] = rnd.choice(vocab)
+            texts.append(" ".join(t[:rnd.randrange(105, 120)]))
+    want = classes(texts)
+    for block in (256, 4):
+        monkeypatch.setattr(N, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in near_duplicates(docs(list(enumerate(texts)))).collect()}
+        assert [got[i] for i in range(len(texts))] == want

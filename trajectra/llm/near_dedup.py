@@ -11,7 +11,8 @@ number of shingles plus k log k, not their product.
 Signatures are cut into bands.  The texts of a band bucket are linked to its
 smallest member and to their neighbour in order of size, never all with all; each
 link is then checked exactly on the full shingle sets, and connected components of
-the links are the classes.
+the links are the classes.  Buckets that still hold texts of several components are
+searched for the links between these, so none depends on which text came first.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ COORDINATES = 64
 BAND = 4                     # coordinates in a band: a pair at 0.8 is missed by all 16 bands once in 4,600
 FIRST_RANK = 2.0 ** -6
 CHUNK = 200_000              # shingles whose darts are thrown at once
+BLOCK = 256                  # texts of a bucket that one comparison of blocks holds on each side
 
 _words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 _U = np.uint64
@@ -157,11 +159,12 @@ def bands_of(sig: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def _sketch_udf(counted: bool, k: int, band: int, size: int):
-    @F.pandas_udf("bands array<long>, shingles array<int>")
+    @F.pandas_udf("bands array<long>, sig array<tinyint>, shingles array<int>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
-            bands: list = [None] * len(texts)
+            bands: list = [np.empty(0, dtype=np.int64)] * len(texts)
+            sigs: list = [np.empty(0, dtype=np.int8)] * len(texts)
             sets: list = [None] * len(texts)
             todo, have = [], 0
 
@@ -171,8 +174,8 @@ def _sketch_udf(counted: bool, k: int, band: int, size: int):
                     lengths = [len(e) for _, e, _ in todo]
                     sig = dart_signatures(np.concatenate([e for _, e, _ in todo]), np.concatenate([w for _, _, w in todo]),
                                           np.repeat(np.arange(len(todo)), lengths), len(todo), k)
-                    for (i, _, _), row in zip(todo, bands_of(sig, band).view(np.int64)):
-                        bands[i] = row
+                    for (i, _, _), row, byte in zip(todo, bands_of(sig, band).view(np.int64), sig.astype(np.uint8).view(np.int8)):
+                        bands[i], sigs[i] = row, byte
                     todo, have = [], 0
 
             for i, text in enumerate(texts):
@@ -188,51 +191,94 @@ def _sketch_udf(counted: bool, k: int, band: int, size: int):
                     have += len(el)
                     if have >= CHUNK:
                         flush()
-                else:
-                    bands[i] = np.empty(0, dtype=np.int64)
             flush()
-            yield pd.DataFrame({"bands": bands, "shingles": sets})
+            yield pd.DataFrame({"bands": bands, "sig": sigs, "shingles": sets})
     return sketch
 
 
 def sketch(docs: DataFrame, counted: bool = False, k: int = COORDINATES, band: int = BAND, size: int = SHINGLE) -> DataFrame:
-    """doc_id, node (key of the text), bands, shingles, n (distinct shingles), for every row of ``docs``."""
+    """For every row of ``docs``: doc_id, node (key of the text), bands, sig (a byte of each coordinate), shingles, n of them."""
     prepare(docs.sparkSession)
     out = docs.select("doc_id", text_key(F.col("text")).alias("node"),
                       _sketch_udf(counted, k, band, size)(F.col("text")).alias("s"))
-    return out.select("doc_id", "node", "s.bands", "s.shingles", F.size("s.shingles").alias("n"))
+    return out.select("doc_id", "node", "s.bands", "s.sig", "s.shingles", F.size("s.shingles").alias("n"))
+
+
+def bucket_rows(texts: DataFrame) -> DataFrame:
+    """(band, node, n, first) of the buckets that hold several texts; first is the bucket's smallest (node, n)."""
+    rows = texts.select(F.explode("bands").alias("band"), "node", "n")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("first")).filter("m > 1")
+    return rows.join(shared.select(F.col("band").alias("_b"), "first"), F.col("band") == F.col("_b")).drop("_b")
+
+
+def _sizes_fit(x, y, similarity: float):
+    return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
 
 
-def candidate_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that share a band: each with the bucket's smallest and with its neighbour by size.
+def candidate_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts in one bucket: each with the bucket's smallest and with its neighbour by size.
 
     Two links a member at most, so a bucket of any size gives links in proportion
     to its members.  Sizes further apart than ``similarity`` allows make no link.
     """
-    rows = texts.select(F.explode("bands").alias("band"), "node", "n")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "node")).alias("low"),
-                                      F.min(F.struct("node", "n")).alias("first")).filter("m > 1")
-    # one exchange by band serves the count and the join; buckets of one text go no further
-    rows = rows.join(shared.select(F.col("band").alias("_b"), "first", "m"), F.col("band") == F.col("_b"))
-    size_fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    star = rows.filter(F.col("node") != F.col("first.node")).filter(size_fits(F.col("n"), F.col("first.n"))).select(
+    star = rows.filter(F.col("node") != F.col("first.node")).filter(_sizes_fit(F.col("n"), F.col("first.n"), similarity)).select(
         F.col("first.node").alias("a"), F.col("node").alias("b"))
-    order = W.partitionBy("band", "_part").orderBy("n", "node")
-    # large buckets are cut by size: neighbours in one part differ by less than a factor of 2
-    parts = rows.withColumn("_part", F.floor(F.log2(F.col("n").cast("double"))))
+    order = W.partitionBy("band", "_size").orderBy("n", "node")
+    parts = rows.withColumn("_size", F.floor(F.log2(F.col("n").cast("double"))))
     chain = parts.select("node", "n", F.lag("node").over(order).alias("p"), F.lag("n").over(order).alias("pn")).filter(
-        "p IS NOT NULL").filter(size_fits(F.col("n"), F.col("pn"))).select(
+        "p IS NOT NULL").filter(_sizes_fit(F.col("n"), F.col("pn"), similarity)).select(
         F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
     return star.unionByName(chain).distinct()
 
 
+def remaining_links(rows: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) in one bucket but in different components, whose signatures come near ``similarity``.
+
+    Buckets of one component are done.  The others are cut into blocks by size
+    class (a factor of 1 / similarity) and hash, of about ``BLOCK`` texts; blocks of
+    the same or the next class meet unless both hold one and the same component.  A
+    pair is given only if its signatures agree in at least as many coordinates as a
+    pair at ``similarity`` does but once in 100,000.
+    """
+    known = labels.select(F.col("node").alias("_n"), "label")
+    rows = rows.select("band", "node", "n").join(known, F.col("node") == F.col("_n"), "left").select(
+        "band", "node", "n", F.coalesce("label", "node").alias("label"),
+        F.floor(F.log(F.col("n") + 1e-9) / -math.log(similarity)).alias("c") if similarity < 1 else F.col("n").alias("c"))
+    mixed = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select(
+        F.col("band").alias("_b"))
+    rows = staged(rows.join(mixed, F.col("band") == F.col("_b"), "left_semi"), "mixed")
+    counts = rows.groupBy("band", "c").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("h")).select(
+        F.col("band").alias("_b"), F.col("c").alias("_c"), "h")
+    rows = rows.join(counts, (F.col("band") == F.col("_b")) & (F.col("c") == F.col("_c"))).withColumn(
+        "h", F.pmod(F.xxhash64("node"), F.col("h"))).drop("_b", "_c")
+    rows = staged(rows.join(texts.select(F.col("node").alias("_n"), "sig"), F.col("node") == F.col("_n")).drop("_n"), "blocks")
+    blocks = rows.groupBy("band", "c", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    one = blocks.select("band", *[F.col(x).alias(f"{x}1") for x in ("c", "h", "lo", "hi")])
+    two = blocks.select(F.col("band").alias("_b"), *[F.col(x).alias(f"{x}2") for x in ("c", "h", "lo", "hi")],
+                        F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("_c"))
+    pairs = one.join(two, (F.col("band") == F.col("_b")) & (F.col("c1") == F.col("_c"))
+                     & ((F.col("c1") != F.col("c2")) | (F.col("h1") <= F.col("h2"))))
+    pairs = pairs.filter(~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))))
+    pairs = pairs.select("band", "c1", "h1", "c2", "h2").withColumn("pair", F.xxhash64("band", "c1", "h1", "c2", "h2"))
+    left = pairs.join(rows, (pairs["band"] == rows["band"]) & (F.col("c1") == F.col("c")) & (F.col("h1") == F.col("h"))).select(
+        "pair", pairs["band"].alias("b1"), "node", "n", "label", "sig")
+    right = pairs.join(rows, (pairs["band"] == rows["band"]) & (F.col("c2") == F.col("c")) & (F.col("h2") == F.col("h"))).select(
+        F.col("pair").alias("_pair"), pairs["band"].alias("b2"), *[F.col(x).alias(f"_{x}") for x in ("node", "n", "label", "sig")])
+    agree = F.size(F.filter(F.zip_with("sig", "_sig", lambda x, y: x == y), lambda x: x))
+    k = F.size("sig")
+    least = similarity * k - 4.3 * F.sqrt(similarity * (1 - similarity) * k)
+    near = left.join(right, (F.col("pair") == F.col("_pair")) & (F.col("b1") == F.col("b2")) & (F.col("label") != F.col("_label"))
+                     & _sizes_fit(F.col("n"), F.col("_n"), similarity) & (agree >= least))
+    return near.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links whose texts' shingle sets overlap by ``similarity`` or more (exact)."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = links.join(one, "a").join(two, "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(inter >= similarity * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+    return both.filter(inter >= similarity * (F.size("sa") + F.size("sb") - inter) - 1e-9).select("a", "b")
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -263,15 +309,19 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 def _classes(docs: DataFrame, similarity: float, options: dict) -> tuple[DataFrame, DataFrame]:
     rows = staged(sketch(docs, **options), "sketch")
     texts = staged(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"),
-                                            F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "texts")
-    pairs = staged(candidate_links(texts, similarity), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # one row of each text, combined before the shuffle: equal copies are one row per task
-    sets = rows.groupBy("node").agg(F.first("shingles").alias("shingles")).join(wanted, "node", "left_semi")
-    sets = staged(sets, "sets")
-    links = staged(verified(pairs, sets, similarity), "verified")
+                                            F.first("sig").alias("sig"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "texts")
+    buckets = staged(bucket_rows(texts), "buckets")
+    # texts that share a bucket; equal copies are combined before the shuffle, one row per task
+    wanted = buckets.select("node").distinct()
+    sets = staged(rows.groupBy("node").agg(F.first("shingles").alias("shingles")).join(wanted, "node", "left_semi"), "sets")
+    links = staged(verified(candidate_links(buckets, similarity), sets, similarity), "verified")
+    labels = components(links)
+    more = staged(verified(remaining_links(buckets, labels, texts, similarity), sets, similarity), "verified")
+    if not more.isEmpty():
+        links = links.unionByName(more).distinct()
+        labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
-    member = texts.select("node", "low", "copies").join(components(links).withColumnRenamed("node", "_c"),
+    member = texts.select("node", "low", "copies").join(labels.withColumnRenamed("node", "_c"),
                                                         F.col("node") == F.col("_c"), "left")
     member = member.join(degree, F.col("node") == F.col("_n"), "left").select(
         "node", "low", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
