@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trajectra.operators import score as S
-from trajectra.plans.panels import PANEL_P_SQL, panel_p, waves_p, wide_p, y_cols
+from trajectra.plans.panels import PANEL_P_SQL, panel_p, waves_p
 from trajectra.plans.registry import query
 
 K = 2
@@ -249,3 +249,18 @@ def m12_trajectory_table(spark, sf):
                        _r(F.col("mean")).alias("mean"), _r(F.col("share")).alias("share"))
 
 
+@query("m13_m2_regression_on_class", sql=SCORE_SQL + """,
+x AS (SELECT c.c_acctbal AS y, CAST(s.most_likely AS DOUBLE) AS x
+      FROM customer c JOIN (SELECT subject, most_likely FROM sc WHERE class = most_likely) s ON s.subject = c.c_custkey),
+b AS (SELECT count(*) AS n, regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1, regr_sxx(y, x) AS sxx FROM x),
+e AS (SELECT sum(power(y - b0 - b1 * x, 2)) AS rss FROM x, b)
+SELECT n, round(b0, 4) + 0.0 AS beta_0, round(b1, 4) + 0.0 AS beta_1, round(sqrt(rss / (n - 2) / sxx), 4) AS se_1,
+       round(b1 / sqrt(rss / (n - 2) / sxx), 4) + 0.0 AS t_1 FROM b, e""")
+def m13_m2_regression_on_class(spark, sf):
+    """Account balance regressed on the attached class of the customer."""
+    from trajectra.operators import fit as FT
+    from trajectra.plans.panels import table
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("subject"), "c_acctbal")
+    a = S.attach_class(c, scores(spark, sf), GROUP).where(F.col("most_likely").isNotNull())
+    o = FT.ols(a, "c_acctbal", ["most_likely"])
+    return o.select("n", *[_r(F.col(x)).alias(x) for x in ["beta_0", "beta_1", "se_1", "t_1"]])
