@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,7 @@ COORDINATES = 64
 BAND = 4                     # coordinates in a band: a pair at 0.8 is missed by all 16 bands once in 4,600
 FIRST_RANK = 2.0 ** -6
 CHUNK = 200_000              # shingles whose darts are thrown at once
+DRAWS = 3                    # rounds in which texts meet one drawn text of each bucket they share with other components
 BLOCK = 256                  # texts of a bucket that one comparison of blocks holds on each side
 
 _words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -231,27 +233,42 @@ def candidate_links(rows: DataFrame, similarity: float) -> DataFrame:
     return star.unionByName(chain).distinct()
 
 
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, n, label) of the buckets whose texts are of several components."""
+    known = labels.select(F.col("node").alias("_n"), "label")
+    rows = rows.select("band", "node", "n").join(known, F.col("node") == F.col("_n"), "left").select(
+        "band", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select(
+        F.col("band").alias("_b"))
+    return rows.join(mixed, F.col("band") == F.col("_b"), "left_semi")
+
+
+def crossing_links(rows: DataFrame, labels: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket: each text with one drawn by hash for the bucket and ``turn``."""
+    rows = staged(_mixed(rows, labels), "mixed")
+    drawn = rows.groupBy("band").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "band", F.lit(turn))).alias("d"))
+    met = rows.join(drawn.select(F.col("band").alias("_b"), "d"), F.col("band") == F.col("_b"))
+    met = met.filter((F.col("label") != F.col("d.label")) & _sizes_fit(F.col("n"), F.col("d.n"), similarity))
+    return met.select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
+
+
 def remaining_links(rows: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) in one bucket but in different components, whose signatures come near ``similarity``.
 
     Buckets of one component are done.  The others are cut into blocks by size
     class (a factor of 1 / similarity) and hash, of about ``BLOCK`` texts; blocks of
     the same or the next class meet unless both hold one and the same component.  A
-    pair is given only if its signatures agree in at least as many coordinates as a
-    pair at ``similarity`` does but once in 100,000.
+    pair is given by the first band it shares, and only if its signatures agree in at
+    least as many coordinates as a pair at ``similarity`` does but once in 4,000.
     """
-    known = labels.select(F.col("node").alias("_n"), "label")
-    rows = rows.select("band", "node", "n").join(known, F.col("node") == F.col("_n"), "left").select(
-        "band", "node", "n", F.coalesce("label", "node").alias("label"),
-        F.floor(F.log(F.col("n") + 1e-9) / -math.log(similarity)).alias("c") if similarity < 1 else F.col("n").alias("c"))
-    mixed = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select(
-        F.col("band").alias("_b"))
-    rows = staged(rows.join(mixed, F.col("band") == F.col("_b"), "left_semi"), "mixed")
+    rows = _mixed(rows, labels).withColumn("c", F.floor(F.log(F.col("n") + 1e-9) / -math.log(similarity))
+                                           if similarity < 1 else F.col("n"))
+    rows = staged(rows, "mixed")
     counts = rows.groupBy("band", "c").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("h")).select(
         F.col("band").alias("_b"), F.col("c").alias("_c"), "h")
     rows = rows.join(counts, (F.col("band") == F.col("_b")) & (F.col("c") == F.col("_c"))).withColumn(
         "h", F.pmod(F.xxhash64("node"), F.col("h"))).drop("_b", "_c")
-    rows = staged(rows.join(texts.select(F.col("node").alias("_n"), "sig"), F.col("node") == F.col("_n")).drop("_n"), "blocks")
+    rows = staged(rows.join(texts.select(F.col("node").alias("_n"), "sig", "bands"), F.col("node") == F.col("_n")).drop("_n"), "blocks")
     blocks = rows.groupBy("band", "c", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     one = blocks.select("band", *[F.col(x).alias(f"{x}1") for x in ("c", "h", "lo", "hi")])
     two = blocks.select(F.col("band").alias("_b"), *[F.col(x).alias(f"{x}2") for x in ("c", "h", "lo", "hi")],
@@ -259,16 +276,18 @@ def remaining_links(rows: DataFrame, labels: DataFrame, texts: DataFrame, simila
     pairs = one.join(two, (F.col("band") == F.col("_b")) & (F.col("c1") == F.col("_c"))
                      & ((F.col("c1") != F.col("c2")) | (F.col("h1") <= F.col("h2"))))
     pairs = pairs.filter(~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))))
-    pairs = pairs.select("band", "c1", "h1", "c2", "h2").withColumn("pair", F.xxhash64("band", "c1", "h1", "c2", "h2"))
+    pairs = staged(pairs.select("band", "c1", "h1", "c2", "h2").withColumn("pair", F.xxhash64("band", "c1", "h1", "c2", "h2")), "block-pairs")
     left = pairs.join(rows, (pairs["band"] == rows["band"]) & (F.col("c1") == F.col("c")) & (F.col("h1") == F.col("h"))).select(
-        "pair", pairs["band"].alias("b1"), "node", "n", "label", "sig")
+        "pair", pairs["band"].alias("b1"), "node", "n", "label", "sig", "bands")
     right = pairs.join(rows, (pairs["band"] == rows["band"]) & (F.col("c2") == F.col("c")) & (F.col("h2") == F.col("h"))).select(
-        F.col("pair").alias("_pair"), pairs["band"].alias("b2"), *[F.col(x).alias(f"_{x}") for x in ("node", "n", "label", "sig")])
+        F.col("pair").alias("_pair"), pairs["band"].alias("b2"),
+        *[F.col(x).alias(f"_{x}") for x in ("node", "n", "label", "sig", "bands")])
     agree = F.size(F.filter(F.zip_with("sig", "_sig", lambda x, y: x == y), lambda x: x))
     k = F.size("sig")
-    least = similarity * k - 4.3 * F.sqrt(similarity * (1 - similarity) * k)
+    least = similarity * k - 3.5 * F.sqrt(similarity * (1 - similarity) * k)
+    first = F.get(F.filter(F.zip_with("bands", "_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
     near = left.join(right, (F.col("pair") == F.col("_pair")) & (F.col("b1") == F.col("b2")) & (F.col("label") != F.col("_label"))
-                     & _sizes_fit(F.col("n"), F.col("_n"), similarity) & (agree >= least))
+                     & _sizes_fit(F.col("n"), F.col("_n"), similarity) & (agree >= least) & (first == F.col("b1")))
     return near.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
@@ -316,10 +335,13 @@ def _classes(docs: DataFrame, similarity: float, options: dict) -> tuple[DataFra
     sets = staged(rows.groupBy("node").agg(F.first("shingles").alias("shingles")).join(wanted, "node", "left_semi"), "sets")
     links = staged(verified(candidate_links(buckets, similarity), sets, similarity), "verified")
     labels = components(links)
-    more = staged(verified(remaining_links(buckets, labels, texts, similarity), sets, similarity), "verified")
-    if not more.isEmpty():
-        links = links.unionByName(more).distinct()
-        labels = components(links)
+    # most texts that missed their bucket's first have many other partners: a few drawn ones find them, in links
+    # proportional to the texts; what is then left is searched in full
+    for search in [*(partial(crossing_links, turn=t) for t in range(DRAWS)), partial(remaining_links, texts=texts)]:
+        more = staged(verified(search(buckets, labels, similarity=similarity), sets, similarity), "verified")
+        if not more.isEmpty():
+            links = staged(links.unionByName(more).distinct(), "verified")
+            labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
     member = texts.select("node", "low", "copies").join(labels.withColumnRenamed("node", "_c"),
                                                         F.col("node") == F.col("_c"), "left")
