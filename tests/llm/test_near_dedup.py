@@ -96,6 +96,16 @@ def test_long_chain_of_links(spark):
     assert {v for k, v in got.items() if k[0] == "n"} == {"n000"} and got["y"] == "x"
 
 
+def test_chain_of_thousands_in_shuffled_order(spark):
+    ids = list(range(3000))
+    random.Random(2).shuffle(ids)
+    path = [f"n{i:04d}" for i in ids]
+    links = spark.createDataFrame(list(zip(path, path[1:])) + [("x", "y"), ("z", "y")], "a string, b string")
+    got = {r.node: r.label for r in components(links).collect()}
+    assert got == {n: "n0000" for n in path} | {n: "x" for n in "xyz"}
+    assert components(links.limit(0)).collect() == []
+
+
 def test_odd_rows(docs, odd):
     rows = near_duplicates(docs(odd, clash=True)).collect()
     assert len(rows) == len(odd)

@@ -300,29 +300,45 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(inter >= similarity * (F.size("sa") + F.size("sb") - inter) - 1e-9).select("a", "b")
 
 
-def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected ``links`` (a, b): (node, label), the label its smallest node.
 
-    Each round takes the smallest label of the neighbours and then the label's own
-    label; rounds end when nothing changes, after a number about logarithmic in the
-    longest path.  Links and labels stay distributed; every round is written to the
-    shared folder.
+    Each round hooks every root to the smallest root that any member is linked to,
+    follows the hooks to their end, and puts roots in the place of the links' nodes.
+    A root without a smaller neighbour either gets one hooked to it, or sees a smaller
+    one in the next round, so two rounds at least halve the roots that still have links,
+    whatever the order of the nodes; a chain of hooks halves with each step.  Rounds end
+    when no link is left.  Links and labels stay distributed; every round is written to
+    the shared folder.
     """
-    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select(
-        "node", F.least("node", "_m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_n")).agg(F.min("label").alias("_l"))
-        new = staged(labels.join(seen, F.col("node") == F.col("_n")).select(
-            "node", F.least("label", "_l").alias("label"), F.col("label").alias("old")), "labels")
-        jump = new.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        labels = staged(new.join(jump, F.col("label") == F.col("_n")).select(
-            "node", F.least("label", "_l").alias("label"), "old"), "labels")
-        changed = labels.filter("label != old").limit(1).count()
-        labels = labels.select("node", "label")
-        if not changed:
+    left = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = None
+    while True:
+        hooks = _followed(staged(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select(
+            "node", F.least("node", "_m").alias("label")), "hooks"))
+        root = hooks.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        if labels is None:
+            labels = hooks
+        else:
+            labels = staged(labels.join(root, F.col("label") == F.col("_n"), "left").select(
+                "node", F.coalesce("_l", "label").alias("label")), "labels")
+        for end in ("a", "b"):
+            left = left.join(root, F.col(end) == F.col("_n")).withColumn(end, F.col("_l")).drop("_n", "_l")
+        left = staged(left.filter("a != b").distinct(), "links")
+        if left.isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """``hooks`` (node, label) with each label followed to the node that is its own label."""
+    while True:
+        jump = hooks.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        hooks = staged(hooks.join(jump, F.col("label") == F.col("_n")).select(
+            "node", F.col("_l").alias("label"), (F.col("_l") != F.col("label")).alias("moved")), "hooks")
+        moved = not hooks.filter("moved").isEmpty()
+        hooks = hooks.select("node", "label")
+        if not moved:
+            return hooks
 
 
 def _classes(docs: DataFrame, similarity: float, options: dict) -> tuple[DataFrame, DataFrame]:
