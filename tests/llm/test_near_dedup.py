@@ -132,6 +132,15 @@ def test_big_group_of_near_copies(docs):
     assert {r.class_id for r in got} == {0} and sum(r.is_kept for r in got) == 1
 
 
+def test_degree_is_named_as_that_of_checked_links(docs):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:60 + i] + [f"edit{i}"] + base[61 + i:])) for i in range(12)] + [(12, "on its own, without a near copy")]
+    got = {r.doc_id: r for r in near_duplicates(docs(rows)).collect()}
+    assert "n_links" not in got[0] and got[12].n_checked_links == 0
+    # they span the class, each counted at both ends; all 66 pairs of it need not be among them
+    assert 2 * 11 <= sum(r.n_checked_links for r in got.values()) <= 2 * 66
+
+
 def test_links_between_texts_that_are_no_bucket_s_first(docs, monkeypatch):
     """Families whose members drift: many pairs at 0.8 and more next to pairs below, in shared buckets."""
     import trajectra.llm.near_dedup as N

@@ -358,17 +358,17 @@ def _classes(docs: DataFrame, similarity: float, options: dict) -> tuple[DataFra
         if not more.isEmpty():
             links = staged(links.unionByName(more).distinct(), "verified")
             labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_checked_links"))
     member = texts.select("node", "low", "copies").join(labels.withColumnRenamed("node", "_c"),
                                                         F.col("node") == F.col("_c"), "left")
     member = member.join(degree, F.col("node") == F.col("_n"), "left").select(
-        "node", "low", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "node", "low", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_checked_links", F.lit(0)).alias("n_checked_links"))
     member = staged(member, "members")
     total = member.groupBy("label").agg(F.min(F.struct(F.col("low").isNull().alias("z"), "low", "node")).alias("_f"),
                                         F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts")).select(
         F.col("label").alias("_l"), F.col("_f.low").alias("class_id"), F.col("_f.node").alias("kept_node"), "class_size", "n_texts")
     facts = member.join(total, F.col("label") == F.col("_l")).select(
-        "node", "copies", "n_links", "class_id", "class_size", "n_texts", "kept_node")
+        "node", "copies", "n_checked_links", "class_id", "class_size", "n_texts", "kept_node")
     return rows.select("doc_id", "node"), staged(facts, "classes")
 
 
@@ -376,10 +376,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **options)
     """One row per row of ``docs`` (doc_id, text) with its class of near duplicates.
 
     class_id: the smallest doc_id of the class; class_size: its rows; n_texts: its
-    different texts; n_links: links of this text to other texts (exact similarity
-    at least ``similarity`` over distinct five-word shingles, or over counted ones
-    with ``counted=True``); copies: rows with this very text; is_kept: the row's
-    doc_id and text are those that stay.
+    different texts; n_checked_links: those links of this text that the search has
+    verified (exact similarity at least ``similarity`` over distinct five-word
+    shingles, or over counted ones with ``counted=True``), no count of all its near
+    copies: pairs inside a class already joined are not looked at, so the number
+    depends on the order of the text keys and on ``DRAWS``; copies: rows with this
+    very text; is_kept: the row's doc_id and text are those that stay.
 
     Equal texts are one class.  Null texts count as empty ones; these have no
     shingles and make one class.  A text of fewer than five words is one shingle.
@@ -389,7 +391,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **options)
     """
     rows, facts = _classes(docs, similarity, options)
     out = attach(rows, facts, "node", "copies", rows.count(), F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    return out.select("doc_id", "class_id", "class_size", "n_texts", "copies", "n_links",
+    return out.select("doc_id", "class_id", "class_size", "n_texts", "copies", "n_checked_links",
                       (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))).alias("is_kept"))
 
 
