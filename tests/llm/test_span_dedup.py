@@ -94,3 +94,26 @@ def test_odd_rows(docs, odd):
     assert by[5][0].n_removed == 0 and by[6][0].text == ""
     assert [r.n_removed for r in by[1]] == [0, 0]
     assert deduplicate_spans(docs([])).collect() == []
+
+
+def test_passages_that_begin_and_end_inside_sentences(docs):
+    """51 repeated words, without sentence or clause marks at their ends, lose all but the edges."""
+    rnd = random.Random(3)
+
+    def words(n):
+        return [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    rows, passages = [], []
+    for k in range(40):
+        p = words(51)
+        for j in range(51):
+            if k % 2 and rnd.random() < 0.1:
+                p[j] += rnd.choice([".", ",", "!"])
+        passages.append(p)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join(words(rnd.randrange(1, 40)) + p + words(rnd.randrange(1, 40))) + "."))
+    got = {r.doc_id: r for r in deduplicate_spans(docs(rows)).collect()}
+    for k, p in enumerate(passages):
+        assert got[2 * k].n_removed == 0 and 25 <= got[2 * k + 1].words_removed <= 51
+        left = set(got[2 * k + 1].text.split())
+        assert sum(w in left for w in p) <= 26
+        assert set(rows[2 * k + 1][1].split()) - left <= set(p)

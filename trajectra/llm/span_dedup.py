@@ -6,6 +6,12 @@ up to each sentence, the shortest run of at least ``MIN_SENTENCES`` sentences an
 that a passage of one or two long sentences counts).  Hashes are joined over all
 documents; a run's first place is the smallest doc_id, and within a document the
 first sentence.  Sentences covered by a run at any other place are removed.
+
+Sentences of more than ``PIECE`` words are cut into pieces of at most so many, at
+words that the words around them determine.  Of a passage that begins and ends
+inside sentences no more than ``PIECE`` words at each end are in other pieces than
+in its copies, so any 51 repeated words hold a complete run of 25.  Repeats inside
+one document are looked for in whole sentences and clauses.
 """
 
 from __future__ import annotations
@@ -25,31 +31,80 @@ MIN_SENTENCES = 2
 MIN_WORDS = 25
 LONG_WORDS = 50
 LONG_SENTENCE = 20
+PIECE = (LONG_WORDS + 1 - MIN_WORDS) // 2
 RUNS = "hi array<long>, lo array<int>, first array<int>, size array<int>, own array<int>"
 
 _breaks = re.compile(r"(?<=[.!?。！？])[ \t\x0b\x0c\r\n]+|[ \t\x0b\x0c\r]*\n[ \t\x0b\x0c\r\n]*").finditer
 _clauses = re.compile(r"(?<=[,;:])[ \t]+").finditer
+_words = re.compile(r"[^ \t\n\r\x0b\x0c]+").finditer
 
 
-def sentence_starts(text: str) -> list[int]:
-    """Where the sentences start, and the text's length at the end; a sentence owns the space behind it.
+class PieceHashes(dict):
+    """Word -> hash that places the cuts, remembered up to a fixed number of words."""
 
-    A sentence of more than ``LONG_SENTENCE`` words is cut into its clauses, so that
-    a passage that shares only part of it is found.
-    """
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = PieceHashes()
+
+
+def _starts(text: str, long: int) -> tuple[list[int], list[int]]:
+    """Where the sentences start, with the text's length at the end, and the clauses of those of more than ``long`` words."""
     starts = [0] + [m.end() for m in _breaks(text)]
     if starts[-1] != len(text) or len(starts) == 1:
         starts.append(len(text))
-    cuts = [m.end() for a, b in zip(starts, starts[1:]) if b - a > 2 * LONG_SENTENCE and len(text[a:b].split()) > LONG_SENTENCE
-            for m in _clauses(text, a, b) if m.end() < b]
+    return starts, [m.end() for a, b in zip(starts, starts[1:]) if b - a > 2 * long and sum(1 for _ in _words(text, a, b)) > long
+                    for m in _clauses(text, a, b) if m.end() < b]
+
+
+def clause_starts(text: str) -> list[int]:
+    """Starts of sentences, and of clauses in sentences of more than ``LONG_SENTENCE`` words."""
+    starts, cuts = _starts(text, LONG_SENTENCE)
     return sorted(starts + cuts) if cuts else starts
 
 
-def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: int) -> list[tuple[bytes, int, int]]:
+def sentence_starts(text: str) -> list[int]:
+    """Where the sentences start, and the text's length at the end; a sentence owns the space behind it.
+
+    A sentence of more than ``PIECE`` words is cut into its clauses, and a clause of
+    more into pieces, so that a passage that shares only part of it is found.  Cuts
+    stand before the word with the smallest hash of each ``PIECE`` in a row (the last
+    of equal ones): a piece has ``PIECE`` words at most, and two texts cut alike
+    between the first and the last such word of what they share.
+    """
+    starts, cuts = _starts(text, PIECE)
+    if cuts:
+        starts = sorted(starts + cuts)
+    pieces = []
+    for a, b in zip(starts, starts[1:]):
+        if b - a <= 2 * PIECE:
+            continue
+        words = list(_words(text, a, b))
+        if len(words) <= PIECE:
+            continue
+        h, at = [_hashes[m.group()] for m in words], -1
+        for end in range(PIECE - 1, len(h)):
+            if at <= end - PIECE:
+                at = min(range(end, end - PIECE, -1), key=h.__getitem__)
+            elif h[end] <= h[at]:
+                at = end
+            else:
+                continue
+            if at:
+                pieces.append(words[at].start())
+    return sorted(starts + pieces) if pieces else starts
+
+
+def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: int,
+            cut=sentence_starts) -> list[tuple[bytes, int, int]]:
     """(hash, first sentence, sentences) of each run, by first sentence."""
     if not text:
         return []
-    starts = sentence_starts(text)
+    starts = cut(text)
     digests, words = [], [0]
     for a, b in zip(starts, starts[1:]):
         w = text[a:b].encode("utf-8", "surrogatepass").split()
@@ -81,19 +136,31 @@ def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: in
     return [(xxhash.xxh3_128_digest(whole[16 * i:16 * j]), i, j - i) for i, j in sorted(spans)]
 
 
+def own_repeats(text: str, *least: int) -> list[int]:
+    """First sentence and sentences, in turns, of the runs of whole clauses that stand earlier in the text too."""
+    seen: set[bytes] = set()
+    out: list[int] = []
+    wide, number = clause_starts(text), {start: i for i, start in enumerate(sentence_starts(text))}
+    for h, i, size in runs_of(text, *least, cut=clause_starts):
+        if h in seen:
+            first = number[wide[i]]
+            out += (first, number[wide[i + size]] - first)
+        seen.add(h)
+    return out
+
+
 def _runs_udf(min_sentences: int, min_words: int, long_words: int):
+    least = (min_sentences, min_words, long_words)
+
     def runs(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            seen: dict[bytes, tuple[int, int]] = {}
-            own: list[int] = []              # first and size, in turns, of repeats inside the document
-            for h, i, size in runs_of(text, min_sentences, min_words, long_words):
-                if h in seen:
-                    own += (i, size)
-                else:
-                    seen[h] = (i, size)
-            keys = np.frombuffer(b"".join(seen), dtype=np.dtype([("hi", "<i8"), ("lo", "<i4"), ("rest", "<i4")]))
-            places = np.array(list(seen.values()), dtype=np.int32).reshape(-1, 2)
+            found = runs_of(text, *least)
+            hashes = [h for h, _, _ in found]
+            keys = np.frombuffer(b"".join(hashes), dtype=np.dtype([("hi", "<i8"), ("lo", "<i4"), ("rest", "<i4")]))
+            places = np.array([(i, size) for _, i, size in found], dtype=np.int32).reshape(-1, 2)
+            # clauses repeat only where their pieces do
+            own = own_repeats(text, *least) if len(set(hashes)) < len(hashes) else []
             out.append((keys["hi"], keys["lo"], places[:, 0], places[:, 1], own))       # 96 bits of the hash
         return pd.DataFrame(out, columns=["hi", "lo", "first", "size", "own"])
     return F.pandas_udf(runs, RUNS)
