@@ -117,3 +117,24 @@ def test_passages_that_begin_and_end_inside_sentences(docs):
         left = set(got[2 * k + 1].text.split())
         assert sum(w in left for w in p) <= 26
         assert set(rows[2 * k + 1][1].split()) - left <= set(p)
+
+
+def test_null_ids_are_told_apart_and_lose_repeats(docs):
+    """Texts without an id: each keeps its own sentences, and a passage they share stays in one of them only."""
+    rnd = random.Random(4)
+    shared = "".join(sentence(rnd, 12) for _ in range(5)).strip()
+    rows = [(None, "".join(sentence(rnd, 9) for _ in range(k + 1)) + shared + f"\nEnd of {k}.") for k in range(12)]
+    rows += [rows[3], (None, None), (None, ""), (2 ** 63 - 1, "".join(sentence(rnd, 11) for _ in range(4)))]
+    rows.append((None, rows[-1][1]))
+    got = deduplicate_spans(docs(rows)).collect()
+    assert len(got) == len(rows)
+    whole = {r.text for r in got if r.text and shared in r.text}
+    assert len(whole) == 1
+    for i, t in rows[:12]:
+        assert sum(r.text in (t, t.replace(shared + "\n", "")) for r in got) == (2 if t == rows[3][1] else 1)
+    last = [r for r in got if r.doc_id is not None]
+    assert last[0].text == rows[-1][1] and sum(r.text == rows[-1][1] for r in got) == 1
+
+
+def test_spans_outside_the_text_are_rejected():
+    assert remove_spans("A b. C d. E f.", [1, 1, 2, 5, 9, 1]) == ("A b. E f.", 1, 2)

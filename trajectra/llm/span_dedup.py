@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import prepare, staged
+from trajectra.llm.common import prepare, staged, text_key
 
 MIN_SENTENCES = 2
 MIN_WORDS = 25
@@ -171,8 +171,10 @@ def remove_spans(text: str, spans) -> tuple[str, int, int]:
     starts = sentence_starts(text)
     gone = np.zeros(len(starts), dtype=np.int64)
     spans = np.asarray(spans, dtype=np.int64)
-    np.add.at(gone, spans[0::2], 1)
-    np.add.at(gone, spans[0::2] + spans[1::2], -1)
+    first, end = spans[0::2], spans[0::2] + spans[1::2]
+    inside = (0 <= first) & (first < end) & (end < len(starts))          # spans outside the text are no spans of it
+    np.add.at(gone, first[inside], 1)
+    np.add.at(gone, end[inside], -1)
     gone = np.cumsum(gone)[:-1] > 0
     keep = "".join(text[a:b] for a, b, g in zip(starts, starts[1:], gone) if not g)
     words = sum(len(text[a:b].encode("utf-8", "surrogatepass").split()) for a, b, g in zip(starts, starts[1:], gone) if g)
@@ -186,29 +188,37 @@ def _remove(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
                    long_words: int = LONG_WORDS) -> DataFrame:
-    """(_d, _t, spans): per document, the runs to remove as first sentence and size in turns.
+    """(doc_id, key, spans): per document, the runs to remove as first sentence and size in turns; key: its text's.
 
-    ``_d`` is the doc_id (nulls last, as the largest long), ``_t`` a hash that tells
-    apart the texts of one doc_id.  Rows that are shuffled hold no more than the join
-    needs: a count instead of a second id, and 96-bit hashes.
+    Null doc_ids come behind all others, one document for each text, in the order of
+    ``_z``, half of the text's key.  Rows that are shuffled hold no more than the join
+    needs: a count instead of a second id, 96-bit hashes, and the number of the row,
+    which is unique, in place of its text's key.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_d"), F.hash("text").alias("_t"),
+    key = text_key(F.col("text"))
+    half = F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+    rows = docs.select("doc_id", key.alias("key"), F.when(F.col("doc_id").isNull(), half).alias("_z"),
+                       F.monotonically_increasing_id().alias("_r"),
                        _runs_udf(min_sentences, min_words, long_words)(F.col("text")).alias("r"))
-    rows = staged(rows.select("_d", "_t", "r.*"), "runs")
-    places = rows.select("_d", "_t", F.explode(F.arrays_zip("hi", "lo", "first", "size")).alias("p")).select(
-        F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), "_d", "_t", F.col("p.first").alias("first"), F.col("p.size").alias("size"))
+    rows = staged(rows.select("doc_id", "key", "_z", "_r", "r.*"), "runs")
+    places = rows.select("doc_id", "_z", "_r", F.explode(F.arrays_zip("hi", "lo", "first", "size")).alias("p")).select(
+        F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), "doc_id", "_z", "_r", F.col("p.first").alias("first"), F.col("p.size").alias("size"))
     # counts and smallest ids are combined before the shuffle, so a passage that all documents share is one row per task
-    again = places.groupBy("hi", "lo").agg(F.min("_d").alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        F.col("hi").alias("_h"), F.col("lo").alias("_l"), "at")
-    later = places.join(again, (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))).filter("_d > at")
-    spans = later.select("_d", "_t", "first", "size").unionByName(
-        rows.filter(F.size("own") > 0).select("_d", "_t", F.explode(F.transform(
+    again = places.groupBy("hi", "lo").agg(F.min("doc_id").alias("at"), F.min("_z").alias("_az"), F.count(F.lit(1)).alias("n")).filter(
+        "n > 1").select(F.col("hi").alias("_h"), F.col("lo").alias("_l"), "at", "_az")
+    later = places.join(again, (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))).filter(
+        "doc_id > at OR doc_id IS NULL AND (at IS NOT NULL OR _z > _az)")
+    spans = later.select("_r", "first", "size").unionByName(
+        rows.filter(F.size("own") > 0).select("_r", F.explode(F.transform(
             F.sequence(F.lit(0), F.size("own") - 1, F.lit(2)),
             lambda i: F.struct(F.get("own", i).alias("first"), F.get("own", i + 1).alias("size")))).alias("p")).select(
-            "_d", "_t", "p.first", "p.size"))
-    # a document's list is bounded by its own runs, as equal rows give equal ones
-    return spans.groupBy("_d", "_t").agg(F.flatten(F.collect_set(F.array("first", "size"))).alias("spans"))
+            "_r", "p.first", "p.size"))
+    # a row's list is bounded by its own runs
+    spans = spans.groupBy(F.col("_r").alias("_s")).agg(F.flatten(F.collect_set(F.array("first", "size"))).alias("spans"))
+    # equal rows have equal lists
+    return rows.select("doc_id", "key", "_r").join(spans, F.col("_r") == F.col("_s")).groupBy("doc_id", "key").agg(
+        F.first("spans").alias("spans"))
 
 
 def deduplicate_spans(docs: DataFrame, **options) -> DataFrame:
@@ -216,13 +226,13 @@ def deduplicate_spans(docs: DataFrame, **options) -> DataFrame:
 
     Null texts stay null and empty ones empty; texts without a run long enough stay
     whole.  Rows that share a doc_id are one document: they do not remove each
-    other's passages, but keep their own texts.  Rows with a null doc_id count as
-    one document behind all others.  An empty table gives an empty result.  Other
-    columns are not read.
+    other's passages, but keep their own texts.  Rows with a null doc_id come behind
+    all others, one document for each different text, in the order of the texts'
+    keys.  An empty table gives an empty result.  Other columns are not read.
     """
-    spans = repeated_spans(docs, **options).select(F.col("_d").alias("_sd"), F.col("_t").alias("_st"), "spans")
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_d"), F.hash("text").alias("_t"))
-    out = rows.join(spans, (F.col("_d") == F.col("_sd")) & (F.col("_t") == F.col("_st")), "left")
+    spans = repeated_spans(docs, **options).select(F.col("doc_id").alias("_sd"), F.col("key").alias("_sk"), "spans")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_k"))
+    out = rows.join(spans, (F.col("_k") == F.col("_sk")) & F.col("doc_id").eqNullSafe(F.col("_sd")), "left")
     # texts that stay whole do not go through Python
     touched = F.when(F.col("spans").isNotNull(), F.col("text"))
     out = out.withColumn("_left", F.pandas_udf(_remove, "text string, n_removed int, words_removed int")(touched, F.col("spans")))
