@@ -61,3 +61,26 @@ def test_query_rows(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id != 1} == {""}
     assert extract(df.limit(0)).collect() == []
+
+
+KEPT = {
+    "figure": ("<article><p>Text, here.</p><figure><img src=x><figcaption>A caption.</figcaption></figure></article>",
+               "Text, here.\nA caption."),
+    "title and lead beside the article": ("<main><h1>T</h1><p>Lead</p><article><p>One, two, three.</p></article></main>",
+                                          "T\nLead\nOne, two, three."),
+    "header beside the article": ("<main><header><h1>T</h1></header><article><p>One, two, three.</p></article></main>", "T\nOne, two, three."),
+    "sources under a heading": ("<article><p>Text, here.</p><h2>Sources</h2><ul><li><a href=1>Smith 2010</a></li><li><a href=2>Lee 2011</a>"
+                                "</li></ul></article>", "Text, here.\nSources\nSmith 2010\nLee 2011"),
+    "references": ("<article><p>Text, here.</p><ol><li>Smith, <a href=1>A study of the growth of many things</a></li><li>Lee, "
+                   "<a href=2>Another study of the same things</a></li></ol></article>",
+                   "Text, here.\nSmith, A study of the growth of many things\nLee, Another study of the same things"),
+    "menu by name": ("<article><p>Text, here.</p><ul class=toc><li><a href=1>A long title of the first part of this text</a></li>"
+                     "<li><a href=2>A long title of the second part of this text</a></li></ul></article>", "Text, here."),
+    "menu under a heading": ("<article><p>Text, here.</p><h3>Related</h3><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></article>",
+                             "Text, here.\nRelated"),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_article_text_is_kept(name):
+    assert main_text(KEPT[name][0]) == KEPT[name][1]

@@ -21,7 +21,7 @@ from trajectra.llm.common import prepare
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
-DROPPED = frozenset("head nav footer aside form button select option dialog menu figure canvas audio video object map "
+DROPPED = frozenset("head nav footer aside form button select option dialog menu canvas audio video object map "
                     "datalist fieldset label legend".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
@@ -40,6 +40,9 @@ NOT_ARTICLE = frozenset(
     "notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations pagination pager search searchbox widget widgets skip outbrain taboola "
     "complementary contentinfo dialog form hidden".split())
+# Names that mark a menu where most of the box is links.
+MENU = frozenset("toc links linklist tags taglist topics categories sitemap".split())
+SOURCES = frozenset("reference references reflist source sources citation citations footnote footnotes bibliography".split())
 ARTICLE = frozenset("article articlebody articlecontent main maincontent content post postbody postcontent entry "
                     "entrycontent story storybody text body".split())
 
@@ -51,6 +54,7 @@ _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+").findall
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
 SIBLING_SHARE = 0.2
 MOSTLY_LINKS = 0.6
+SHORT_LINK = 25              # characters of a menu's link, on average
 
 
 class Node:
@@ -222,7 +226,8 @@ def main_nodes(root: Node) -> list[Node]:
     """The best container and its siblings that belong to it.
 
     A page that marks its article or main part has told the container: the best of
-    those is taken, with other articles beside it that score near it.
+    those is taken, with other articles beside it that score near it, and the title and
+    paragraphs beside it.
     """
     nodes = score(root)
     marked = [n for n in nodes if n.tag in ("article", "main") and n.points > 0]
@@ -240,15 +245,41 @@ def main_nodes(root: Node) -> list[Node]:
     for n in best.parent.children:
         if n is best:
             out.append(n)
-        elif not isinstance(n, str) and n.tag in BLOCKS and (not marked or n.tag == "article"):
-            like_text = n.tag in ("p", "h1", "h2", "pre", "blockquote") and n.chars > 0 and n.density() < 0.25
-            if like_text or (_value(n) >= least and n.density() < MOSTLY_LINKS):
+        elif not isinstance(n, str) and n.tag in BLOCKS:
+            like_text = n.tag in ("p", "h1", "h2", "header", "hgroup", "pre", "blockquote") and n.chars > 0 and n.density() < 0.25
+            if like_text or ((not marked or n.tag == "article") and _value(n) >= least and n.density() < MOSTLY_LINKS):
                 out.append(n)
     return out
 
 
+def _is_menu(n: Node) -> bool:
+    """A box of mostly links that is named a menu, or has nothing but short links and no heading of its own.
+
+    A list of references is mostly links, too, but stays: its links are titles, have
+    text beside them, or stand under a heading.
+    """
+    if n.tag not in ("ul", "ol", "div", "section", "table", "dl") or n.density() <= MOSTLY_LINKS \
+            or sum(isinstance(c, Node) for c in n.children) < 2:
+        return False
+    names = {w.lower() for w in _words(n.name)}
+    if names & SOURCES:
+        return False
+    if names & MENU:
+        return True
+    links = sum(x.tag == "a" and x.chars > 0 for x in _walk(n))
+    if n.density() < 0.99 or n.chars > SHORT_LINK * links:
+        return False
+    beside = [c for c in n.parent.children if not isinstance(c, str)] if n.parent else [n]
+    at = next(i for i, c in enumerate(beside) if c is n)
+    heading = beside[at - 1] if at else None
+    if heading is None or heading.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return True
+    title = "".join(c for x in _walk(heading) for c in x.children if isinstance(c, str))
+    return any(w.lower() in NOT_ARTICLE | MENU for w in _words(title))
+
+
 def blocks_of(nodes: list[Node]) -> list[str]:
-    """Text of the nodes' blocks in page order; lists and boxes that are mostly links are left out."""
+    """Text of the nodes' blocks in page order; menus are left out."""
     out: list[str] = []
     run: list[str] = []
 
@@ -267,8 +298,7 @@ def blocks_of(nodes: list[Node]) -> list[str]:
         elif isinstance(n, str):
             run.append(n)
         else:
-            if id(n) not in top and n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.density() > MOSTLY_LINKS \
-                    and sum(isinstance(c, Node) for c in n.children) > 1:
+            if id(n) not in top and _is_menu(n):
                 end()
                 continue
             block = n.tag in BLOCKS
