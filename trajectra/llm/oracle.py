@@ -111,4 +111,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLE: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9}
+OP11 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+OP12 = r"""
+WITH RECURSIVE
+tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+         THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, x::BIGINT)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE len(run) >= 5 GROUP BY ALL),
+coded AS (
+  SELECT run, n, list_transform(range(1, strlen(doc_id || ':' || run) + 1),
+         lambda i: ('0x' || substr(hex(doc_id || ':' || run), 2 * i - 1, 2))::BIGINT) AS b FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM coded, tab),
+words AS (
+  SELECT w AS word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS w, n
+        FROM hashed)
+  WHERE len(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+holes AS (
+  SELECT DISTINCT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM holes x JOIN holes y USING (a, b) WHERE x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON y.word = x.a || x.b
+  UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON y.word = x.a || x.b),
+best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, m AS top, other FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+f AS (
+  SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * n THEN other END AS form,
+         CASE WHEN top >= 2 * n THEN top END::BIGINT AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word),
+walk AS (
+  SELECT word, word AS root FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, walk.root FROM f JOIN walk ON f.form = walk.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN walk ON f.word = walk.word
+"""
+
+ORACLE: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9,
+                          "op11_hard_negatives": OP11, "op12_spelling_variants": OP12}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trajectra.llm import (decontaminate, html_extract, mixing, near_dedup, quality_classifier, quality_rules,
-                           sharding, span_dedup, toxicity, warc)
+from trajectra.llm import (anchor_negatives, best_fit_packing, decontaminate, html_extract, mixing, near_dedup,
+                           quality_classifier, quality_rules, sharding, span_dedup, spelling_variants, toxicity, warc)
 from trajectra.llm.common import table
 from trajectra.llm.oracle import ORACLE
 
@@ -66,9 +67,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; some labels are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return anchor_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with the more frequent word one letter away, and the root of such steps."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    import public_tokenizers
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_toxicity, op3_sharding, op4_warc, op5_decontamination, op6_near_dedup,
-                            op7_quality_rules, op8_span_dedup, op9_mixing, op10_quality)}
+                            op7_quality_rules, op8_span_dedup, op9_mixing, op10_quality, op11_hard_negatives,
+                            op12_spelling_variants, op13_best_fit_packing)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
