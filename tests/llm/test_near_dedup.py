@@ -155,7 +155,7 @@ def test_links_between_texts_that_are_no_bucket_s_first(docs, monkeypatch):
                 t[rnd.randrange(len(t))] = rnd.choice(vocab)
             texts.append(" ".join(t[:rnd.randrange(105, 120)]))
     want = classes(texts)
-    for block in (256, 4):
-        monkeypatch.setattr(N, "BLOCK", block)
+    for holders in (500, 2):
+        monkeypatch.setattr(N, "HOLDERS", holders)
         got = {r.doc_id: r.class_id for r in near_duplicates(docs(list(enumerate(texts)))).collect()}
         assert [got[i] for i in range(len(texts))] == want

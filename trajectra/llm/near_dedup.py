@@ -12,7 +12,9 @@ Signatures are cut into bands.  The texts of a band bucket are linked to its
 smallest member and to their neighbour in order of size, never all with all; each
 link is then checked exactly on the full shingle sets, and connected components of
 the links are the classes.  Buckets that still hold texts of several components are
-searched for the links between these, so none depends on which text came first.
+searched for the links between these by a prefix join on the shingles, so none depends
+on which text came first.  Shingles are compared by 32-bit hashes: two of a text's
+few hundred collide with another text's once in some millions.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ BAND = 4                     # coordinates in a band: a pair at 0.8 is missed by
 FIRST_RANK = 2.0 ** -6
 CHUNK = 200_000              # shingles whose darts are thrown at once
 DRAWS = 3                    # rounds in which texts meet one drawn text of each bucket they share with other components
-BLOCK = 256                  # texts of a bucket that one comparison of blocks holds on each side
+HOLDERS = 500                # holders of a shared shingle outside its main component that one key takes
 
 _words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 _U = np.uint64
@@ -161,12 +163,11 @@ def bands_of(sig: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def _sketch_udf(counted: bool, k: int, band: int, size: int):
-    @F.pandas_udf("bands array<long>, sig array<tinyint>, shingles array<int>")
+    @F.pandas_udf("bands array<long>, shingles array<int>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
             bands: list = [np.empty(0, dtype=np.int64)] * len(texts)
-            sigs: list = [np.empty(0, dtype=np.int8)] * len(texts)
             sets: list = [None] * len(texts)
             todo, have = [], 0
 
@@ -176,8 +177,8 @@ def _sketch_udf(counted: bool, k: int, band: int, size: int):
                     lengths = [len(e) for _, e, _ in todo]
                     sig = dart_signatures(np.concatenate([e for _, e, _ in todo]), np.concatenate([w for _, _, w in todo]),
                                           np.repeat(np.arange(len(todo)), lengths), len(todo), k)
-                    for (i, _, _), row, byte in zip(todo, bands_of(sig, band).view(np.int64), sig.astype(np.uint8).view(np.int8)):
-                        bands[i], sigs[i] = row, byte
+                    for (i, _, _), row in zip(todo, bands_of(sig, band).view(np.int64)):
+                        bands[i] = row
                     todo, have = [], 0
 
             for i, text in enumerate(texts):
@@ -194,16 +195,16 @@ def _sketch_udf(counted: bool, k: int, band: int, size: int):
                     if have >= CHUNK:
                         flush()
             flush()
-            yield pd.DataFrame({"bands": bands, "sig": sigs, "shingles": sets})
+            yield pd.DataFrame({"bands": bands, "shingles": sets})
     return sketch
 
 
 def sketch(docs: DataFrame, counted: bool = False, k: int = COORDINATES, band: int = BAND, size: int = SHINGLE) -> DataFrame:
-    """For every row of ``docs``: doc_id, node (key of the text), bands, sig (a byte of each coordinate), shingles, n of them."""
+    """For every row of ``docs``: doc_id, node (key of the text), bands, shingles (their 32-bit hashes), n of them."""
     prepare(docs.sparkSession)
     out = docs.select("doc_id", text_key(F.col("text")).alias("node"),
                       _sketch_udf(counted, k, band, size)(F.col("text")).alias("s"))
-    return out.select("doc_id", "node", "s.bands", "s.sig", "s.shingles", F.size("s.shingles").alias("n"))
+    return out.select("doc_id", "node", "s.bands", "s.shingles", F.size("s.shingles").alias("n"))
 
 
 def bucket_rows(texts: DataFrame) -> DataFrame:
@@ -252,47 +253,45 @@ def crossing_links(rows: DataFrame, labels: DataFrame, similarity: float, turn:
     return met.select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
 
 
-def remaining_links(rows: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) in one bucket but in different components, whose signatures come near ``similarity``.
+def remaining_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts in mixed buckets, of different components, that may reach ``similarity``: a prefix join.
 
-    Buckets of one component are done.  The others are cut into blocks by size
-    class (a factor of 1 / similarity) and hash, of about ``BLOCK`` texts; blocks of
-    the same or the next class meet unless both hold one and the same component.  A
-    pair is given by the first band it shares, and only if its signatures agree in at
-    least as many coordinates as a pair at ``similarity`` does but once in 4,000.
+    A text's shingles are put in order of rarity among the texts of these buckets.  Two
+    sets that reach the similarity share at least t / (1 + t) of their sizes' sum, so
+    their first shared shingle stands early in both: nothing but a text's first
+    n - ceil(t n) + 1 shingles is joined, and a pair only where what is left behind the
+    shared shingle still suffices for both.  Of the holders of a shingle, those outside
+    its most frequent component meet all holders; shingles of one component are done.
+    Many holders are dealt over several keys.  No pair that reaches the similarity is lost.
     """
-    rows = _mixed(rows, labels).withColumn("c", F.floor(F.log(F.col("n") + 1e-9) / -math.log(similarity))
-                                           if similarity < 1 else F.col("n"))
-    rows = staged(rows, "mixed")
-    counts = rows.groupBy("band", "c").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("h")).select(
-        F.col("band").alias("_b"), F.col("c").alias("_c"), "h")
-    rows = rows.join(counts, (F.col("band") == F.col("_b")) & (F.col("c") == F.col("_c"))).withColumn(
-        "h", F.pmod(F.xxhash64("node"), F.col("h"))).drop("_b", "_c")
-    rows = staged(rows.join(texts.select(F.col("node").alias("_n"), "sig", "bands"), F.col("node") == F.col("_n")).drop("_n"), "blocks")
-    blocks = rows.groupBy("band", "c", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    one = blocks.select("band", *[F.col(x).alias(f"{x}1") for x in ("c", "h", "lo", "hi")])
-    two = blocks.select(F.col("band").alias("_b"), *[F.col(x).alias(f"{x}2") for x in ("c", "h", "lo", "hi")],
-                        F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("_c"))
-    pairs = one.join(two, (F.col("band") == F.col("_b")) & (F.col("c1") == F.col("_c"))
-                     & ((F.col("c1") != F.col("c2")) | (F.col("h1") <= F.col("h2"))))
-    pairs = pairs.filter(~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))))
-    pairs = staged(pairs.select("band", "c1", "h1", "c2", "h2").withColumn("pair", F.xxhash64("band", "c1", "h1", "c2", "h2")), "block-pairs")
-    left = pairs.join(rows, (pairs["band"] == rows["band"]) & (F.col("c1") == F.col("c")) & (F.col("h1") == F.col("h"))).select(
-        "pair", pairs["band"].alias("b1"), "node", "n", "label", "sig", "bands")
-    right = pairs.join(rows, (pairs["band"] == rows["band"]) & (F.col("c2") == F.col("c")) & (F.col("h2") == F.col("h"))).select(
-        F.col("pair").alias("_pair"), pairs["band"].alias("b2"),
-        *[F.col(x).alias(f"_{x}") for x in ("node", "n", "label", "sig", "bands")])
-    agree = F.size(F.filter(F.zip_with("sig", "_sig", lambda x, y: x == y), lambda x: x))
-    k = F.size("sig")
-    least = similarity * k - 3.5 * F.sqrt(similarity * (1 - similarity) * k)
-    first = F.get(F.filter(F.zip_with("bands", "_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-    near = left.join(right, (F.col("pair") == F.col("_pair")) & (F.col("b1") == F.col("b2")) & (F.col("label") != F.col("_label"))
-                     & _sizes_fit(F.col("n"), F.col("_n"), similarity) & (agree >= least) & (first == F.col("b1")))
+    mixed = staged(_mixed(rows, labels).select("node", "label").distinct(), "mixed")
+    texts = staged(mixed.join(sets, "node").select("node", "label", "shingles", F.size("shingles").alias("n")), "mixed-sets")
+    tokens = texts.select("node", F.explode("shingles").alias("s"))
+    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    ranked = attach(tokens, often, "s", "f", total, F.xxhash64("node"))
+    ranked = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "s"))).alias("r"))
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    prefix = ranked.join(texts.select(F.col("node").alias("_n"), "label", "n"), F.col("node") == F.col("_n")).select(
+        "node", "label", "n", F.posexplode(F.slice("r", F.lit(1), first.cast("int"))).alias("i", "x"))
+    prefix = staged(prefix.filter("x.f > 1").select("node", "label", "n", "i", F.col("x.s").alias("s")), "prefixes")
+    held = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("m"))
+    held = held.groupBy("s").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("c"), F.max(F.struct("m", "label")).alias("main")).filter("c > 1")
+    held = staged(held.select(F.col("s").alias("_s"), F.col("main.label").alias("main"),
+                              F.ceil((F.col("m") - F.col("main.m")) / HOLDERS).cast("int").alias("h")), "holders")
+    both = prefix.join(held, F.col("s") == F.col("_s"))
+    one = both.filter("label != main").withColumn("k", F.pmod(F.xxhash64("node"), F.col("h")).cast("int"))
+    two = both.select(F.col("s").alias("_s2"), F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("_k"),
+                      *[F.col(x).alias(f"_{x}") for x in ("node", "label", "n", "i")])
+    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("_n")) - 1e-9)
+    near = one.join(two, (F.col("s") == F.col("_s2")) & (F.col("k") == F.col("_k")) & (F.col("label") != F.col("_label"))
+                    & (F.col("i") + need <= F.col("n")) & (F.col("_i") + need <= F.col("_n"))
+                    & _sizes_fit(F.col("n"), F.col("_n"), similarity))
     return near.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links whose texts' shingle sets overlap by ``similarity`` or more (exact)."""
+    """The links whose texts' sets of shingle hashes (32 bits each) overlap by ``similarity`` or more."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = links.join(one, "a").join(two, "b")
@@ -344,7 +343,7 @@ def _followed(hooks: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, similarity: float, options: dict) -> tuple[DataFrame, DataFrame]:
     rows = staged(sketch(docs, **options), "sketch")
     texts = staged(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"),
-                                            F.first("sig").alias("sig"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "texts")
+                                            F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "texts")
     buckets = staged(bucket_rows(texts), "buckets")
     # texts that share a bucket; equal copies are combined before the shuffle, one row per task
     wanted = buckets.select("node").distinct()
@@ -353,7 +352,7 @@ def _classes(docs: DataFrame, similarity: float, options: dict) -> tuple[DataFra
     labels = components(links)
     # most texts that missed their bucket's first have many other partners: a few drawn ones find them, in links
     # proportional to the texts; what is then left is searched in full
-    for search in [*(partial(crossing_links, turn=t) for t in range(DRAWS)), partial(remaining_links, texts=texts)]:
+    for search in [*(partial(crossing_links, turn=t) for t in range(DRAWS)), partial(remaining_links, sets=sets)]:
         more = staged(verified(search(buckets, labels, similarity=similarity), sets, similarity), "verified")
         if not more.isEmpty():
             links = staged(links.unionByName(more).distinct(), "verified")
@@ -377,7 +376,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **options)
 
     class_id: the smallest doc_id of the class; class_size: its rows; n_texts: its
     different texts; n_checked_links: those links of this text that the search has
-    verified (exact similarity at least ``similarity`` over distinct five-word
+    verified (similarity at least ``similarity`` over the 32-bit hashes of distinct five-word
     shingles, or over counted ones with ``counted=True``), no count of all its near
     copies: pairs inside a class already joined are not looked at, so the number
     depends on the order of the text keys and on ``DRAWS``; copies: rows with this
