@@ -19,19 +19,23 @@ level AS (
 water AS (
   SELECT k, (total - below) / weights AS lam FROM level WHERE (total - below) / weights * w <= cap ORDER BY k LIMIT 1),
 t AS (
-  SELECT o.source, o.source_size,
+  SELECT o.source, o.source_size, o.w,
          CASE WHEN o.k < water.k THEN o.cap::DOUBLE ELSE least(water.lam * o.w, o.cap::DOUBLE) END AS target
   FROM o, water),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, (CASE t.w WHEN 2 THEN 2 ELSE 1.5 END)::DOUBLE AS w0, (CASE t.w WHEN 1 THEN 0.5 WHEN 2 THEN 2 ELSE 4.5 END)::DOUBLE AS w1,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS reached
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * CASE WHEN size = 0 THEN 0 ELSE
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE
           (2 * reached + size <= 2 * target)::INT + (2 * (source_size + reached) + size <= 2 * target)::INT
-        + (2 * (2 * source_size + reached) + size <= 2 * target)::INT END)::BIGINT AS taken
-FROM r
+        + (2 * (2 * source_size + reached) + size <= 2 * target)::INT END AS repeats,
+         (w0 + w1) / 2 * least(reached / target, 1.0) AS due
+  FROM r)
+SELECT doc_id, size, source_size, target, (size * repeats)::BIGINT AS taken, repeats::INT AS repeats,
+       CASE WHEN repeats > 0 THEN round(least(2 * due / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * due)), 1.0), 9) END AS position
+FROM u
 """
 
 OP5 = r"""
@@ -105,9 +109,9 @@ c AS (
   SELECT p, CASE WHEN p * (1 - p) * (n - nn / n - (k - 1)) > 0
                  THEN (xx - n * p * p - (k - 1) * p * (1 - p)) / (p * (1 - p) * (n - nn / n - (k - 1))) ELSE 0.0 END AS like_each FROM s),
 prior AS (SELECT p, 1 / least(greatest(like_each, 1e-6), 1.0) - 1 AS strength FROM c),
-v AS (SELECT source, (x + p * strength) / (n + strength) > 0.5 AS host_failed FROM h, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
-       NOT base_failed AND NOT host_failed AS kept
+v AS (SELECT source, (x + p * strength) / (n + strength) AS rate FROM h, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 10) AS host_rate, rate > 0.5 AS host_failed,
+       NOT base_failed AND NOT rate > 0.5 AS kept
 FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
 

@@ -49,7 +49,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of each document and its host."""
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 10))
 
 
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of the sources, in training order."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
