@@ -22,6 +22,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +32,24 @@ SHORTEST = 5
 LEAST = 3
 DAMAGE = 97             # a run whose hash this divides loses one letter
 PER_RANGE = 50_000      # words that one task numbers
-HELD = 300_000          # different words that a task counts before it passes them on
+HELD = 100_000          # different words that a task counts before it passes them on
 
 
 def _counter(shortest: int, damage: int | None):
     find = re.compile("[a-zÀ-ÿ]{%d,}" % shortest).findall
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
 
         def out():
-            df = pd.DataFrame({"word": list(total.keys()), "n": np.fromiter(total.values(), dtype=np.int64, count=len(total))})
+            batch = pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())],
+                                               names=["word", "n"])
             total.clear()
-            return df
+            return batch
 
         for b in batches:
-            for doc_id, text in zip(b["id"], b["text"]):
+            for i in range(b.num_rows):
+                doc_id, text = b.column("id")[i].as_py(), b.column("text")[i].as_py()
                 # bytes.lower() touches A-Z only
                 runs = find(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
                 if not damage:
@@ -56,8 +59,8 @@ def _counter(shortest: int, damage: int | None):
                     for run, n in Counter(runs).items():
                         h = zlib.crc32(run.encode(), start)
                         if h % damage == 0:
-                            i = h % len(run)
-                            run = run[:i] + run[i + 1:]
+                            at = h % len(run)
+                            run = run[:at] + run[at + 1:]
                             if len(run) < shortest:
                                 continue
                         total[run] += n
@@ -77,7 +80,7 @@ def word_counts(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST, d
     """
     prepare(docs.sparkSession)
     rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
-    counted = rows.mapInPandas(_counter(shortest, damage), "word string, n long")
+    counted = rows.mapInArrow(_counter(shortest, damage), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
