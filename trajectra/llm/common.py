@@ -23,13 +23,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor re-reads files instead of recomputing.
-    The files stay until the job's checkpoint folder is cleared, as the lazily
-    evaluated result still reads them.
+    The files stay until ``drop_staged`` or ``session.drop_stages``, as the lazily evaluated
+    result still reads them.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
+    out = spark.read.schema(nullable(df.schema)).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of ``staged`` tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def nullable(schema: T.StructType) -> T.StructType:

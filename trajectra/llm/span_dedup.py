@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import prepare, staged, text_key
+from trajectra.llm.common import drop_staged, prepare, staged, text_key
 
 MIN_SENTENCES = 2
 MIN_WORDS = 25
@@ -191,9 +191,9 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
     """(doc_id, key, spans): per document, the runs to remove as first sentence and size in turns; key: its text's.
 
     Null doc_ids come behind all others, one document for each text, in the order of
-    ``_z``, half of the text's key.  Rows that are shuffled hold no more than the join
-    needs: a count instead of a second id, 96-bit hashes, and the number of the row,
-    which is unique, in place of its text's key.
+    ``_z``, half of the text's key.  The first pass over the runs only counts 64 bits of
+    their hashes; the second exchange holds a run's hash (96 bits), the number of its
+    row and its place; ids come to the runs that are left, those that occur again.
     """
     prepare(docs.sparkSession)
     key = text_key(F.col("text"))
@@ -202,12 +202,16 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
                        F.monotonically_increasing_id().alias("_r"),
                        _runs_udf(min_sentences, min_words, long_words)(F.col("text")).alias("r"))
     rows = staged(rows.select("doc_id", "key", "_z", "_r", "r.*"), "runs")
-    places = rows.select("doc_id", "_z", "_r", F.explode(F.arrays_zip("hi", "lo", "first", "size")).alias("p")).select(
-        F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), "doc_id", "_z", "_r", F.col("p.first").alias("first"), F.col("p.size").alias("size"))
-    # counts and smallest ids are combined before the shuffle, so a passage that all documents share is one row per task
-    again = places.groupBy("hi", "lo").agg(F.min("doc_id").alias("at"), F.min("_z").alias("_az"), F.count(F.lit(1)).alias("n")).filter(
+    places = rows.select("_r", F.explode(F.arrays_zip("hi", "lo", "first", "size")).alias("p")).select(
+        F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"), "_r", F.col("p.first").alias("first"), F.col("p.size").alias("size"))
+    # counts are combined before the shuffle, so a passage that all documents share is one row per task
+    often = staged(rows.select(F.explode("hi").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h"),
+                   "repeated-hashes")
+    again = staged(places.join(often, F.col("hi") == F.col("_h"), "left_semi"), "repeated-runs")
+    again = again.join(rows.select(F.col("_r").alias("_row"), "doc_id", "_z"), F.col("_r") == F.col("_row")).drop("_row")
+    first = again.groupBy("hi", "lo").agg(F.min("doc_id").alias("at"), F.min("_z").alias("_az"), F.count(F.lit(1)).alias("n")).filter(
         "n > 1").select(F.col("hi").alias("_h"), F.col("lo").alias("_l"), "at", "_az")
-    later = places.join(again, (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))).filter(
+    later = again.join(first, (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))).filter(
         "doc_id > at OR doc_id IS NULL AND (at IS NOT NULL OR _z > _az)")
     spans = later.select("_r", "first", "size").unionByName(
         rows.filter(F.size("own") > 0).select("_r", F.explode(F.transform(
@@ -217,8 +221,10 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
     # a row's list is bounded by its own runs
     spans = spans.groupBy(F.col("_r").alias("_s")).agg(F.flatten(F.collect_set(F.array("first", "size"))).alias("spans"))
     # equal rows have equal lists
-    return rows.select("doc_id", "key", "_r").join(spans, F.col("_r") == F.col("_s")).groupBy("doc_id", "key").agg(
-        F.first("spans").alias("spans"))
+    out = staged(rows.select("doc_id", "key", "_r").join(spans, F.col("_r") == F.col("_s")).groupBy("doc_id", "key").agg(
+        F.first("spans").alias("spans")), "spans")
+    drop_staged(rows)
+    return out
 
 
 def deduplicate_spans(docs: DataFrame, **options) -> DataFrame:
