@@ -9,12 +9,15 @@ from trajectra.llm import queries
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
-    want = duck(SMALL).execute(queries.oracle_sql()[name]).df()
-    got = queries.queries()[name](spark, SMALL).toPandas()[list(want.columns)]
+    con = duck(SMALL)
+    con.execute(f"CREATE VIEW twin AS {queries.oracle_sql()[name]}")
+    want = con.execute("SELECT * FROM twin").df()
+    got = queries.queries()[name](spark, SMALL).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
     assert normalise(got) == normalise(want)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if int(n[2:].split("_")[0]) <= 10))
 def test_one_row_per_row(spark, name):
     table = "pages" if name in ("op1_html_text", "op4_warc") else "documents"
     assert queries.queries()[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
