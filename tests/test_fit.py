@@ -210,3 +210,22 @@ def test_least_squares_keeps_its_digits(spark):
     assert [r[f"beta_{j}"] for j in range(1, 4)] == pytest.approx(beta[1:].tolist(), abs=1e-6)
     assert [r[f"se_{j}"] for j in range(4)] == pytest.approx(se.tolist(), rel=1e-5)
     assert r["t_1"] == pytest.approx(beta[1] / se[1], rel=1e-4)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_growth_curve_paths_agree_with_empty_subjects(spark, monkeypatch, shared):
+    """Pattern sums on the driver and distributed passes give the same fit; subjects without any value change neither."""
+    full = made_panel(60)
+    cols = ", ".join(f"y_{w} double" for w in range(W))
+    wide = spark.createDataFrame(full + [(1000 + i, *[None] * W) for i in range(20)], f"subject long, {cols}")
+    alone = spark.createDataFrame(full, f"subject long, {cols}")
+    start = {"a": np.array([[26.0, -0.2, 0.0]]), "th": np.full(W, 4.0), "psi": np.diag([4.0, 0.1, 0.0])[None], "pi": np.ones(1)}
+    one = FT.growth_curve_steps(wide, Y, start, 3, (0, 1), shared)
+    n = FT.growth_curve(wide, Y, (0, 1), shared, max_iter=3)["n"]
+    monkeypatch.setattr(FT, "MAX_PATTERNS", 0)
+    for panel in (wide, alone):
+        two = FT.growth_curve_steps(panel, Y, start, 3, (0, 1), shared)
+        assert one[1] == pytest.approx(two[1], rel=1e-10)
+        for key in ("a", "th", "psi"):
+            assert np.allclose(one[0][key], two[0][key], rtol=1e-8, atol=1e-8)
+    assert n == FT.growth_curve(wide, Y, (0, 1), shared, max_iter=3)["n"] == 60

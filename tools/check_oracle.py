@@ -42,7 +42,8 @@ def compare(spark, con, name, q, sf_dir):
     ts = time.time() - t0
     if not q.sql:
         return dict(name=name, ok=None, rows=len(s), secs=ts, note="no sql twin")
-    d = con.execute(q.sql).df()
+    con.execute(f"CREATE OR REPLACE VIEW twin AS {q.sql}")        # as the driver does: a view needs fixed columns
+    d = con.execute("SELECT * FROM twin").df()
     info = dict(name=name, rows=len(s), oracle_rows=len(d), secs=round(ts, 2))
     if sorted(s.columns) != sorted(d.columns):
         return dict(info, ok=False, note=f"columns {sorted(s.columns)} vs {sorted(d.columns)}")

@@ -559,13 +559,18 @@ def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter
     return params, evals, settled
 
 
+def with_values(wide: DataFrame, ycols: Sequence[str]) -> DataFrame:
+    """The rows that have a value in at least one of the outcome columns."""
+    return wide.where(F.coalesce(*[F.col(c).cast("double") for c in ycols], F.lit(None).cast("double")).isNotNull())
+
+
 def prepare_panel(wide: DataFrame, ycols: Sequence[str], subject: str = "subject") -> Prepared:
     """The EM input: subject + outcome columns, staged in the checkpoint folder
     (lineage cut; lost executors re-read it rather than recompute the shuffle)
     and cached for the many passes.  A small panel is spread over few partitions, as
     a pass over it is mostly task overhead; a large one over all the cluster's cores
-    and more, so that a partition stays small."""
-    table = stage(wide.select(subject, *ycols), "panel")
+    and more, so that a partition stays small.  Subjects without any value take no part."""
+    table = stage(with_values(wide, ycols).select(subject, *ycols), "panel")
     rows = table.count()
     parts = max(1, min(wide.sparkSession.sparkContext.defaultParallelism, rows // 2_000), rows // 500_000)
     return Prepared(table.repartition(parts).persist(), parts)
@@ -757,6 +762,7 @@ def growth_curve(wide: DataFrame, ycols: Sequence[str], factors: Sequence[int] =
     """
     W = len(ycols)
     times = list(times) if times is not None else list(range(W))
+    wide = with_values(wide, ycols)
     pats = _pattern_sums(wide, ycols)
     if pats is None:
         f = fit_em(wide, ycols, 1, None, factors, shared_residual, times, n_starts=1, keep=1, max_iter=max_iter, tol=tol)
@@ -777,6 +783,7 @@ def growth_curve_steps(wide: DataFrame, ycols: Sequence[str], start: dict, steps
     """
     W = len(ycols)
     Z = design(list(times) if times is not None else list(range(W)))
+    wide = with_values(wide, ycols)
     pats = _pattern_sums(wide, ycols)
     if pats is None:
         params, ll = em_steps(wide, ycols, None, [start], steps, factors, shared_residual, times)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectra.operators.panel import largest_group, number_visits, to_wide
+from trajectra.operators.panel import largest_group, number_visits, to_long, to_wide
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,19 @@ panel_p AS (
   FROM orders)"""
 
 
-def wide_p_sql(value: str = "y", prefix: str = "y_") -> str:
-    """Wide panel P with an expression of y in each cell; its columns follow from the data."""
-    return f"(PIVOT (SELECT subject, '{prefix}' || wave AS c, {value} AS v FROM panel_p) ON c USING max(v) GROUP BY subject)"
+def cells(wide: DataFrame) -> DataFrame:
+    """Every cell of a wide panel, missing ones too: (subject, variable, value).  A view needs fixed columns, W is the data's."""
+    return to_long(wide, ["subject"])
+
+
+def cells_sql(value: str = "y", prefix: str = "y_", where: str = "TRUE") -> str:
+    """Every cell of wide panel P, with an expression of y in it; subjects by a condition."""
+    return f"""
+SELECT s.subject, '{prefix}' || w.wave AS variable, CAST(p.v AS DOUBLE) AS value
+FROM (SELECT DISTINCT subject FROM panel_p) s
+CROSS JOIN (SELECT unnest(range((SELECT max(wave) + 1 FROM panel_p))) AS wave) w
+LEFT JOIN (SELECT subject, wave, {value} AS v FROM panel_p) p ON p.subject = s.subject AND p.wave = w.wave
+WHERE {where}"""
 
 
 PANEL_E_SQL = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trajectra.functions import columns as C
 from trajectra.operators import describe as D
 from trajectra.operators import panel as P
-from trajectra.plans.panels import PANEL_E_SQL, PANEL_P_SQL, panel_e, panel_p, table, wide_p, wide_p_sql, y_cols
+from trajectra.plans.panels import PANEL_E_SQL, PANEL_P_SQL, cells, cells_sql, panel_e, panel_p, table, wide_p, y_cols
 from trajectra.plans.registry import query
 
 R = 4  # decimals kept for computed doubles in both twins
@@ -51,10 +51,10 @@ def p1_p2_derived_time(spark, sf):
 
 # ------------------------------------------------------------------ V1, V3, V4, P4, P6, P7, F5
 
-@query("v1_to_wide", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql()}")
+@query("v1_to_wide", sql="WITH" + PANEL_P_SQL + cells_sql())
 def v1_to_wide(spark, sf):
-    """Long panel P to one row per subject with one column per wave."""
-    return wide_p(spark, sf)
+    """Long panel P to one row per subject with one column per wave, every cell listed."""
+    return cells(wide_p(spark, sf))
 
 
 @query("v3_to_long_all", sql="WITH" + PANEL_P_SQL + """
@@ -71,26 +71,26 @@ def v4_to_long_some(spark, sf):
     return P.to_long(wide_p(spark, sf), ["subject"], ["y_0", "y_1", "y_2"]).where(F.col("value").isNotNull())
 
 
-@query("p4_p6_rename_generated", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql('round(y * 10000.0, 2)', 'price_')}")
+@query("p4_p6_rename_generated", sql="WITH" + PANEL_P_SQL + cells_sql("round(y * 10000.0, 2)", "price_"))
 def p4_p6_rename_generated(spark, sf):
     """Select by prefix, then one expression over many columns with generated names."""
     w = P.pick_prefix(wide_p(spark, sf), "y_", keep=["subject"])
-    return P.map_columns(w, y_cols(w), lambda c: F.round(c * 10000.0, 2), [c.replace("y_", "price_") for c in y_cols(w)])
+    return cells(P.map_columns(w, y_cols(w), lambda c: F.round(c * 10000.0, 2), [c.replace("y_", "price_") for c in y_cols(w)]))
 
 
-@query("p7_sentinel_to_null", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql('nullif(floor(y), 20)')}")
+@query("p7_sentinel_to_null", sql="WITH" + PANEL_P_SQL + cells_sql("nullif(floor(y), 20)"))
 def p7_sentinel_to_null(spark, sf):
     """A sentinel (here the whole value 20) becomes NULL in every wave column."""
     w = wide_p(spark, sf)
     w = w.select("subject", *[F.floor(F.col(c)).cast("double").alias(c) for c in y_cols(w)])
-    return P.sentinel_to_null(w, y_cols(w), 20)
+    return cells(P.sentinel_to_null(w, y_cols(w), 20))
 
 
-@query("f5_keep_present", sql="WITH" + PANEL_P_SQL + f"""
-SELECT * FROM {wide_p_sql()} WHERE subject IN (SELECT subject FROM panel_p WHERE wave < 5 AND y IS NOT NULL GROUP BY subject HAVING count(*) = 5)""")
+@query("f5_keep_present", sql="WITH" + PANEL_P_SQL + cells_sql(
+    where="s.subject IN (SELECT subject FROM panel_p WHERE wave < 5 AND y IS NOT NULL GROUP BY subject HAVING count(*) = 5)"))
 def f5_keep_present(spark, sf):
     """Subjects present at waves 0..4."""
-    return P.keep_present(wide_p(spark, sf), [f"y_{t}" for t in range(5)])
+    return cells(P.keep_present(wide_p(spark, sf), [f"y_{t}" for t in range(5)]))
 
 
 # ------------------------------------------------------------------ P3, P5, P8, P9, P12-P14, P16, P17, P11
@@ -411,7 +411,7 @@ def a14_pattern_stats(spark, sf):
 
 # ------------------------------------------------------------------ S1, S2
 
-@query("s1_s2_panel_file", sql="WITH" + PANEL_P_SQL + f" SELECT * FROM {wide_p_sql()}")
+@query("s1_s2_panel_file", sql="WITH" + PANEL_P_SQL + cells_sql())
 def s1_s2_panel_file(spark, sf):
     """Wide panel P written as a headerless tab-separated panel file ('.' for missing) under the
     checkpoint folder, then scanned back with its positional schema."""
@@ -422,4 +422,4 @@ def s1_s2_panel_file(spark, sf):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panel-files/{uuid.uuid4().hex}"
     w = wide_p(spark, sf)
     write_panel(w, path, keep=w.columns)
-    return read_panel(spark, path, w.columns, key="subject")
+    return cells(read_panel(spark, path, w.columns, key="subject"))
