@@ -439,21 +439,27 @@ def mstep(s: dict, g: int, old: dict, Z: np.ndarray, factors: Sequence[int], fre
 
 def start_values(wide: DataFrame, ycols: Sequence[str], K: int, n_starts: int, seed: int,
                  factors: Sequence[int], free_re: Sequence[int]) -> list[dict]:
-    """Starting values from one aggregate of the panel (per-wave mean and variance).
-
-    Start 0 spreads the class intercepts evenly over +-1 sd; the other (seeded)
-    random starts draw intercepts over +-1.5 sd, slopes and curvature on the data's
-    scale, random variance scales and class shares.
-    """
+    """Starting values from one aggregate of the panel (per-wave mean and variance); see ``starts_from``."""
     aggs = []
     for c in ycols:
         aggs += [F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}")]
     r = wide.agg(*aggs).first()
     mu = np.array([r[f"m_{c}"] if r[f"m_{c}"] is not None else 0.0 for c in ycols])
     var = np.array([r[f"v_{c}"] if r[f"v_{c}"] is not None else 1.0 for c in ycols])
+    return starts_from(mu, var, K, n_starts, seed, factors, free_re)
+
+
+def starts_from(mu: np.ndarray, var: np.ndarray, K: int, n_starts: int, seed: int, factors: Sequence[int],
+                free_re: Sequence[int]) -> list[dict]:
+    """Starting values from the mean and variance of each wave.
+
+    Start 0 spreads the class intercepts evenly over +-1 sd; the other (seeded)
+    random starts draw intercepts over +-1.5 sd, slopes and curvature on the data's
+    scale, random variance scales and class shares.
+    """
     base, sd = float(np.nanmean(mu)), float(np.sqrt(np.nanmean(var)))
     rng = np.random.default_rng(seed)
-    W = len(ycols)
+    W = len(mu)
     out = []
     for s in range(n_starts):
         a = np.zeros((K, 3))
@@ -504,16 +510,16 @@ def from_vec(v: np.ndarray, K: int, W: int, factors: Sequence[int], free_re: Seq
     return {"a": a, "th": th, "psi": psi, "pi": pi / pi.sum()}
 
 
-def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter: int, tol: float,
-            history: list) -> tuple[list[dict], int, np.ndarray]:
-    """SQUAREM-accelerated EM (Varadhan and Roland, 2008) over several groups at once.
+def squarem_search(params: list[dict], K: int, W: int, factors, free_re, max_iter: int, tol: float, history: list):
+    """SQUAREM-accelerated EM (Varadhan and Roland, 2008) over several groups at once, as a generator.
 
-    ``step(ps) -> (F(ps), ll(ps))`` is one EM map for the groups it is given (one
-    pass over the data).  A cycle costs three passes: two EM steps, an extrapolation
-    along them and a stabilising EM step from the extrapolated point; when that
-    point's likelihood falls below the plain step's, the plain two-step result is
-    kept, so the likelihood never decreases.  Each group stops by itself: once its
-    likelihood has settled, or is not finite, later passes leave it out.
+    It yields the parameter sets whose EM step it needs and is sent ``(F(ps), ll(ps))``
+    for them, so whoever drives it can answer several searches by one pass over the
+    data.  A cycle costs three passes: two EM steps, an extrapolation along them and a
+    stabilising EM step from the extrapolated point; when that point's likelihood
+    falls below the plain step's, the plain two-step result is kept, so the likelihood
+    never decreases.  Each group stops by itself: once its likelihood has settled, or
+    is not finite, later passes leave it out.
 
     Returns the parameters, the passes, and which groups have settled.
     """
@@ -526,8 +532,8 @@ def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter
     while evals < max_iter and going.any():
         at = np.flatnonzero(going)
         p0 = [params[g] for g in at]
-        p1, ll0 = step(p0)
-        p2, ll1 = step(p1)
+        p1, ll0 = yield p0
+        p2, ll1 = yield p1
         evals += 2
         ext = []
         for i in range(len(at)):
@@ -542,7 +548,7 @@ def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter
             alpha = min(alpha, -1.0)
             e = from_vec(v0 - 2 * alpha * r + alpha * alpha * d, K, W, factors, free_re)
             ext.append(e if all(np.isfinite(x).all() for x in e.values()) else p2[i])
-        p3, ll_ext = step(ext)
+        p3, ll_ext = yield ext
         evals += 1
         for ll in (ll0, ll1):
             shown[at] = np.where(np.isfinite(ll), ll, shown[at])
@@ -559,6 +565,53 @@ def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter
     return params, evals, settled
 
 
+def drive(search, step):
+    """Run a search by itself: ``step`` answers each of its questions.  Returns the search's result."""
+    try:
+        ask = next(search)
+        while True:
+            ask = search.send(step(ask))
+    except StopIteration as end:
+        return end.value
+
+
+def squarem(step, params: list[dict], K: int, W: int, factors, free_re, max_iter: int, tol: float,
+            history: list) -> tuple[list[dict], int, np.ndarray]:
+    """``squarem_search`` with one EM map ``step(ps) -> (F(ps), ll(ps))``."""
+    return drive(squarem_search(params, K, W, factors, free_re, max_iter, tol, history), step)
+
+
+def starts_search(params: list[dict], K: int, W: int, factors, free_re, keep: int, stage1_iter: int, max_iter: int, tol: float):
+    """Multi-start search of one model, as a generator like ``squarem_search``.
+
+    Stage 1 takes every start ``stage1_iter`` steps on; the best ``keep`` go on until
+    each has settled.  Starts whose likelihood is not finite are dropped.  Returns the
+    result described in ``fit_em``; kept: the number of the start behind each kept one.
+    """
+    history: list = []
+    order = list(range(len(params)))
+    if len(params) > keep:
+        ll = np.full(len(params), -np.inf)
+        for _ in range(stage1_iter):
+            params, ll = yield params
+            history.append(np.array(ll))
+        order = [int(i) for i in np.argsort(-np.where(np.isfinite(ll), ll, -np.inf), kind="stable") if np.isfinite(ll[i])][:keep]
+        if not order:
+            raise ValueError("no start has a finite log-likelihood")
+        params = [params[i] for i in order]
+    params, passes, settled = yield from squarem_search(params, K, W, factors, free_re, max_iter, tol, history)
+    # a likelihood belongs to the parameters before its M step: one more E pass for the final one
+    _, final = yield params
+    final = np.asarray(final, dtype=float)
+    if not np.isfinite(final).any():
+        raise ValueError("no start has a finite log-likelihood")
+    best = int(np.nanargmax(np.where(np.isfinite(final), final, np.nan)))
+    return {"params": params[best], "ll": float(final[best]), "converged": bool(settled[best]),
+            "best_replicated": bool((np.round(final, 3) == np.round(final[best], 3)).sum() >= 2),
+            "start_lls": final.tolist(), "start_converged": settled.tolist(), "kept": order, "iterations": passes,
+            "all_params": params, "history": history}
+
+
 def with_values(wide: DataFrame, ycols: Sequence[str]) -> DataFrame:
     """The rows that have a value in at least one of the outcome columns."""
     return wide.where(F.coalesce(*[F.col(c).cast("double") for c in ycols], F.lit(None).cast("double")).isNotNull())
@@ -626,27 +679,9 @@ def fit_em(wide: DataFrame, ycols: Sequence[str], K: int, restriction: str | Non
         new = [mstep(s, g, ps[g], Z, factors, free_re, per_class, shared_residual) for g in range(len(ps))]
         return new, s["ll"]
 
-    history = []
-    if len(params) > keep:
-        ll = np.full(len(params), -np.inf)
-        for _ in range(stage1_iter):
-            params, ll = step(params)
-            history.append(ll.copy())
-        order = [i for i in np.argsort(-np.where(np.isfinite(ll), ll, -np.inf), kind="stable") if np.isfinite(ll[i])]
-        if not order:
-            raise ValueError("no start has a finite log-likelihood")
-        params = [params[i] for i in order[:keep]]
-    params, passes, settled = squarem(step, params, K, len(ycols), factors, free_re, max_iter, tol, history)
-    # ll was evaluated at the parameters before the last M step: one more E pass for the final LL
-    final = em_pass(panel, ycols, times, params)["ll"]
+    out = drive(starts_search(params, K, len(ycols), factors, free_re, keep, stage1_iter, max_iter, tol), step)
     panel.table.unpersist()
-    if not np.isfinite(final).any():
-        raise ValueError("no start has a finite log-likelihood")
-    best = int(np.nanargmax(np.where(np.isfinite(final), final, np.nan)))
-    return {"params": params[best], "ll": float(final[best]), "converged": bool(settled[best]),
-            "best_replicated": bool((np.round(final, 3) == np.round(final[best], 3)).sum() >= 2),
-            "start_lls": final.tolist(), "start_converged": settled.tolist(), "iterations": passes,
-            "all_params": params, "history": history}
+    return out
 
 
 def count_parameters(K: int, factors: Sequence[int], restriction: str | None, shared_residual: bool, W: int) -> int:
