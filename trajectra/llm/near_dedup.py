@@ -269,7 +269,7 @@ def remaining_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, similar
     tokens = texts.select("node", F.explode("shingles").alias("s"))
     often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     total = texts.agg(F.sum("n")).first()[0] or 0
-    ranked = attach(tokens, often, "s", "f", total, F.xxhash64("node"))
+    ranked = attach(tokens, often, "s", "f", total, F.hash("node"))
     ranked = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "s"))).alias("r"))
     first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
     prefix = ranked.join(texts.select(F.col("node").alias("_n"), "label", "n"), F.col("node") == F.col("_n")).select(
