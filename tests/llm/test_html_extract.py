@@ -84,3 +84,103 @@ KEPT = {
 @pytest.mark.parametrize("name", KEPT)
 def test_article_text_is_kept(name):
     assert main_text(KEPT[name][0]) == KEPT[name][1]
+
+
+ARTICLE = "<h1>Title</h1><p>One, two and three, the text of this article.</p><p>More of it, and more, until it is enough.</p>"
+TEXT = "Title\nOne, two and three, the text of this article.\nMore of it, and more, until it is enough."
+NAMED = {
+    "wrapper with a sidebar": f"<div class='page-with-sidebar'><nav>menu</nav>{ARTICLE}<div class=sidebar><p>Side, bar, text.</p></div></div>",
+    "layout": f"<div class='layout sidebar-right'><div class=content>{ARTICLE}</div><div class='sidebar-inner'><p>Side, bar.</p></div></div>",
+    "article with ads": f"<article class='post has-ads promo-story'>{ARTICLE}<div class=ads>Buy, now, cheap.</div></article>",
+    "comments are never the page": f"<article>{ARTICLE}</article><div class='comments-area'>{'<p>Nice, post, indeed, my friend, so good.</p>' * 30}</div>",
+    "a sidebar larger than the article": f"<main>{ARTICLE}</main><div class='left-sidebar'>{'<p>Side, bar, text, with, commas, all day.</p>' * 30}</div>",
+    "self-closing drawing": f"<article>{ARTICLE.replace('Title', '<svg class=i/>Title')}</article>",
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_are_judged_with_the_content(name):
+    assert main_text(NAMED[name]) == TEXT
+
+
+def test_sections_named_by_their_headings():
+    prose = "The share of the market grew, and the search went on for days, as many had hoped it would be."
+    page = f"<article>{ARTICLE}<section id='market-share'><h2>Market share</h2><p>{prose}</p></section><section id='search-and-rescue'><p>{prose}</p></section>" \
+           "<div id='share-buttons'>Share this</div></article>"
+    assert main_text(page) == f"{TEXT}\nMarket share\n{prose}\n{prose}"
+
+
+def test_formulas_and_objects():
+    assert main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds, always.</p>"
+                     "<object data=f><p>A figure, as text.</p></object></article>") == "So x=1 holds, always.\nA figure, as text."
+
+
+BROKEN = {
+    "starts without ends": "<a " * 8000, "stray ends": "<b>t" * 8000 + "</i>" * 8000, "long attribute": "<a " + "x" * 300_000 + ">y</a>",
+    "deep and closed": "<b>" * 20_000 + "<li>x</li>" * 5000, "dropped deep": "<nav>" + "<b>" * 20_000 + "</b>" * 20_000,
+    "comments": "<!-- x" * 20_000, "declarations": "<!x " * 20_000, "odd quotes": "<a \"x' " * 20_000 + ">", "cells": "<table>" + "<td><p>a" * 20_000,
+    "menus": "<div>" + "<ul><li><a href=x>a</a><li><a href=y>b</a></ul>" * 8000, "inline": "<p>" + "<i>a, b" * 30_000,
+    "doubt": "<div class='a-share'>" * 5000 + "x", "blocks in inline": "<b>" * 10_000 + "<p>x" * 10_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_time_by_their_length(name):
+    import time
+    t = time.process_time()
+    main_text(BROKEN[name])
+    assert time.process_time() - t < 3
+
+
+def test_points_against_brute_force():
+    """Points of every block of made trees, each ancestor's share worked out alone."""
+    from trajectra.llm.html_extract import BLOCKS, PARAGRAPHS, _walk, parse, score
+    rnd = random.Random(11)
+
+    def made(depth):
+        if depth == 0 or rnd.random() < 0.2:
+            return rnd.choice(["some words, here", "more", "a, b, c and d " * rnd.randrange(1, 12), ""])
+        tag = rnd.choice(["div", "p", "section", "a", "b", "td", "article"])
+        return f"<{tag}>" + "".join(made(depth - 1) for _ in range(rnd.randrange(1, 4))) + f"</{tag}>"
+
+    def strings(n, inline_only):
+        for c in n.children:
+            if isinstance(c, str):
+                yield c
+            elif not inline_only or c.tag not in BLOCKS:
+                yield from strings(c, inline_only)
+
+    def size(pieces):
+        return sum(sum(map(len, x.split())) + max(0, len(x.split()) - 1) for x in pieces)
+
+    def own_texts(n, within_link=False):
+        """(loose text of each node below, whether inside a link)."""
+        link = within_link or n.tag == "a"
+        yield "".join(c for c in n.children if isinstance(c, str)), link
+        for c in n.children:
+            if not isinstance(c, str):
+                yield from own_texts(c, link)
+
+    def inline_texts(n):
+        yield "".join(c for c in n.children if isinstance(c, str))
+        for c in n.children:
+            if not isinstance(c, str) and c.tag not in BLOCKS:
+                yield from inline_texts(c)
+
+    for _ in range(60):
+        root = parse("".join(made(5) for _ in range(4)))
+        nodes = score(root)
+        want = {id(n): 0.0 for n in nodes}
+        for n in _walk(root):
+            pieces = list(inline_texts(n))
+            if n.tag not in BLOCKS or not size(pieces):
+                continue
+            every = list(own_texts(n))
+            share_of_links = size(x for x, link in every if link) / size(x for x, _ in every)
+            points = (1 + sum(x.count(",") for x in pieces) + min(size(pieces) / 100, 3)) * (1 - share_of_links)
+            up, far = (n.parent if n.tag in PARAGRAPHS else n), 0
+            while up is not None and far < 5:
+                want[id(up)] += points / 2 ** far
+                up, far = up.parent, far + 1
+        for n in nodes:
+            assert n.points == pytest.approx(want[id(n)])

@@ -20,9 +20,9 @@ from trajectra.llm.common import prepare
 
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
-DROPPED = frozenset("head nav footer aside form button select option dialog menu canvas audio video object map "
-                    "datalist fieldset label legend".split()) | RAW
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
+DROPPED = frozenset("head nav footer aside form button select option dialog menu canvas audio video map "
+                    "datalist fieldset label legend annotation annotation-xml".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
                    "summary table tbody td tfoot th thead tr ul".split())
@@ -40,6 +40,12 @@ NOT_ARTICLE = frozenset(
     "notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations pagination pager search searchbox widget widgets skip outbrain taboola "
     "complementary contentinfo dialog form hidden".split())
+# Those of them that name what a box is even within a longer name ("comments-area"); the others may stand for a layout
+# ("page-with-sidebar") or a heading ("market-share"), so a box with such a word in a longer name is judged by its content.
+NEVER = frozenset(
+    "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr newsletter subscribe subscription signup login "
+    "related recommended recommendations outbrain taboola breadcrumb breadcrumbs pagination pager modal popup overlay advertisement "
+    "advertising advertorial sponsored hidden".split())
 # Names that mark a menu where most of the box is links.
 MENU = frozenset("toc links linklist tags taglist topics categories sitemap".split())
 SOURCES = frozenset("reference references reflist source sources citation citations footnote footnotes bibliography".split())
@@ -48,7 +54,7 @@ ARTICLE = frozenset("article articlebody articlecontent main maincontent content
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
-_attribute = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+_attribute = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _raw_end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+").findall
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
@@ -58,18 +64,22 @@ SHORT_LINK = 25              # characters of a menu's link, on average
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "name", "points", "chars", "links")
+    __slots__ = ("tag", "parent", "children", "name", "points", "chars", "links", "n_links", "marks", "before", "doubt")
 
-    def __init__(self, tag: str, parent: "Node | None", name: str = ""):
+    def __init__(self, tag: str, parent: "Node | None", name: str = "", doubt: str = ""):
         self.tag, self.parent, self.name = tag, parent, name
         self.children: list = []
         self.points = self.chars = self.links = 0.0
+        self.n_links = self.marks = 0          # links with text; articles, main parts and first headings
+        self.before: Node | None = None        # the element beside it that stands before
+        self.doubt = doubt                     # "id" or "class": what names it like a part that is not article text
 
     def density(self) -> float:
         return self.links / self.chars if self.chars else 0.0
 
 
-def _is_boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _is_boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool | str:
+    """Whether an element is no article text by its name; "id" or "class" if its content has to tell."""
     if tag in ("body", "html", "article", "main") and "class" not in attributes and "id" not in attributes:
         return False
     if tag == "header":
@@ -78,7 +88,8 @@ def _is_boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> b
         return True
     if tag in ("body", "html"):
         return False
-    for key in ("class", "id", "role"):
+    doubt: bool | str = False
+    for key in ("id", "class", "role"):
         for part in attributes.get(key, "").split():
             whole = re.sub(r"[^a-z]", "", part.lower())
             if whole in ARTICLE:
@@ -87,35 +98,53 @@ def _is_boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> b
             if whole in NOT_ARTICLE or any(w in NOT_ARTICLE for w in words):
                 # "article-header" of a heading and "has-sidebar" of a wrapper are about their content, not themselves
                 if not ({"has", "with", "no"} & set(words[:1]) or (in_article and words[-1:] == ["header"])):
-                    return True
-    return False
+                    if whole in NOT_ARTICLE or any(w in NEVER for w in words):
+                        return True
+                    doubt = "id" if key == "id" else "class"
+    return doubt
+
+
+INNER_FENCES = ("td", "th", "table", "article", "main", "body")
+P_FENCES = tuple(FENCES["p"] | {"div", "section", "article", "li", "blockquote"})
 
 
 def parse(page: str) -> Node:
-    """The page's tree without dropped parts; tolerant of missing and stray end tags."""
+    """The page's tree without dropped parts; tolerant of missing and stray end tags.
+
+    Open elements are known by name and place, so no tag looks through the stack, and a
+    page takes time in proportion to its length.
+    """
     root = Node("html", None)
     at, pos, dropped, articles = root, 0, 0, 0
     stack: list[tuple[Node | None, str]] = [(root, "html")]       # None: an element inside a dropped part
+    alive = [root]                                                # the open elements that are kept
+    places: dict[str, list[int]] = {"html": [0]}                  # of the open elements of a name in the stack
 
     def text(piece: str) -> None:
         if piece and not dropped:
             at.children.append(html.unescape(piece))
 
-    def close(n: int) -> None:
-        """Drop the ``n`` innermost open elements."""
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close(back: int) -> None:
+        """End the open elements from place ``back`` of the stack on."""
         nonlocal at, dropped, articles
-        for _ in range(n):
+        while len(stack) > back:
             node, tag = stack.pop()
+            places[tag].pop()
             if node is None:
                 dropped -= 1
-            elif tag in ("article", "main"):
-                articles -= 1
-        for node, _ in reversed(stack):
-            if node is not None:
-                at = node
-                break
-
-    for m in iter(lambda: _token.search(page, pos), None):
+            else:
+                alive.pop()
+                if tag in ("article", "main"):
+                    articles -= 1
+        at = alive[-1]
+
+    while True:
+        m = _token.search(page, pos) if page.find(">", pos) >= 0 or page.find("<!--", pos) >= 0 else None
+        if m is None:                                                # no tag can end any more
+            break
         text(page[pos:m.start()])
         pos = m.end()
         tag = m.group(2)
@@ -123,31 +152,23 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            for back in range(len(stack) - 1, 0, -1):
-                if stack[back][1] == tag:
-                    close(len(stack) - back)
-                    break
-                if stack[back][1] in ("td", "th", "table", "article", "main", "body") and tag not in BLOCKS:
-                    break                                            # a stray end tag of an inline element
+            back = last(tag)
+            # a stray end tag of an inline element ends nothing beyond its cell or article
+            if back > 0 and (tag in BLOCKS or last(*INNER_FENCES) <= back):
+                close(back)
             continue
-        if tag in ("html", "body") and any(t == tag for _, t in stack):
+        if tag in ("html", "body") and places.get(tag) and (tag == "html" or last(tag) > 0):
             continue
-        if tag in BLOCKS:                                            # a block ends an open paragraph
-            for back in range(len(stack) - 1, 0, -1):
-                if stack[back][1] == "p":
-                    close(len(stack) - back)
-                    break
-                if stack[back][1] in FENCES["p"] or stack[back][1] in ("div", "section", "article", "li", "blockquote"):
-                    break
+        if tag in BLOCKS and last("p") > max(0, last(*P_FENCES)):    # a block ends an open paragraph
+            close(last("p"))
         if tag in CLOSES:
-            for back in range(len(stack) - 1, 0, -1):
-                if stack[back][1] in CLOSES[tag]:
-                    close(len(stack) - back)
-                    if tag != "tr":
-                        break
-                elif stack[back][1] in FENCES[tag]:
+            while (back := last(*CLOSES[tag])) > max(0, last(*FENCES[tag])):
+                close(back)
+                if tag != "tr":
                     break
         if tag in RAW:
+            if tag == "svg" and m.group(3).endswith("/"):            # elements of other languages may end in their start tag
+                continue
             end = _raw_end[tag].search(page, pos)
             pos = end.end() if end else len(page)
             continue
@@ -155,21 +176,28 @@ def parse(page: str) -> Node:
             if not dropped and tag in ("br", "hr"):
                 at.children.append(" " if tag == "br" else Node("hr", at))
             continue
+        if tag in ("math", "mspace", "mprescripts", "none") and m.group(3).endswith("/"):
+            continue
         attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _attribute.findall(m.group(3))} if m.group(3) else {}
         if re.search(r"(?:^|\s)hidden(?:\s|$)", m.group(3) or ""):
             attributes["hidden"] = ""
-        if dropped or tag in DROPPED or _is_boilerplate(tag, attributes, articles > 0):
+        verdict = dropped or tag in DROPPED or _is_boilerplate(tag, attributes, articles > 0)
+        places.setdefault(tag, []).append(len(stack))
+        if verdict and not isinstance(verdict, str):
             if tag == "body":
                 dropped = 0
             dropped += 1
             stack.append((None, tag))
             continue
-        node = Node(tag, at, " ".join(attributes.get(k, "") for k in ("class", "id", "itemprop", "role")))
+        node = Node(tag, at, " ".join(attributes.get(k, "") for k in ("class", "id", "itemprop", "role")), verdict or "")
+        node.before = next((c for c in reversed(at.children[-3:]) if not isinstance(c, str)), None)
         at.children.append(node)
         at = node
+        alive.append(node)
         stack.append((node, tag))
         articles += tag in ("article", "main")
     text(page[pos:])
+    _settle(root)
     return root
 
 
@@ -183,32 +211,73 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def score(root: Node) -> list[Node]:
-    """Count text and links bottom up, then pass points of paragraphs and loose text to ancestors."""
-    nodes = _walk(root)
-    own = {}
+def _size(text: str) -> int:
+    """Characters of ``text`` with single spaces."""
+    words = text.split()
+    return sum(map(len, words)) + max(0, len(words) - 1)
+
+
+def _count(nodes: list[Node]) -> list[tuple[int, int]]:
+    """Fill chars, links, n_links and marks bottom up; (characters, commas) of each node with its inline parts, in the order of ``nodes``."""
+    inline: dict[int, tuple[int, int]] = {}
+    for n in nodes:
+        n.chars = n.links = n.points = 0.0
+        n.n_links = n.marks = 0
     for n in reversed(nodes):
         loose = "".join(c for c in n.children if isinstance(c, str))
-        size = len(" ".join(loose.split()))
-        own[id(n)] = loose
+        size = _size(loose)
         n.chars += size
         if n.tag == "a":
-            n.links = n.chars
+            n.links, n.n_links = n.chars, n.n_links + (n.chars > 0)
+        n.marks += n.tag in ("article", "main", "h1")
+        here = inline.get(id(n), (0, 0))
+        inline[id(n)] = here = (here[0] + size, here[1] + loose.count(",") + loose.count("、") + loose.count("،"))
         if n.parent:
             n.parent.chars += n.chars
             n.parent.links += n.links
-    inline = {}
-    for n in reversed(nodes):          # text of a block with its inline parts, for commas and length
-        inline[id(n)] = own[id(n)] + inline.get(id(n), "")
-        if n.parent and n.tag not in BLOCKS:
-            inline[id(n.parent)] = inline.get(id(n.parent), "") + inline[id(n)]
-    for n in nodes:
-        if n.tag not in BLOCKS:
-            continue
-        text = " ".join(inline[id(n)].split())
-        if not text:
+            n.parent.n_links += n.n_links
+            n.parent.marks += n.marks
+            if n.tag not in BLOCKS:
+                up = inline.get(id(n.parent), (0, 0))
+                inline[id(n.parent)] = (up[0] + here[0], up[1] + here[1])
+    return [inline[id(n)] for n in nodes]
+
+
+MOST = 0.6                   # of a page's text: such a box is the page, whatever its name
+PROSE = 80                   # characters that make a named part of an article prose
+
+
+def _settle(root: Node) -> None:
+    """Take out the boxes whose name is in doubt unless their content is the page's, or prose of its article.
+
+    A box that holds most of the page's text and every article, main part and first
+    heading is a layout's wrapper.  A part of an article named by its id alone is a
+    section under a heading if it is prose.
+    """
+    nodes = _walk(root)
+    if not any(n.doubt for n in nodes):
+        return
+    _count(nodes)
+    todo = [(root, False)]
+    while todo:
+        n, in_article = todo.pop()
+        if n.doubt and n.parent is not None:
+            wrapper = n.chars >= MOST * root.chars and n.density() < 0.5 and n.marks == root.marks
+            section = n.doubt == "id" and in_article and n.chars >= PROSE and n.density() < 0.25
+            if not (wrapper or section):
+                n.children = []
+                continue
+        in_article = in_article or n.tag in ("article", "main")
+        todo += [(c, in_article) for c in n.children if not isinstance(c, str)]
+
+
+def score(root: Node) -> list[Node]:
+    """Count text and links bottom up, then pass points of paragraphs and loose text to ancestors."""
+    nodes = _walk(root)
+    for n, (size, commas) in zip(nodes, _count(nodes)):
+        if n.tag not in BLOCKS or not size:
             continue
-        points = (1 + text.count(",") + text.count("、") + text.count("،") + min(len(text) / 100, 3.0)) * (1 - n.density())
+        points = (1 + commas + min(size / 100, 3.0)) * (1 - n.density())
         up, share = (n.parent if n.tag in PARAGRAPHS else n), 1.0
         while up is not None and share > 0.05:
             up.points += points * share
@@ -266,12 +335,9 @@ def _is_menu(n: Node) -> bool:
         return False
     if names & MENU:
         return True
-    links = sum(x.tag == "a" and x.chars > 0 for x in _walk(n))
-    if n.density() < 0.99 or n.chars > SHORT_LINK * links:
+    if n.density() < 0.99 or n.chars > SHORT_LINK * n.n_links:
         return False
-    beside = [c for c in n.parent.children if not isinstance(c, str)] if n.parent else [n]
-    at = next(i for i, c in enumerate(beside) if c is n)
-    heading = beside[at - 1] if at else None
+    heading = n.before
     if heading is None or heading.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
         return True
     title = "".join(c for x in _walk(heading) for c in x.children if isinstance(c, str))
