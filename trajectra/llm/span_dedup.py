@@ -17,7 +17,8 @@ one document are looked for in whole sentences and clauses.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -34,37 +35,52 @@ LONG_SENTENCE = 20
 PIECE = (LONG_WORDS + 1 - MIN_WORDS) // 2
 RUNS = "hi array<long>, lo array<int>, first array<int>, size array<int>, own array<int>"
 
-_breaks = re.compile(r"(?<=[.!?。！？])[ \t\x0b\x0c\r\n]+|[ \t\x0b\x0c\r]*\n[ \t\x0b\x0c\r\n]*").finditer
-_clauses = re.compile(r"(?<=[,;:])[ \t]+").finditer
-_words = re.compile(r"[^ \t\n\r\x0b\x0c]+").finditer
+_breaks = re.compile(r"[.!?。！？][ \t\x0b\x0c\r\n]+|\n[ \t\x0b\x0c\r\n]*").finditer
+_clauses = re.compile(r"[,;:][ \t]+").finditer
+_SPACE = " \t\n\r\x0b\x0c"
+_words = re.compile(f"[^{_SPACE}]+[{_SPACE}]*").findall          # words, each with the space behind it
 
 
 class PieceHashes(dict):
-    """Word -> hash that places the cuts, remembered up to a fixed number of words."""
+    """Word, with any space behind it -> hash that places the cuts, remembered up to a fixed number of words."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 500_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh64_intdigest(word.rstrip(_SPACE).encode("utf-8", "surrogatepass"))
         return h
 
 
 _hashes = PieceHashes()
+_FIRST = np.uint64(0x9E3779B97F4A7C15)          # marks the first word of a sentence or piece
 
 
-def _starts(text: str, long: int) -> tuple[list[int], list[int]]:
-    """Where the sentences start, with the text's length at the end, and the clauses of those of more than ``long`` words."""
+@lru_cache(maxsize=2)
+def _layout(text: str) -> tuple[np.ndarray, list[int]]:
+    """Where the words of a text start, and their hashes."""
+    words = _words(text)
+    lead = len(text) - sum(map(len, words))
+    return np.fromiter(accumulate(map(len, words[:-1]), initial=lead), dtype=np.int64, count=len(words)) if words else \
+        np.empty(0, dtype=np.int64), list(map(_hashes.__getitem__, words))
+
+
+def _starts(text: str, long: int) -> np.ndarray:
+    """Where the sentences and the clauses of those of more than ``long`` words start, and the text's length at the end."""
     starts = [0] + [m.end() for m in _breaks(text)]
     if starts[-1] != len(text) or len(starts) == 1:
         starts.append(len(text))
-    return starts, [m.end() for a, b in zip(starts, starts[1:]) if b - a > 2 * long and sum(1 for _ in _words(text, a, b)) > long
-                    for m in _clauses(text, a, b) if m.end() < b]
+    s = np.array(starts, dtype=np.int64)
+    wide = np.diff(np.searchsorted(_layout(text)[0], s)) > long
+    if not wide.any():
+        return s
+    cuts = np.array([m.end() for m in _clauses(text)], dtype=np.int64)
+    of = np.searchsorted(s, cuts, "right") - 1
+    return np.union1d(s, cuts[(cuts < len(text)) & (cuts > s[of]) & wide[np.minimum(of, len(wide) - 1)]]) if text else s
 
 
 def clause_starts(text: str) -> list[int]:
     """Starts of sentences, and of clauses in sentences of more than ``LONG_SENTENCE`` words."""
-    starts, cuts = _starts(text, LONG_SENTENCE)
-    return sorted(starts + cuts) if cuts else starts
+    return _starts(text, LONG_SENTENCE).tolist()
 
 
 def sentence_starts(text: str) -> list[int]:
@@ -76,17 +92,13 @@ def sentence_starts(text: str) -> list[int]:
     of equal ones): a piece has ``PIECE`` words at most, and two texts cut alike
     between the first and the last such word of what they share.
     """
-    starts, cuts = _starts(text, PIECE)
-    if cuts:
-        starts = sorted(starts + cuts)
+    s = _starts(text, PIECE)
+    places, hashes = _layout(text)
+    at_word = np.searchsorted(places, s)
     pieces = []
-    for a, b in zip(starts, starts[1:]):
-        if b - a <= 2 * PIECE:
-            continue
-        words = list(_words(text, a, b))
-        if len(words) <= PIECE:
-            continue
-        h, at = [_hashes[m.group()] for m in words], -1
+    for k in np.flatnonzero(np.diff(at_word) > PIECE).tolist():
+        low = int(at_word[k])
+        h, at = hashes[low:int(at_word[k + 1])], -1
         for end in range(PIECE - 1, len(h)):
             if at <= end - PIECE:
                 at = min(range(end, end - PIECE, -1), key=h.__getitem__)
@@ -95,45 +107,34 @@ def sentence_starts(text: str) -> list[int]:
             else:
                 continue
             if at:
-                pieces.append(words[at].start())
-    return sorted(starts + pieces) if pieces else starts
+                pieces.append(int(places[low + at]))
+    return sorted(s.tolist() + pieces) if pieces else s.tolist()
 
 
 def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: int,
             cut=sentence_starts) -> list[tuple[bytes, int, int]]:
-    """(hash, first sentence, sentences) of each run, by first sentence."""
+    """(hash, first sentence, sentences) of each run, by first sentence; equal hashes mean equal words in equal sentences."""
     if not text:
         return []
     starts = cut(text)
-    digests, words = [], [0]
-    for a, b in zip(starts, starts[1:]):
-        w = text[a:b].encode("utf-8", "surrogatepass").split()
-        digests.append(xxhash.xxh3_128_digest(b" ".join(w)))
-        words.append(words[-1] + len(w))
-    n, spans = len(digests), set()
-
-    def long_enough(i: int, j: int) -> bool:
-        count = words[j] - words[i]
-        return count >= long_words or (count >= min_words and j - i >= min_sentences)
-
-    j = 0
-    for i in range(n):                       # shortest run from i on
-        j = max(j, i + 1)
-        while j < n and not long_enough(i, j):
-            j += 1
-        if not long_enough(i, j):
-            break
-        spans.add((i, j))
-    i = n
-    for j in range(n, 0, -1):                # shortest run up to j
-        i = min(i, j - 1)
-        while i > 0 and not long_enough(i, j):
-            i -= 1
-        if not long_enough(i, j):
-            break
-        spans.add((i, j))
-    whole = b"".join(digests)
-    return [(xxhash.xxh3_128_digest(whole[16 * i:16 * j]), i, j - i) for i, j in sorted(spans)]
+    places, hashes = _layout(text)
+    n, w = len(starts) - 1, np.searchsorted(places, starts)
+    at = np.arange(n)
+    # shortest run from each sentence on, and up to each
+    end = np.minimum(np.searchsorted(w, w[:-1] + long_words), np.maximum(np.searchsorted(w, w[:-1] + min_words), at + min_sentences))
+    first = np.maximum(np.searchsorted(w, w[1:] - long_words, "right") - 1,
+                       np.minimum(np.searchsorted(w, w[1:] - min_words, "right") - 1, at + 1 - min_sentences))
+    runs = np.unique(np.concatenate([(at * (n + 1) + end)[end <= n], (first * (n + 1) + at + 1)[first >= 0]]))
+    if not len(runs):
+        return []
+    marked = np.array(hashes, dtype=np.uint64)
+    marked[np.unique(w[:-1][w[:-1] < len(marked)])] ^= _FIRST
+    whole, low, high = marked.tobytes(), runs // (n + 1), runs % (n + 1)
+    digests = [xxhash.xxh3_128_digest(whole[8 * a:8 * b]) for a, b in zip(w[low].tolist(), w[high].tolist())]
+    blank = np.append(0, np.cumsum(np.diff(w) == 0))                # sentences without words count, too
+    for k in np.flatnonzero(blank[high] > blank[low]).tolist():
+        digests[k] = xxhash.xxh3_128_digest(digests[k] + np.diff(w[low[k]:high[k] + 1]).astype("<i8").tobytes())
+    return list(zip(digests, low.tolist(), (high - low).tolist()))
 
 
 def own_repeats(text: str, *least: int) -> list[int]:
