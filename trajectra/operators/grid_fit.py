@@ -45,7 +45,7 @@ class Model(NamedTuple):
 
 
 class Panels(NamedTuple):
-    """Staged panels: table (outcome, t, y, weight), its partitions, and per outcome the mean and variance of each wave and n."""
+    """Staged panels: table (outcome, subject, t, y, weight), its partitions, and per outcome the mean and variance of each wave and n."""
     table: DataFrame
     parts: int
     mean: dict[str, np.ndarray]
@@ -68,11 +68,16 @@ def stage_panels(panel: DataFrame, outcome: str = "outcome", subject: str = "sub
     rows = rows.select(F.col(outcome).cast("string").alias("outcome"), F.col(subject).alias("subject"),
                        F.struct(F.col(wave).cast("int").alias("t"), F.col(y).cast("double").alias("y")).alias("v"))
     rows = rows.groupBy("outcome", "subject").agg(F.sort_array(F.collect_list("v")).alias("v"))
-    rows = rows.select("outcome", F.col("v.t").alias("t"), F.col("v.y").alias("y"))
+    rows = rows.select("outcome", F.col("subject").cast("string").alias("subject"), F.col("v.t").alias("t"), F.col("v.y").alias("y"))
     if collapse:
-        rows = rows.groupBy("outcome", "t", "y").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        rows = rows.groupBy("outcome", "t", "y").agg(F.min("subject").alias("subject"), F.count(F.lit(1)).cast("double").alias("weight"))
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
+    return panels_of(rows)
+
+
+def panels_of(rows: DataFrame) -> Panels:
+    """Panels of rows (outcome, subject, t, y, weight), one per subject."""
     table = stage(rows, "panels")
     cells = table.select("outcome", "weight", F.explode(F.arrays_zip("t", "y")).alias("v")).groupBy("outcome", F.col("v.t").alias("t")).agg(
         F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("v.y")).alias("s1"), F.sum(F.col("weight") * F.col("v.y") * F.col("v.y")).alias("s2"))
@@ -86,7 +91,7 @@ def stage_panels(panel: DataFrame, outcome: str = "outcome", subject: str = "sub
         mean[o], var[o] = mu, v
     counts = table.groupBy("outcome").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     rows_in_all = sum(r["rows"] for r in counts)
-    parts = max(1, min(panel.sparkSession.sparkContext.defaultParallelism, rows_in_all // 1_000), rows_in_all // 500_000)
+    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows_in_all // 1_000), rows_in_all // 500_000)
     return Panels(table.repartition(parts).persist(), parts, mean, var, {r["outcome"]: int(round(r["n"])) for r in counts})
 
 

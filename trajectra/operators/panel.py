@@ -214,7 +214,12 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "id")
     A table of one count per partition (bounded by the partition count, not by
     the data) gives each partition its offset; it is the only thing broadcast.
     """
-    ranked = stage(df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id()), "ranked")
+    return number_rows(df.orderBy(*order), name)
+
+
+def number_rows(df: DataFrame, name: str = "id") -> DataFrame:
+    """1-based number of each row of a sorted ``df`` (see ``dense_index``)."""
+    ranked = stage(df.withColumn("__mid", F.monotonically_increasing_id()), "ranked")
     pid = (F.col("__mid") / F.lit(1 << 33)).cast("long")
     counts = ranked.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
@@ -242,19 +247,19 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     """
     keys = list(keys)
     if largest_group(df, keys) <= hot_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int"))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     alias = [f"__k_{i}" for i in range(len(keys))]
     hot = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, alias)]).agg(
         F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n").withColumn("__hot", F.lit(True))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, alias)])
     marked = df.join(F.broadcast(hot), same, "left").drop(*alias)
     cold = marked.where(F.col("__hot").isNull()).drop("__hot")
-    cold = cold.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int"))
+    cold = cold.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     idx = dense_index(marked.where(F.col("__hot")).drop("__hot"),
                       [F.col(k).asc_nulls_first() for k in keys] + list(order), "__gidx")
     first = idx.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, alias)]).agg(F.min("__gidx").alias("__first"))
     out = idx.join(F.broadcast(first), same)
-    out = out.withColumn(name, (F.col("__gidx") - F.col("__first") + 1).cast("int")).drop("__gidx", "__first", *alias)
+    out = out.withColumn(name, (F.col("__gidx") - F.col("__first") + 1).cast("long")).drop("__gidx", "__first", *alias)
     return cold.unionByName(out)
 
 
@@ -300,6 +305,17 @@ def append_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- W2, W3, W6
 
 
+def score_vectors(panel: DataFrame, subject: str = "subject", wave: str = "wave", y: str = "y", name: str = "vector") -> DataFrame:
+    """One row per subject with all its scores, in wave order, as one text key ('.' for a missing one).
+
+    The key stands for every wave the subject has, however many the panel has; equal
+    keys are equal score vectors.
+    """
+    cell = F.struct(F.col(wave).alias("w"), F.coalesce(F.col(y).cast("string"), F.lit(".")).alias("v"))
+    return panel.groupBy(subject).agg(F.sort_array(F.collect_list(cell)).alias("__v")).select(
+        subject, F.concat_ws(",", F.transform("__v", lambda c: F.concat_ws(":", c["w"].cast("string"), c["v"]))).alias(name))
+
+
 def number_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                     name: str = "n_in_group") -> DataFrame:
     """Row number within a group of identical key vectors (NULL keys group together)."""

@@ -12,13 +12,14 @@ column expressions of the subject's one row.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions import mixed as X
-from trajectra.operators.joins import checked_broadcast
+from trajectra.session import stage
 
 MAX_PARAM_ROWS = 100_000     # parameter tables are broadcast up to this many rows (groups)
 
@@ -42,10 +43,15 @@ def widen_params(params: DataFrame, K: int, W: int, group: str = "group") -> Dat
 def expand_classes(panel: DataFrame, params_wide: DataFrame) -> DataFrame:
     """Every visit meets every group's parameters.
 
-    The parameter side is bounded by models x starts; it is broadcast up to
-    ``MAX_PARAM_ROWS`` groups, and crossed without a broadcast beyond.
+    The parameter side is bounded by models x starts; it is broadcast in blocks of
+    about ``MAX_PARAM_ROWS`` groups, each of which meets the panel once.
     """
-    return panel.crossJoin(checked_broadcast(params_wide, MAX_PARAM_ROWS))
+    params_wide = stage(params_wide, "parameters")
+    blocks = max(1, -(-params_wide.count() // MAX_PARAM_ROWS))
+    if blocks == 1:
+        return panel.crossJoin(F.broadcast(params_wide))
+    block = F.pmod(F.xxhash64(*params_wide.columns[:1]), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [panel.crossJoin(F.broadcast(params_wide.where(block == i))) for i in range(blocks)])
 
 
 def n_classes(params: DataFrame) -> int:

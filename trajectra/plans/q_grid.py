@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajectra.operators import bootstrap as BS
 from trajectra.operators import compare as CM
 from trajectra.operators import grid as G
 from trajectra.operators import grid_fit as GF
@@ -161,3 +162,23 @@ def c8_reference_distribution(spark, sf):
     out = IN.class_count_tests(spark, panels, fits)
     panels.table.unpersist()
     return out
+
+
+@query("c8_bootstrap_test")
+def c8_bootstrap_test(spark, sf):
+    """Bootstrapped class-count test of two classes against one for every event type: 19 draws, fitted in the same passes."""
+    panels, fits = _settled(spark, panel_e(spark, sf), classes=(1, 2), restrictions=("iq@0",), rules=(True,))
+    by = {(f["model"].outcome, f["model"].classes): f for f in fits}
+    out = BS.bootstrap_tests(spark, panels, [(by[o, 2], by[o, 1]) for o in sorted(panels.n)], draws=19, n_starts=2, keep=2, max_iter=24, tol=1e-5)
+    panels.table.unpersist()
+    return out
+
+
+@query("m7_class_intercepts")
+def m7_class_intercepts(spark, sf):
+    """Settled growth mixtures with class-specific intercept variances (c. i) and (co)variances (c.is): two classes per event type."""
+    panels, fits = _settled(spark, panel_e(spark, sf), classes=(2,), restrictions=("c. i", "c.is"), rules=(True,))
+    t = GF.grid_table(spark, fits)
+    panels.table.unpersist()
+    return t.select("model", "outcome", "restriction", "n", "parameters", "ll", "converged", "best_replicated", F.explode("classes").alias("c")).select(
+        "model", "outcome", "restriction", "n", "parameters", "ll", "converged", "best_replicated", "c.class", "c.i", "c.s", "c.q", "c.share", "c.var_i")

@@ -8,7 +8,7 @@ from trajectra.functions import columns as C
 from trajectra.operators import fit as FT
 from trajectra.operators import grid as G
 from trajectra.operators import joins as J
-from trajectra.plans.panels import PANEL_E_SQL, PANEL_P_SQL, panel_e, table, waves_e, wide_p, y_cols
+from trajectra.plans.panels import PANEL_E_SQL, PANEL_P_SQL, panel_e, panel_p, table, waves_e, wide_p, y_cols
 from trajectra.plans.registry import query
 
 
@@ -54,17 +54,15 @@ def j3_left_null_safe(spark, sf):
 
 
 @query("w2_j3_j4_score_vectors", sql="WITH" + PANEL_P_SQL + """,
-v AS (SELECT subject, max(floor(y / 10.0)) FILTER (wave = 0) AS k0, max(floor(y / 10.0)) FILTER (wave = 3) AS k3 FROM panel_p GROUP BY subject)
-SELECT subject, k0, k3, CAST(dense_rank() OVER (ORDER BY k0 NULLS LAST, k3 NULLS LAST) AS BIGINT) AS vector_id,
-       CAST(row_number() OVER (PARTITION BY k0, k3 ORDER BY subject) AS INTEGER) AS n_in_vector FROM v""")
+v AS (SELECT subject, string_agg(wave || ':' || CAST(floor(y / 20.0) AS BIGINT), ',' ORDER BY wave) AS vector FROM panel_p GROUP BY subject)
+SELECT subject, vector, dense_rank() OVER (ORDER BY vector) AS vector_id, row_number() OVER (PARTITION BY vector ORDER BY subject) AS n_in_vector
+FROM v""")
 def w2_j3_j4_score_vectors(spark, sf):
-    """Score vectors as one pipeline: unique vectors numbered, joined back null-safely, and the number within the vector."""
+    """Score vectors over all waves as one pipeline: unique vectors numbered, joined back null-safely, and the number within the vector."""
     from trajectra.operators import panel as P
-    w = wide_p(spark, sf)
-    v = w.select("subject", F.floor(F.col("y_0") / 10.0).cast("double").alias("k0"),
-                 F.floor(F.col("y_3") / 10.0).cast("double").alias("k3"))
-    ids = P.surrogate_id(v, ["k0", "k3"], "vector_id")
-    return P.number_in_group(ids, ["k0", "k3"], ["subject"], "n_in_vector")
+    v = P.score_vectors(panel_p(spark, sf).withColumn("y", F.floor(F.col("y") / 20.0).cast("long")))
+    ids = P.surrogate_id(v, ["vector"], "vector_id")
+    return P.number_in_group(ids, ["vector"], ["subject"], "n_in_vector")
 
 
 @query("j4_assert_unique", sql="""

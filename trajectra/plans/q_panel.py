@@ -243,11 +243,12 @@ def d4_surrogate_id(spark, sf):
 # ------------------------------------------------------------------ O1, O2, U1, U2
 
 @query("o1_sort_missing_last", sql="""
-SELECT c_custkey, c_mktsegment, c_acctbal FROM customer""")
+SELECT c_custkey, c_mktsegment, c_acctbal, row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal NULLS LAST, c_custkey) AS position
+FROM customer""")
 def o1_sort_missing_last(spark, sf):
-    """Sort by two keys, NULLs last (the compare is order-insensitive; the plan sorts)."""
+    """Sort by three keys, one falling, NULLs last, with each row's place in the order."""
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return P.sort_missing_last(c, ["c_mktsegment", "c_acctbal"], [False, True])
+    return P.number_rows(P.sort_missing_last(c, ["c_mktsegment", "c_acctbal", "c_custkey"], [True, False, False]), "position")
 
 
 @query("o2_head", sql="""
@@ -286,16 +287,16 @@ def u2_append_rows(spark, sf):
 # ------------------------------------------------------------------ W2, W3, W6
 
 @query("w2_number_in_group", sql="WITH" + PANEL_P_SQL + """,
-v AS (SELECT subject, max(floor(y)) FILTER (wave = 0) AS k0, max(floor(y)) FILTER (wave = 1) AS k1 FROM panel_p GROUP BY subject)
-SELECT subject, CAST(row_number() OVER (PARTITION BY k0, k1 ORDER BY subject) AS INTEGER) AS n_in_group FROM v""")
+v AS (SELECT subject, string_agg(wave || ':' || CAST(floor(y / 20.0) AS BIGINT), ',' ORDER BY wave) AS vector FROM panel_p GROUP BY subject)
+SELECT subject, vector, row_number() OVER (PARTITION BY vector ORDER BY subject) AS n_in_group FROM v""")
 def w2_number_in_group(spark, sf):
-    """Row number within groups of identical (floored) score vectors; NULLs group together."""
-    w = wide_p(spark, sf).select("subject", F.floor("y_0").alias("k0"), F.floor("y_1").alias("k1"))
-    return P.number_in_group(w, ["k0", "k1"], ["subject"]).select("subject", "n_in_group")
+    """Row number within groups of identical score vectors over all waves."""
+    v = P.score_vectors(panel_p(spark, sf).withColumn("y", F.floor(F.col("y") / 20.0).cast("long")))
+    return P.number_in_group(v, ["vector"], ["subject"])
 
 
 @query("w3_position_in_block", sql="""
-SELECT o_custkey, o_orderkey, CAST(pos AS INTEGER) AS pos, CAST(floor((pos - 1) / 4) + 1 AS INTEGER) AS block,
+SELECT o_custkey, o_orderkey, CAST(pos AS BIGINT) AS pos, CAST(floor((pos - 1) / 4) + 1 AS INTEGER) AS block,
        CAST((pos - 1) % 4 AS INTEGER) AS pos_in_block
 FROM (SELECT o_custkey, o_orderkey,
              row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos

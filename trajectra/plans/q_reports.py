@@ -17,7 +17,7 @@ from trajectra.sources import reports as RP
 SHORT_HEADING = r"^\s*\S+(\s+\S+){0,3}\s*$"          # a line of at most four words
 LICENSE_PHRASES = ["MIT License", "Apache License", "GNU General Public License", "CC BY"]
 LICENSE_RE = P.any_pattern(LICENSE_PHRASES)
-PAIR_RE = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*\"?([^\"\s]+)"
+PAIR_RE = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*\"?([^\"\s,;]+)"
 
 LINES_SQL = """WITH lines AS (
   SELECT CAST(doc_id AS VARCHAR) AS path, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no,
@@ -49,10 +49,11 @@ def s6_fill_section(spark, sf):
 
 
 @query("s4_extract_pairs", sql=LINES_SQL + f"""
-SELECT path, line_no, regexp_extract(line, '{PAIR_RE}', 1) AS name, regexp_extract(line, '{PAIR_RE}', 2) AS value
-FROM lines WHERE regexp_matches(line, '{PAIR_RE}')""")
+SELECT path, line_no, CAST(generate_subscripts(names, 1) AS INTEGER) AS pair_no, unnest(names) AS name, unnest(vals) AS value
+FROM (SELECT path, line_no, regexp_extract_all(line, '{PAIR_RE}', 1) AS names, regexp_extract_all(line, '{PAIR_RE}', 2) AS vals FROM lines) x
+WHERE len(names) > 0""")
 def s4_extract_pairs(spark, sf):
-    """Name/value facts from lines of the form name = value or name: value."""
+    """Every name/value fact of lines that hold name = value or name: value."""
     return RP.extract_pairs(doc_lines(spark, sf), PAIR_RE)
 
 

@@ -183,11 +183,12 @@ def extract_facts(lines: DataFrame, rules: Sequence[tuple[str, str, str]] = FACT
             .where(F.col("name").isNotNull()))
 
 
-def extract_pairs(lines: DataFrame, pattern: str = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*\"?([^\"\s]+)") -> DataFrame:
-    """S4 on free text: generic ``name = value`` / ``name: value`` pairs."""
-    return (lines.where(F.col("line").rlike(pattern))
-            .select("path", "line_no", F.regexp_extract("line", pattern, 1).alias("name"),
-                    F.regexp_extract("line", pattern, 2).alias("value")))
+def extract_pairs(lines: DataFrame, pattern: str = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*\"?([^\"\s,;]+)") -> DataFrame:
+    """S4 on free text: every ``name = value`` / ``name: value`` pair of a line, numbered from 1 in it."""
+    found = F.arrays_zip(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)).alias("name"),
+                         F.regexp_extract_all("line", F.lit(pattern), F.lit(2)).alias("value"))
+    return lines.where(F.col("line").rlike(pattern)).select("path", "line_no", F.posexplode(found).alias("__i", "__p")).select(
+        "path", "line_no", (F.col("__i") + 1).alias("pair_no"), "__p.name", "__p.value")
 
 
 # ----------------------------------------------------------------- S5
