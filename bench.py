@@ -24,8 +24,8 @@ HEADLINE = [
     "a5_coverage",              # A5: covariance coverage
     "flagship_score_classes",   # M5 -> A8/A9 -> M12: score every subject, class curves
     "a13_factor_moments",       # M9 -> A13: factor scores and their moments
-    "m4_growth_curve",          # M4: one-class growth curve (like the reference's "ul" model)
-    "m6_class_growth",          # M6: two-class growth with random intercept (like "lcga.mmse")
+    "m4_growth_curve",          # M4: one-class growth curve
+    "m6_class_growth",          # M6: two-class growth with random intercept
     "c5_w5_scaled_lr_test",     # M2 + C5: fits and scaled LR tests
     "s6_fill_section",          # S3 + S6: text lines and section fill
 ]
