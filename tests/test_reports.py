@@ -104,3 +104,49 @@ def test_step_gap(lines):
     # the two-class fixture prints -1250.000 for its one-class model; the one-class report has -300.250
     assert g["T11_KM1LL"] == -1250.0 and g["ll_prev_own"] == -300.25
     assert g["gap"] == pytest.approx(-949.75)
+
+
+def test_incremental_fit_table(spark, tmp_path):
+    """A second run reads nothing, a changed report changes its row only, a new one adds its row."""
+    import shutil
+    import time
+    folder, table = tmp_path / "reports", str(tmp_path / "table")
+    shutil.copytree(os.path.join(HERE, "reports"), folder)
+    rows = lambda df: {os.path.basename(r["path"]): r.asDict() for r in df.collect()}
+    one = rows(RP.update_fit_table(spark, str(folder), table))
+    full = rows(RP.report_fit_table(RP.scan_sections(spark, str(folder))))
+    assert len(one) == 2 and all({k: v for k, v in one[p].items() if k != "modified"} == full[p] for p in full)
+    again = rows(RP.update_fit_table(spark, str(folder), table))
+    assert again == one and os.listdir(table) == ["v0"]
+    path = next(folder.glob("*.out"))
+    time.sleep(1.1)
+    path.write_text(path.read_text().replace("-300.250", "-299.125"))
+    changed = rows(RP.update_fit_table(spark, str(folder), table))
+    assert sorted(os.listdir(table)) == ["v0", "v1"] and changed[path.name]["LL"] == -299.125
+    assert all(changed[p] == one[p] for p in one if p != path.name)
+    time.sleep(1.1)
+    shutil.copy(path, folder / path.name.replace("abc-", "xyz-"))
+    more = rows(RP.update_fit_table(spark, str(folder), table))
+    assert len(more) == 3 and all(more[p] == changed[p] for p in changed)
+
+
+def test_pairs_of_a_line(spark):
+    df = spark.createDataFrame([("p", 1, "a=1, b = 2; c: \"x y\""), ("p", 2, "none"), ("p", 3, None)], "path string, line_no int, line string")
+    got = [(r.line_no, r.pair_no, r.name, r.value) for r in RP.extract_pairs(df).orderBy("line_no", "pair_no").collect()]
+    assert got == [(1, 1, "a", "1"), (1, 2, "b", "2"), (1, 3, "c", "x")]
+
+
+def test_a_long_list_of_phrases(spark):
+    import random
+
+    from trajectra.operators import panel as P
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(30)] + ["été", "a.b", "--"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 25))) for _ in range(300)] + [None, "", "xw1 w2 w3y"]
+    phrases = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 5))) for _ in range(200)] + ["w1 w2 w3", "--", " w7 ", "", None, "(w1", "2 w3y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:5])], "id int, line string")
+    listed = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    for some in (phrases, phrases[:20], ["w1 w2 w3"], []):
+        got = P.keep_match_list(df, "line", listed.where(F.col("phrase").isin(some) if some else F.lit(False)))
+        want = [i for i, t in enumerate(texts + texts[:5]) if t is not None and any(p and p in t for p in some if p is not None)]
+        assert sorted(r.id for r in got.collect()) == want and got.columns == ["id", "line"]

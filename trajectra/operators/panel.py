@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from trajectra.session import stage
 
+WORDS = r"[A-Za-z0-9\u0080-\uFFFF]+"     # words of phrases and texts
+
+
 # --------------------------------------------------------------------------- W1
 
 
@@ -176,6 +179,39 @@ def keep_match_any(df: DataFrame, col: str, patterns: Sequence[str], literal: bo
     return df.where(F.col(col).rlike(any_pattern(patterns, literal)))
 
 
+def keep_match_list(df: DataFrame, col: str, phrases: DataFrame, phrase: str = "phrase", words: str = WORDS) -> DataFrame:
+    """F4 for a list of any length: the rows whose text holds at least one of the ``phrases``, as they stand.
+
+    A phrase can only be in a text that has its words, so each phrase is looked up by
+    its rarest one (counted over the texts' distinct words): words that begin or end
+    inside the phrase's neighbours in the text are told apart by the exact test on what the
+    join finds.  Phrases without an inner word are looked up by all texts, in one broadcast block
+    per ``BROADCAST_ROWS``.  Null texts hold none; repeated rows stay.
+    """
+    from trajectra.operators.joins import BROADCAST_ROWS
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    tokens = rows.where(F.col(col).isNotNull()).select("__row", F.explode(F.array_distinct(F.regexp_extract_all(col, F.lit(words), F.lit(0)))).alias("__w"))
+    listed = phrases.select(F.col(phrase).alias("__p")).where("__p IS NOT NULL AND __p != ''").distinct()
+    # the first and last word of a phrase may be parts of longer words in a text
+    inner = F.regexp_extract_all("__p", F.lit(words), F.lit(0))
+    inner = F.when(F.col("__p").rlike(f"^{words}"), F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 1, F.lit(0)))).otherwise(inner)
+    listed = listed.withColumn("__i", inner)
+    cut = F.when(F.col("__p").rlike(f"{words}$") & (F.size("__i") > 0), F.slice("__i", F.lit(1), F.size("__i") - 1)).otherwise(F.col("__i"))
+    listed = stage(listed.withColumn("__i", cut), "phrases")
+    asked = listed.select("__p", F.explode(F.array_distinct("__i")).alias("__w"))
+    counts = tokens.join(asked.select("__w").distinct(), "__w", "left_semi").groupBy("__w").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = asked.join(counts, "__w", "left").groupBy("__p").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w"))).alias("k"))
+    by_word = rarest.where("k.n > 0").select("__p", F.col("k.w").alias("__w"))
+    pairs = tokens.join(by_word, "__w").select("__row", "__p")
+    found = rows.join(pairs, "__row").where(F.contains(F.col(col), F.col("__p"))).select("__row")
+    short = listed.where(F.size("__i") == 0).select("__p")
+    n = short.count()
+    for k in range(-(-n // BROADCAST_ROWS)):
+        block = short.where(F.pmod(F.xxhash64("__p"), F.lit(-(-n // BROADCAST_ROWS))) == k)
+        found = found.unionByName(rows.join(F.broadcast(block), F.contains(F.col(col), F.col("__p"))).select("__row"))
+    return rows.join(found.distinct(), "__row", "left_semi").drop("__row")
+
+
 def keep_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """rows where all listed columns are present."""
     return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))

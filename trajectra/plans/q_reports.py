@@ -73,6 +73,19 @@ def f4_keep_match_any(spark, sf):
     return P.keep_match_any(doc_lines(spark, sf), "line", LICENSE_PHRASES)
 
 
+OPENINGS = 6                # words of the phrases: how every benchmark text begins
+OPENING_RE = r"^(\S+(\s+\S+){5})"
+
+
+@query("f4_keep_match_list", sql=LINES_SQL + f""",
+p AS (SELECT DISTINCT regexp_extract(text, '{OPENING_RE}', 1) AS phrase FROM benchmark WHERE text IS NOT NULL)
+SELECT path, line_no, line FROM lines WHERE EXISTS (SELECT 1 FROM p WHERE phrase <> '' AND contains(line, phrase))""")
+def f4_keep_match_list(spark, sf):
+    """Lines that hold any phrase of a long list: the first six words of every benchmark text, each found by its rarest word."""
+    phrases = table(spark, sf, "benchmark").select(F.regexp_extract("text", OPENING_RE, 1).alias("phrase")).distinct()
+    return P.keep_match_list(doc_lines(spark, sf), "line", phrases)
+
+
 @query("a1_collapse_text", sql=LINES_SQL + """
 SELECT path, string_agg(trim(line), ',' ORDER BY line_no) AS notices
 FROM lines WHERE regexp_matches(line, '(?i)licen[cs]e') GROUP BY path""")

@@ -19,7 +19,7 @@ from trajectra.plans.grid_sql import grid_sql
 from trajectra.plans.panels import PANEL_E_SQL, panel_e
 from trajectra.plans.q_grid import fixed_grid
 from trajectra.plans.registry import query
-from trajectra.session import ensure_checkpoint_dir
+from trajectra.session import ensure_checkpoint_dir, stage
 from trajectra.sources import reports as RP
 
 COHORT = 50                        # users of a cohort
@@ -229,19 +229,39 @@ tab AS (
 """
 
 
-@query("m14_report_fit_table", sql=_TABLE_SQL + """
+FIT_TABLE_SQL = _TABLE_SQL + """
 SELECT path, parameters AS "Parameters", ll AS "LL", aic AS "AIC", bic AS "BIC", abic AS "aBIC", entropy AS "Entropy", n AS "Observations", outcome,
        'lcga' AS family, '2' AS degree, restriction, n_classes, 'constrained' AS residuals, class_counts, class_shares, message AS warning,
        round(lag(-2.0 * ll) OVER w + 2.0 * ll, 4) AS chisq, parameters - lag(parameters) OVER w AS dif_df
-FROM tab WINDOW w AS (PARTITION BY outcome, restriction ORDER BY n_classes)""")
+FROM tab WINDOW w AS (PARTITION BY outcome, restriction ORDER BY n_classes)"""
+
+
+@query("m14_report_fit_table", sql=FIT_TABLE_SQL)
 def m14_report_fit_table(spark, sf):
     """One row per report: facts, model id parts, class counts and shares as text, messages, and the test against one class less."""
-    t = RP.report_fit_table(scanned(spark, sf))
+    return _tested(RP.report_fit_table(scanned(spark, sf)))
+
+
+def _tested(t):
     t = CM.lr_test(t, ["outcome", "restriction"], ["n_classes"], "LL", "Parameters")
     return t.select("path", "Parameters", "LL", "AIC", "BIC", "aBIC", "Entropy", "Observations", "outcome", "family", "degree", "restriction",
                     "n_classes", "residuals", "class_counts", "class_shares", "warning", F.round("chisq", 4).alias("chisq"), "dif_df")
 
 
+@query("m14_incremental_fit_table", sql=FIT_TABLE_SQL)
+def m14_incremental_fit_table(spark, sf):
+    """The fit table kept in a stored table: reports of two thirds of the models first, the rest when they are there, each read once."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages"
+    folder, stored = f"{base}/reports-{uuid.uuid4().hex}", f"{base}/fit-table-{uuid.uuid4().hex}"
+    rows = stage(report_rows(spark, sf), "report-texts")
+    name = F.regexp_extract("path", r"report=([^/]+)/", 1)
+    later = F.col("report").contains("-3 classes")
+    for part in (~later, later):
+        rows.where(part).repartition("report").write.mode("append").partitionBy("report").text(folder)
+        table = RP.update_fit_table(spark, folder, stored, "*.txt", model_id=name)
+    return _tested(table.withColumn("path", name))
+
+
 @query("c10_step_gap", sql=_TABLE_SQL + """
 SELECT t.path, t.outcome, t.restriction, t.n_classes, t.km1, p.ll AS ll_prev_own, round(t.km1 - p.ll, 4) AS gap
 FROM tab t LEFT JOIN tab p ON p.outcome = t.outcome AND p.restriction = t.restriction AND p.n_classes = t.n_classes - 1""")

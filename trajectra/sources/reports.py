@@ -276,13 +276,14 @@ FIT_TARGETS = ["Parameters", "LL", "LLCorrectionFactor", "AIC", "BIC", "aBIC", "
 _INT_TARGETS = {"Parameters", "Observations"}
 
 
-def report_fit_table(lines: DataFrame, targets: Sequence[str] = FIT_TARGETS) -> DataFrame:
+def report_fit_table(lines: DataFrame, targets: Sequence[str] = FIT_TARGETS, model_id: Column | None = None) -> DataFrame:
     """M14 over a folder of reports: one row per report with its fit facts (V2 pivot
     with a fixed target list, text cast to numbers), the parts of its model id (P11),
     most-likely class counts and shares as text (S7 + A1, in class order) and its
     relevant messages collapsed in line order (S8 + A1; NULL when there are none).
 
     Every input is a per-report aggregate, so each join is one row per report.
+    ``model_id``: where the model id stands, if not at the end of path.
     """
     from trajectra.functions.columns import parse_model_id
     from trajectra.operators.compare import collapse_text
@@ -291,7 +292,7 @@ def report_fit_table(lines: DataFrame, targets: Sequence[str] = FIT_TARGETS) ->
     facts = facts_to_rows(extract_facts(lines), "path", "name", "value", list(targets))
     facts = cast_numeric(facts, [t for t in targets if t not in _INT_TARGETS])
     facts = cast_numeric(facts, [t for t in targets if t in _INT_TARGETS], "int")
-    parts = parse_model_id(F.col("path"))
+    parts = parse_model_id(F.col("path") if model_id is None else model_id)
     facts = facts.select("*", *[v.alias(k) for k, v in parts.items() if k != "title"])
     cc = extract_class_counts(lines).where(F.col("basis") == "most_likely")
     counts = collapse_text(cc.withColumn("t", F.format_string("%.0f", F.col("count"))), ["path"], "t", "class",
@@ -301,3 +302,49 @@ def report_fit_table(lines: DataFrame, targets: Sequence[str] = FIT_TARGETS) ->
     msgs = extract_messages(lines).where(F.col("relevant"))
     warn = collapse_text(msgs, ["path"], "text", "line_no", ",", "warning")
     return (facts.join(counts, "path", "left").join(shares, "path", "left").join(warn, "path", "left"))
+
+
+# ----------------------------------------------------------------- M14, incremental
+
+def update_fit_table(spark: SparkSession, folder: str, table: str, glob: str = "*.out", targets: Sequence[str] = FIT_TARGETS,
+                     model_id: Column | None = None) -> DataFrame:
+    """A stored fit table brought up to date: only reports changed since its last version are read.
+
+    ``table``: a folder of its own; every run that finds changes adds a version below it,
+    a whole table keyed by path with each report's change time.  Rows of reports read
+    again are replaced, the others are carried over; a run without changes adds none.
+    The result has the columns of ``report_fit_table``, and modified.
+    """
+    from pyspark.errors import AnalysisException
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(table)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted(int(s.getPath().getName()[1:]) for s in (fs.listStatus(at) if fs.exists(at) else [])
+                      if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
+    old = spark.read.parquet(f"{table}/v{versions[-1]}") if versions else None
+    # a second earlier, as the reader's option has whole seconds; reports seen at that time are left out below
+    since = old.agg(F.date_format(F.max("modified") - F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0] if old is not None else None
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if since is not None:
+        texts = texts.option("modifiedAfter", since)
+    try:
+        texts = texts.text(folder, wholetext=True)
+    except AnalysisException as e:
+        if old is None or "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+            raise
+        return old
+    found = texts.select(F.url_decode(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    if old is not None:
+        seen = old.select(F.col("path").alias("__p"), F.col("modified").alias("__m"))
+        found = found.join(seen, (F.col("path") == F.col("__p")) & (F.col("modified") <= F.col("__m")), "left_anti")
+    found = stage(found, "changed-reports")
+    if found.isEmpty():
+        return old if old is not None else report_fit_table(lines_with_sections(found, "path", "value", SECTION_FILLS), targets, model_id).withColumn(
+            "modified", F.lit(None).cast("timestamp"))
+    new = report_fit_table(lines_with_sections(found, "path", "value", SECTION_FILLS), targets, model_id).join(found.select("path", "modified"), "path")
+    if old is not None:
+        new = new.unionByName(old.join(found.select("path"), "path", "left_anti"))
+    path = f"{table}/v{versions[-1] + 1 if versions else 0}"
+    new.write.parquet(path)
+    return spark.read.parquet(path)
+
