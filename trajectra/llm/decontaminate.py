@@ -232,6 +232,11 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The clean rows of ``docs`` with their columns."""
+    """The clean rows of ``docs`` with their columns.
+
+    Null and empty texts have no words, so they are clean; repeated rows stay or go
+    together; null doc_ids are kept.  Without items every row is clean.  An empty table gives
+    an empty result.  Columns of any name are kept.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
     return mark_contamination(rows, items, **options).filter("NOT match.contaminated").select("_row.*")

@@ -137,7 +137,11 @@ def mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, schedules=default_sched
 
 
 def mixed_documents(docs: DataFrame, max_repeats: int = MAX_REPEATS, schedules=default_schedules) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix uses them, range-sorted by the position of each use."""
+    """The rows of ``docs``, all columns, as often as the mix uses them, range-sorted by the position of each use.
+
+    Rows without words (null or empty texts) are never used.  Null sources and doc_ids,
+    repeated rows and empty tables as in ``mix``.  Columns of any name are kept.
+    """
     out = _mix(docs, max_repeats, schedules, True).filter("repeats > 0")
     out = out.withColumn("_use", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
     out = out.withColumn("_due", _due(F.col("_use")))

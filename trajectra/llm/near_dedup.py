@@ -395,7 +395,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **options)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, **options) -> DataFrame:
-    """One row of ``docs`` of each class, with its columns: the one with the smallest doc_id."""
+    """One row of ``docs`` of each class, with its columns: the one with the smallest doc_id.
+
+    Null texts count as empty ones, which are one class; of repeated rows one stays; a row
+    without a doc_id stays only if its class has no other.  An empty table gives an
+    empty result.  Columns of any name are kept.
+    """
     narrow, facts = _classes(docs, similarity, options)
     kept = facts.filter("node = kept_node").select("node", "copies", "class_id")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),

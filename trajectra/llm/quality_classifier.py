@@ -171,7 +171,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with their columns.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; null
+    doc_ids have no label and are scored like others.  An empty table gives an empty
+    result.  Columns of any name are kept.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     out = score(rows, fit(docs, labels, **options), "_text", "_score")
     return out.filter(F.col("_score") >= threshold).select("_row.*")

@@ -59,7 +59,7 @@ _FIRST = np.uint64(0x9E3779B97F4A7C15)          # marks the first word of a sent
 def _layout(text: str) -> tuple[np.ndarray, list[int]]:
     """Where the words of a text start, and their hashes."""
     words = _words(text)
-    lead = len(text) - sum(map(len, words))
+    lead = len(text) - len(text.lstrip(_SPACE))
     return np.fromiter(accumulate(map(len, words[:-1]), initial=lead), dtype=np.int64, count=len(words)) if words else \
         np.empty(0, dtype=np.int64), list(map(_hashes.__getitem__, words))
 
@@ -114,8 +114,16 @@ def sentence_starts(text: str) -> list[int]:
 def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: int,
             cut=sentence_starts) -> list[tuple[bytes, int, int]]:
     """(hash, first sentence, sentences) of each run, by first sentence; equal hashes mean equal words in equal sentences."""
+    digests, first, size = _runs(text, min_sentences, min_words, long_words, cut)
+    return list(zip(digests, first.tolist(), size.tolist()))
+
+
+_NONE = np.empty(0, dtype=np.int64)
+
+
+def _runs(text: str | None, min_sentences: int, min_words: int, long_words: int, cut) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     if not text:
-        return []
+        return [], _NONE, _NONE
     starts = cut(text)
     places, hashes = _layout(text)
     n, w = len(starts) - 1, np.searchsorted(places, starts)
@@ -124,9 +132,11 @@ def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: in
     end = np.minimum(np.searchsorted(w, w[:-1] + long_words), np.maximum(np.searchsorted(w, w[:-1] + min_words), at + min_sentences))
     first = np.maximum(np.searchsorted(w, w[1:] - long_words, "right") - 1,
                        np.minimum(np.searchsorted(w, w[1:] - min_words, "right") - 1, at + 1 - min_sentences))
-    runs = np.unique(np.concatenate([(at * (n + 1) + end)[end <= n], (first * (n + 1) + at + 1)[first >= 0]]))
+    back = np.flatnonzero(first >= 0)
+    back = back[end[first[back]] != back + 1]                       # not found from its first sentence already
+    runs = np.sort(np.concatenate([(at * (n + 1) + end)[end <= n], first[back] * (n + 1) + back + 1]))
     if not len(runs):
-        return []
+        return [], _NONE, _NONE
     marked = np.array(hashes, dtype=np.uint64)
     marked[np.unique(w[:-1][w[:-1] < len(marked)])] ^= _FIRST
     whole, low, high = marked.tobytes(), runs // (n + 1), runs % (n + 1)
@@ -134,7 +144,7 @@ def runs_of(text: str | None, min_sentences: int, min_words: int, long_words: in
     blank = np.append(0, np.cumsum(np.diff(w) == 0))                # sentences without words count, too
     for k in np.flatnonzero(blank[high] > blank[low]).tolist():
         digests[k] = xxhash.xxh3_128_digest(digests[k] + np.diff(w[low[k]:high[k] + 1]).astype("<i8").tobytes())
-    return list(zip(digests, low.tolist(), (high - low).tolist()))
+    return digests, low, high - low
 
 
 def own_repeats(text: str, *least: int) -> list[int]:
@@ -154,16 +164,17 @@ def _runs_udf(min_sentences: int, min_words: int, long_words: int):
     least = (min_sentences, min_words, long_words)
 
     def runs(texts: pd.Series) -> pd.DataFrame:
-        out = []
+        out: dict[str, list] = {"hi": [], "lo": [], "first": [], "size": [], "own": []}
         for text in texts:
-            found = runs_of(text, *least)
-            hashes = [h for h, _, _ in found]
-            keys = np.frombuffer(b"".join(hashes), dtype=np.dtype([("hi", "<i8"), ("lo", "<i4"), ("rest", "<i4")]))
-            places = np.array([(i, size) for _, i, size in found], dtype=np.int32).reshape(-1, 2)
+            hashes, first, size = _runs(text, *least, sentence_starts)
+            keys = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)       # 96 bits of the hash
+            out["hi"].append(np.ascontiguousarray(keys[:, 0]))
+            out["lo"].append(keys[:, 1].astype(np.int32))
+            out["first"].append(first.astype(np.int32))
+            out["size"].append(size.astype(np.int32))
             # clauses repeat only where their pieces do
-            own = own_repeats(text, *least) if len(set(hashes)) < len(hashes) else []
-            out.append((keys["hi"], keys["lo"], places[:, 0], places[:, 1], own))       # 96 bits of the hash
-        return pd.DataFrame(out, columns=["hi", "lo", "first", "size", "own"])
+            out["own"].append(own_repeats(text, *least) if len(set(hashes)) < len(hashes) else [])
+        return pd.DataFrame({k: pd.Series(v, dtype="object") for k, v in out.items()})
     return F.pandas_udf(runs, RUNS)
 
 
