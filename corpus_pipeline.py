@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept.  ``run`` writes each stage's rows to the shared checkpoint folder and reads
 them again for the next.
+
+In every stage null texts count as empty ones, rows without a doc_id and columns of
+any name are kept, repeated rows share their fate (near duplicates keep one of them),
+and an empty table gives an empty result.
 """
 
 from __future__ import annotations
