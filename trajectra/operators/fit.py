@@ -337,15 +337,22 @@ def em_pass(panel: Prepared, ycols: Sequence[str], times: Sequence[float], param
             "ll": vecs[:, 0, sl["ll"]][:, 0]}
 
 
+def _inverse_2x2(P: np.ndarray) -> np.ndarray:
+    """Inverse by the determinant: no error where a covariance is singular to working precision."""
+    det = P[0, 0] * P[1, 1] - P[0, 1] ** 2
+    return np.array([[P[1, 1], -P[0, 1]], [-P[0, 1], P[0, 0]]]) / det
+
+
 def _ci_objective(theta: np.ndarray, S: np.ndarray, n: np.ndarray) -> float:
     K = len(n)
     f = 0.0
     for k in range(K):
         P = np.array([[theta[k], theta[K]], [theta[K], theta[K + 1]]])
         det = P[0, 0] * P[1, 1] - P[0, 1] ** 2
-        if P[0, 0] <= 0 or det <= 0:
+        # a determinant within the rounding of its two products is a singular covariance
+        if not P[0, 0] > 0 or not det > 4 * np.finfo(float).eps * abs(P[0, 0] * P[1, 1]):
             return np.inf
-        f += n[k] * np.log(det) + np.trace(np.linalg.solve(P, S[k]))
+        f += n[k] * np.log(det) + np.trace(_inverse_2x2(P) @ S[k])
     return f
 
 
@@ -354,7 +361,7 @@ def _ci_gradient(theta: np.ndarray, S: np.ndarray, n: np.ndarray) -> np.ndarray:
     g = np.zeros(K + 2)
     for k in range(K):
         P = np.array([[theta[k], theta[K]], [theta[K], theta[K + 1]]])
-        Pi = np.linalg.inv(P)
+        Pi = _inverse_2x2(P)
         G = n[k] * Pi - Pi @ S[k] @ Pi
         g[k] = G[0, 0]
         g[K] += 2.0 * G[0, 1]
