@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple, Sequence
 
 from pyspark.sql import DataFrame
@@ -196,9 +197,123 @@ def design(times: Sequence[float]) -> np.ndarray:
 
 def patterns_of(Y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct missing patterns of a batch (P, W, bool) and each row's pattern."""
-    packed = np.packbits(~np.isnan(Y), axis=1)
-    distinct, inv = np.unique(packed, axis=0, return_inverse=True)
-    return np.unpackbits(distinct, axis=1, count=Y.shape[1]).astype(bool), inv.ravel()
+    distinct, inv = distinct_rows(~np.isnan(Y))
+    return distinct.astype(bool), inv
+
+
+def distinct_rows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of small whole numbers, and each row's place among them; rows of up to 64 bits are compared as one number."""
+    if counts.size and counts.max() > 1:
+        distinct, inv = np.unique(counts, axis=0, return_inverse=True)
+        return distinct, inv.ravel()
+    bits = np.packbits(counts.astype(bool), axis=1)
+    if bits.shape[1] > 8:
+        distinct, inv = np.unique(bits, axis=0, return_inverse=True)
+    else:
+        wide = np.zeros((len(bits), 8), dtype=np.uint8)
+        wide[:, :bits.shape[1]] = bits
+        found, inv = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        distinct = found[:, None].view(np.uint8)[:, :bits.shape[1]]
+    return np.unpackbits(distinct, axis=1, count=counts.shape[1]), inv.ravel()
+
+
+class Block(NamedTuple):
+    """Subjects with waves in rows: sums of their values about ``centre`` and of the squares (W, n; 0 where missing), the
+    distinct rows of their numbers of values (P, W), each subject's pattern, the first subject of each, weights.
+    Subjects are in the order of their patterns."""
+    y: np.ndarray
+    yy: np.ndarray
+    O: np.ndarray
+    at: np.ndarray
+    first: np.ndarray
+    centre: np.ndarray
+    weight: np.ndarray
+
+
+def block_of(counts: np.ndarray, sums: np.ndarray, squares: Callable[[np.ndarray], np.ndarray], weight: np.ndarray) -> Block:
+    """A block of n subjects by W waves: numbers of values, their sums, and the sums of squares about given centres."""
+    seen = counts.sum(0)
+    centre = sums.sum(0) / np.maximum(seen, 1)
+    O, at = distinct_rows(counts)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    y = (sums - counts * centre)[order].T
+    return Block(np.ascontiguousarray(y), np.ascontiguousarray(squares(centre)[order].T), O.astype(float), at,
+                 np.searchsorted(at, np.arange(len(O))), centre, weight[order])
+
+
+def wide_block(Y: np.ndarray) -> Block:
+    """A block of subjects (n, W) with NaN for missing."""
+    seen = ~np.isnan(Y)
+    return block_of(seen.astype(np.int8), np.where(seen, Y, 0.0), lambda c: np.where(seen, Y - c, 0.0) ** 2, np.ones(len(Y)))
+
+
+def block_sums(v: Block, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """E step and M-step sums of a block for one group, as matrix products over subjects.
+
+    Residuals are linear in the values, so squares about the class curves come from the
+    values' own sums, and all that depends on the missing pattern is summed by pattern.
+    Returns per class sw, sy, syy (W each; see ``msums_batch``), sbb (9), sp and the
+    weight of subjects most likely in it (K, 3W + 11); the log-likelihood; and the entropy sum.
+    """
+    K, W, P = len(pi), len(th), len(v.O)
+    by_pattern = lambda x: np.add.reduceat(x, v.first, axis=-1)
+    inv = 1.0 / th
+    m = a @ Z.T - v.centre
+    mi = m * inv
+    const = (v.O.sum(1) * LN2PI + v.O @ np.log(th))[None] + (mi * m) @ v.O.T
+    free = np.flatnonzero(psi.any(axis=(0, 1)) | psi.any(axis=(0, 2)))
+    r, bs, Ds = len(free), [], []
+    Zr = Z[:, free]
+    linear = np.concatenate([-2.0 * mi, (Zr * inv[:, None]).T]) @ v.y
+    quad, U = linear[:K], linear[K:]
+    quad += inv @ v.yy
+    ZZ = (Zr[:, :, None] * Zr[:, None, :]).reshape(W, r * r)
+    if r:
+        G = ((v.O * inv) @ ZZ).reshape(P, r, r)
+        for k in range(K):
+            if k and (psi[k] == psi[k - 1]).all():
+                D, logdet, Dv = Ds[-1], logdet, Dv
+            else:
+                own = psi[k][np.ix_(free, free)]
+                M = np.eye(r)[None] + own[None] @ G
+                D = np.linalg.solve(M, np.broadcast_to(own, (P, r, r)))
+                logdet = np.log(np.linalg.det(M))
+                Dv = D.reshape(P, r * r).T[:, v.at]
+            g = U - (v.O @ (Zr * mi[k][:, None])).T[:, v.at]
+            b = np.einsum("ijn,jn->in", Dv.reshape(r, r, -1), g)
+            const[k] += logdet
+            quad[k] -= np.einsum("in,in->n", g, b)
+            bs.append(b)
+            Ds.append(D)
+    lp = -0.5 * (quad + const[:, v.at]) + np.log(pi)[:, None]
+    top = lp.max(0)
+    lp -= top
+    post = np.exp(lp)
+    total = post.sum(0)
+    post /= total
+    log_total = np.log(total)
+    # ln post = lp - ln total; where post is 0 (below -800) the term is 0
+    entropy = v.weight @ log_total - np.einsum("kn,kn->n", post, np.maximum(lp, -800.0)) @ v.weight
+    w = post * v.weight
+    mass = by_pattern(w)
+    pbs = [w[k] * bs[k] for k in range(K if r else 0)]
+    sums = np.concatenate([w, *pbs]) @ v.y.T
+    sw, sy, syy = mass @ v.O, sums[:K], w @ v.yy.T
+    out = np.zeros((K, 3 * W + 11))
+    for k, pb in enumerate(pbs):
+        sy[k] -= ((Zr @ by_pattern(pb)) * v.O.T).sum(1)
+        half = {(i, j): by_pattern(pb[i] * bs[k][j]) for i in range(r) for j in range(i, r)}
+        C = np.stack([half[min(i, j), max(i, j)] for i in range(r) for j in range(r)]) + mass[k] * Ds[k].reshape(P, r * r).T
+        syy[k] += ((ZZ @ C) * v.O.T).sum(1) - 2.0 * (Zr.T * sums[K + k * r:K + (k + 1) * r]).sum(0)
+        sbb = np.zeros((3, 3))
+        sbb[np.ix_(free, free)] = C.sum(1).reshape(r, r)
+        out[k, 3 * W:3 * W + 9] = sbb.ravel()
+    out[:, :W], out[:, W:2 * W] = sw, sy + v.centre * sw
+    out[:, 2 * W:3 * W] = syy + 2.0 * v.centre * sy + v.centre ** 2 * sw
+    out[:, 3 * W + 9] = w.sum(1)
+    out[:, 3 * W + 10] = np.bincount(post.argmax(0), weights=v.weight, minlength=K)
+    return out, float(v.weight @ (top + log_total)), float(entropy)
 
 
 def estep_batch(Y: np.ndarray, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.ndarray,
@@ -307,17 +422,11 @@ def em_pass(panel: Prepared, ycols: Sequence[str], times: Sequence[float], param
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            Y = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
-            pats = patterns_of(Y)
+            v = wide_block(pdf[cols].to_numpy(dtype=float, na_value=np.nan))
             for gi in range(G):
-                th = np.broadcast_to(P["th"][gi], (K, W))
-                ll, post, b, D = estep_batch(Y, Z, P["a"][gi], th, P["psi"][gi], np.log(P["pi"][gi]), pats)
-                s = msums_batch(Y, Z, post, b, D, pats)
-                for key in ("sw", "sy", "syy"):
-                    acc[gi, :, sl[key]] += s[key]
-                acc[gi, :, sl["sbb"]] += s["sbb"].reshape(K, 9)
-                acc[gi, :, sl["sp"]] += s["sp"][:, None]
-                acc[gi, 0, sl["ll"]] += ll.sum()
+                sums, ll, _ = block_sums(v, Z, P["a"][gi], P["th"][gi], P["psi"][gi], P["pi"][gi])
+                acc[gi, :, :sl["sp"].stop] += sums[:, :sl["sp"].stop]
+                acc[gi, 0, sl["ll"]] += ll
         if few:
             yield pd.DataFrame({"sums": [acc.tobytes()]})
         else:

@@ -6,15 +6,17 @@ table.  Every search (all starts of a model, with their own stopping) asks for E
 steps at some parameter sets; one pass over the table answers all searches that are
 still going, and the driver keeps nothing but the parameters and their sums.
 
-A subject is one row with its (wave, y) pairs in arrays, whatever the waves: the
-kernels work on the flat values of a batch, so neither columns nor expressions nor
-missing-data patterns grow with the number of waves.  Equal rows can be collapsed to
+A subject is one row with its (wave, y) pairs in arrays, whatever the waves: neither
+columns nor expressions grow with their number.  A pass lays the subjects of a batch
+out in blocks by wave (very uneven ones by size) for its sums.  Equal rows can be collapsed to
 one with a weight.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectra.operators.fit import (FEW_PARTS, LN2PI, RESTRICTION_SPEC, count_parameters, design, mstep, starts_search)
+from trajectra.operators.fit import (FEW_PARTS, LN2PI, RESTRICTION_SPEC, Block, block_of, block_sums, count_parameters, design, mstep,
+                                     starts_search)
+from trajectra.operators.joins import checked_broadcast
 from trajectra.session import ship_package, stage
 
 
@@ -64,16 +68,20 @@ def stage_panels(panel: DataFrame, outcome: str = "outcome", subject: str = "sub
     equal arrays become one row whose weight is their number (one more exchange, by the
     arrays); posteriors and sums are the same.
     """
+    return panels_of(subject_rows(panel, outcome, subject, wave, y, collapse))
+
+
+def subject_rows(panel: DataFrame, outcome: str = "outcome", subject: str = "subject", wave: str = "wave", y: str = "y",
+                 collapse: bool = False) -> DataFrame:
+    """(outcome, subject, t, y, weight): see ``stage_panels``."""
     rows = panel.where(F.col(y).isNotNull() & F.col(wave).isNotNull() & F.col(outcome).isNotNull())
     rows = rows.select(F.col(outcome).cast("string").alias("outcome"), F.col(subject).alias("subject"),
                        F.struct(F.col(wave).cast("int").alias("t"), F.col(y).cast("double").alias("y")).alias("v"))
     rows = rows.groupBy("outcome", "subject").agg(F.sort_array(F.collect_list("v")).alias("v"))
     rows = rows.select("outcome", F.col("subject").cast("string").alias("subject"), F.col("v.t").alias("t"), F.col("v.y").alias("y"))
     if collapse:
-        rows = rows.groupBy("outcome", "t", "y").agg(F.min("subject").alias("subject"), F.count(F.lit(1)).cast("double").alias("weight"))
-    else:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    return panels_of(rows)
+        return rows.groupBy("outcome", "t", "y").agg(F.min("subject").alias("subject"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return rows.withColumn("weight", F.lit(1.0))
 
 
 def panels_of(rows: DataFrame) -> Panels:
@@ -92,7 +100,8 @@ def panels_of(rows: DataFrame) -> Panels:
     counts = table.groupBy("outcome").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     rows_in_all = sum(r["rows"] for r in counts)
     parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows_in_all // 1_000), rows_in_all // 500_000)
-    return Panels(table.repartition(parts).persist(), parts, mean, var, {r["outcome"]: int(round(r["n"])) for r in counts})
+    # in order, so that a batch of a pass holds many subjects of few outcomes
+    return Panels(table.repartition(parts).sortWithinPartitions("outcome").persist(), parts, mean, var, {r["outcome"]: int(round(r["n"])) for r in counts})
 
 
 # ----------------------------------------------------------------- starts
@@ -124,7 +133,11 @@ def unit_starts(classes: int, n: int, seed: int) -> list[Unit]:
 def scaled_start(unit: Unit, panels: Panels, m: Model) -> dict:
     """A start's parameters on the scale of the model's outcome."""
     mu, var = panels.mean[m.outcome], panels.var[m.outcome]
-    w, base, sd = len(mu), float(np.nanmean(mu)), float(np.sqrt(np.nanmean(var)))
+    return start_at(unit, m, len(mu), float(np.nanmean(mu)), float(np.sqrt(np.nanmean(var))))
+
+
+def start_at(unit: Unit, m: Model, w: int, base: float, sd: float) -> dict:
+    """A start's parameters for w waves of mean ``base`` and deviation ``sd``."""
     a = np.zeros((m.classes, 3))
     a[:, 0] = base + sd * np.array(unit.offset)
     a[:, 1] = sd / w * np.array(unit.slope)
@@ -138,21 +151,51 @@ def scaled_start(unit: Unit, panels: Panels, m: Model) -> dict:
 
 # ----------------------------------------------------------------- kernels on flat values
 
-class Flat(NamedTuple):
-    """Values of n subjects one after another: row and wave of each, first value of each subject, weights, powers of t."""
+DENSE = 4                   # cells of a block per value, at most, before subjects are split by their last wave
+BLOCK_CELLS = 4_000_000
+
+
+@dataclass(frozen=True)
+class Flat:
+    """Values of n subjects one after another: row and wave of each, first value of each subject, weights."""
     r: np.ndarray
     t: np.ndarray
     y: np.ndarray
     first: np.ndarray
     weight: np.ndarray
-    powers: np.ndarray
+
+    @functools.cached_property
+    def powers(self) -> np.ndarray:
+        return np.power(self.t[:, None].astype(float), np.arange(5)[None])
+
+    @functools.cached_property
+    def blocks(self) -> list[Block]:
+        """The subjects as blocks of bounded size: all together, or by size of their last wave where they are very uneven."""
+        width = np.maximum.reduceat(self.t, self.first) + 1
+        even = len(width) * int(width.max()) <= DENSE * len(self.t)
+        group = np.zeros(len(width), dtype=int) if even else np.frexp(width.astype(float))[1]
+        out = []
+        for g in np.unique(group):
+            of = np.flatnonzero(group == g)
+            step = max(1, BLOCK_CELLS // int(width[of].max()))
+            out += [self._block(of[i:i + step], int(width[of[i:i + step]].max())) for i in range(0, len(of), step)]
+        return out
+
+    def _block(self, of: np.ndarray, W: int) -> Block:
+        place = np.full(len(self.first), -1)
+        place[of] = np.arange(len(of))
+        mine = place[self.r] >= 0
+        t, y = self.t[mine], self.y[mine]
+        cell = place[self.r[mine]] * W + t
+        add = lambda x=None: np.bincount(cell, weights=x, minlength=len(of) * W).reshape(len(of), W)
+        return block_of(add(), add(y), lambda c: add((y - c[t]) ** 2), self.weight[of])
 
 
 def flatten(t: Sequence, y: Sequence, weight: Sequence[float]) -> Flat:
     sizes = np.array([len(v) for v in t])
     tt = np.concatenate(list(t)).astype(np.int64)
     return Flat(np.repeat(np.arange(len(sizes)), sizes), tt, np.concatenate(list(y)).astype(float), np.cumsum(sizes) - sizes,
-                np.asarray(weight, dtype=float), np.power(tt[:, None].astype(float), np.arange(5)[None]))
+                np.asarray(weight, dtype=float))
 
 
 def _per_subject(b: Flat, x: np.ndarray) -> np.ndarray:
@@ -207,17 +250,16 @@ def _spread(D: np.ndarray, v: Flat) -> np.ndarray:
 
 def em_sums(v: Flat, p: dict) -> np.ndarray:
     """Sums for the M step and the scores, flat: per class sw, sy, syy (W each), sbb (9), sp, most likely; then ll and entropy sum."""
-    s, W = estep(v, p), len(p["th"])
-    rows = []
-    likely = np.bincount(s.post.argmax(1), weights=v.weight, minlength=len(p["pi"]))
-    for k in range(len(p["pi"])):
-        w = s.post[:, k] * v.weight
-        wv = w[v.r]
-        rest = v.y - (v.powers[:, :3] * s.b[k][v.r]).sum(1)
-        sums = [np.bincount(v.t, weights=x, minlength=W) for x in (wv, wv * rest, wv * (rest * rest + _spread(s.D[k], v)))]
-        sbb = (s.b[k] * w[:, None]).T @ s.b[k] + np.tensordot(w, s.D[k], 1)
-        rows.append(np.concatenate([*sums, sbb.ravel(), [w.sum(), likely[k]]]))
-    return np.concatenate([*rows, [v.weight @ s.ll, -(v.weight @ np.where(s.post > 0, s.post * np.log(np.maximum(s.post, 1e-300)), 0.0).sum(1))]])
+    K, W = len(p["pi"]), len(p["th"])
+    out, ll, entropy = np.zeros((K, 3 * W + 11)), 0.0, 0.0
+    for block in v.blocks:
+        w = block.y.shape[0]
+        x, x_ll, x_entropy = block_sums(block, design(range(w)), p["a"], p["th"][:w], p["psi"], p["pi"])
+        for i in range(3):
+            out[:, i * W:i * W + w] += x[:, i * w:(i + 1) * w]
+        out[:, 3 * W:] += x[:, 3 * w:]
+        ll, entropy = ll + x_ll, entropy + x_entropy
+    return np.concatenate([out.ravel(), [ll, entropy]])
 
 
 def _unpacked(x: np.ndarray, K: int, W: int) -> dict:
@@ -267,6 +309,11 @@ def grid_pass(panels: Panels, asked: Sequence[tuple[str, dict]], kernel: Callabl
     return out
 
 
+def _moved(m: Model, p: dict, s: dict, W: int) -> dict:
+    """The parameters after the M step; as they are where the likelihood is not finite."""
+    return mstep(s, 0, p, design(range(W)), m.factors, m.random, m.per_class, m.shared_residual) if np.isfinite(s["ll"]) else p
+
+
 def _em_map(panels: Panels, asked: Sequence[tuple[Model, list[dict]]]) -> list[tuple[list[dict], np.ndarray, list[dict]]]:
     """EM step of every parameter set of every model, in one pass: (new sets, their likelihoods, the sums) per model."""
     flat = [(m.outcome, p) for m, ps in asked for p in ps]
@@ -275,10 +322,7 @@ def _em_map(panels: Panels, asked: Sequence[tuple[Model, list[dict]]]) -> list[t
     for m, ps in asked:
         W = panels.waves(m.outcome)
         got = [_unpacked(next(sums), m.classes, W) for _ in ps]
-        new = []
-        for p, s in zip(ps, got):
-            ok = np.isfinite(s["ll"])
-            new.append(mstep(s, 0, p, design(range(W)), m.factors, m.random, m.per_class, m.shared_residual) if ok else p)
+        new = [_moved(m, p, s, W) for p, s in zip(ps, got)]
         out.append((new, np.array([s["ll"] for s in got]), got))
     return out
 
@@ -308,7 +352,7 @@ def fit_grid(panels: Panels, models: Sequence[Model], n_starts: int = 100, keep:
                 done[m] = end.value
                 del asks[m]
     last = _em_map(panels, [(m, [done[m]["params"]]) for m in models])
-    return [_result(panels, m, done[m]["params"], got[0], done[m]["start_lls"], [units[m][i] for i in done[m]["kept"]], done[m]["kept"],
+    return [_result(m, panels.n[m.outcome], panels.waves(m.outcome), done[m]["params"], got[0], done[m]["start_lls"], [units[m][i] for i in done[m]["kept"]], done[m]["kept"],
                     converged=done[m]["converged"]) for m, (_, _, got) in zip(models, last)]
 
 
@@ -320,22 +364,26 @@ def grid_steps(panels: Panels, models: Sequence[Model], steps: int, n_starts: in
         asked = [(m, new) for (m, _), (new, _, _) in zip(asked, _em_map(panels, asked))]
     out = []
     for (m, ps), (_, ll, got) in zip(asked, _em_map(panels, asked)):
-        best = int(np.nanargmax(np.where(np.isfinite(ll), np.round(ll, 3), np.nan)))       # of equal ones the first start
-        out.append(_result(panels, m, ps[best], got[best], ll.tolist(), units[m], list(range(n_starts)), converged=False))
+        out.append(_best_start(m, panels.n[m.outcome], panels.waves(m.outcome), ps, got, units[m]))
     return out
 
 
-def _result(panels: Panels, m: Model, p: dict, s: dict, lls: list[float], units: list[Unit], numbers: list[int], converged: bool) -> dict:
-    n = panels.n[m.outcome]
+def _best_start(m: Model, n: int, waves: int, ps: list[dict], got: list[dict], units: list[Unit]) -> dict:
+    ll = np.array([s["ll"] for s in got])
+    best = int(np.nanargmax(np.where(np.isfinite(ll), np.round(ll, 3), np.nan)))       # of equal ones the first start
+    return _result(m, n, waves, ps[best], got[best], ll.tolist(), units, list(range(len(units))), converged=False)
+
+
+def _result(m: Model, n: int, waves: int, p: dict, s: dict, lls: list[float], units: list[Unit], numbers: list[int], converged: bool) -> dict:
     ranked = sorted(((ll, u.seed, i) for ll, u, i in zip(lls, units, numbers) if np.isfinite(ll)), key=lambda x: (-round(x[0], 3), x[2]))
-    Z, fi = design(range(panels.waves(m.outcome))), list(m.factors)
+    Z, fi = design(range(waves)), list(m.factors)
     se = np.full((m.classes, 3), np.nan)
     for k in range(m.classes):
         info = np.einsum("t,ta,tb->ab", s["sw"][0][k] / p["th"], Z, Z)[np.ix_(fi, fi)]
         if np.linalg.matrix_rank(info) == len(fi):
             se[k, fi] = np.sqrt(np.diag(np.linalg.inv(info)))
-    return {"model": m, "n": n, "curve_se": se, "waves": panels.waves(m.outcome), "params": p, "ll": s["ll"],
-            "parameters": count_parameters(m.classes, m.factors, m.restriction, m.shared_residual, panels.waves(m.outcome)),
+    return {"model": m, "n": n, "curve_se": se, "waves": waves, "params": p, "ll": s["ll"],
+            "parameters": count_parameters(m.classes, m.factors, m.restriction, m.shared_residual, waves),
             "converged": bool(converged), "best_replicated": sum(round(ll, 3) == round(ranked[0][0], 3) for ll, _, _ in ranked) >= 2,
             "starts": ranked, "model_counts": [float(x) * n for x in p["pi"]], "posterior_counts": s["sp"][0].tolist(),
             "likely_counts": s["likely"].tolist(),
@@ -349,21 +397,143 @@ GRID_SCHEMA = ("model string, outcome string, n_classes int, restriction string,
                "model_count:double,posterior_count:double,likely_count:double>>")
 
 
+GRID_COLUMNS = ("model outcome n_classes restriction residuals n waves parameters ll converged best_replicated best_start best_seed entropy "
+                "starts classes").split()
+STARTS, CLASSES = "ll seed start".split(), "class i s q se_i se_s se_q share var_i model_count posterior_count likely_count".split()
+
+
+def _grid_row(r: dict) -> tuple:
+    m, p = r["model"], r["params"]
+    return (m.name, m.outcome, m.classes, m.restriction, "constrained" if m.shared_residual else "unconstrained", r["n"], r["waves"],
+            r["parameters"], r["ll"], r["converged"], r["best_replicated"], r["starts"][0][2] + 1, r["starts"][0][1], r["entropy"],
+            [dict(zip(STARTS, (ll, seed, i + 1))) for ll, seed, i in r["starts"]],
+            [dict(zip(CLASSES, (k + 1, *(float(x) for x in p["a"][k]), *(None if np.isnan(x) else float(x) for x in r["curve_se"][k]),
+                                float(p["pi"][k]), float(p["psi"][k][0, 0]), r["model_counts"][k], r["posterior_counts"][k], r["likely_counts"][k])))
+             for k in range(m.classes)])
+
+
 def grid_table(spark, results: Sequence[dict]) -> DataFrame:
     """One row per model of the results of ``fit_grid`` or ``grid_steps``; starts are ranked, numbered from 1."""
-    rows = []
-    for r in results:
-        m, p = r["model"], r["params"]
-        rows.append((m.name, m.outcome, m.classes, m.restriction, "constrained" if m.shared_residual else "unconstrained", r["n"], r["waves"],
-                     r["parameters"], r["ll"], r["converged"], r["best_replicated"], r["starts"][0][2] + 1, r["starts"][0][1], r["entropy"],
-                     [(ll, seed, i + 1) for ll, seed, i in r["starts"]],
-                     [(k + 1, *(float(x) for x in p["a"][k]), *(None if np.isnan(x) else float(x) for x in r["curve_se"][k]), float(p["pi"][k]), float(p["psi"][k][0, 0]), r["model_counts"][k],
-                       r["posterior_counts"][k], r["likely_counts"][k]) for k in range(m.classes)]))
-    return spark.createDataFrame(rows, GRID_SCHEMA)
+    return spark.createDataFrame([_grid_row(r) for r in results], GRID_SCHEMA)
+
+
+def _cells(specs: DataFrame) -> list:
+    """Rows of a spec grid, one per cell, by title."""
+    rows = specs.select("title", "n_classes", "restriction", "shared_residual").collect()
+    return sorted(rows, key=lambda r: r["title"])
+
+
+def _model(cell, outcome: str) -> Model:
+    return Model(cell["title"] % outcome, outcome, cell["n_classes"], cell["restriction"], shared_residual=cell["shared_residual"])
 
 
 def grid_models(specs: DataFrame, outcomes: Sequence[str]) -> list[Model]:
     """Models of a spec grid (J6: title, n_classes, restriction, shared_residual) for each outcome; title is a printf pattern of it."""
-    rows = specs.select("title", "n_classes", "restriction", "shared_residual").collect()       # a row per cell of the grid
-    return [Model(r["title"] % o, o, r["n_classes"], r["restriction"], shared_residual=r["shared_residual"])
-            for o in sorted(outcomes) for r in sorted(rows, key=lambda r: r["title"])]
+    cells = _cells(specs)
+    return [_model(c, o) for o in sorted(outcomes) for c in cells]
+
+
+# ----------------------------------------------------------------- grids over any number of outcomes
+
+CHUNK_VALUES = 50_000       # values of an outcome that meet its parameters at once
+FAN_IN = 64                 # sums of so many chunks are added at once
+STATE_SCHEMA = "outcome string, n double, waves int, chunks int, sets array<array<double>>"
+
+
+def _flat_set(p: dict) -> np.ndarray:
+    return np.concatenate([p["a"].ravel(), p["th"], p["psi"].ravel(), p["pi"]])
+
+
+def _unflat_set(x, K: int) -> dict:
+    x = np.array(x, dtype=float)
+    W = len(x) - 13 * K
+    return {"a": x[:3 * K].reshape(K, 3), "th": x[3 * K:3 * K + W], "psi": x[3 * K + W:-K].reshape(K, 3, 3), "pi": x[-K:]}
+
+
+def grid_steps_table(panel: DataFrame, specs: DataFrame, steps: int, n_starts: int = 1, seed: int = 7) -> DataFrame:
+    """``grid_table`` of ``grid_steps``, for every outcome of a panel however many there are.
+
+    An outcome's row holds the parameters of its models and starts, whose number the
+    spec grid fixes.  In a pass it meets the outcome's subjects, in chunks of bounded
+    size; the chunks' sums are added and the M steps taken outcome by outcome in Spark.
+    The driver sees neither parameters nor sums.
+    """
+    spark = panel.sparkSession
+    ship_package(spark)
+    cells = _cells(specs)
+    units = [unit_starts(c["n_classes"], n_starts, seed) for c in cells]
+    classes = [c["n_classes"] for c in cells for _ in range(n_starts)]
+
+    rows = stage(subject_rows(panel), "panels")
+    value = rows.select("outcome", "weight", F.explode(F.arrays_zip("t", "y")).alias("v"))
+    waves = value.groupBy("outcome", F.col("v.t").alias("t")).agg(
+        F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("v.y")).alias("s1"), F.sum(F.col("weight") * F.col("v.y") * F.col("v.y")).alias("s2"))
+    known = lambda x: F.coalesce(F.avg(F.when(~F.isnan(x), x)), F.lit(float("nan")))
+    mean = F.col("s1") / F.col("n")
+    stats = waves.groupBy("outcome").agg(known(mean).alias("base"), F.sqrt(known(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))).alias("sd"),
+                                         (F.max("t") + 1).alias("waves"))
+    sizes = rows.groupBy("outcome").agg(F.sum("weight").alias("n"), F.ceil(F.sum(F.size("t")) / CHUNK_VALUES).cast("int").alias("chunks"))
+    stats = stage(stats.join(sizes, "outcome"), "outcomes")
+    total = stats.agg(F.count(F.lit(1)).alias("outcomes"), F.sum("chunks").alias("chunks"), F.max("chunks").alias("most")).first()
+    # set by hand, as tables of few bytes hold much work here
+    least = 3 * spark.sparkContext.defaultParallelism
+    parts = lambda groups: max(1, min(groups or 0, max(least, (groups or 0) // 50)))
+    of_chunks, of_outcomes = parts(total["chunks"]), parts(total["outcomes"])
+
+    # outcomes of several chunks are at most values / CHUNK_VALUES, which the broadcast counts
+    large = stats.where(F.col("chunks") > 1).select(F.col("outcome").alias("__o"), F.col("chunks").alias("__c"))
+    chunk = F.pmod(F.xxhash64("subject"), F.coalesce("__c", F.lit(1))).cast("int")
+    subjects = rows.join(checked_broadcast(large), F.col("outcome") == F.col("__o"), "left").select("outcome", chunk.alias("chunk"), "t", "y", "weight")
+    subjects = subjects.repartition(of_chunks, "outcome", "chunk").persist()
+
+    def starts(batches):
+        for pdf in batches:
+            sets = [[_flat_set(start_at(u, _model(c, r.outcome), int(r.waves), r.base, r.sd)) for c, us in zip(cells, units) for u in us]
+                    for r in pdf.itertuples()]
+            yield pdf[["outcome", "n", "waves", "chunks"]].assign(sets=sets)
+
+    def sums(key, part, asked):
+        if not len(part) or not len(asked):
+            return pd.DataFrame({"outcome": [], "at": [], "sums": []})
+        v = flatten(part["t"], part["y"], part["weight"])
+        found = [em_sums(v, _unflat_set(x, K)) for x, K in zip(asked["sets"].iloc[0], classes)]
+        return pd.DataFrame({"outcome": [key[0]], "at": [key[1]], "sums": [np.concatenate(found)]})
+
+    def added(key, part):
+        return pd.DataFrame({"outcome": [key[0]], "at": [key[1]], "sums": [np.sum([np.array(x, dtype=float) for x in part["sums"]], axis=0)]})
+
+    def cell_sets(part, state):
+        """Per cell of the outcome: its model, parameter sets and their sums."""
+        r = state.iloc[0]
+        W, x = int(r["waves"]), np.sum([np.array(v, dtype=float) for v in part["sums"]], axis=0)
+        sets = [_unflat_set(p, K) for p, K in zip(r["sets"], classes)]
+        ends = np.cumsum([K * (3 * W + 11) + 2 for K in classes])[:-1]
+        got = [_unpacked(v, K, W) for v, K in zip(np.split(x, ends), classes)]
+        for i, c in enumerate(cells):
+            at = slice(i * n_starts, (i + 1) * n_starts)
+            yield _model(c, r["outcome"]), sets[at], got[at], W, int(round(r["n"])), units[i]
+
+    def moved(part, state):
+        sets = [_flat_set(_moved(m, p, s, W)) for m, ps, got, W, _, _ in cell_sets(part, state) for p, s in zip(ps, got)]
+        return state[["outcome", "n", "waves", "chunks"]].assign(sets=[sets])
+
+    def result(part, state):
+        found = [_grid_row(_best_start(m, n, W, ps, got, us)) for m, ps, got, W, n, us in cell_sets(part, state)]
+        return pd.DataFrame(found, columns=GRID_COLUMNS)
+
+    def one_pass(state: DataFrame, then, schema: str) -> DataFrame:
+        asked = state.select("outcome", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sets").repartition(of_chunks, "outcome", "chunk")
+        s = subjects.groupBy("outcome", "chunk").cogroup(asked.groupBy("outcome", "chunk")).applyInPandas(sums, "outcome string, at int, sums array<double>")
+        many = total["most"] or 0
+        while many > FAN_IN:
+            s = s.groupBy("outcome", F.floor(F.col("at") / FAN_IN).cast("int").alias("at")).applyInPandas(added, "outcome string, at int, sums array<double>")
+            many = -(-many // FAN_IN)
+        s, state = s.repartition(of_outcomes, "outcome"), state.repartition(of_outcomes, "outcome")
+        return stage(s.groupBy("outcome").cogroup(state.groupBy("outcome")).applyInPandas(then, schema), "grid-state")
+
+    state = stage(stats.repartition(of_outcomes, "outcome").mapInPandas(starts, STATE_SCHEMA), "grid-state")
+    for _ in range(steps - 1):
+        state = one_pass(state, moved, STATE_SCHEMA)
+    out = one_pass(state, result, GRID_SCHEMA)
+    subjects.unpersist()
+    return out

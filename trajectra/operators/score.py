@@ -47,7 +47,7 @@ def expand_classes(panel: DataFrame, params_wide: DataFrame) -> DataFrame:
     about ``MAX_PARAM_ROWS`` groups, each of which meets the panel once.
     """
     params_wide = stage(params_wide, "parameters")
-    blocks = max(1, -(-params_wide.count() // MAX_PARAM_ROWS))
+    blocks = max(1, -(-params_wide.count() // max(1, MAX_PARAM_ROWS)))
     if blocks == 1:
         return panel.crossJoin(F.broadcast(params_wide))
     block = F.pmod(F.xxhash64(*params_wide.columns[:1]), F.lit(blocks))

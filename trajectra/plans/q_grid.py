@@ -31,11 +31,7 @@ def specs(spark, classes=CLASSES, restrictions=RESTRICTIONS, rules=RULES):
 
 def fixed_grid(spark, panel, steps=STEPS, starts=STARTS, **lists):
     """The grid after a fixed number of steps, for every outcome of ``panel``."""
-    panels = GF.stage_panels(panel)
-    models = GF.grid_models(specs(spark, **lists), list(panels.n))
-    out = GF.grid_table(spark, GF.grid_steps(panels, models, steps, starts))
-    panels.table.unpersist()
-    return out
+    return GF.grid_steps_table(panel, specs(spark, **lists), steps, starts)
 
 
 GRID_SQL = grid_sql(PANEL_G_SQL, CLASSES, RESTRICTIONS, RULES, STEPS, STARTS)

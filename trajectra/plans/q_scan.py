@@ -89,10 +89,16 @@ def report_rows(spark, sf):
     return t.select(F.col("model").alias("report"), F.concat_ws("\n", _lines()).alias("value"))
 
 
+def report_writer(rows):
+    """A writer of report rows, one file each: spread over every core and more, as few bytes are many files, and put in place by the tasks."""
+    spread = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "report")
+    return spread.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("report")
+
+
 def scanned(spark, sf, sections: bool = True):
     """The reports written as files and scanned back, with the model id as path."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/reports-{uuid.uuid4().hex}"
-    report_rows(spark, sf).repartition("report").write.partitionBy("report").text(path)
+    report_writer(report_rows(spark, sf)).text(path)
     lines = (RP.scan_sections if sections else RP.scan_reports)(spark, path, "*.txt")
     return lines.withColumn("path", F.regexp_extract("path", r"report=([^/]+)/", 1))
 
@@ -257,7 +263,7 @@ def m14_incremental_fit_table(spark, sf):
     name = F.regexp_extract("path", r"report=([^/]+)/", 1)
     later = F.col("report").contains("-3 classes")
     for part in (~later, later):
-        rows.where(part).repartition("report").write.mode("append").partitionBy("report").text(folder)
+        report_writer(rows.where(part)).mode("append").text(folder)
         table = RP.update_fit_table(spark, folder, stored, "*.txt", model_id=name)
     return _tested(table.withColumn("path", name))
 
