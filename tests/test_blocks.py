@@ -118,3 +118,47 @@ def test_fixed_grid_brings_no_parameters_to_the_driver(spark, panel, monkeypatch
     assert QG.fixed_grid(spark, panel, 2, 1, classes=(1, 2), restrictions=("iq@0",), rules=(True,)).count() == 6
     empty = QG.fixed_grid(spark, panel.limit(0), 2, 1, classes=(1,), restrictions=("iq@0",), rules=(True,))
     assert empty.collect() == []
+
+
+@pytest.mark.parametrize("psi", PSI)
+@pytest.mark.parametrize("classes", (1, 2, 3))
+def test_sums_of_many_groups_equal_those_of_each(psi, classes, monkeypatch):
+    monkeypatch.setattr(FT, "TILE", 256)
+    rows, _ = made(700)
+    rows[:400, 4:] = np.nan                                            # a frequent pattern, and many rare ones
+    rows[:400, :4] = np.where(np.isnan(rows[:400, :4]), 500.0, rows[:400, :4])
+    rng = np.random.default_rng(classes)
+    G, Z, own = 7, FT.design(range(W)), np.concatenate([PSI[psi], PSI[psi][:1]])[:classes]
+    a, th, pi = rng.normal(0, 1, (G, classes, 3)) * [3, 0.4, 0.02] + [500, 0, 0], rng.uniform(1, 3, (G, W)), rng.dirichlet(np.full(classes, 4.0), G)
+    scale = rng.uniform(0.5, 2.0, G)
+    v = FT.wide_block(rows)
+    for block in (v, v._replace(weight=rng.integers(1, 4, 700).astype(float))):
+        got, ll, entropy = FT.grid_sums(FT.read_block(FT.written_block(block)), Z, a, th, scale[:, None, None, None] * own, pi)
+        quick = FT.grid_sums(block, Z, a, th, scale[:, None, None, None] * own, pi, scores=False)
+        for g in range(G):
+            want, want_ll, want_entropy = FT.block_sums(block, Z, a[g], th[g], scale[g] * own, pi[g])
+            assert np.allclose(got[g], want, rtol=1e-9, atol=1e-8) and ll[g] == pytest.approx(want_ll) and entropy[g] == pytest.approx(want_entropy, abs=1e-9)
+        assert np.allclose(quick[0][..., :-1], got[..., :-1]) and np.allclose(quick[1], ll)
+
+
+def test_repeated_waves_in_groups():
+    rng = np.random.default_rng(4)
+    v = GF.flatten([np.array([0, 1, 1, 3])] * 300, list(rng.normal(20, 3, (300, 4))), np.ones(300)).blocks[0]
+    a, th, pi, psi = rng.normal(20, 1, (6, 2, 3)) * [1, 0.01, 0.001], rng.uniform(5, 9, (6, 4)), np.full((6, 2), 0.5), np.stack([PSI["own"]] * 6)
+    got, ll, _ = FT.grid_sums(FT.read_block(FT.written_block(v)), FT.design(range(4)), a, th, psi, pi)
+    for g in range(6):
+        want, want_ll, _ = FT.block_sums(v, FT.design(range(4)), a[g], th[g], psi[g], pi[g])
+        assert np.allclose(got[g], want) and ll[g] == pytest.approx(want_ll)
+
+
+def test_subjects_are_laid_out_once_for_all_passes(spark, panel, wide_panel, monkeypatch):
+    monkeypatch.setattr(FT, "BLOCK_CELLS", 1)
+    Y = [f"y_{t}" for t in range(W)]
+    prepared = FT.prepare_panel(wide_panel, Y)
+    p = made()[1] | {"psi": PSI["shared"]}
+    once, each = FT.em_pass(prepared, Y, range(W), [p] * 2), FT.em_pass(FT.Prepared(wide_panel.repartition(3), 3), Y, range(W), [p] * 2)
+    assert prepared.blocks.columns == ["block"] and all(np.allclose(once[x], each[x]) for x in once)
+    panels = GF.stage_panels(panel)
+    asked = [("one", p), ("few1", p), ("one", p)]
+    for x, y in zip(GF.em_pass(panels, GF.panel_blocks(panels), asked), GF.grid_pass(panels, asked), strict=True):
+        assert np.allclose(x, y)

@@ -13,7 +13,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 from collections.abc import Callable
 from typing import NamedTuple, Sequence
 
@@ -316,6 +318,155 @@ def block_sums(v: Block, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.n
     return out, float(v.weight @ (top + log_total)), float(entropy)
 
 
+PATTERN_WORK = 1_500        # subjects of a pattern times groups that are worth products of their own
+TILE = 16_384               # groups x classes x subjects of a product
+
+
+def grid_sums(v: Block, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.ndarray, pi: np.ndarray, scores: bool = True
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``block_sums`` of many groups: a (G, K, 3), th (G, W), psi (G, K, 3, 3), pi (G, K); sums (G, K, 3W + 11), ll and entropy (G,).
+
+    Subjects of a missing pattern share all matrices, so their E step is one product of their observed
+    values with those of every group and class, and the M-step sums are another; rarer patterns go group by group.
+    Without ``scores`` the entropy and the most likely classes may stay 0, which EM steps do not need.
+    """
+    G, K, W = *pi.shape, th.shape[1]
+    out, ll, entropy = np.zeros((G, K, 3 * W + 11)), np.zeros(G), np.zeros(G)
+    ends = np.append(v.first[1:], len(v.at))
+    often = G * (ends - v.first) >= PATTERN_WORK
+    if (~often).sum() <= G // 2:                                   # cheaper one by one than a block for each group
+        often[:] = True
+    free = np.flatnonzero(psi.any(axis=(0, 1, 2)) | psi.any(axis=(0, 1, 3)))
+    for j in np.flatnonzero(often):
+        _add_pattern(v, j, slice(v.first[j], ends[j]), Z, a, th, psi, pi, free, scores, out, ll, entropy)
+    if not often.all():
+        rest = _rare(v, often) if often.any() else v
+        for g in range(G):
+            sums, x_ll, x_entropy = block_sums(rest, Z, a[g], th[g], psi[g], pi[g])
+            out[g] += sums
+            ll[g] += x_ll
+            entropy[g] += x_entropy
+    return out, ll, entropy
+
+
+def _rare(v: Block, often: np.ndarray) -> Block:
+    """The subjects of the other patterns as a block of their own."""
+    mine, place = ~often[v.at], np.cumsum(~often) - 1
+    at = place[v.at[mine]]
+    return Block(np.ascontiguousarray(v.y[:, mine]), np.ascontiguousarray(v.yy[:, mine]), v.O[~often], at,
+                 np.searchsorted(at, np.arange(int((~often).sum()))), v.centre, v.weight[mine])
+
+
+def _posteriors(lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of log densities (G, K, n), each subject's highest density, and the sum of its densities over that one (1 to K)."""
+    top = lp.max(1)
+    if lp.shape[1] == 2:                                           # the higher one's ratio is 1: one exponential a subject
+        low = np.exp(lp.min(1) - top)
+        total = 1.0 + low
+        low /= total
+        high = 1.0 / total
+        first, post = lp[:, 0] >= lp[:, 1], np.empty_like(lp)
+        post[:, 0], post[:, 1] = np.where(first, high, low), np.where(first, low, high)
+        return post, top, total
+    post = np.exp(lp - top[:, None])
+    total = post.sum(1)
+    post /= total[:, None]
+    return post, top, total
+
+
+def _sum_of_logs(x: np.ndarray) -> np.ndarray:
+    """Sums of the logarithms of numbers from 1 to 16 over the last axis, a logarithm per 250 factors."""
+    return np.log(np.multiply.reduceat(x, np.arange(0, x.shape[-1], 250), axis=-1)).sum(-1)
+
+
+def _add_pattern(v: Block, j: int, of: slice, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.ndarray, pi: np.ndarray, free: np.ndarray,
+                 scores: bool, out: np.ndarray, ll: np.ndarray, entropy: np.ndarray) -> None:
+    """Adds the sums of one pattern's subjects to ``out``, ``ll`` and ``entropy`` (see ``grid_sums``).
+
+    With U = Z' / theta and D the effects' covariance given y, an effect's mean is D U y less D g0, where g0 is U of the
+    class curve.  What is equal for all classes leaves the posteriors alone and enters the likelihood by the sums of products of values.
+    """
+    seen = np.flatnonzero(v.O[j])
+    c, w, r, (G, K), W = v.O[j][seen], len(seen), len(free), pi.shape, th.shape[1]
+    y, yy, weight = v.y[seen, of], v.yy[seen, of], v.weight[of]
+    n, plain = y.shape[1], bool((weight == 1.0).all())
+    one = np.concatenate([y, np.ones((1, n))])
+    values = np.concatenate([one, yy])
+    Zw, Zr = Z[seen], Z[np.ix_(seen, free)]
+    inv, centre = 1.0 / th[:, seen], v.centre[seen]
+    m = a @ Zw.T - centre
+    mi = m * inv[:, None]
+    # log densities as coefficients of (y, 1)
+    const = (np.log(th[:, seen]) @ c + c.sum() * LN2PI)[:, None] + (mi * m) @ c
+    linear = mi
+    ll -= 0.5 * (inv @ (yy @ weight))
+    shared = True
+    if r:
+        own = psi[..., free[:, None], free[None]]
+        shared = bool((own == own[:, :1]).all())
+        own = own[:, :1] if shared else own
+        M = np.eye(r) + own @ np.einsum("gt,ti,tj->gij", inv * c, Zr, Zr)[:, None]
+        D = np.linalg.solve(M, own)
+        U = Zr.T * inv[:, None]
+        g0 = np.einsum("grt,t,gkt->gkr", U, c, m)
+        b0 = (D @ g0[..., None])[..., 0]
+        const = const + np.log(np.linalg.det(M)) - (g0 * b0).sum(-1)
+        linear = mi - b0 @ U
+        if shared:
+            ll += 0.5 * np.einsum("gij,gji->g", D[:, 0], U @ (y * weight) @ y.T @ np.swapaxes(U, 1, 2))
+    density = np.concatenate([linear, (np.log(pi) - 0.5 * const)[..., None]], axis=-1)
+    sums, mixed, half = np.zeros((G, K, 2 * w + 1)), np.zeros((G, K, r, w + 1)), np.zeros((G, K, r, r))
+    cols = min(n, 2_048)
+    rows = max(1, TILE // (K * cols))
+    for at in range(0, G, rows):
+        g = slice(at, min(at + rows, G))
+        size = g.stop - at
+        for lo in range(0, n, cols):
+            x, wt = one[:, lo:lo + cols], weight[lo:lo + cols]
+            lp = (density[g].reshape(-1, w + 1) @ x).reshape(size, K, -1)
+            if r:
+                u = (U[g].reshape(-1, w) @ x[:w]).reshape(size, 1, r, -1)
+                h = D[g] @ u if r > 1 else D[g] * u                # (groups, 1 or K, r, n)
+                if not shared:
+                    lp += 0.5 * (u * h).sum(2)
+            post, top, total = _posteriors(lp)
+            if plain and not scores and K <= 16:
+                ll[g] += top.sum(1) + _sum_of_logs(total)
+            else:
+                log_total = np.log(total)
+                ll[g] += (top + log_total) @ wt
+            if scores:
+                # ln post = lp - top - ln total; where post is 0 (below -800) the term is 0
+                entropy[g] += log_total @ wt - np.einsum("gkn,gkn,n->g", post, np.maximum(lp - top[:, None], -800.0), wt)
+                likely = post.argmax(1)
+                for k in range(K):
+                    out[g, k, 3 * W + 10] += (likely == k) @ wt
+            if not plain:
+                post *= wt
+            sums[g] += (post.reshape(size * K, -1) @ values[:, lo:lo + cols].T).reshape(size, K, -1)
+            if r:
+                ph = post[:, :, None] * h
+                mixed[g] += (ph.reshape(size * K * r, -1) @ x.T).reshape(size, K, r, -1)
+                for i in range(r):
+                    for l in range(i, r):
+                        half[g, :, i, l] += np.einsum("gkn,gkn->gk", ph[:, :, i], np.broadcast_to(h[:, :, l], post.shape))
+    mass = sums[..., w]
+    sy, syy = sums[..., :w], sums[..., w + 1:]
+    if r:
+        half = np.triu(half) + np.swapaxes(np.triu(half, 1), -1, -2)
+        cross = b0[..., :, None] * mixed[..., None, :, w]
+        C = half - cross - np.swapaxes(cross, -1, -2) + mass[..., None, None] * (b0[..., :, None] * b0[..., None, :] + D)
+        mixed = mixed - b0[..., None] * sums[..., None, :w + 1]
+        sy = sy - c * (mixed[..., w] @ Zr.T)
+        syy = syy + c * np.einsum("ti,gkij,tj->gkt", Zr, C, Zr) - 2.0 * np.einsum("ti,gkit->gkt", Zr, mixed[..., :w])
+        out[..., (3 * W + 3 * free[:, None] + free[None]).ravel()] += C.reshape(G, K, r * r)
+    sw = mass[..., None] * c
+    out[..., seen] += sw
+    out[..., W + seen] += sy + centre * sw
+    out[..., 2 * W + seen] += syy + 2.0 * centre * sy + centre ** 2 * sw
+    out[..., 3 * W + 9] += mass
+
+
 def estep_batch(Y: np.ndarray, Z: np.ndarray, a: np.ndarray, th: np.ndarray, psi: np.ndarray,
                 lnpi: np.ndarray, patterns: tuple | None = None):
     """Closed-form E step for a batch of subjects and one group.
@@ -390,20 +541,55 @@ def _slots(W: int) -> dict[str, slice]:
             "sbb": slice(3 * W, 3 * W + 9), "sp": slice(3 * W + 9, 3 * W + 10), "ll": slice(3 * W + 10, 3 * W + 11)}
 
 
+BLOCK_CELLS = 1_000_000      # cells of a block after which it takes no more batches
+PART_CELLS = 16_000_000     # cells of a partition of blocks, at most
 FEW_PARTS = 16              # partial sums of up to this many partitions are added on the driver
 
 
 class Prepared(NamedTuple):
-    """The EM input: a cached table and its number of partitions."""
+    """The EM input: a wide table, its number of partitions, and its cached blocks if they are laid out already."""
     table: DataFrame
     parts: int
+    blocks: DataFrame | None = None
+
+
+BLOCK_SCHEMA = "block binary"
+
+
+def wide_blocks(table: DataFrame, ycols: Sequence[str]) -> DataFrame:
+    """Rows of outcome columns laid out once for all passes, in blocks of about BLOCK_CELLS (see ``read_block``)."""
+    from trajectra.session import ship_package
+    ship_package(table.sparkSession)
+    cols = list(ycols)
+
+    def run(batches):
+        kept, cells = [], 0
+        for pdf in itertools.chain(batches, [None]):
+            if kept and (pdf is None or cells >= BLOCK_CELLS):
+                yield pd.DataFrame({"block": [written_block(wide_block(np.concatenate(kept)))]})
+                kept, cells = [], 0
+            if pdf is not None and len(pdf):
+                kept.append(pdf[cols].to_numpy(dtype=float, na_value=np.nan))
+                cells += kept[-1].size
+
+    return table.select(*cols).mapInPandas(run, BLOCK_SCHEMA)
+
+
+def written_block(v: Block) -> bytes:
+    """A block as bytes; squares of single values are left out."""
+    return pickle.dumps(tuple(v._replace(yy=v.yy if v.O.max(initial=0.0) > 1 else None)), protocol=5)
+
+
+def read_block(x: bytes) -> Block:
+    v = Block(*pickle.loads(x))
+    return v if v.yy is not None else v._replace(yy=v.y * v.y)
 
 
 def em_pass(panel: Prepared, ycols: Sequence[str], times: Sequence[float], params: list[dict]) -> dict:
     """One EM pass over the panel for all groups: returns summed M-step statistics.
 
     ``mapInPandas`` runs the closed-form E step vectorised over each Arrow batch
-    for every group and class and emits the partition's sums.  A few partitions send
+    for every group and class at once and emits the partition's sums.  A few partitions send
     theirs to the driver; the sums of many are first added up in Spark by (group,
     class, slot), so the driver receives a fixed groups x classes x (3W + 11) numbers.
     """
@@ -412,27 +598,23 @@ def em_pass(panel: Prepared, ycols: Sequence[str], times: Sequence[float], param
     Z = design(times)
     P = _pack(params)
     G, K = P["a"].shape[0], P["a"].shape[1]
-    cols = list(ycols)
-    W = len(cols)
+    W = len(ycols)
     sl = _slots(W)
     few = panel.parts <= FEW_PARTS
 
     def run(batches):
         acc = np.zeros((G, K, 3 * W + 11))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            v = wide_block(pdf[cols].to_numpy(dtype=float, na_value=np.nan))
-            for gi in range(G):
-                sums, ll, _ = block_sums(v, Z, P["a"][gi], P["th"][gi], P["psi"][gi], P["pi"][gi])
-                acc[gi, :, :sl["sp"].stop] += sums[:, :sl["sp"].stop]
-                acc[gi, 0, sl["ll"]] += ll
+            for x in pdf["block"]:
+                sums, ll, _ = grid_sums(read_block(x), Z, P["a"], P["th"], P["psi"], P["pi"], scores=False)
+                acc[:, :, :sl["sp"].stop] += sums[:, :, :sl["sp"].stop]
+                acc[:, 0, sl["ll"]] += ll[:, None]
         if few:
             yield pd.DataFrame({"sums": [acc.tobytes()]})
         else:
             yield pd.DataFrame({"cell": np.arange(acc.size), "value": acc.ravel()})
 
-    rows = panel.table.select(*cols)
+    rows = panel.blocks if panel.blocks is not None else wide_blocks(panel.table, ycols)
     if few:
         vecs = sum(np.frombuffer(r["sums"]) for r in rows.mapInPandas(run, "sums binary").collect())
     else:
@@ -738,11 +920,12 @@ def prepare_panel(wide: DataFrame, ycols: Sequence[str], subject: str = "subject
     (lineage cut; lost executors re-read it rather than recompute the shuffle)
     and cached for the many passes.  A small panel is spread over few partitions, as
     a pass over it is mostly task overhead; a large one over all the cluster's cores
-    and more, so that a partition stays small.  Subjects without any value take no part."""
+    and more, so that a partition stays small.  Subjects without any value take no part.
+    Blocks of subjects, not their columns, are cached: the passes read nothing else."""
     table = stage(with_values(wide, ycols).select(subject, *ycols), "panel")
     rows = table.count()
-    parts = max(1, min(wide.sparkSession.sparkContext.defaultParallelism, rows // 2_000), rows // 500_000)
-    return Prepared(table.repartition(parts).persist(), parts)
+    parts = max(1, min(wide.sparkSession.sparkContext.defaultParallelism, rows // 2_000), rows // 500_000, rows * len(ycols) // PART_CELLS)
+    return Prepared(table, parts, wide_blocks(table.repartition(parts), ycols).persist())
 
 
 def _structure(restriction: str | None, factors: Sequence[int]):
@@ -765,7 +948,7 @@ def em_steps(wide: DataFrame, ycols: Sequence[str], restriction: str | None, sta
         params = [mstep(s, g, params[g], design(times), factors, free_re, per_class, shared_residual)
                   for g in range(len(params))]
         ll = s["ll"]
-    panel.table.unpersist()
+    panel.blocks.unpersist()
     return params, ll
 
 
@@ -796,7 +979,7 @@ def fit_em(wide: DataFrame, ycols: Sequence[str], K: int, restriction: str | Non
         return new, s["ll"]
 
     out = drive(starts_search(params, K, len(ycols), factors, free_re, keep, stage1_iter, max_iter, tol), step)
-    panel.table.unpersist()
+    panel.blocks.unpersist()
     return out
 
 

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectra.operators.fit import (FEW_PARTS, LN2PI, RESTRICTION_SPEC, Block, block_of, block_sums, count_parameters, design, mstep,
-                                     starts_search)
+from trajectra.operators.fit import (FEW_PARTS, LN2PI, PART_CELLS, RESTRICTION_SPEC, Block, block_of, count_parameters, design, grid_sums,
+                                     mstep, read_block, starts_search, written_block)
 from trajectra.operators.joins import checked_broadcast
 from trajectra.session import ship_package, stage
 
@@ -97,9 +97,11 @@ def panels_of(rows: DataFrame) -> Panels:
         mu[g["t"]] = g["s1"] / g["n"]
         v[g["t"]] = np.maximum(g["s2"] / g["n"] - (g["s1"] / g["n"]) ** 2, 0.0)
         mean[o], var[o] = mu, v
-    counts = table.groupBy("outcome").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    counts = table.groupBy("outcome").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(F.size("t")).alias("values")).collect()
     rows_in_all = sum(r["rows"] for r in counts)
-    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows_in_all // 1_000), rows_in_all // 500_000)
+    # a block has up to DENSE cells a value
+    values = sum(r["values"] for r in counts)
+    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows_in_all // 1_000), rows_in_all // 500_000, values * DENSE // PART_CELLS)
     # in order, so that a batch of a pass holds many subjects of few outcomes
     return Panels(table.repartition(parts).sortWithinPartitions("outcome").persist(), parts, mean, var, {r["outcome"]: int(round(r["n"])) for r in counts})
 
@@ -153,6 +155,7 @@ def start_at(unit: Unit, m: Model, w: int, base: float, sd: float) -> dict:
 
 DENSE = 4                   # cells of a block per value, at most, before subjects are split by their last wave
 BLOCK_CELLS = 4_000_000
+BLOCK_VALUES = 500_000      # values after which a staged block takes no more batches
 
 
 @dataclass(frozen=True)
@@ -250,16 +253,29 @@ def _spread(D: np.ndarray, v: Flat) -> np.ndarray:
 
 def em_sums(v: Flat, p: dict) -> np.ndarray:
     """Sums for the M step and the scores, flat: per class sw, sy, syy (W each), sbb (9), sp, most likely; then ll and entropy sum."""
-    K, W = len(p["pi"]), len(p["th"])
-    out, ll, entropy = np.zeros((K, 3 * W + 11)), 0.0, 0.0
-    for block in v.blocks:
-        w = block.y.shape[0]
-        x, x_ll, x_entropy = block_sums(block, design(range(w)), p["a"], p["th"][:w], p["psi"], p["pi"])
-        for i in range(3):
-            out[:, i * W:i * W + w] += x[:, i * w:(i + 1) * w]
-        out[:, 3 * W:] += x[:, 3 * w:]
-        ll, entropy = ll + x_ll, entropy + x_entropy
-    return np.concatenate([out.ravel(), [ll, entropy]])
+    return em_sums_of(v.blocks, [p])[0]
+
+
+def em_sums_of(blocks: Sequence[Block], params: Sequence[dict], scores: bool = True) -> list[np.ndarray]:
+    """``em_sums`` of blocks for many parameter sets of one outcome; those with as many classes and the same random effects at once."""
+    alike: dict[tuple, list[int]] = {}
+    for i, p in enumerate(params):
+        alike.setdefault((len(p["pi"]), *p["psi"].any(axis=(0, 1))), []).append(i)
+    found: list = [None] * len(params)
+    for at in alike.values():
+        a, th, psi, pi = (np.stack([params[i][x] for i in at]) for x in ("a", "th", "psi", "pi"))
+        (G, K), W = pi.shape, th.shape[1]
+        out, ll, entropy = np.zeros((G, K, 3 * W + 11)), np.zeros(G), np.zeros(G)
+        for block in blocks:
+            w = block.y.shape[0]
+            x, x_ll, x_entropy = grid_sums(block, design(range(w)), a, th[:, :w], psi, pi, scores)
+            for i in range(3):
+                out[:, :, i * W:i * W + w] += x[:, :, i * w:(i + 1) * w]
+            out[:, :, 3 * W:] += x[:, :, 3 * w:]
+            ll, entropy = ll + x_ll, entropy + x_entropy
+        for g, i in enumerate(at):
+            found[i] = np.concatenate([out[g].ravel(), [ll[g], entropy[g]]])
+    return found
 
 
 def _unpacked(x: np.ndarray, K: int, W: int) -> dict:
@@ -272,16 +288,37 @@ def _unpacked(x: np.ndarray, K: int, W: int) -> dict:
 
 # ----------------------------------------------------------------- passes
 
-def grid_pass(panels: Panels, asked: Sequence[tuple[str, dict]], kernel: Callable[[Flat, dict], np.ndarray] = em_sums) -> list[np.ndarray]:
-    """``kernel`` summed over all subjects for each (outcome, parameters) of ``asked``, in one pass over the panels.
+def _by_outcome(asked: Sequence[tuple[str, dict]]) -> dict[str, list[int]]:
+    by: dict[str, list[int]] = {}
+    for i, (o, _) in enumerate(asked):
+        by.setdefault(o, []).append(i)
+    return by
+
+
+def _added(panels: Panels, table: DataFrame, run, n: int, outcomes: Sequence[str]) -> list[np.ndarray]:
+    """The sums (at, sums) that ``run`` makes of a table's partitions, added for each of n questions about ``outcomes``.
 
     A partition sends the sums of what it has met; those of many partitions are added
     up in Spark, so the driver receives a fixed number of values per question.
     """
+    wanted = table.where(F.col("outcome").isin(sorted(outcomes))) if len(outcomes) < min(len(panels.n), 100) else table
+    sums = wanted.mapInPandas(run, "at int, sums array<double>")
+    out: list = [0.0] * n
+    if panels.parts <= FEW_PARTS:
+        for r in sums.collect():
+            out[r["at"]] = out[r["at"]] + np.array(r["sums"])
+    else:
+        added = sums.select("at", F.posexplode("sums").alias("i", "x")).groupBy("at", "i").agg(F.sum("x").alias("x"))
+        whole = added.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("at", F.col("v.x").alias("x"))
+        for r in whole.collect():
+            out[r["at"]] = np.array(r["x"])
+    return out
+
+
+def grid_pass(panels: Panels, asked: Sequence[tuple[str, dict]], kernel: Callable[[Flat, dict], np.ndarray] = em_sums) -> list[np.ndarray]:
+    """``kernel`` summed over all subjects for each (outcome, parameters) of ``asked``, in one pass over the panels."""
     ship_package(panels.table.sparkSession)
-    by_outcome: dict[str, list[int]] = {}
-    for i, (o, _) in enumerate(asked):
-        by_outcome.setdefault(o, []).append(i)
+    by_outcome = _by_outcome(asked)
     params = [p for _, p in asked]
 
     def run(batches):
@@ -295,18 +332,48 @@ def grid_pass(panels: Panels, asked: Sequence[tuple[str, dict]], kernel: Callabl
                         found[i] = found[i] + x if i in found else x
         yield pd.DataFrame({"at": list(found), "sums": [x.tolist() for x in found.values()]})
 
-    wanted = panels.table.where(F.col("outcome").isin(sorted(by_outcome))) if len(by_outcome) < min(len(panels.n), 100) else panels.table
-    sums = wanted.mapInPandas(run, "at int, sums array<double>")
-    out: list = [0.0] * len(asked)
-    if panels.parts <= FEW_PARTS:
-        for r in sums.collect():
-            out[r["at"]] = out[r["at"]] + np.array(r["sums"])
-    else:
-        added = sums.select("at", F.posexplode("sums").alias("i", "x")).groupBy("at", "i").agg(F.sum("x").alias("x"))
-        whole = added.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("at", F.col("v.x").alias("x"))
-        for r in whole.collect():
-            out[r["at"]] = np.array(r["x"])
-    return out
+    return _added(panels, panels.table, run, len(asked), by_outcome)
+
+
+def panel_blocks(panels: Panels) -> DataFrame:
+    """(outcome, block): the subjects laid out in blocks once, cached for all EM passes of a search."""
+    ship_package(panels.table.sparkSession)
+
+    def written(o, parts):
+        part = pd.concat(parts)
+        for v in flatten(part["t"], part["y"], part["weight"]).blocks:
+            yield pd.DataFrame({"outcome": [o], "block": [written_block(v)]})
+
+    def run(batches):
+        # rows come in the order of their outcomes
+        kept, values, last = [], 0, None
+        for o, part in (x for pdf in batches for x in pdf.groupby("outcome")):
+            if kept and (o != last or values >= BLOCK_VALUES):
+                yield from written(last, kept)
+                kept, values = [], 0
+            kept.append(part)
+            values, last = values + part["t"].map(len).sum(), o
+        if kept:
+            yield from written(last, kept)
+
+    return panels.table.mapInPandas(run, "outcome string, block binary").persist()
+
+
+def em_pass(panels: Panels, blocks: DataFrame, asked: Sequence[tuple[str, dict]], scores: bool = True) -> list[np.ndarray]:
+    """``em_sums`` over all subjects for each (outcome, parameters) of ``asked``, in one pass over ``panel_blocks``."""
+    by_outcome = _by_outcome(asked)
+    params = [p for _, p in asked]
+
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for o, block in zip(pdf["outcome"], pdf["block"]):
+                at = by_outcome.get(o, [])
+                for i, x in zip(at, em_sums_of([read_block(block)], [params[i] for i in at], scores)):
+                    found[i] = found[i] + x if i in found else x
+        yield pd.DataFrame({"at": list(found), "sums": [x.tolist() for x in found.values()]})
+
+    return _added(panels, blocks, run, len(asked), by_outcome)
 
 
 def _moved(m: Model, p: dict, s: dict, W: int) -> dict:
@@ -314,10 +381,11 @@ def _moved(m: Model, p: dict, s: dict, W: int) -> dict:
     return mstep(s, 0, p, design(range(W)), m.factors, m.random, m.per_class, m.shared_residual) if np.isfinite(s["ll"]) else p
 
 
-def _em_map(panels: Panels, asked: Sequence[tuple[Model, list[dict]]]) -> list[tuple[list[dict], np.ndarray, list[dict]]]:
+def _em_map(panels: Panels, blocks: DataFrame, asked: Sequence[tuple[Model, list[dict]]], scores: bool = True
+            ) -> list[tuple[list[dict], np.ndarray, list[dict]]]:
     """EM step of every parameter set of every model, in one pass: (new sets, their likelihoods, the sums) per model."""
     flat = [(m.outcome, p) for m, ps in asked for p in ps]
-    sums = iter(grid_pass(panels, flat))
+    sums = iter(em_pass(panels, blocks, flat, scores))
     out = []
     for m, ps in asked:
         W = panels.waves(m.outcome)
@@ -343,15 +411,17 @@ def fit_grid(panels: Panels, models: Sequence[Model], n_starts: int = 100, keep:
         searches[m] = starts_search([scaled_start(u, panels, m) for u in units[m]], m.classes, panels.waves(m.outcome), m.factors,
                                     m.random, keep, stage1_iter, max_iter, tol)
         asks[m] = next(searches[m])
+    blocks = panel_blocks(panels)
     while asks:
         order = list(asks)
-        for m, (new, ll, _) in zip(order, _em_map(panels, [(m, asks[m]) for m in order])):
+        for m, (new, ll, _) in zip(order, _em_map(panels, blocks, [(m, asks[m]) for m in order], scores=False)):
             try:
                 asks[m] = searches[m].send((new, ll))
             except StopIteration as end:
                 done[m] = end.value
                 del asks[m]
-    last = _em_map(panels, [(m, [done[m]["params"]]) for m in models])
+    last = _em_map(panels, blocks, [(m, [done[m]["params"]]) for m in models])
+    blocks.unpersist()
     return [_result(m, panels.n[m.outcome], panels.waves(m.outcome), done[m]["params"], got[0], done[m]["start_lls"], [units[m][i] for i in done[m]["kept"]], done[m]["kept"],
                     converged=done[m]["converged"]) for m, (_, _, got) in zip(models, last)]
 
@@ -360,11 +430,13 @@ def grid_steps(panels: Panels, models: Sequence[Model], steps: int, n_starts: in
     """Results of a fixed number of passes: ``steps`` - 1 EM steps of every start, then the likelihoods and scores there."""
     units = {m: unit_starts(m.classes, n_starts, seed) for m in models}
     asked = [(m, [scaled_start(u, panels, m) for u in units[m]]) for m in models]
+    blocks = panel_blocks(panels)
     for _ in range(steps - 1):
-        asked = [(m, new) for (m, _), (new, _, _) in zip(asked, _em_map(panels, asked))]
+        asked = [(m, new) for (m, _), (new, _, _) in zip(asked, _em_map(panels, blocks, asked, scores=False))]
     out = []
-    for (m, ps), (_, ll, got) in zip(asked, _em_map(panels, asked)):
+    for (m, ps), (_, ll, got) in zip(asked, _em_map(panels, blocks, asked)):
         out.append(_best_start(m, panels.n[m.outcome], panels.waves(m.outcome), ps, got, units[m]))
+    blocks.unpersist()
     return out
 
 
@@ -496,7 +568,7 @@ def grid_steps_table(panel: DataFrame, specs: DataFrame, steps: int, n_starts: i
         if not len(part) or not len(asked):
             return pd.DataFrame({"outcome": [], "at": [], "sums": []})
         v = flatten(part["t"], part["y"], part["weight"])
-        found = [em_sums(v, _unflat_set(x, K)) for x, K in zip(asked["sets"].iloc[0], classes)]
+        found = em_sums_of(v.blocks, [_unflat_set(x, K) for x, K in zip(asked["sets"].iloc[0], classes)])
         return pd.DataFrame({"outcome": [key[0]], "at": [key[1]], "sums": [np.concatenate(found)]})
 
     def added(key, part):
