@@ -1,5 +1,6 @@
 """Sums of blocks of subjects against each subject's own, and grids whose parameters stay in Spark."""
 
+import os
 import time
 
 import numpy as np
@@ -10,6 +11,8 @@ from tests.conftest import PANEL_WAVES
 from trajectra.operators import fit as FT
 from trajectra.operators import grid_fit as GF
 from trajectra.plans import q_grid as QG
+from trajectra.plans import q_scan as QS
+from trajectra.sources import reports as RP
 
 W = PANEL_WAVES
 PSI = {"none": np.zeros((2, 3, 3)), "shared": np.tile(np.diag([3.0, 0.4, 0.0]), (2, 1, 1)),
@@ -162,3 +165,13 @@ def test_subjects_are_laid_out_once_for_all_passes(spark, panel, wide_panel, mon
     asked = [("one", p), ("few1", p), ("one", p)]
     for x, y in zip(GF.em_pass(panels, GF.panel_blocks(panels), asked), GF.grid_pass(panels, asked), strict=True):
         assert np.allclose(x, y)
+
+
+def test_report_folders_stand_on_a_fixed_number_of_shelves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(QS, "SHELVES", 5)
+    rows = spark.range(40).select(F.concat(F.lit("m "), F.col("id").cast("string")).alias("report"), F.concat(F.lit("a\nb "), F.col("id")).alias("value"))
+    path = f"{tmp_path}/reports"
+    QS.report_writer(rows).text(path)
+    assert len([x for x in os.listdir(path) if "=" in x]) <= 5
+    lines = RP.scan_reports(spark, path, "*.txt").withColumn("path", F.regexp_extract("path", r"report=([^/]+)/", 1)).where("line_no = 2")
+    assert {(r["path"], r["line"]) for r in lines.collect()} == {(f"m {i}", f"b {i}") for i in range(40)}

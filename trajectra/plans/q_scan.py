@@ -23,6 +23,7 @@ from trajectra.session import ensure_checkpoint_dir, stage
 from trajectra.sources import reports as RP
 
 COHORT = 50                        # users of a cohort
+SHELVES = 200                      # folders that hold the reports' folders
 LISTS = dict(classes=(1, 2, 3), restrictions=("iq@0", "sq@0"), rules=(True,))
 STEPS, STARTS = 3, 3
 # fixed values: messages of the reports, and how the counts' headings end
@@ -90,9 +91,12 @@ def report_rows(spark, sf):
 
 
 def report_writer(rows):
-    """A writer of report rows, one file each: spread over every core and more, as few bytes are many files, and put in place by the tasks."""
-    spread = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "report")
-    return spread.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("report")
+    """A writer of report rows, one file each: spread over every core and more, as few bytes are many files, and put in place by the tasks.
+
+    Their folders stand on ``SHELVES`` folders, so that a listing is a fixed number of tasks, not one for each report.
+    """
+    spread = rows.withColumn("shelf", F.pmod(F.xxhash64("report"), F.lit(SHELVES))).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "report")
+    return spread.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shelf", "report")
 
 
 def scanned(spark, sf, sections: bool = True):
