@@ -175,3 +175,12 @@ def test_report_folders_stand_on_a_fixed_number_of_shelves(spark, tmp_path, monk
     assert len([x for x in os.listdir(path) if "=" in x]) <= 5
     lines = RP.scan_reports(spark, path, "*.txt").withColumn("path", F.regexp_extract("path", r"report=([^/]+)/", 1)).where("line_no = 2")
     assert {(r["path"], r["line"]) for r in lines.collect()} == {(f"m {i}", f"b {i}") for i in range(40)}
+
+
+def test_subject_rows_are_made_in_tasks_of_bounded_size(panel, monkeypatch):
+    want = {(r["outcome"], r["subject"]): (r["t"], r["y"]) for r in GF.subject_rows(panel).collect()}
+    monkeypatch.setattr(GF, "GROUP_VALUES", 50)
+    rows = GF.subject_rows(panel)
+    values = panel.where("y IS NOT NULL AND wave IS NOT NULL AND outcome IS NOT NULL").count()
+    assert rows.rdd.getNumPartitions() == values // 50 > 8
+    assert {(r["outcome"], r["subject"]): (r["t"], r["y"]) for r in rows.collect()} == want

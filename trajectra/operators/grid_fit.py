@@ -48,6 +48,9 @@ class Model(NamedTuple):
         return False if self.restriction is None else RESTRICTION_SPEC[self.restriction][1]
 
 
+GROUP_VALUES = 100_000      # values a task of ``subject_rows`` takes in
+
+
 class Panels(NamedTuple):
     """Staged panels: table (outcome, subject, t, y, weight), its partitions, and per outcome the mean and variance of each wave and n."""
     table: DataFrame
@@ -77,7 +80,10 @@ def subject_rows(panel: DataFrame, outcome: str = "outcome", subject: str = "sub
     rows = panel.where(F.col(y).isNotNull() & F.col(wave).isNotNull() & F.col(outcome).isNotNull())
     rows = rows.select(F.col(outcome).cast("string").alias("outcome"), F.col(subject).alias("subject"),
                        F.struct(F.col(wave).cast("int").alias("t"), F.col(y).cast("double").alias("y")).alias("v"))
-    rows = rows.groupBy("outcome", "subject").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    # set by hand, as a task holds many times the bytes that its exchange counts
+    values = rows.count()
+    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, values // 2_000), values // GROUP_VALUES)
+    rows = rows.repartition(parts, "outcome", "subject").groupBy("outcome", "subject").agg(F.sort_array(F.collect_list("v")).alias("v"))
     rows = rows.select("outcome", F.col("subject").cast("string").alias("subject"), F.col("v.t").alias("t"), F.col("v.y").alias("y"))
     if collapse:
         return rows.groupBy("outcome", "t", "y").agg(F.min("subject").alias("subject"), F.count(F.lit(1)).cast("double").alias("weight"))
