@@ -184,3 +184,14 @@ def test_subject_rows_are_made_in_tasks_of_bounded_size(panel, monkeypatch):
     values = panel.where("y IS NOT NULL AND wave IS NOT NULL AND outcome IS NOT NULL").count()
     assert rows.rdd.getNumPartitions() == values // 50 > 8
     assert {(r["outcome"], r["subject"]): (r["t"], r["y"]) for r in rows.collect()} == want
+
+
+def test_blocks_leave_out_what_was_not_observed():
+    rows, _ = made(2_000)
+    rows[:, 4:] = np.nan
+    rows[:5, 4:] = 500.0
+    for block in (FT.wide_block(rows), FT.wide_block(rows)._replace(weight=np.full(2_000, 2.0))):
+        written = FT.written_block(block)
+        assert len(written) < 0.6 * (block.y.nbytes + block.weight.nbytes)
+        for x, y in zip(FT.read_block(written), block, strict=True):
+            assert np.array_equal(x, y)

@@ -34,6 +34,7 @@ def simulated(panels: Panels, fits: Sequence[dict], draws: int, seed: int) -> Da
     """
     ship_package(panels.table.sparkSession)
     params = {f["model"].outcome: f["params"] for f in fits}
+    upto = {o: np.cumsum(p["pi"]) / np.cumsum(p["pi"])[-1] for o, p in params.items()}
     roots = {o: [np.linalg.cholesky(c + 1e-12 * np.eye(3)) if c.any() else np.zeros((3, 3)) for c in p["psi"]] for o, p in params.items()}
 
     def run(batches):
@@ -47,7 +48,7 @@ def simulated(panels: Panels, fits: Sequence[dict], draws: int, seed: int) -> Da
                     key = zlib.crc32(f"{o}\x00{subject}".encode())
                     for d in range(draws):
                         rng = np.random.default_rng([seed, d, key])
-                        k = rng.choice(len(p["pi"]), p=p["pi"])
+                        k = upto[o].searchsorted(rng.random(), side="right")         # as rng.choice draws
                         effects = p["a"][k] + roots[o][k] @ rng.standard_normal(3)
                         y = z @ effects + np.sqrt(p["th"][t]) * rng.standard_normal(len(t))
                         out.append((draw_name(o, d), subject, t, y, 1.0))

@@ -415,7 +415,7 @@ def _add_pattern(v: Block, j: int, of: slice, Z: np.ndarray, a: np.ndarray, th:
         if shared:
             ll += 0.5 * np.einsum("gij,gji->g", D[:, 0], U @ (y * weight) @ y.T @ np.swapaxes(U, 1, 2))
     density = np.concatenate([linear, (np.log(pi) - 0.5 * const)[..., None]], axis=-1)
-    sums, mixed, half = np.zeros((G, K, 2 * w + 1)), np.zeros((G, K, r, w + 1)), np.zeros((G, K, r, r))
+    sums, mixed = np.zeros((G, K, 2 * w + 1)), np.zeros((G, K, r, w + 1))
     cols = min(n, 2_048)
     rows = max(1, TILE // (K * cols))
     for at in range(0, G, rows):
@@ -447,13 +447,12 @@ def _add_pattern(v: Block, j: int, of: slice, Z: np.ndarray, a: np.ndarray, th:
             if r:
                 ph = post[:, :, None] * h
                 mixed[g] += (ph.reshape(size * K * r, -1) @ x.T).reshape(size, K, r, -1)
-                for i in range(r):
-                    for l in range(i, r):
-                        half[g, :, i, l] += np.einsum("gkn,gkn->gk", ph[:, :, i], np.broadcast_to(h[:, :, l], post.shape))
     mass = sums[..., w]
     sy, syy = sums[..., :w], sums[..., w + 1:]
     if r:
-        half = np.triu(half) + np.swapaxes(np.triu(half, 1), -1, -2)
+        # an effect is linear in y, so the sums of their products come from those of effects and values
+        half = mixed[..., :w] @ np.swapaxes(D @ U[:, None], -1, -2)
+        half = 0.5 * (half + np.swapaxes(half, -1, -2))
         cross = b0[..., :, None] * mixed[..., None, :, w]
         C = half - cross - np.swapaxes(cross, -1, -2) + mass[..., None, None] * (b0[..., :, None] * b0[..., None, :] + D)
         mixed = mixed - b0[..., None] * sums[..., None, :w + 1]
@@ -576,13 +575,31 @@ def wide_blocks(table: DataFrame, ycols: Sequence[str]) -> DataFrame:
 
 
 def written_block(v: Block) -> bytes:
-    """A block as bytes; squares of single values are left out."""
-    return pickle.dumps(tuple(v._replace(yy=v.yy if v.O.max(initial=0.0) > 1 else None)), protocol=5)
+    """A block as bytes, pattern by pattern: cells without a value, and squares of single values, are left out."""
+    seen = lambda x: np.concatenate([x[v.O[j] > 0, of].ravel() for j, of in enumerate(_of_patterns(v))] or [x.ravel()])
+    return pickle.dumps(tuple(v._replace(y=seen(v.y), yy=seen(v.yy) if v.O.max(initial=0.0) > 1 else None, at=None)), protocol=5)
 
 
 def read_block(x: bytes) -> Block:
     v = Block(*pickle.loads(x))
-    return v if v.yy is not None else v._replace(yy=v.y * v.y)
+    v = v._replace(at=np.repeat(np.arange(len(v.O)), np.diff(np.append(v.first, len(v.weight)))))
+
+    def whole(values):
+        out, lo = np.zeros((v.O.shape[1], len(v.weight))), 0
+        for j, of in enumerate(_of_patterns(v)):
+            waves = np.flatnonzero(v.O[j])
+            hi = lo + len(waves) * (of.stop - of.start)
+            out[waves, of] = values[lo:hi].reshape(len(waves), of.stop - of.start)
+            lo = hi
+        return out
+
+    y = whole(v.y)
+    return v._replace(y=y, yy=y * y if v.yy is None else whole(v.yy))
+
+
+def _of_patterns(v: Block) -> list[slice]:
+    """The subjects of each pattern."""
+    return [slice(lo, hi) for lo, hi in zip(v.first, [*v.first[1:], len(v.weight)])]
 
 
 def em_pass(panel: Prepared, ycols: Sequence[str], times: Sequence[float], params: list[dict]) -> dict:
