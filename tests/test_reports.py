@@ -106,6 +106,16 @@ def test_step_gap(lines):
     assert g["gap"] == pytest.approx(-949.75)
 
 
+def test_fit_table_reads_its_reports_once(spark, tmp_path):
+    """The table's plan holds no scan of the files (one per fact, count and message rule before); of a repeated fact the first line counts."""
+    text = "\n".join(["MODEL FIT INFORMATION", "Number of Free Parameters 7", "          H0 Value -10.500", "          H0 Value -99.500"])
+    (tmp_path / "abc-lcga2 - a model - sq@0 -2 classes.out").write_text(text)
+    t = RP.report_fit_table(RP.scan_sections(spark, str(tmp_path)))
+    assert "FileScan text" not in t._jdf.queryExecution().toString()
+    row = t.first()
+    assert (row["Parameters"], row["LL"]) == (7, -10.5)
+
+
 def test_incremental_fit_table(spark, tmp_path):
     """A second run reads nothing, a changed report changes its row only, a new one adds its row."""
     import shutil

@@ -67,10 +67,11 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = No
 
 
 def facts_to_rows(facts: DataFrame, key: str, name: str, value: str,
-                  targets: Sequence[str]) -> DataFrame:
-    """Long name/value facts -> one row per key with a fixed column list (V2)."""
+                  targets: Sequence[str], order: str | None = None) -> DataFrame:
+    """Long name/value facts -> one row per key with a fixed column list (V2); of a repeated fact the first by ``order``."""
+    one = F.first(value) if order is None else F.min_by(value, order)
     return (facts.where(F.col(name).isin(list(targets)))
-            .groupBy(key).pivot(name, list(targets)).agg(F.first(value)))
+            .groupBy(key).pivot(name, list(targets)).agg(one))
 
 
 # --------------------------------------------------------------------------- P*

@@ -277,5 +277,6 @@ SELECT t.path, t.outcome, t.restriction, t.n_classes, t.km1, p.ll AS ll_prev_own
 FROM tab t LEFT JOIN tab p ON p.outcome = t.outcome AND p.restriction = t.restriction AND p.n_classes = t.n_classes - 1""")
 def c10_step_gap(spark, sf):
     """The log-likelihood of one class less that each report's class-count test prints, against that model's own best one."""
-    t = CM.step_gap(RP.report_fit_table(scanned(spark, sf)), ["outcome", "restriction"])
+    # both sides of the step are this table
+    t = CM.step_gap(stage(RP.report_fit_table(scanned(spark, sf)), "fit-table"), ["outcome", "restriction"])
     return t.select("path", "outcome", "restriction", "n_classes", F.col("T11_KM1LL").alias("km1"), "ll_prev_own", F.round("gap", 4).alias("gap"))

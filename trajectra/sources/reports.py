@@ -282,14 +282,16 @@ def report_fit_table(lines: DataFrame, targets: Sequence[str] = FIT_TARGETS, mod
     most-likely class counts and shares as text (S7 + A1, in class order) and its
     relevant messages collapsed in line order (S8 + A1; NULL when there are none).
 
-    Every input is a per-report aggregate, so each join is one row per report.
+    Every input is a per-report aggregate, so each join is one row per report.  The
+    lines are staged with their sections, so every report is read and parsed once.
     ``model_id``: where the model id stands, if not at the end of path.
     """
     from trajectra.functions.columns import parse_model_id
     from trajectra.operators.compare import collapse_text
     from trajectra.operators.panel import cast_numeric, facts_to_rows
 
-    facts = facts_to_rows(extract_facts(lines), "path", "name", "value", list(targets))
+    lines = stage(with_sections(lines).select("path", "line_no", "line", "section"), "report-lines")
+    facts = facts_to_rows(extract_facts(lines), "path", "name", "value", list(targets), "line_no")
     facts = cast_numeric(facts, [t for t in targets if t not in _INT_TARGETS])
     facts = cast_numeric(facts, [t for t in targets if t in _INT_TARGETS], "int")
     parts = parse_model_id(F.col("path") if model_id is None else model_id)
