@@ -1,5 +1,7 @@
 """The grid of models against single fits, brute force, weights and very uneven panels."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from tests.conftest import PANEL_WAVES, made_panel
 from tests.test_fit import ROWS, loglik, stationary
 from trajectra.operators import fit as FT
 from trajectra.operators import grid_fit as GF
+from trajectra.plans.q_grid import m6_grid_fit
 
 W = PANEL_WAVES
 Y = [f"y_{t}" for t in range(W)]
@@ -103,3 +106,23 @@ def test_odd_rows(spark):
     assert p.n == {"a": 2} and p.waves("a") == 3
     assert GF.grid_steps(p, [], 2) == []
     assert GF.stage_panels(spark.createDataFrame([], "outcome string, subject int, wave int, y double")).n == {}
+
+
+def test_grid_query_searches_like_the_reference(spark, tmp_path, monkeypatch):
+    """Every class number, restriction and residual rule, 100 starts of which 20 are carried on, 10 first steps, at most 500."""
+    rng = np.random.default_rng(5)
+    rows = [(100 * s + t, datetime(2024, 1, 1 + t), s, "a", float(8 * (s % 3) + t * (s % 2) + rng.normal(0, 1)))
+            for s in range(60) for t in range(3 + s % 2)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    searches, inner = [], GF.starts_search
+
+    def seen(params, *args):
+        found = yield from inner(params, *args)
+        searches.append((len(params), args[-4:], len(found["kept"]), len(found["history"])))
+        return found
+
+    monkeypatch.setattr(GF, "starts_search", seen)
+    out = m6_grid_fit(spark, str(tmp_path)).collect()
+    assert len({(r["n_classes"], r["restriction"], r["residuals"]) for r in out}) == len(out) == len(searches) == 18
+    assert all(s[:3] == (100, (20, 10, 500, 1e-7), 20) and s[3] > 10 for s in searches)
+    assert all(r["converged"] and r["n"] == 60 for r in out)

@@ -11,6 +11,7 @@ from trajectra.operators import grid_fit as GF
 from trajectra.operators import information as IN
 from trajectra.plans.grid_sql import grid_sql, title
 from trajectra.plans.panels import PANEL_E_SQL, panel_e
+from trajectra.plans.q_fit import EM
 from trajectra.plans.registry import query
 
 CLASSES, RESTRICTIONS, RULES = (1, 2, 3), ("iq@0", "sq@0", " q@0"), (True, False)
@@ -70,10 +71,10 @@ def m6_grid_classes(spark, sf):
 
 @query("m6_grid_fit")
 def m6_grid_fit(spark, sf):
-    """The settled fits of the grid over panel E: 20 starts a model, 4 kept, every model and start stopping by itself."""
+    """The settled fits of the whole grid over panel E: 100 starts a model, 20 kept, every model and start stopping by itself."""
     panels = GF.stage_panels(panel_e(spark, sf))
-    models = GF.grid_models(specs(spark, rules=(True,)), list(panels.n))
-    t = GF.grid_table(spark, GF.fit_grid(panels, models, n_starts=20, keep=4, stage1_iter=5, max_iter=60))
+    models = GF.grid_models(specs(spark), list(panels.n))
+    t = GF.grid_table(spark, GF.fit_grid(panels, models, **EM))
     panels.table.unpersist()
     return _rows(t).join(t.select("model", "converged", "best_replicated"), "model")
 
