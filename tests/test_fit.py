@@ -229,3 +229,15 @@ def test_growth_curve_paths_agree_with_empty_subjects(spark, monkeypatch, shared
         for key in ("a", "th", "psi"):
             assert np.allclose(one[0][key], two[0][key], rtol=1e-8, atol=1e-8)
     assert n == FT.growth_curve(wide, Y, (0, 1), shared, max_iter=3)["n"] == 60
+
+
+def test_extrapolation_to_no_residual_variance_is_not_believed():
+    """Log variances almost in a line: the extrapolation falls far past the maximum (-3), where rounding makes the likelihood huge."""
+    def em(p):
+        x = float(np.log(p["th"][0]))
+        return ({**p, "th": np.exp([max(x - 0.1 - 0.001 * x, -3.0)])}, -(x + 3) ** 2) if x > -3.5 else ({**p, "th": np.array([1e-6])}, 1e6)
+
+    start = {"a": np.ones((1, 3)), "th": np.ones(1), "psi": np.zeros((1, 3, 3)), "pi": np.ones(1)}
+    step = lambda ps: ([em(p)[0] for p in ps], np.array([em(p)[1] for p in ps]))
+    (p,), _, settled = FT.squarem(step, [start], 1, 1, (0, 1, 2), (), 200, 1e-7, [])
+    assert settled[0] and np.log(p["th"][0]) == pytest.approx(-3.0, abs=1e-3)

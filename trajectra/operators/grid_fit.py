@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajectra.operators.fit import (FEW_PARTS, LN2PI, PART_CELLS, RESTRICTION_SPEC, Block, block_of, count_parameters, design, grid_sums,
-                                     mstep, read_block, starts_search, written_block)
+                                     mstep, msteps, read_block, starts_search, written_block)
 from trajectra.operators.joins import checked_broadcast
 from trajectra.session import ship_package, stage
 
@@ -108,8 +108,9 @@ def panels_of(rows: DataFrame) -> Panels:
     # a block has up to DENSE cells a value
     values = sum(r["values"] for r in counts)
     parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows_in_all // 1_000), rows_in_all // 500_000, values * DENSE // PART_CELLS)
-    # in order, so that a batch of a pass holds many subjects of few outcomes
-    return Panels(table.repartition(parts).sortWithinPartitions("outcome").persist(), parts, mean, var, {r["outcome"]: int(round(r["n"])) for r in counts})
+    # few outcomes a partition, so that it meets few questions of a pass, each with many subjects
+    dealt = table.repartitionByRange(parts, "outcome", F.xxhash64("subject")) if parts > 1 else table.repartition(parts)
+    return Panels(dealt.sortWithinPartitions("outcome").persist(), parts, mean, var, {r["outcome"]: int(round(r["n"])) for r in counts})
 
 
 # ----------------------------------------------------------------- starts
@@ -284,12 +285,18 @@ def em_sums_of(blocks: Sequence[Block], params: Sequence[dict], scores: bool = T
     return found
 
 
+def _unpacked_all(xs: Sequence[np.ndarray], K: int, W: int) -> dict:
+    """``em_sums`` of many parameter sets as the arrays of ``fit.msteps``, with the scores."""
+    x = np.stack(xs)
+    c = x[:, :-2].reshape(-1, K, 3 * W + 11)
+    return {"sw": c[..., :W], "sy": c[..., W:2 * W], "syy": c[..., 2 * W:3 * W], "sbb": c[..., 3 * W:3 * W + 9].reshape(-1, K, 3, 3),
+            "sp": c[..., 3 * W + 9], "likely": c[..., 3 * W + 10], "ll": x[:, -2], "entropy": x[:, -1]}
+
+
 def _unpacked(x: np.ndarray, K: int, W: int) -> dict:
     """``em_sums`` as the arrays of ``fit.mstep`` (one group), with the scores."""
-    c = x[:-2].reshape(K, 3 * W + 11)
-    return {"sw": c[None, :, :W], "sy": c[None, :, W:2 * W], "syy": c[None, :, 2 * W:3 * W],
-            "sbb": c[None, :, 3 * W:3 * W + 9].reshape(1, K, 3, 3), "sp": c[None, :, 3 * W + 9], "likely": c[:, 3 * W + 10],
-            "ll": float(x[-2]), "entropy": float(x[-1])}
+    s = _unpacked_all([x], K, W)
+    return s | {"likely": s["likely"][0], "ll": float(s["ll"][0]), "entropy": float(s["entropy"][0])}
 
 
 # ----------------------------------------------------------------- passes
@@ -301,6 +308,17 @@ def _by_outcome(asked: Sequence[tuple[str, dict]]) -> dict[str, list[int]]:
     return by
 
 
+SUMS_SCHEMA = "at int, sums binary"      # sums as the bytes of their numbers: lists of them cost more than the sums themselves
+
+
+def _sent(found: dict[int, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"at": list(found), "sums": [np.asarray(x, dtype=float).tobytes() for x in found.values()]})
+
+
+def _add(found: dict, at: int, x: np.ndarray) -> None:
+    found[at] = found[at] + x if at in found else x
+
+
 def _added(panels: Panels, table: DataFrame, run, n: int, outcomes: Sequence[str]) -> list[np.ndarray]:
     """The sums (at, sums) that ``run`` makes of a table's partitions, added for each of n questions about ``outcomes``.
 
@@ -308,17 +326,21 @@ def _added(panels: Panels, table: DataFrame, run, n: int, outcomes: Sequence[str
     up in Spark, so the driver receives a fixed number of values per question.
     """
     wanted = table.where(F.col("outcome").isin(sorted(outcomes))) if len(outcomes) < min(len(panels.n), 100) else table
-    sums = wanted.mapInPandas(run, "at int, sums array<double>")
-    out: list = [0.0] * n
-    if panels.parts <= FEW_PARTS:
-        for r in sums.collect():
-            out[r["at"]] = out[r["at"]] + np.array(r["sums"])
-    else:
-        added = sums.select("at", F.posexplode("sums").alias("i", "x")).groupBy("at", "i").agg(F.sum("x").alias("x"))
-        whole = added.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("at", F.col("v.x").alias("x"))
-        for r in whole.collect():
-            out[r["at"]] = np.array(r["x"])
-    return out
+    sums = wanted.mapInPandas(run, SUMS_SCHEMA)
+
+    def add(batches):
+        found: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for at, x in zip(pdf["at"], pdf["sums"]):
+                _add(found, at, np.frombuffer(x))
+        yield _sent(found)
+
+    if panels.parts > FEW_PARTS:
+        sums = sums.repartition(max(1, min(panels.parts, n)), "at").mapInPandas(add, SUMS_SCHEMA)
+    out: dict[int, np.ndarray] = {}
+    for r in sums.collect():
+        _add(out, r["at"], np.frombuffer(r["sums"]))
+    return [out.get(i, 0.0) for i in range(n)]
 
 
 def grid_pass(panels: Panels, asked: Sequence[tuple[str, dict]], kernel: Callable[[Flat, dict], np.ndarray] = em_sums) -> list[np.ndarray]:
@@ -334,9 +356,8 @@ def grid_pass(panels: Panels, asked: Sequence[tuple[str, dict]], kernel: Callabl
                 if o in by_outcome:
                     v = flatten(part["t"], part["y"], part["weight"])
                     for i in by_outcome[o]:
-                        x = kernel(v, params[i])
-                        found[i] = found[i] + x if i in found else x
-        yield pd.DataFrame({"at": list(found), "sums": [x.tolist() for x in found.values()]})
+                        _add(found, i, kernel(v, params[i]))
+        yield _sent(found)
 
     return _added(panels, panels.table, run, len(asked), by_outcome)
 
@@ -376,8 +397,8 @@ def em_pass(panels: Panels, blocks: DataFrame, asked: Sequence[tuple[str, dict]]
             for o, block in zip(pdf["outcome"], pdf["block"]):
                 at = by_outcome.get(o, [])
                 for i, x in zip(at, em_sums_of([read_block(block)], [params[i] for i in at], scores)):
-                    found[i] = found[i] + x if i in found else x
-        yield pd.DataFrame({"at": list(found), "sums": [x.tolist() for x in found.values()]})
+                    _add(found, i, x)
+        yield _sent(found)
 
     return _added(panels, blocks, run, len(asked), by_outcome)
 
@@ -387,17 +408,27 @@ def _moved(m: Model, p: dict, s: dict, W: int) -> dict:
     return mstep(s, 0, p, design(range(W)), m.factors, m.random, m.per_class, m.shared_residual) if np.isfinite(s["ll"]) else p
 
 
+def _moved_all(m: Model, ps: Sequence[dict], s: dict, W: int) -> list[dict]:
+    """``_moved`` of all parameter sets of a model."""
+    good = np.flatnonzero(np.isfinite(s["ll"]))
+    new = list(ps)
+    if len(good):
+        some = s if len(good) == len(ps) else {k: x[good] for k, x in s.items()}
+        for i, p in zip(good, msteps(some, [ps[i] for i in good], design(range(W)), m.factors, m.random, m.per_class, m.shared_residual)):
+            new[i] = p
+    return new
+
+
 def _em_map(panels: Panels, blocks: DataFrame, asked: Sequence[tuple[Model, list[dict]]], scores: bool = True
-            ) -> list[tuple[list[dict], np.ndarray, list[dict]]]:
-    """EM step of every parameter set of every model, in one pass: (new sets, their likelihoods, the sums) per model."""
+            ) -> list[tuple[list[dict], np.ndarray, list[np.ndarray]]]:
+    """EM step of every parameter set of every model, in one pass: (new sets, their likelihoods, ``em_sums``) per model."""
     flat = [(m.outcome, p) for m, ps in asked for p in ps]
     sums = iter(em_pass(panels, blocks, flat, scores))
     out = []
     for m, ps in asked:
-        W = panels.waves(m.outcome)
-        got = [_unpacked(next(sums), m.classes, W) for _ in ps]
-        new = [_moved(m, p, s, W) for p, s in zip(ps, got)]
-        out.append((new, np.array([s["ll"] for s in got]), got))
+        W, got = panels.waves(m.outcome), [next(sums) for _ in ps]
+        s = _unpacked_all(got, m.classes, W)
+        out.append((_moved_all(m, ps, s, W), s["ll"], got))
     return out
 
 
@@ -428,8 +459,9 @@ def fit_grid(panels: Panels, models: Sequence[Model], n_starts: int = 100, keep:
                 del asks[m]
     last = _em_map(panels, blocks, [(m, [done[m]["params"]]) for m in models])
     blocks.unpersist()
-    return [_result(m, panels.n[m.outcome], panels.waves(m.outcome), done[m]["params"], got[0], done[m]["start_lls"], [units[m][i] for i in done[m]["kept"]], done[m]["kept"],
-                    converged=done[m]["converged"]) for m, (_, _, got) in zip(models, last)]
+    return [_result(m, panels.n[m.outcome], panels.waves(m.outcome), done[m]["params"], _unpacked(got[0], m.classes, panels.waves(m.outcome)),
+                    done[m]["start_lls"], [units[m][i] for i in done[m]["kept"]], done[m]["kept"], converged=done[m]["converged"])
+            for m, (_, _, got) in zip(models, last)]
 
 
 def grid_steps(panels: Panels, models: Sequence[Model], steps: int, n_starts: int = 1, seed: int = 7) -> list[dict]:
@@ -441,7 +473,8 @@ def grid_steps(panels: Panels, models: Sequence[Model], steps: int, n_starts: in
         asked = [(m, new) for (m, _), (new, _, _) in zip(asked, _em_map(panels, blocks, asked, scores=False))]
     out = []
     for (m, ps), (_, ll, got) in zip(asked, _em_map(panels, blocks, asked)):
-        out.append(_best_start(m, panels.n[m.outcome], panels.waves(m.outcome), ps, got, units[m]))
+        W = panels.waves(m.outcome)
+        out.append(_best_start(m, panels.n[m.outcome], W, ps, [_unpacked(x, m.classes, W) for x in got], units[m]))
     blocks.unpersist()
     return out
 
