@@ -132,13 +132,26 @@ def test_grid_query_searches_like_the_reference(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     searches, inner = [], GF.starts_search
 
-    def seen(params, *args):
-        found = yield from inner(params, *args)
-        searches.append((len(params), args[-4:], len(found["kept"]), len(found["history"])))
-        return found
+    def seen(params, K, W, factors, random, *search):
+        searches.append((len(params), *search))
+        return inner(params[:2], K, W, factors, random, 2, 1, 3, 1e-7)
 
     monkeypatch.setattr(GF, "starts_search", seen)
     out = m6_grid_fit(spark, str(tmp_path)).collect()
-    assert len({(r["n_classes"], r["restriction"], r["residuals"]) for r in out}) == len(out) == len(searches) == 18
-    assert all(s[:3] == (100, (20, 10, 500, 1e-7), 20) and s[3] > 10 for s in searches)
-    assert all(r["converged"] and r["n"] == 60 for r in out)
+    assert len({(r["n_classes"], r["restriction"], r["residuals"]) for r in out}) == len(out) == 18
+    assert searches == [(100, 20, 10, 500, 1e-7)] * 18 and all(r["n"] == 60 for r in out)
+
+
+def test_very_many_parameter_sets_are_dealt_over_jobs(panels, monkeypatch):
+    models = [GF.Model("a", "one", 2, "sq@0"), GF.Model("b", "half", 1, "iq@0"), GF.Model("c", "half", 3, "iq@0")]
+    asked = [(m.outcome, GF.scaled_start(u, panels, m)) for m in models for u in GF.unit_starts(m.classes, 3, 1)]
+    blocks, jobs, inner = GF.panel_blocks(panels), [], GF._em_job
+    monkeypatch.setattr(GF, "_em_job", lambda p, b, some, scores: jobs.append(len(some)) or inner(p, b, some, scores))
+    whole = GF.em_pass(panels, blocks, asked)
+    monkeypatch.setattr(GF, "ASK_VALUES", 1)
+    for x, y in zip(whole, GF.em_pass(panels, blocks, asked), strict=True):
+        assert np.allclose(x, y, rtol=1e-9)
+    monkeypatch.setattr(GF, "ASK_VALUES", 300)
+    for x, y in zip(whole, GF.em_pass(panels, blocks, asked), strict=True):
+        assert np.allclose(x, y, rtol=1e-9)
+    assert jobs[0] == 9 and jobs[1:10] == [1] * 9 and sum(jobs[10:]) == 9 and 1 < len(jobs[10:]) < 9

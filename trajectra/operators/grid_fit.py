@@ -109,7 +109,7 @@ def panels_of(rows: DataFrame) -> Panels:
     values = sum(r["values"] for r in counts)
     parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows_in_all // 1_000), rows_in_all // 500_000, values * DENSE // PART_CELLS)
     # few outcomes a partition, so that it meets few questions of a pass, each with many subjects
-    dealt = table.repartitionByRange(parts, "outcome", F.xxhash64("subject")) if parts > 1 else table.repartition(parts)
+    dealt = table.repartitionByRange(parts, "outcome", F.xxhash64("subject")).coalesce(parts) if parts > 1 else table.repartition(parts)
     return Panels(dealt.sortWithinPartitions("outcome").persist(), parts, mean, var, {r["outcome"]: int(round(r["n"])) for r in counts})
 
 
@@ -386,8 +386,23 @@ def panel_blocks(panels: Panels) -> DataFrame:
     return panels.table.mapInPandas(run, "outcome string, block binary").persist()
 
 
+ASK_VALUES = 200_000        # values of sums that a job asks a partition for, so that the driver takes in few at once
+
+
 def em_pass(panels: Panels, blocks: DataFrame, asked: Sequence[tuple[str, dict]], scores: bool = True) -> list[np.ndarray]:
-    """``em_sums`` over all subjects for each (outcome, parameters) of ``asked``, in one pass over ``panel_blocks``."""
+    """``em_sums`` over all subjects for each (outcome, parameters) of ``asked``, in one pass over ``panel_blocks``.
+
+    Very many parameter sets are dealt over several jobs, each with some of every model.
+    """
+    values = sum(len(p["pi"]) * (3 * len(p["th"]) + 11) + 2 for _, p in asked)
+    jobs = max(1, min(len(asked), -(-values // ASK_VALUES)))
+    out: list = [None] * len(asked)
+    for j in range(jobs):
+        out[j::jobs] = _em_job(panels, blocks, asked[j::jobs], scores)
+    return out
+
+
+def _em_job(panels: Panels, blocks: DataFrame, asked: Sequence[tuple[str, dict]], scores: bool) -> list[np.ndarray]:
     by_outcome = _by_outcome(asked)
     params = [p for _, p in asked]
 
