@@ -752,36 +752,6 @@ def mstep(s: dict, g: int, old: dict, Z: np.ndarray, factors: Sequence[int], fre
     return {"a": a, "th": th_new, "psi": psi, "pi": pi / pi.sum()}
 
 
-def msteps(s: dict, olds: Sequence[dict], Z: np.ndarray, factors: Sequence[int], free_re: Sequence[int], per_class, shared_residual: bool,
-           floor: float = 1e-6) -> list[dict]:
-    """``mstep`` of every group at once, where it has a closed form and no singular curve."""
-    each = lambda: [mstep(s, g, p, Z, factors, free_re, per_class, shared_residual, floor) for g, p in enumerate(olds)]
-    fi, fr = list(factors), np.array(free_re, dtype=int)
-    if len(fr) and per_class == "i":
-        return each()
-    sw, sy, syy, sbb, sp = (s[x] for x in ("sw", "sy", "syy", "sbb", "sp"))
-    G, K, W = sw.shape
-    inv = 1.0 / np.stack([p["th"] for p in olds])[:, None]
-    Zf, a = Z[:, fi], np.zeros((G, K, 3))
-    A = (sw * inv) @ (Zf[:, :, None] * Zf[:, None]).reshape(W, -1)
-    try:
-        a[..., fi] = np.linalg.solve(A.reshape(G, K, len(fi), len(fi)), ((sy * inv) @ Zf)[..., None])[..., 0]
-    except np.linalg.LinAlgError:
-        return each()
-    m = a @ Z.T                                    # (G, K, W)
-    num, nt = (syy - 2 * m * sy + m * m * sw).sum(1), sw.sum(1)
-    th = num.sum(1, keepdims=True) / np.maximum(nt.sum(1, keepdims=True), 1e-300) if shared_residual else num / np.maximum(nt, 1e-300)
-    th = np.maximum(np.broadcast_to(th, (G, W)), floor)
-    N = sp.sum(1, keepdims=True)
-    psi = np.zeros((G, K, 3, 3))
-    if len(fr):
-        block = sbb / np.maximum(sp, 1e-300)[..., None, None] if per_class is True else (sbb.sum(1) / N[..., None])[:, None]
-        psi[..., fr[:, None], fr] = block[..., fr[:, None], fr]
-    pi = np.maximum(sp / N, 1e-12)
-    pi /= pi.sum(1, keepdims=True)
-    return [{"a": a[g], "th": th[g], "psi": psi[g], "pi": pi[g]} for g in range(G)]
-
-
 def start_values(wide: DataFrame, ycols: Sequence[str], K: int, n_starts: int, seed: int,
                  factors: Sequence[int], free_re: Sequence[int]) -> list[dict]:
     """Starting values from one aggregate of the panel (per-wave mean and variance); see ``starts_from``."""
